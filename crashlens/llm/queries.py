@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crashlens.llm import packing, token_counts, token_files
+from crashlens.llm import decontamination, jaccard, language, packing, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": decontamination.op1_decontamination,
+    "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
+    "op3_language_id": language.op3_language_id,
     "op5_token_counts": token_counts.op5_token_counts,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_token_output": token_files.op9_token_output,
