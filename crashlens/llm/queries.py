@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crashlens.llm import chat, decontamination, jaccard, language, packing, substrings, token_counts, token_files, topk
+from crashlens.llm import chat, decontamination, jaccard, language, lines, packing, substrings, token_counts, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_language_id": language.op3_language_id,
+    "op4_line_dedup": lines.op4_line_dedup,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_substring_dedup": substrings.op6_substring_dedup,
     "op7_chat_formatting": chat.op7_chat_formatting,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_top_k": topk.op10_exact_top_k,
 }
 ORACLES: dict[str, str] = {
+    "op4_line_dedup": lines.ORACLE,
     "op6_substring_dedup": substrings.ORACLE,
     "op7_chat_formatting": chat.ORACLE,
     "op10_exact_top_k": topk.ORACLE,
