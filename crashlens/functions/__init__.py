@@ -1 +1 @@
-
+"""Column builders: no shuffles, no Python at run time."""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from crashlens.plans import event_queries, log_queries, lookup_queries, text_queries
+from crashlens.plans.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+for _module in (event_queries, log_queries, lookup_queries, text_queries):
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
