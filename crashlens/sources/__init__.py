@@ -1 +1 @@
-
+"""Readers of experiment files and writers of results."""
