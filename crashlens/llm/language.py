@@ -62,8 +62,11 @@ def automaton(text: np.ndarray, classes: int) -> np.ndarray:
     for state, out in enumerate(steps):
         if out:
             table[state, list(out)] = list(out.values())
-    start = np.where(table[0] < 0, 0, table[0])
-    return np.where(table < 0, ~start, table).astype(np.int32)
+    dead = len(steps)  # after a character that the text doesn't have: the next one starts a phrase
+    start = np.where(table[0] < 0, dead, table[0])
+    table = np.vstack((np.where(table < 0, ~start, table), ~start[None]))
+    table[0] = start
+    return table.astype(np.int32)
 
 
 class Model:
