@@ -21,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_top_k": topk.op10_exact_top_k,
 }
 ORACLES: dict[str, str] = {
+    "op1_decontamination": decontamination.ORACLE,
+    "op2_ngram_jaccard": jaccard.ORACLE,
     "op4_line_dedup": lines.ORACLE,
     "op6_substring_dedup": substrings.ORACLE,
     "op7_chat_formatting": chat.ORACLE,
