@@ -12,6 +12,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language, as lang; those without text or without a letter go."""
+    scratch.lean(spark)
     found = language.identify(docs.select(*COLUMNS), language.fit(docs)).where(F.col("lang_pred") != language.UNKNOWN)
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
