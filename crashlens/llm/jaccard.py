@@ -25,9 +25,9 @@ U64 = np.uint64
 #: Bits of a token that are kept; the rest of its hash is dropped.
 TOKEN_BITS = 48
 #: Tokens sorted and dealt out at a time by a map task.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Tokens of a bucket, about.
-BUCKET = 1 << 21
+BUCKET = 1 << 20
 #: Longest list of prefixes that a single token's index keeps; tokens with longer ones are indexed in pairs.
 RARE = 32
 
@@ -69,7 +69,7 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in scan.pieces(batch.column("text")):
+            for at, part in scan.pieces(batch.column("text"), scan.CHUNK):
                 tokens, edges = shingle_sets(part, k)
                 n = np.diff(edges)
                 yield pa.RecordBatch.from_arrays(
@@ -104,7 +104,7 @@ def _deal(docs: DataFrame, k: int, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_pydict(rows, pa.schema([("bucket", pa.int32()), ("base", pa.int64()), ("steps", pa.binary()), ("owner", pa.binary()), ("nodes", pa.binary())]))
 
         for batch in batches:
-            for _, part in scan.pieces(batch.column("text")):
+            for _, part in scan.pieces(batch.column("text"), scan.CHUNK):
                 tokens, edges = shingle_sets(part, k)
                 some = np.flatnonzero(np.diff(edges))
                 have = sum(map(len, nodes))
@@ -117,7 +117,7 @@ def _deal(docs: DataFrame, k: int, buckets: int) -> DataFrame:
                         held, owners, nodes, n, have = [], [], [], 0, 0
                     own = some[i : i + 65000]
                     held.append(tokens[edges[own[0]] : edges[own[-1] + 1]] >> U64(64 - TOKEN_BITS))
-                    owners.append(np.repeat(np.arange(have, have + len(own)), np.diff(edges)[own]))
+                    owners.append(np.repeat(np.arange(have, have + len(own), dtype=np.uint16), np.diff(edges)[own]))
                     nodes.append(_prints(tokens, edges, 1)[own])
                     n += len(held[-1])
         if held:
@@ -132,19 +132,21 @@ SHARED = "node long, tokens array<long>, holders array<int>"
 def _shared(table: pa.Table) -> pa.Table:
     """A bucket's tokens that two nodes or more hold: by node, the tokens and how many hold each."""
     token, node = [], []
-    for row in table.to_pylist():
+    for i in range(len(table)):
+        row = table.slice(i, 1).to_pylist()[0]
         places = np.frombuffer(row["owner"], "<u2")
         steps = np.frombuffer(row["steps"], "<u4" if len(row["steps"]) == 4 * (len(places) - 1) else "<u8").astype(np.int64)
         token.append(np.concatenate(([row["base"]], row["base"] + np.cumsum(steps))))
         node.append(np.frombuffer(row["nodes"], np.int64)[places])
     token, node = np.concatenate(token), np.concatenate(node)
     order = np.argsort(token)
-    token, node = token[order], node[order]
+    token = token[order]
     same = token[1:] == token[:-1]
     keep = np.zeros(len(token), bool)
     keep[1:] |= same
     keep[:-1] |= same
-    token, node = token[keep], node[keep]
+    token, node = token[keep], node[order[keep]]
+    del order, same, keep
     order = np.lexsort((node, token))
     token, node = token[order], node[order]
     new = np.ones(len(token), bool)

@@ -37,5 +37,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of an Arrow batch where the session has Spark's default: texts are long, and workers hold a few batches each.
+BATCH = 1500
+
+
+def lean(spark: SparkSession) -> None:
+    """Lowers the rows of Arrow batches, unless the session has set them."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
