@@ -2,8 +2,8 @@
 
 A line is the set of its lower-cased words. Words are ordered by rarity: those outside the corpus's 16,384 commonest first,
 the longest of them first, then classes of commoner words. Two lines that are similar enough share a word among the
-first n - ceil(t n) + 1 of either; the places of that word, the sizes, and a 128-bit parity of the words bound what they can
-have in common. Pairs that pass are verified on their words, and the later line goes.
+first n - ceil(t n) + 1 of either; the places of that word, the sizes, and parities of the words bound what they can have in
+common. Pairs that pass are verified on their words, and the later line goes.
 
 Only whether an earlier match exists matters, so the members of a long list meet its first few lines before anything else, and
 only those without a match meet the rest.
@@ -61,43 +61,56 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     least = lambda n: f"(({n} * {percent} + 99) div 100)"
     cut = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "line"))
     cut = cut.select("doc_id", "number", F.expr(tokens).alias("tokens")).where("size(tokens) > 0")
+    small = -(-percent // (100 - percent))  # smaller sets only match equal ones
     lines = cut.select(
-        "doc_id", "number", F.xxhash64("tokens").alias("line"), F.size("tokens").alias("n"), F.expr(_parity(1)).alias("p"), F.expr(_parity(2)).alias("q"),
-        F.expr(f"slice(tokens, 1, if(size(tokens) < {-(-percent // (100 - percent))}, 0, cast(size(tokens) - {least('size(tokens)')} + 1 as int)))").alias("prefix"),
+        "doc_id", "number", F.xxhash64("tokens").alias("line"), F.size("tokens").alias("n"), F.expr(_parity(1)).alias("p"), F.expr(_parity(2)).alias("q"), F.expr(_parity(3)).alias("r"),
+        F.expr(f"transform(slice(tokens, 1, if(size(tokens) < {small}, 0, cast(size(tokens) - {least('size(tokens)')} + 1 as int))), w -> hash(w))").alias("prefix"),
     )
     lines = scratch.stored(lines, "lines")
-    first = lines.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("f"))
-    known = first.select("line", "f.*").join(lines.select("doc_id", "number", "line", "n", "p", "q", "prefix"), ["line", "doc_id", "number"])
-    index = known.select("line", "doc_id", "number", "n", "p", "q", F.posexplode("prefix").alias("place", "token")).repartition("token")
+    place = F.min(F.struct("doc_id", "number")).alias("f")
+    index = lines.where("size(prefix) > 0").groupBy("line", "n", "p", "prefix").agg(place)
+    index = index.select("line", "n", "p", "f.doc_id", "f.number", F.posexplode("prefix").alias("place", "token")).repartition("token")
     size = index.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     index = index.join(size, "token")
 
     bound = f"(100 + {percent}) * (least(a.place, b.place) + least(a.n - a.place, b.n - b.place)) >= {percent} * (a.n + b.n)"
     # bits that differ are words that differ, and of those there are at most a.n + b.n - 2 * least overlap
-    parity = f"(100 + {percent}) * (a.n + b.n - greatest(bit_count(a.p ^ b.p), bit_count(a.q ^ b.q), 0)) >= 2 * {percent} * (a.n + b.n)"
+    parity = f"(100 + {percent}) * (a.n + b.n - bit_count(a.p ^ b.p)) >= 2 * {percent} * (a.n + b.n)"
     fits = f"(b.doc_id < a.doc_id or b.doc_id = a.doc_id and b.number < a.number) and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) and {bound} and {parity}"
-    pair = ["a.line as a", "b.line as b"]
-    short = index.where(f"size <= {SHORT}")
-    near = short.alias("a").join(short.alias("b"), F.expr(f"a.token = b.token and {fits}")).selectExpr(*pair)
+    entry = ["line", "n", "p", "doc_id", "number", "place", "token"]
+
+    def meet(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.alias("a").join(b.alias("b"), F.expr(f"a.token = b.token and {fits}")).selectExpr("a.line as a", "b.line as b")
+
+    short, long = index.where(f"size <= {SHORT}"), index.where(f"size > {SHORT}").select(*entry)
     order = Window.partitionBy("token").orderBy("doc_id", "number")
-    long = scratch.stored(index.where(f"size > {SHORT}"), "long-lists")
     heads = long.withColumn("i", F.row_number().over(order)).where(f"i <= {FIRST}").drop("i")
-    star = long.alias("a").join(heads.alias("b"), F.expr(f"a.token = b.token and {fits}")).selectExpr(*pair)
-    pairs = scratch.stored(near.unionByName(star).distinct(), "pairs")
+    # one job, so that the index is dealt out once: pairs, and the long lists for later
+    both = scratch.stored(meet(short, short).unionByName(meet(long, heads)).unionByName(long, allowMissingColumns=True), "pairs")
+    pairs, long = both.where("a is not null").select("a", "b").distinct(), both.where("a is null").select(*entry)
+    first = lines.groupBy("line", "n", "q", "r").agg(place)
 
-    wanted = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).unionByName(long.select("line")).distinct()
-    wanted = wanted.join(first, "line").groupBy("f.doc_id").agg(F.collect_list(F.struct("f.number", "line")).alias("w"))
-    held = texts.join(wanted, "doc_id").select("w", F.split("text", "\n").alias("all")).select(F.explode(F.expr("transform(w, x -> struct(x.line as id, all[x.number] as line))")).alias("x"))
-    held = scratch.stored(held.select("x.id", "x.line").select("id", F.expr(tokens).alias("tokens")).where("xxhash64(tokens) = id").dropDuplicates(["id"]), "held")
+    def closer(pairs: DataFrame) -> DataFrame:
+        """Pairs that two more parities let through: few others than matches are left."""
+        a, b = (first.select(F.col("line").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in "nqr")) for x in "ab")
+        fine = f"(100 + {percent}) * (a_n + b_n - greatest(bit_count(a_q ^ b_q), bit_count(a_r ^ b_r))) >= 2 * {percent} * (a_n + b_n)"
+        return pairs.join(b, "b").join(a, "a").where(fine).select("a", "b")
 
     def matched(pairs: DataFrame) -> DataFrame:
+        """Lines of pairs that an earlier line matches; words are read again from the texts that have them."""
+        wanted = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
+        wanted = wanted.join(first, "line").groupBy("f.doc_id").agg(F.collect_list(F.struct("f.number", "line")).alias("w"))
+        held = texts.join(wanted, "doc_id").select("w", F.split("text", "\n").alias("all")).select(F.explode(F.expr("transform(w, x -> struct(x.line as id, get(all, x.number) as line))")).alias("x"))
+        held = held.select("x.id", "x.line").where("line is not null").select("id", F.expr(tokens).alias("tokens")).where("xxhash64(tokens) = id")
+        held = scratch.stored(held, "held")
         a, b = (held.select(F.col("id").alias(x), F.col("tokens").alias(f"{x}_t")) for x in "ab")
-        common = pairs.join(a, "a").join(b, "b").withColumn("c", F.size(F.array_intersect("a_t", "b_t")))
-        return common.where(f"100 * c >= {percent} * (size(a_t) + size(b_t) - c)").select(F.col("a").alias("line")).distinct()
+        common = pairs.join(b, "b").join(a, "a").withColumn("c", F.size(F.array_intersect("a_t", "b_t")))
+        return scratch.stored(common.where(f"100 * c >= {percent} * (size(a_t) + size(b_t) - c)").select(F.col("a").alias("line")).distinct(), "matched")
 
-    gone = scratch.stored(matched(pairs), "matched")
-    rest = long.join(gone, "line", "left_anti").alias("a").join(long.alias("b"), F.expr(f"a.token = b.token and {fits}")).selectExpr(*pair).distinct()
-    gone = gone.unionByName(matched(rest)).withColumn("gone", F.lit(True))
+    close = scratch.stored(closer(pairs), "close")
+    gone = matched(close)
+    rest = scratch.stored(closer(meet(long.join(gone, "line", "left_anti"), long).distinct()).join(close, ["a", "b"], "left_anti"), "rest")
+    gone = gone.unionByName(matched(rest) if not rest.isEmpty() else gone.limit(0)).distinct().withColumn("gone", F.lit(True))
 
     state = first.join(gone, "line", "left").select("line", "f", "gone")
     out = lines.select("doc_id", "number", "line").join(state, "line").where("gone or f.doc_id < doc_id or f.number < number")
