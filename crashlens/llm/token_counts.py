@@ -94,4 +94,5 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_flat(docs, public("word_bpe_49k.json"), end, scratch.folder(spark, "flat"))
     counts = count_tokens(files.select("path", "n_bytes"), end)
     ids = files.select("path", F.posexplode("doc_ids").alias("ordinal", "doc_id")).withColumn("ordinal", F.col("ordinal").cast("long"))
-    return ids.join(counts, ["path", "ordinal"]).select("doc_id", "n_tokens")
+    # sizes of exploded lists are guessed too small, and either side grows with the input: no broadcast
+    return ids.hint("merge").join(counts, ["path", "ordinal"]).select("doc_id", "n_tokens")
