@@ -224,7 +224,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                 yield pa.RecordBatch.from_pydict(out, pa.schema([("key", pa.int64()), ("print", pa.int64()), ("least", pa.int64()), ("again", pa.bool_()), ("size", pa.int64()), ("windows", pa.int32()), ("words", pa.binary())]))
 
     texts = rows.join(wanted, ["doc_id", "row"]).select("doc_id", "text", "wanted")
-    found = texts.mapInArrow(fetch, "key long, print long, least long, again boolean, size long, windows int, words binary").dropDuplicates(["key", "print"])
+    found = texts.mapInArrow(fetch, "key long, print long, least long, again boolean, size long, windows int, words binary")
     spread = f"cast((size + {SHARD - 1}) div {SHARD} as int)"
     dealt = found.withColumn("home", F.expr(f"pmod(xxhash64(print), {spread})")).withColumn("part", F.explode(F.expr(f"sequence(0, {spread} - 1)"))).withColumn("shard", F.expr(f"pmod(xxhash64(key, part), {parts})"))
 
