@@ -84,9 +84,9 @@ class FMIndex:
             out[i] = np.minimum(self.least[x][lo[i]], self.least[x][hi[i] - 2**x])
         return out
 
-    def search(self, words: np.ndarray, begin: np.ndarray, length: int, below: np.ndarray) -> np.ndarray:
-        """-1 for each pattern words[begin : begin + length] that a row with an owner below has, else its place, from 0, from which on it fails."""
-        out = np.zeros(len(begin), np.int64)
+    def search(self, words: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each pattern words[begin : begin + length] the place, from 0, from which on no row has it, and the least owner of rows that have it all."""
+        out, owner = np.zeros(len(begin), np.int64), np.full(len(begin), np.iinfo(np.int64).max)
         live, lo, hi = np.arange(len(begin)), np.zeros(len(begin), np.int64), np.full(len(begin), self.n)
         for j in range(length - 1, -1, -1):
             codes = words[begin[live] + j]
@@ -97,29 +97,33 @@ class FMIndex:
             out[live[~fine]] = j
             live, lo, hi = live[fine], lo[fine], hi[fine]
             if not len(live):
-                return out
-        out[live] = np.where(self.minima(lo, hi) < below[live], -1, 0)
-        return out
+                return out, owner
+        owner[live] = self.minima(lo, hi)
+        return out, owner
 
 
-def repeats(index: FMIndex, words: np.ndarray, begin: np.ndarray, windows: np.ndarray, below: np.ndarray, length: int) -> list[list[int]]:
-    """For each segment with so many windows (length of them at most), starts and ends in turn of the words that windows found below cover."""
+def repeats(index: FMIndex, words: np.ndarray, begin: np.ndarray, windows: np.ndarray, own: np.ndarray, length: int) -> tuple[list[list[int]], np.ndarray]:
+    """For each segment with so many windows (length of them at most): starts and ends in turn of the words covered by windows
+    that rows with smaller owners have; and whether rows with no greater owner have its first and last window, so all its words."""
     n = len(begin)
     hits: list[list[int]] = [[] for _ in range(n)]
-    last = index.search(words, begin + windows - 1, length, below) < 0
+    _, owner = index.search(words, begin + windows - 1, length)
+    last, whole = owner < own, owner <= own
     for i in np.flatnonzero(last).tolist():
         hits[i].append(int(windows[i]) - 1)
     place = np.zeros(n, np.int64)
-    ends = np.where(last, windows - 1, windows)
+    ends = windows - 1  # the last one is done
     live = np.flatnonzero(place < ends)
     once = True
     while len(live):
-        found = index.search(words, begin[live] + place[live], length, below[live])
-        for i in live[found < 0].tolist():
+        failed, owner = index.search(words, begin[live] + place[live], length)
+        found = owner < own[live]
+        for i in live[found].tolist():
             hits[i].append(int(place[i]))
-        place[live] += np.where(found < 0, 1, found + 1)
-        if once:  # first and last window found: they cover all between
-            place[live[(found < 0) & last[live]]] = length
+        place[live] += np.where(found, 0, failed) + 1
+        if once:
+            whole[live] &= owner <= own[live]
+            place[live[found & last[live]]] = length  # first and last window found: they cover all between
             once = False
         live = live[place[live] < ends[live]]
     out = []
@@ -131,7 +135,7 @@ def repeats(index: FMIndex, words: np.ndarray, begin: np.ndarray, windows: np.nd
             else:
                 spans += [p, p + length]
         out.append(spans)
-    return out
+    return out, whole
 
 
 def _least(g: np.ndarray, width: int) -> np.ndarray:
@@ -241,12 +245,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         if len(indexed):
             index = FMIndex([codes[begin[i] : begin[i] + sizes[i]] for i in indexed.tolist()], least[indexed], window)
             keys, prints = table.column("key").to_pylist(), table.column("print").to_pylist()
-            for copy, some in ((False, np.arange(len(flat))), (True, np.flatnonzero(again))):
-                spans = repeats(index, codes, begin[some], windows[some], least[some] + copy, window)
-                for i, x in zip(some.tolist(), spans, strict=True):
-                    if x:
-                        for k, v in (("key", keys[i]), ("print", prints[i]), ("copy", copy), ("spans", [{"a": a, "b": b} for a, b in zip(x[::2], x[1::2], strict=True)])):
-                            out[k].append(v)
+            spans, whole = repeats(index, codes, begin, windows, least, window)
+            found = [(i, False, x) for i, x in enumerate(spans) if x] + [(i, True, [0, int(windows[i]) + window - 1]) for i in np.flatnonzero(again & whole).tolist()]
+            for i, copy, x in found:
+                for k, v in (("key", keys[i]), ("print", prints[i]), ("copy", copy), ("spans", [{"a": a, "b": b} for a, b in zip(x[::2], x[1::2], strict=True)])):
+                    out[k].append(v)
         return pa.Table.from_pydict(out, pa.schema([("key", pa.int64()), ("print", pa.int64()), ("copy", pa.bool_()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))]))
 
     spans = "array<struct<a: int, b: int>>"
