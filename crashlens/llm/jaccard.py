@@ -6,7 +6,7 @@ n - ceil(t n) + 2 of either. A rare token is indexed alone; tokens that many pre
 one node only take up places of a prefix and are never sent on, and a node whose prefix has no others can't link.
 
 Before lists are searched for pairs, each list's members are held against one pivot, and what that links is joined; pairs
-are then made only between different components, so a large group of near copies costs a comparison a member.
+are then made only between different components, and only where sizes, places and a 256-bit parity of the tokens leave room.
 """
 
 from __future__ import annotations
@@ -162,6 +162,11 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array(own), "tokens": pa.ListArray.from_arrays(edges, pa.array(token)), "holders": pa.ListArray.from_arrays(edges, pa.array(holders.astype(np.int32)))})
 
 
+def _parity(part: int) -> str:
+    """SQL: of the tokens that fall to one of four parts, a bit for each, twice the same bit being none."""
+    return f"aggregate(filter(tokens, t -> (shiftright(t, 6) & 3) = {part}), 0L, (s, t) -> s ^ shiftleft(1L, cast(t & 63 as int)))"
+
+
 def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes that are similar enough. Tokens that one node holds alone aren't in any intersection."""
     one, two = (held.select(F.col("node").alias(x), F.col("tokens").alias(f"{x}_tokens"), F.col("n").alias(f"{x}_n")) for x in "ab")
@@ -188,31 +193,37 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     held = held.withColumn("room", F.expr(f"cast(n - (n * {percent} + 99) div 100 + 2 - alone as int)")).where("room > 0")
     held = scratch.stored(held, "held")
     order = "array_sort(transform(tokens, (t, i) -> struct(holders[i] as holders, t as token)))"
-    prefix = held.select("node", "n", "alone", F.posexplode(F.expr(f"transform(slice({order}, 1, room), x -> x.token)")).alias("place", "token")).withColumn("place", F.col("place") + F.col("alone"))
+    signs = [f"s{i}" for i in range(4)]
+    held = held.select("node", "tokens", "holders", "n", "alone", "room", *(F.expr(_parity(i)).alias(x) for i, x in enumerate(signs)))
+    prefix = held.select("node", "n", "alone", *signs, F.posexplode(F.expr(f"transform(slice({order}, 1, room), x -> x.token)")).alias("place", "token")).withColumn("place", F.col("place") + F.col("alone"))
     prefix = scratch.stored(prefix, "prefix")
-    fits = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
+    # tokens of one node alone, and at least the parity bits that differ, are in one set only
+    apart = "a_alone + b_alone + " + " + ".join(f"bit_count(a_{x} ^ b_{x})" for x in signs)
+    fits = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) and (100 + {percent}) * (a_n + b_n - ({apart})) >= {2 * percent} * (a_n + b_n)"
+    side = lambda x, names, of="": [F.col(f"{of}{c}").alias(f"{x}_{c}") for c in names]
 
-    pivots = prefix.groupBy("token").agg(F.min(F.struct("alone", "node", "n")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    stars = prefix.join(pivots, "token").select(F.col("p.node").alias("a"), F.col("p.n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n"))
+    pivots = prefix.groupBy("token").agg(F.min(F.struct("alone", "node", "n", *signs)).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    stars = prefix.join(pivots, "token").select(F.col("p.node").alias("a"), *side("a", ["n", "alone", *signs], "p."), F.col("node").alias("b"), *side("b", ["n", "alone", *signs]))
     links = scratch.stored(_verified(stars.where(f"a <> b and {fits}").select("a", "b").distinct(), held, percent), "links")
 
     joined = components(links)
     index = prefix.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lists = index.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y").select("token", "size")
     index = scratch.stored(index.join(lists, "token"), "index")
-    rare = index.where(f"size <= {RARE}").select("token", "node", "n", "component", "place")
-    often = index.where(f"size > {RARE}").groupBy("node", "n", "component").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("t"))
-    often = often.select("node", "n", "component", F.explode(F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> struct(xxhash64(x.token, y.token) as token, x.place as place))))")).alias("c"))
-    often = often.select("c.token", "node", "n", "component", "c.place")
+    entry = ["node", "n", "alone", *signs, "component"]
+    rare = index.where(f"size <= {RARE}").select("token", *entry, "place")
+    often = index.where(f"size > {RARE}").groupBy(*entry).agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("t"))
+    often = often.select(*entry, F.explode(F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> struct(xxhash64(x.token, y.token) as token, x.place as place))))")).alias("c"))
+    often = often.select("c.token", *entry, "c.place")
 
-    def pairs(entries: DataFrame, more: int) -> DataFrame:
+    def pairs(entries: DataFrame) -> DataFrame:
         """Pairs of an index between components, whose sizes and places leave room for enough common tokens."""
-        a, b = (entries.select("token", F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("component").alias(f"{x}_c"), F.col("place").alias(f"{x}_p")) for x in "ab")
-        enough = f"(100 + {percent}) * (least(a_p, b_p) + least(a_n - a_p, b_n - b_p)) >= {percent} * (a_n + b_n)"
-        return a.join(b, "token").where(f"a < b and a_c <> b_c and {fits} and {enough}").select("a", "b").distinct()
+        a, b = (entries.select("token", F.col("node").alias(x), *side(x, [*entry[1:], "place"])) for x in "ab")
+        enough = f"(100 + {percent}) * (least(a_place, b_place) + least(a_n - a_place, b_n - b_place)) >= {percent} * (a_n + b_n)"
+        return a.join(b, "token").where(f"a < b and a_component <> b_component and {fits} and {enough}").select("a", "b").distinct()
 
     combined = often.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    found = pairs(rare, 1).unionByName(pairs(often.join(combined, "token"), 2)).distinct()
+    found = pairs(rare).unionByName(pairs(often.join(combined, "token"))).distinct()
     more = scratch.stored(_verified(found, held, percent), "links")
     joined = components(links.unionByName(more))
 
