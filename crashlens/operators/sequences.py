@@ -89,6 +89,15 @@ def live_commits(closure_: DataFrame, windows: DataFrame) -> DataFrame:
     return since.join(fixed, ["bug", "commit"], "left_anti").distinct()
 
 
+def live_in_line(commits: DataFrame, windows: DataFrame, by: list[str], position: str, commit: str) -> DataFrame:
+    """live_commits of whole linear histories: there an ancestor is an earlier position, so no closure is made.
+
+    commits: by, position, commit; windows: by, bug, introduced, fixed, the positions of both (either can be null).
+    """
+    live = (F.col(position) >= F.col("introduced")) & (F.col("fixed").isNull() | (F.col(position) < F.col("fixed")))
+    return commits.join(windows, by).where(live).select("bug", F.col(commit).alias("commit")).distinct()
+
+
 def expand_names(names: DataFrame, renames: DataFrame, name: str = "name") -> DataFrame:
     """Names and all that a rename table adds to them (SET-05)."""
     more = names.join(renames, name).select(F.explode("new_names").alias(name))

@@ -110,3 +110,17 @@ def test_rollups(spark):
     matrix = frame(spark, [("c1", "1|1", None, "3"), ("c2", "0.5|1", "1|0", "1")], "commit string, b1 string, b2 string, `poc count` string")
     long = rollups.to_long(matrix, ["commit"])
     assert {r.commit: (r.strong, r.weak) for r in rollups.status_counts(long, ["commit"]).collect()} == {"c1": (1, 0), "c2": (1, 1)}
+
+
+def test_live_in_line_covers_whole_histories(spark):
+    """Against closures; users beyond 20 and events beyond the 12th count."""
+    commits = [(u, i, 100 * u + i) for u in (1, 25, 1400) for i in range(1, 16)] + [(30, i, 3000 + i) for i in range(1, 6)]
+    spans = [(1, "a", 3, 14), (25, "b", 3, 9), (25, "c", 13, None), (1400, "d", 9, 3), (30, "e", 3, None), (30, "f", None, 2)]
+    rows = frame(spark, commits, "user_id long, i int, event_id long")
+    edges = sequences.neighbours(rows, ["user_id"], ["i"], "event_id").where("next is not null")
+    at = {(u, i): e for u, i, e in commits}
+    ids = [(b, at.get((u, x)), at.get((u, y))) for u, b, x, y in spans]
+    want = sequences.live_commits(sequences.closure(edges, "next", "event_id"), frame(spark, ids, "bug string, introduced long, fixed long"))
+    got = sequences.live_in_line(rows, frame(spark, spans, "user_id long, bug string, introduced int, fixed int"), ["user_id"], "i", "event_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {r.bug for r in got.collect()} == {"a", "b", "c", "e"}
