@@ -112,6 +112,42 @@ add(
 )
 
 
+def _located(s, d):
+    """All logs as targets, one per first project frame with the least event_id of its logs."""
+    rows = logs(s, d).withColumn("f", fr.strict_frames(F.col("log"))).withColumn("x", F.get(F.filter("f", lambda x: ~x["file"].rlike("llvm-project")), F.lit(0))).where("x is not null")
+    first = rows.groupBy("x").agg(F.min(F.struct("event_id", "f", sn.signature(F.col("log")).alias("s"))).alias("r"))
+    return first.select(F.col("r.event_id").alias("bug_id"), text.right_cut(F.col("x.file"), 99).alias("crash_file"), F.col("x.line").alias("crash_line"), F.expr("if(r.event_id % 3 = 0, null, x.func)").alias("crash_function"), F.col("r.f").alias("reference_frames"), F.col("r.s").alias("reference_signature"))
+
+
+def _all_crashes(s, d):
+    return logs(s, d).select("event_id", fr.strict_frames(F.col("log")).alias("frames"), sn.signature(F.col("log")).alias("signature"))
+
+
+WHOLE = f"""WITH {LG}, q AS (SELECT *, {_parsed(STRICT)} FROM lg), r AS (SELECT event_id, event_type, k, list_transform(range(1, len(f1) + 1), lambda i: {{'func': f1[i], 'file': f2[i], 'line': f3[i]}}) AS f FROM q),
+l AS (SELECT *, list_filter(f, lambda x: NOT contains(x.file, 'llvm-project'))[1] AS x FROM r), m AS (SELECT min(event_id) AS bug_id FROM l WHERE x IS NOT NULL GROUP BY x),
+b AS (SELECT bug_id, event_type, k, f, x FROM m JOIN l ON event_id = bug_id),
+c AS (SELECT a.event_id, b.bug_id, a.event_type AS aty, a.k AS ak, a.f AS af, b.event_type AS bt, b.k AS bk, b.f AS bf, b.x FROM r a JOIN b
+      ON len(list_filter(a.f, lambda y: y.line = b.x.line AND (suffix(y.file, b.x.file) OR suffix(b.x.file, y.file)) AND (b.bug_id % 3 = 0 OR y.func = b.x.func))) > 0)"""
+add("suffix_path_match_whole", lambda s, d: matching.candidates(_all_crashes(s, d), _located(s, d), "event_id"), WHOLE + " SELECT event_id, bug_id FROM c")
+add("matcher_scored_whole", lambda s, d: matching.match(_all_crashes(s, d), _located(s, d), "event_id"), WHOLE + ORACLES["matcher_scored"].removeprefix(PAIRS))
+
+
+def _print_bugs(s, d):
+    """All logs with an odd k against a bug per fingerprint and crash type of all those with an even k."""
+    rows = logs(s, d).withColumn("print", fr.fingerprint(fr.loose_frames(F.col("log"))))
+    bugs = rows.where("k % 2 = 0").groupBy("print", "event_type").agg(F.min("event_id").alias("bug"))
+    found = matching.fingerprint_matches(rows.where("k % 2 = 1").select("event_id", "print"), bugs.select("print", "bug"), "event_id", "print", "bug")
+    return found.select("event_id", F.array_join(F.transform("bugs", lambda x: x.cast("string")), ",").alias("bugs"))
+
+
+add(
+    "fp_match_reference_whole",
+    _print_bugs,
+    f"""WITH {LG}, q AS (SELECT *, {_parsed(LOOSE)} FROM lg), r AS (SELECT event_id, event_type, k, array_to_string(list_transform(range(1, len(f1) + 1), lambda i: f1[i] || '@' || f2[i])[1:3], '|') AS p FROM q),
+    b AS (SELECT p, min(event_id) AS bug FROM r WHERE k % 2 = 0 GROUP BY p, event_type) SELECT a.event_id, array_to_string(list_sort(list(DISTINCT b.bug)), ',') AS bugs FROM r a JOIN b USING (p) WHERE a.k % 2 = 1 GROUP BY 1""",
+)
+
+
 def _pairs(s, d):
     rows = logs(s, d).select("event_id", "log")
     return rows.alias("a").join(rows.select((F.col("event_id") - 1).alias("event_id"), F.col("log").alias("after")), "event_id").where("event_id % 2 = 0")
