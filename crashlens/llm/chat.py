@@ -2,19 +2,25 @@
 
 A record's nested field paths are hashed; the hash selects a declarative mapping that turns the record's layout into
 canonical turns (role, text). Turns are rendered with marks, control strings inside texts are escaped reversibly, and a loss
-mask gives the places of assistant texts.
+mask gives the places of assistant texts. JSON strings are read as variants; typed records, such as a table's conversations,
+never are, so no size limit of the JSON reader or of variants holds for them.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from crashlens.llm import scratch
 
 TURNS = "array<struct<role: string, text: string>>"
+#: Characters of the longest string that Spark's JSON reader takes.
+JSON_CHARS = 20_000_000
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\\n"
 
 
@@ -71,11 +77,37 @@ def unescape(text: str) -> str:
     return rf"regexp_replace({text}, '\\\\([\\\\|])', '$1')"
 
 
+def _example(kind: DataType) -> object:
+    """A value that shows the field paths of a type."""
+    if isinstance(kind, StructType):
+        return {f.name: _example(f.dataType) for f in kind}
+    return [_example(kind.elementType)] if isinstance(kind, ArrayType) else ""
+
+
+def _typed(turns: str, column: str) -> str:
+    """A mapping's SQL over a typed record: fields are read by name, without a variant."""
+    turns = re.sub(r"try_variant_get\(v, '\$\.(\w+)', 'array<struct<(\w+): string, (\w+): string>>'\)", rf"transform(`{column}`.`\1`, y -> struct(cast(y.`\2` as string) as `\2`, cast(y.`\3` as string) as `\3`))", turns)
+    return re.sub(r"try_variant_get\(v, '\$\.(\w+)', 'string'\)", rf"cast(`{column}`.`\1` as string)", turns)
+
+
 def canonical(records: DataFrame, column: str = "record") -> DataFrame:
-    """Adds layout and turns to JSON records. Malformed JSON, null and unknown layouts have null for both; no turns are an empty array."""
+    """Adds layout and turns to JSON records or typed ones (structs, whose schema is hashed instead).
+
+    Malformed JSON, null and unknown layouts have null for both; no turns are an empty array. A JSON record of more than
+    JSON_CHARS characters that can't be read raises an error, as it may be whole but oversize.
+    """
     cases = [(" or ".join(f"f = {fingerprint(f'parse_json({chr(39)}{x}{chr(39)})')}" for x in y.examples), y) for y in LAYOUTS]
     case = lambda what: "case " + " ".join(f"when {test} then {what(y)}" for test, y in cases) + " end"
-    parsed = records.withColumn("v", F.expr(f"try_parse_json(`{column}`)")).withColumn("f", F.expr(fingerprint("v")))
+    kind = records.schema[column].dataType
+    if isinstance(kind, StructType):
+        example = json.dumps(_example(kind)).replace("\\", "\\\\").replace("'", "\\'")
+        f = fingerprint(f"parse_json('{example}')")
+        name = records.sparkSession.sql(f"select {case(lambda y: f'{chr(39)}{y.name}{chr(39)}')} as name from (select {f} as f)").first().name
+        turns = next((_typed(y.turns, column) for y in LAYOUTS if y.name == name), "null")
+        known = F.col(column).isNotNull()
+        return records.withColumn("layout", F.when(known, F.lit(name).cast("string"))).withColumn("turns", F.when(known, F.expr(f"cast({turns} as {TURNS})")))
+    read = f"if(char_length(`{column}`) > {JSON_CHARS}, parse_json(`{column}`), try_parse_json(`{column}`))"
+    parsed = records.withColumn("v", F.expr(read)).withColumn("f", F.expr(fingerprint("v")))
     return parsed.withColumn("layout", F.expr(case(lambda y: f"'{y.name}'"))).withColumn("turns", F.expr(case(lambda y: f"cast({y.turns} as {TURNS})"))).drop("v", "f")
 
 
@@ -103,10 +135,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def conversations(rows: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Rows of turns as JSON records, one per key: by turn (null first), then role and text. Rows without a key are left out; null role or text is empty."""
+    """Rows of turns as typed records, one per key: by turn (null first), then role and text. Rows without a key are left out; null role or text is empty."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(turn)).alias("t"))
-    return grouped.select(key, F.to_json(F.struct(F.expr("transform(t, x -> struct(x.role as role, x.text as text))").alias("turns"))).alias("record"))
+    return grouped.select(key, F.struct(F.expr("transform(t, x -> struct(x.role as role, x.text as text))").alias("turns")).alias("record"))
 
 
 def digest(formatted: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -70,6 +70,25 @@ def test_layouts(spark):
         assert (r.layout, None if r.turns is None else [f"{t.role}:{t.text}" for t in r.turns]) == records[r.record]
 
 
+def test_long_conversations_stay(spark):
+    """A turn beyond the JSON reader's 20,000,000 characters; as a JSON record it is an error, not null."""
+    n = chat.JSON_CHARS + 100
+    frame = spark.range(2).selectExpr("7L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", f"if(id = 0, repeat('x', {n}), 'ok') as text")
+    got = chat.digest(chat.render(chat.canonical(chat.conversations(frame)))).collect()
+    assert {r[0]: tuple(r)[1:5] for r in got} == brute.chat([(7, 0, "user", "x" * n), (7, 1, "assistant", "ok")])
+    record = spark.range(1).select(F.expr(f"""'{{"prompt":"' || repeat('x', {n}) || '","response":"r"}}'""").alias("record"))
+    with pytest.raises(Exception, match="(?i)parse|malformed|json"):
+        chat.canonical(record).select("layout").collect()
+
+
+def test_typed_layouts(spark):
+    row = spark.sql("select named_struct('conversations', array(named_struct('value', 'a', 'from', 'human'), named_struct('value', 'b', 'from', 'gpt'))) as record")
+    got = chat.canonical(row).first()
+    assert (got.layout, [tuple(t) for t in got.turns]) == ("conversations", [("user", "a"), ("assistant", "b")])
+    other = chat.canonical(spark.sql("select named_struct('other', 1) as record")).first()
+    assert other.layout is None and other.turns is None
+
+
 def test_chat_is_native(spark):
     frame = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = chat.digest(chat.render(chat.canonical(chat.conversations(frame))))._jdf.queryExecution().executedPlan().toString()
