@@ -2,14 +2,14 @@
 
 A suffix automaton of each language's labelled text gives, at every place of a document, the longest match with that
 text. The document is parsed into such matches; the language whose automaton needs the fewest phrases per character wins.
-Automata are laid out as tables in which a failed step already leads to the start of the next phrase, so many
-documents advance one character with a few array operations.
+Each automaton knows all characters of its own text. Narrow ones are laid out as tables in which a failed step already
+leads to the start of the next phrase, wide ones as sorted keys, so many documents advance one character with a few array
+operations.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,16 +24,16 @@ SAMPLE_CHARS = 40_000
 SAMPLE_TEXT = 4_000
 #: Labelled documents read per language.
 SAMPLE_DOCS = 64
-#: Character classes; rarer characters share the last one.
-ALPHABET = 96
+#: Entries of all tables together; automata that would go beyond are laid out as sorted keys, with the same results.
+DENSE = 1 << 25
 #: Parsing starts anew at each such place of a text.
 BLOCK = 1024
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def automaton(text: np.ndarray, classes: int) -> np.ndarray:
-    """States by classes: the next state, or ~state if the character ends a phrase and starts another one. State 0 is the start."""
+def automaton(text: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The number of states, and steps as states, character classes and next states. State 0 is the start."""
     steps, links, lengths, last = [{}], [-1], [0], 0
     for c in text.tolist():
         now = len(steps)
@@ -58,43 +58,77 @@ def automaton(text: np.ndarray, classes: int) -> np.ndarray:
                     p = links[p]
                 links[q] = links[now] = copy
         last = now
-    table = np.full((len(steps), classes), -1, np.int32)
-    for state, out in enumerate(steps):
-        if out:
-            table[state, list(out)] = list(out.values())
-    dead = len(steps)  # after a character that the text doesn't have: the next one starts a phrase
-    start = np.where(table[0] < 0, dead, table[0])
-    table = np.vstack((np.where(table < 0, ~start, table), ~start[None]))
-    table[0] = start
-    return table.astype(np.int32)
+    state, char, goes = (np.array(x, np.int32) for x in zip(*((i, c, t) for i, out in enumerate(steps) for c, t in out.items()), strict=True)) if steps[0] else (np.zeros(0, np.int32),) * 3
+    return len(steps), state, char, goes
+
+
+class Automaton:
+    """A language's automaton over the characters of its own text; all other characters share the last class."""
+
+    def __init__(self, text: str):
+        chars = _points(text)
+        self.points = np.unique(chars)
+        self.width = len(self.points) + 1
+        self.states, *self.steps = automaton(self.classes(chars))
+        self.table = self.keys = None
+
+    def size(self) -> int:
+        return (self.states + 1) * self.width
+
+    def lay_out(self, dense: bool) -> None:
+        """A failed step is ~state: the character ends a phrase and starts another one."""
+        state, char, goes = self.steps
+        dead = self.states  # after a character that the text doesn't have: the next one starts a phrase
+        self.start = np.full(self.width, dead, np.int32)
+        self.start[char[state == 0]] = goes[state == 0]
+        if dense:
+            table = np.repeat(~self.start[None], self.states + 1, 0)
+            table[state, char] = goes
+            table[0] = self.start
+            self.table = table.ravel()
+        else:
+            keys = state.astype(np.int64) * self.width + char
+            order = np.argsort(keys)
+            self.keys, self.goes = keys[order], goes[order]
+        self.steps = None
+
+    def classes(self, chars: np.ndarray) -> np.ndarray:
+        if not len(self.points):
+            return np.zeros(len(chars), np.int32)
+        at = np.searchsorted(self.points, chars).astype(np.int32)
+        at[at == len(self.points)] = 0
+        return np.where(self.points[at] == chars, at, len(self.points)).astype(np.int32)
+
+    def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[state * self.width + char]
+        start = self.start[char]
+        if not len(self.keys):
+            return np.where(state == 0, start, ~start)
+        key = state.astype(np.int64) * self.width + char
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.goes[at], np.where(state == 0, start, ~start))
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 class Model:
-    """languages, and their automata under one another in one table."""
+    """languages, and their automata in the same order."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
-        texts = {k: "\n".join(samples[k]).lower()[:SAMPLE_CHARS] for k in self.languages}
-        common = [c for c, _ in sorted(Counter("".join(texts.values())).items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 1]]
-        self.points = np.array(sorted(map(ord, common)), np.uint32)
-        tables = [automaton(self.classes(texts[k]), len(common) + 1) for k in self.languages]
-        self.starts = np.cumsum([0, *map(len, tables)])[:-1].astype(np.int32)
-        tables = [np.where(t < 0, t - s, t + s) for t, s in zip(tables, self.starts, strict=True)]
-        self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
-        self.width = len(common) + 1
-
-    def classes(self, text: str) -> np.ndarray:
-        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        if not len(self.points):
-            return np.zeros(len(chars), np.int32)
-        at = np.searchsorted(self.points, chars).astype(np.int32)
-        at[at == len(self.points)] = 0
-        return np.where(self.points[at] == chars, at, len(self.points)).astype(np.int32)
+        self.automata = [Automaton("\n".join(samples[k]).lower()[:SAMPLE_CHARS]) for k in self.languages]
+        room = DENSE
+        for a in sorted(self.automata, key=Automaton.size):
+            a.lay_out(a.size() <= room)
+            room -= a.size()
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases by text and language."""
         lowered = [x.lower() for x in texts]
-        chars, sizes = self.classes("".join(lowered)), np.array([len(x) for x in lowered], np.int64)
+        points, sizes = _points("".join(lowered)), np.array([len(x) for x in lowered], np.int64)
         counts = -(-sizes // BLOCK)
         owner = np.repeat(np.arange(len(texts)), counts)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -103,14 +137,15 @@ class Model:
         order = np.argsort(-length, kind="stable")
         begin, length = begin[order], length[order]
         n, wide = len(order), len(self.languages)
-        state = np.repeat(self.starts[:, None], n, 1)
         broken = np.zeros((wide, n), np.int32)
-        active = np.searchsorted(-length, -np.arange(length[0] if n else 0), "left")  # blocks longer than i
-        for i, m in enumerate(active.tolist()):
-            now = self.table[state[:, :m] * self.width + chars[begin[:m] + i]]
-            over = now >> 31
-            broken[:, :m] -= over
-            state[:, :m] = now ^ over
+        active = np.searchsorted(-length, -np.arange(length[0] if n else 0), "left").tolist()  # blocks longer than i
+        for a, count in zip(self.automata, broken, strict=True):
+            chars, state = a.classes(points), np.zeros(n, np.int32)
+            for i, m in enumerate(active):
+                now = a.step(state[:m], chars[begin[:m] + i])
+                over = now >> 31
+                count[:m] -= over
+                state[:m] = now ^ over
         out = np.zeros((len(texts), wide), np.int64)
         np.add.at(out, owner[order], broken.T + 1)
         return out

@@ -46,6 +46,21 @@ def test_languages(spark):
     assert language.identify(docs, language.fit(none)).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_every_character_has_its_class(monkeypatch):
+    """Two languages told apart by rare characters only, with more characters than 96; tables and keys give the same."""
+    rng = random.Random(4)
+    words = [["".join(chr(c + rng.randrange(200)) for _ in range(4)) for _ in range(100)] for c in (0x4E00, 0x5000)]
+    text = lambda own, n: "".join(rng.choice(own) for _ in range(n))
+    samples = {x: ["e" * 4000 + text(own, 1000)] for x, own in zip("xy", words, strict=True)}
+    docs = [text(own, 50) for own in words for _ in range(20)]
+    dense = language.Model(samples)
+    assert dense.predict(docs)[0] == ["x"] * 20 + ["y"] * 20
+    monkeypatch.setattr(language, "DENSE", 0)
+    keyed = language.Model(samples)
+    assert all(a.table is None for a in keyed.automata) and (keyed.phrases(docs) == dense.phrases(docs)).all()
+    assert keyed.phrases(docs[-1:])[0, 1] == longest_parse(docs[-1], samples["y"][0])
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "us\ner\\n", "a\\b<|c\\|d<\\|e\n<"), (1, 1, "assistant", "\\"), (1, 2, "assistant", "<|im_end|>\n"), (2, 0, None, None), (3, 0, "assistant", ""), (3, 0, "assistant", "x"), (3, 0, "assistant", "x"),
             (4, None, "user\\", "é🎉\\n\\\\n"), (4, 2, "assistant", "🎉<|<|"), (5, 0, "<|r\\n\n\\\\n|", "z"), (-1, 0, "user", chat.HOSTILE), (-1, 1, "assistant", chat.HOSTILE)]
