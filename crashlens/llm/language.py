@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from crashlens.llm import scratch
 
-#: Labelled characters an automaton is fitted on, at most, and the longest labelled text that is taken.
+#: Labelled characters an automaton is fitted on, at most, and how many one labelled text gives, from its first letter on.
 SAMPLE_CHARS = 40_000
 SAMPLE_TEXT = 4_000
 #: Labelled documents read per language.
@@ -165,14 +165,15 @@ class Model:
 
 
 def sample(docs: DataFrame) -> dict[str, list[str]]:
-    """Texts of each language from its SAMPLE_DOCS documents with the least hashes, of at most SAMPLE_TEXT characters.
+    """Texts of each language from its SAMPLE_DOCS documents with the least hashes: SAMPLE_TEXT characters of each at most.
 
     Only ids meet the window; Spark limits groups before the shuffle, so a language that most rows have stays small.
     """
-    fit = docs.where(f"text is not null and lang is not null and trim(text) <> '' and char_length(text) <= {SAMPLE_TEXT}")
+    fit = docs.where("text is not null and lang is not null and trim(text) <> ''")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = fit.select("doc_id", "lang").withColumn("i", F.row_number().over(first)).where(f"i <= {SAMPLE_DOCS}").select("doc_id").distinct()
-    rows = fit.where(F.col("doc_id").isin([r[0] for r in ids.collect()])).select("doc_id", "lang", "text").collect()
+    part = F.expr(rf"substring(text, greatest(regexp_instr(text, '\\p{{L}}'), 1), {SAMPLE_TEXT})").alias("text")
+    rows = fit.where(F.col("doc_id").isin([r[0] for r in ids.collect()])).select("doc_id", "lang", part).collect()
     out: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r.doc_id, r.text)):
         out.setdefault(row.lang, []).append(row.text)

@@ -46,6 +46,13 @@ def test_languages(spark):
     assert language.identify(docs, language.fit(none)).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_languages_with_long_texts_only(spark):
+    rows = [(i, "12 \n" * 2000 + "".join(random.Random(i).choices(["der ", "ung ", "sch "], k=2000)), "de") for i in range(8)]
+    rows += [(10 + i, "".join(random.Random(i).choices(["the ", "ing ", "on "], k=50)), "en") for i in range(8)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en"] and model.predict(["der schung sch", "the oning on"])[0] == ["de", "en"]
+
+
 def test_every_character_has_its_class(monkeypatch):
     """Two languages told apart by rare characters only, with more characters than 96; tables and keys give the same."""
     rng = random.Random(4)
