@@ -2,7 +2,8 @@
 
 Trees split at medians and keep a tight bounding box per node. A query walks a tree best first by the largest inner product
 that a box allows, and stops at the first box that can't reach the k-th score found so far. The k best of each shard meet in
-a ranking. Queries are held against shards in blocks, each block and shard in its own group.
+a ranking. Queries are held against shards in blocks, each block and shard in its own group. Vectors whose scores could leave
+63 bits are held in trees of Python integers, all others in trees of longs.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ LEAF = 32
 QUERIES = 8192
 #: Shards at least, so that a small table is still spread.
 LEAST = 32
-#: Components beyond this size leave the range in which a long holds every score.
-LIMIT = 1 << 28
+#: Vectors with a squared largest component, times the dimension, beyond this are wide: two that aren't have scores that fit a long.
+LIMIT = 1 << 62
+#: Components of wide vectors from this size on are integers before they are scaled.
+WHOLE = 1 << 53
+LONG = 1 << 63
 
 
 class Tree:
@@ -46,7 +50,7 @@ class Tree:
                 continue
             self.rows.append(None)
             half = len(rows) // 2
-            order = np.argpartition(own[:, wide], half)
+            order = np.argsort(own[:, wide], kind="stable") if own.dtype == object else np.argpartition(own[:, wide], half)
             todo += [(rows[order[:half]], node, 0), (rows[order[half:]], node, 1)]
         self.low, self.high = np.array(self.low), np.array(self.high)
 
@@ -74,42 +78,76 @@ class Tree:
 
 
 def integers(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and v, the floors of scaled components. Rows with null ids or vectors, with null, non-finite or too large components take no part; repeated rows count once."""
-    usable = f"vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(cast(x as double)) < {LIMIT / scale})"
-    return vectors.where(usable).select(F.col("vec_id").cast("long"), F.expr(f"transform(embedding, x -> cast(floor({scale} * cast(x as double)) as bigint))").alias("v")).distinct()
+    """vec_id and the floors of scaled components: v, or w for wide vectors, where a component is low + scale * high.
 
+    Rows with null ids or vectors, with null or non-finite components take no part; repeated rows count once.
+    """
+    usable = "vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(cast(x as double)) < double('infinity'))"
+    rows = vectors.where(usable).select(F.col("vec_id").cast("long"), F.expr("transform(embedding, x -> cast(x as double))").alias("e"))
+    rows = rows.withColumn("wide", F.expr(f"size(e) * pow(array_max(transform(e, x -> abs(x))) * {scale} + 1, 2) >= {LIMIT}"))
+    v = F.expr(f"if(wide, null, transform(e, x -> cast(floor({scale} * x) as bigint)))")
+    w = F.expr(f"if(wide, transform(e, x -> if(abs(x) < {WHOLE}, struct(cast(floor({scale} * x) as bigint) as low, 0D as high), struct(0L as low, x as high))), null)")
+    return rows.select("vec_id", v.alias("v"), w.alias("w")).distinct()
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score for queries (vec_id, v) against all candidates (vec_id, v) of the same dimension, ties to smaller ids."""
+
+def _far(score: int) -> tuple[int, int | None, str | None]:
+    """Sort keys of a score: its zone (1 above longs, 0, -1 below), itself if it fits a long, or else a text; greater ones first."""
+    if -LONG <= score < LONG:
+        return 0, score, None
+    digits = str(abs(score))
+    if score > 0:
+        return 1, None, f"{len(digits):05d}{digits}"
+    return -1, None, f"{99_999 - len(digits):05d}" + "".join(str(9 - int(c)) for c in digits)
+
+
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256) -> DataFrame:
+    """query_id, rank, vec_id, score for queries (vec_id, v, w) against all candidates (vec_id, v, w) of the same dimension, ties to smaller ids.
+
+    Ranks are exact for all finite vectors; score is null where it doesn't fit a long.
+    """
     n, m = candidates.count(), queries.count()
     shards, blocks = max(LEAST, n // SHARD), max(1, m // QUERIES)
-    left = candidates.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = queries.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
+    left = candidates.select("vec_id", "v", "w", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = queries.select("vec_id", "v", "w", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
 
     def search(some: pa.Table, asked: pa.Table) -> pa.Table:
         def arrays(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
             v = t.column("v").combine_chunks()
             v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
             ids, edges, flat = np.asarray(t.column("vec_id")), np.asarray(v.offsets), np.asarray(v.values)
-            sizes = np.diff(edges)
-            return {int(d): (ids[sizes == d], np.array([flat[a : a + d] for a in edges[:-1][sizes == d]])) for d in np.unique(sizes)}
+            sizes = np.where(np.asarray(v.is_valid()), np.diff(edges), 0)
+            return {int(d): (ids[sizes == d], np.array([flat[a : a + d] for a in edges[:-1][sizes == d]])) for d in np.unique(sizes[sizes > 0])}
+
+        def wide(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+            t = t.filter(t.column("w").is_valid())
+            groups: dict[int, list[tuple[int, list[int]]]] = {}
+            for i, w in zip(t.column("vec_id").to_pylist(), t.column("w").to_pylist(), strict=True):
+                groups.setdefault(len(w), []).append((i, [x["low"] + scale * int(x["high"]) for x in w]))
+            return {d: (np.array([i for i, _ in x]), np.array([y for _, y in x], object)) for d, x in groups.items()}
 
-        rows: dict[str, list[int]] = {"query_id": [], "vec_id": [], "score": []}
+        rows: dict[str, list] = {"query_id": [], "vec_id": [], "zone": [], "score": [], "far": []}
         if len(some) and len(asked):
-            have = arrays(some)
-            for d, (ids, vectors) in arrays(asked).items():
-                if d not in have:
-                    continue
-                tree = Tree(have[d][1], have[d][0])
-                for own, query in zip(ids.tolist(), vectors, strict=True):
-                    for s, i in tree.search(query, own, k):
-                        rows["query_id"].append(own)
-                        rows["vec_id"].append(-i)
-                        rows["score"].append(s)
-        return pa.table({x: pa.array(y, pa.int64()) for x, y in rows.items()})
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(lambda key, a, b: search(a, b), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            have, far, asks, far_asks = arrays(some), wide(some), arrays(asked), wide(asked)
+            exact = lambda x: {d: (i, v.astype(object)) for d, (i, v) in x.items()}
+            turns = [(have, asks)]
+            if far:
+                turns += [(far, exact(asks))]
+            if far_asks:
+                turns += [(exact(have), far_asks), (far, far_asks)]
+            for own_side, asking in turns:
+                for d, (ids, vectors) in asking.items():
+                    if d not in own_side:
+                        continue
+                    tree = Tree(own_side[d][1], own_side[d][0])
+                    for own, query in zip(ids.tolist(), vectors, strict=True):
+                        for s, i in tree.search(query, own, k):
+                            zone, score, text = _far(s)
+                            for x, y in zip(rows.values(), (own, -i, zone, score, text), strict=True):
+                                x.append(y)
+        return pa.table({x: pa.array(y, pa.string() if x == "far" else pa.int32() if x == "zone" else pa.int64()) for x, y in rows.items()})
+
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(lambda key, a, b: search(a, b), "query_id long, vec_id long, zone int, score long, far string")
+    best = Window.partitionBy("query_id").orderBy(F.desc("zone"), F.desc("score"), F.desc("far"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
 
 

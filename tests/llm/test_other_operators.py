@@ -1,6 +1,7 @@
 """Operators 3, 7 and 10, components, and the pipeline."""
 
 import random
+from fractions import Fraction
 
 import brute
 import numpy as np
@@ -130,6 +131,27 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(none, none).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_top_k_keeps_all_finite_vectors(spark, monkeypatch, kind):
+    """Components from 2^20 up to the greatest floats, whose scores pass 63 bits, of both signs."""
+    monkeypatch.setattr(topk, "LEAF", 4)
+    monkeypatch.setattr(topk, "LEAST", 3)
+    rng = np.random.default_rng(2)
+    most = float(np.float32(3e38)) if kind == "float" else 1.7e308
+    sizes = [1.5, 2.0**20, 2.0**21 + 0.25, 2.0**31, 2.0**40, 1e30, most]
+    rows = [(i, [float(np.float32(x)) if kind == "float" else float(x) for x in rng.choice(sizes, 3) * rng.choice([-1, 1], 3)]) for i in range(120)]
+    rows += [(200 + i, [float(x) for x in v]) for i, v in enumerate(rng.integers(-9, 9, (60, 3)) / 256)]
+    rows += [(300, [-most, -most, -most]), (350, [2.0**20, 0.0, 0.0])]
+    v = topk.integers(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"))
+    brute_rows = [(i, [Fraction(x) for x in e]) for i, e in rows] if kind == "double" else rows
+    monkeypatch.setattr(brute, "float", lambda x: x, raising=False)
+    monkeypatch.setattr("math.isfinite", lambda x: True)
+    want = [(q, r, c, s if -(2**63) <= s < 2**63 else None) for q, r, c, s in brute.top_k(brute_rows)]
+    monkeypatch.undo()
+    got = sorted(map(tuple, topk.top_k(v, v.where("vec_id % 50 = 0")).collect()))
+    assert got == want and {r[0] for r in got} == {0, 50, 100, 200, 250, 300, 350} and any(r[3] is None for r in got)
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(100 + i, 101 + i) for i in range(40)] + [(5, 5), (None, 3)]
