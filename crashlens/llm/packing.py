@@ -54,25 +54,20 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]
             if left[length] == before:
                 break
             stale += 1
-        tried = 0
-        while left[length] and tried < 64:
+        while left[length]:
             if stale:
                 pairs, stale = _sums(left > 0, capacity), 0
             a = np.arange(1, gap - 1)
-            a = a[(left[a] > 0) & pairs[gap - a]]
-            if not len(a):
-                break
-            before = left[length]
-            for x in a[::-1][: 64 - tried].tolist():
-                tried += 1
+            for x in a[(left[a] > 0) & pairs[gap - a]][::-1].tolist():
                 b = np.arange(1, (gap - x) // 2 + 1)
-                b = b[(left[b] > 0) & (left[gap - x - b] > 0)]
-                if len(b):
+                c = gap - x - b
+                need = lambda y, z: 1 + (y == length) + (y == x) + (y == z)  # noqa: B023, E731
+                b = b[(left[b] >= need(b, c)) & (left[c] >= need(c, b))]
+                if len(b) and left[x] > (x == length):
                     take((length, x, int(gap - x - b[-1]), int(b[-1])))
                     stale += 1
-                if left[length] < before:
                     break
-            if left[length] == before:
+            if not stale:
                 break
     # best fit of the rest, longest first
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}

@@ -119,3 +119,22 @@ def test_packing(docs, corpus):
         assert end <= 128
     assert len(places) <= -(-sum(r.length for r in out) // 128) + 3
     assert packing.pack_documents(docs([])).count() == 0
+
+
+def test_plan_tries_every_exact_fill():
+    """One hot length and scarce partners: more than 64 tries for a length find fills that were left to best fit."""
+    import numpy as np
+
+    from crashlens.llm import packing
+
+    rng = np.random.default_rng(7)
+    counts = np.zeros(1025, np.int64)
+    k, most = int(rng.choice([60, 150, 300, 500])), int(rng.choice([250, 330, 500]))
+    counts[rng.integers(1, most, k)] = 1
+    counts[int(rng.integers(200, 500))] = int(rng.choice([100, 300]))
+    patterns, used = packing.plan(counts, 1024), np.zeros(1025, np.int64)
+    for pattern, times in patterns:
+        assert sum(pattern) <= 1024
+        for length in pattern:
+            used[length] += times
+    assert (used == counts).all() and sum(t for _, t in patterns) <= 161 and sum(t for p, t in patterns if sum(p) == 1024) >= 112
