@@ -1,131 +1,142 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line is the set of its lower-cased words. Words are ordered by rarity: those outside the corpus's 16,384 commonest first,
-the longest of them first, then classes of commoner words. Two lines that are similar enough share a word among the
-first n - ceil(t n) + 1 of either; the places of that word, the sizes, and parities of the words bound what they can have in
-common. Pairs that pass are verified on their words, and the later line goes.
-
-Only whether an earlier match exists matters, so the members of a long list meet its first few lines before anything else, and
-only those without a match meet the rest.
+A line is the set of its lower-cased words; lines with equal sets are one class, known by the MD5 of its sorted words. Words
+are ordered by rarity: the counts of their hash classes over all lines. Two classes that are similar enough share a
+word among the first n - ceil(t n) + 1 of the larger and the first n - ceil(2t / (1 + t) n) + 1 of the smaller. Classes are indexed by
+those words; sizes, places and a 128-bit parity of the words bound what two can have in common, and pairs that pass are verified
+on the words themselves, read again from the texts. The later line goes.
+
+Only whether an earlier match exists matters. So the first class of each word's list stands for those of the list that may be
+similar to it: these aren't paired with each other, unless no match for them is found elsewhere.
 """
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crashlens.llm import scratch
 
-#: Words counted as common, by class from the commonest on.
-CLASSES = (64, 512, 4096, 16384)
-#: Lists up to this long are searched whole at once; members of longer ones meet so many first lines before.
-SHORT = 48
-FIRST = 6
+#: Counters of the words' hash classes.
+COUNTERS = 1 << 17
+#: SQL: lower-cased text in which the blanks from tab to carriage return, but line breaks, are spaces; a line's distinct words.
+PLAIN = "lower(replace(replace(replace(replace(text, '\\t', ' '), '\\u000B', ' '), '\\u000C', ' '), '\\r', ' '))"
+WORDS = "array_distinct(array_remove(split({0}, ' '), ''))"
+
 
-_HASH, _LONG = 54, 63
-WORDS = r"filter(split(lower({0}), '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
-#: A word as a long: below the class, its length (longest least) and a hash.
-WORD = f"(shiftleft(cast({_LONG} - least(char_length(x), {_LONG}) as bigint), {_HASH}) | (xxhash64(x) & {2**_HASH - 1}L))"
+def word_ranks(docs: DataFrame) -> list[int]:
+    """By hash class of words, four times the binary logarithm of its count over all words of all documents."""
+    words = docs.select(F.expr(f"explode(split(replace({PLAIN}, '\\n', ' '), ' ')) as w")).where("w <> ''")
+    found = words.select(F.expr(f"cast(xxhash64(w) & {COUNTERS - 1} as int) as c")).groupBy("c").count()
+    ranks = [0] * COUNTERS
+    for c, n in found.collect():  # at most COUNTERS rows
+        ranks[c] = int(4 * math.log2(n)) + 1
+    return ranks
 
 
-def common_words(docs: DataFrame) -> list[int]:
-    """The commonest words as longs, commonest first; counted over all lines of all documents."""
-    words = docs.where("text is not null").select(F.explode(F.expr(f"transform({WORDS.format('text')}, x -> {WORD})")).alias("w"))
-    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(CLASSES[-1])
-    return [r.w for r in top.collect()]
+def _tokens(words: str, ranks: list[int]) -> str:
+    """SQL for a set of words as ascending longs, rarest first: the rank above 48 bits of the word's hash."""
+    # a folded constant, looked up by place
+    table = f"cast(split('{','.join(map(str, ranks))}', ',') as array<bigint>)"
+    return f"sort_array(transform(transform({words}, w -> xxhash64(w)), h -> shiftleft(get({table}, cast(h & {COUNTERS - 1} as int)), 48) | shiftrightunsigned(h, 16)))"
 
 
-def _tokens(common: list[int]) -> str:
-    """SQL for a line's words as ascending longs, rarest first."""
-    rank = f"case when not {_within(common, CLASSES[-1])} then 0 " + " ".join(f"when {_within(common, n)} then {len(CLASSES) - i}" for i, n in enumerate(CLASSES[:-1])) + " else 1 end"
-    return f"sort_array(transform(array_distinct(transform({WORDS.format('line')}, x -> {WORD})), w -> w | shiftleft(cast({rank} as bigint), 60)))"
+def _parity(kept: str) -> str:
+    """SQL: for the tokens that are kept the xor of one of 64 bits each."""
+    return f"aggregate(tokens, 0L, (a, t) -> if({kept}, a ^ shiftleft(1L, cast(t & 63 as int)), a))"
 
 
-def _within(common: list[int], n: int) -> str:
-    return f"w in ({', '.join(map(str, common[:n]))})" if common else "false"
+def _rows(docs: DataFrame) -> DataFrame:
+    """A row's identity is its doc_id with a hash of its text."""
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
 
 
-def _parity(seed: int) -> str:
-    return f"aggregate(tokens, 0L, (a, w) -> a ^ shiftleft(1L, cast(xxhash64(w, {seed}) & 63 as int)))"
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """id of the classes that an earlier one matches, of pairs (a, b) of class ids; words are read again from the texts."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "doc_id", "row", "number"), "id")
+    wanted = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("number", "id")).alias("wanted"))
+    lines = texts.join(wanted, ["doc_id", "row"]).select("wanted", F.expr(f"split({PLAIN}, '\\n')").alias("all"))
+    lines = lines.select(F.explode(F.expr("transform(wanted, x -> struct(x.id as id, get(all, x.number) as line))")).alias("x"))
+    held = scratch.stored(lines.select("x.id", F.expr(WORDS.format("x.line")).alias("words")), "held")
+    a, b = (held.select(F.col("id").alias(x), F.col("words").alias(f"{x}_words")) for x in "ab")
+    both = pairs.join(b, "b").join(a, "a").withColumn("common", F.size(F.array_intersect("a_words", "b_words")))
+    out = scratch.stored(both.where(f"100 * common >= {percent} * (size(a_words) + size(b_words) - common)").select(F.col("a").alias("id")).distinct(), "matched")
+    scratch.forget(held)
+    return out
 
 
 def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, gone: the numbers, from 0, of each document's lines that an earlier line matches.
+    """doc_id, row, gone: the numbers, from 0, of each row's lines that an earlier line matches; row is the xxhash64 of its text.
 
-    Earlier: in a smaller doc_id, or before it in the same document. Match: 100 * words in common >= percent * words of
-    either, on the input's lines, whether or not the earlier one goes itself. Lines without words match nothing. Rows without
-    doc_id or text have no lines; rows that repeat a doc_id count as one document's lines.
+    Earlier: in a smaller doc_id, in a row of the same doc_id with a smaller hash, or before it in the same row. Match:
+    100 * words in common >= percent * words of either, on the input's lines, whether or not the earlier one goes itself.
+    Lines without words match nothing. Rows without doc_id or text have no lines; rows that are wholly equal are one.
     """
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    tokens = _tokens(common_words(texts))
-    least = lambda n: f"(({n} * {percent} + 99) div 100)"
-    cut = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "line"))
-    cut = cut.select("doc_id", "number", F.expr(tokens).alias("tokens")).where("size(tokens) > 0")
-    small = -(-percent // (100 - percent))  # smaller sets only match equal ones
-    lines = cut.select(
-        "doc_id", "number", F.xxhash64("tokens").alias("line"), F.size("tokens").alias("n"), F.expr(_parity(1)).alias("p"), F.expr(_parity(2)).alias("q"), F.expr(_parity(3)).alias("r"),
-        F.expr(f"transform(slice(tokens, 1, if(size(tokens) < {small}, 0, cast(size(tokens) - {least('size(tokens)')} + 1 as int))), w -> hash(w))").alias("prefix"),
-    )
+    texts = _rows(docs)
+    least = lambda share: f"cast(ceil({share}) as int)"
+    # with fewer words only equal sets match
+    small = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
+    lines = texts.select("doc_id", "row", F.expr(f"posexplode(split({PLAIN}, '\\n')) as (number, line)")).where("trim(line) <> ''")
+    lines = lines.select("doc_id", "row", "number", F.expr(WORDS.format("line")).alias("words"))
+    lines = lines.select("doc_id", "row", "number", F.expr("unhex(md5(array_join(sort_array(words), ' ')))").alias("key"), F.expr(_tokens("words", word_ranks(texts))).alias("tokens")).withColumn("n", F.size("tokens"))
+    prefix = f"if(n < {small}, cast(array() as array<bigint>), slice(tokens, 1, n - {least(f'n * {percent} / 100D')} + 1))"
+    lines = lines.select("doc_id", "row", "number", "key", "n", F.expr(_parity("t & 64 = 0")).alias("p"), F.expr(_parity("t & 64 <> 0")).alias("q"), F.expr(f"transform({prefix}, t -> cast(t & {2**31 - 1} as int))").alias("prefix"))
     lines = scratch.stored(lines, "lines")
-    place = F.min(F.struct("doc_id", "number")).alias("f")
-    index = lines.where("size(prefix) > 0").groupBy("line", "n", "p", "prefix").agg(place)
-    index = index.select("line", "n", "p", "f.doc_id", "f.number", F.posexplode("prefix").alias("place", "token")).repartition("token")
-    size = index.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    index = index.join(size, "token")
-
-    bound = f"(100 + {percent}) * (least(a.place, b.place) + least(a.n - a.place, b.n - b.place)) >= {percent} * (a.n + b.n)"
-    # bits that differ are words that differ, and of those there are at most a.n + b.n - 2 * least overlap
-    parity = f"(100 + {percent}) * (a.n + b.n - bit_count(a.p ^ b.p)) >= 2 * {percent} * (a.n + b.n)"
-    fits = f"(b.doc_id < a.doc_id or b.doc_id = a.doc_id and b.number < a.number) and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) and {bound} and {parity}"
-    entry = ["line", "n", "p", "doc_id", "number", "place", "token"]
-
-    def meet(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.alias("a").join(b.alias("b"), F.expr(f"a.token = b.token and {fits}")).selectExpr("a.line as a", "b.line as b")
-
-    short, long = index.where(f"size <= {SHORT}"), index.where(f"size > {SHORT}").select(*entry)
-    order = Window.partitionBy("token").orderBy("doc_id", "number")
-    heads = long.withColumn("i", F.row_number().over(order)).where(f"i <= {FIRST}").drop("i")
-    # one job, so that the index is dealt out once: pairs, and the long lists for later
-    both = scratch.stored(meet(short, short).unionByName(meet(long, heads)).unionByName(long, allowMissingColumns=True), "pairs")
-    pairs, long = both.where("a is not null").select("a", "b").distinct(), both.where("a is null").select(*entry)
-    first = lines.groupBy("line", "n", "q", "r").agg(place)
-
-    def closer(pairs: DataFrame) -> DataFrame:
-        """Pairs that two more parities let through: few others than matches are left."""
-        a, b = (first.select(F.col("line").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in "nqr")) for x in "ab")
-        fine = f"(100 + {percent}) * (a_n + b_n - greatest(bit_count(a_q ^ b_q), bit_count(a_r ^ b_r))) >= 2 * {percent} * (a_n + b_n)"
-        return pairs.join(b, "b").join(a, "a").where(fine).select("a", "b")
-
-    def matched(pairs: DataFrame) -> DataFrame:
-        """Lines of pairs that an earlier line matches; words are read again from the texts that have them."""
-        wanted = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
-        wanted = wanted.join(first, "line").groupBy("f.doc_id").agg(F.collect_list(F.struct("f.number", "line")).alias("w"))
-        held = texts.join(wanted, "doc_id").select("w", F.split("text", "\n").alias("all")).select(F.explode(F.expr("transform(w, x -> struct(x.line as id, get(all, x.number) as line))")).alias("x"))
-        held = held.select("x.id", "x.line").where("line is not null").select("id", F.expr(tokens).alias("tokens")).where("xxhash64(tokens) = id")
-        held = scratch.stored(held, "held")
-        a, b = (held.select(F.col("id").alias(x), F.col("tokens").alias(f"{x}_t")) for x in "ab")
-        common = pairs.join(b, "b").join(a, "a").withColumn("c", F.size(F.array_intersect("a_t", "b_t")))
-        return scratch.stored(common.where(f"100 * c >= {percent} * (size(a_t) + size(b_t) - c)").select(F.col("a").alias("line")).distinct(), "matched")
-
-    close = scratch.stored(closer(pairs), "close")
-    gone = matched(close)
-    rest = scratch.stored(closer(meet(long.join(gone, "line", "left_anti"), long).distinct()).join(close, ["a", "b"], "left_anti"), "rest")
-    gone = gone.unionByName(matched(rest) if not rest.isEmpty() else gone.limit(0)).distinct().withColumn("gone", F.lit(True))
-
-    state = first.join(gone, "line", "left").select("line", "f", "gone")
-    out = lines.select("doc_id", "number", "line").join(state, "line").where("gone or f.doc_id < doc_id or f.number < number")
-    return out.groupBy("doc_id").agg(F.sort_array(F.collect_list("number")).alias("gone"))
+
+    first = lines.groupBy("key").agg(F.min(F.struct("doc_id", "row", "number", "n", "p", "q", "prefix")).alias("f")).select("key", "f.*")
+    # ids follow the order of the lines
+    classes = scratch.stored(first.orderBy("doc_id", "row", "number").withColumn("id", F.monotonically_increasing_id()), "classes")
+    # none is null; said here so that both sides of the join below have the same filters, and share the exchange
+    index = classes.where("size(prefix) > 0 and id is not null and n is not null and p is not null and q is not null").select("id", "n", "p", "q", F.posexplode("prefix").alias("place", "token")).where("token is not null").repartition("token")
+
+    def fits(a: str, b: str) -> str:
+        """Sizes, and places of the word in common, and the bits that differ, at most as many as words, leave room for a match."""
+        sizes = f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)"
+        places = f"{100 + percent} * (least({a}.place, {b}.place) + least({a}.n - {a}.place, {b}.n - {b}.place)) >= {percent} * ({a}.n + {b}.n)"
+        bits = f"{100 + percent} * ({a}.n + {b}.n - bit_count({a}.p ^ {b}.p) - bit_count({a}.q ^ {b}.q)) >= {2 * percent} * ({a}.n + {b}.n)"
+        return f"{sizes} and {places} and {bits}"
+
+    heads = Window.partitionBy("token").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    listed = index.withColumn("head", F.first(F.struct("id", "n", "place", "p", "q")).over(heads))
+    far = listed.where(f"head.id = id or not ({re.sub(r'\bx[.]', '', fits('x', 'head'))})").drop("head")
+    few = lambda x: f"{x}.place < {x}.n - {least(f'{x}.n * {2 * percent} / {100 + percent}D')} + 1"
+    smaller = f"if(a.n < b.n or a.n = b.n and a.id < b.id, {few('a')}, {few('b')})"
+    # pairs with a class that isn't near to the first of the list; both orders, as the other one may be near
+    met = far.alias("a").join(index.alias("b"), F.expr(f"a.token = b.token and a.id <> b.id and {fits('a', 'b')} and {smaller}"))
+    met = met.selectExpr("greatest(a.id, b.id) as a", "least(a.id, b.id) as b")
+    pairs = scratch.stored(met.distinct(), "pairs")
+    gone = _verified(pairs, classes, texts, percent)
+    # a class that is near to a list's first one is the later one of a pair
+    later = index.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+    rest = later.join(gone, "id", "left_anti").alias("a").join(later.alias("b"), F.expr(f"a.token = b.token and b.id < a.id and {fits('a', 'b')}")).selectExpr("a.id as a", "b.id as b").distinct()
+    rest = scratch.stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        gone = gone.unionByName(_verified(rest, classes, texts, percent)).distinct()
+    scratch.forget(pairs, rest)
+
+    state = classes.select("id", "key", F.struct("doc_id", "row", "number").alias("first")).join(gone.withColumn("gone", F.lit(True)), "id", "left").select("key", "first", "gone")
+    out = lines.select("key", "doc_id", "row", "number").join(state, "key").where("gone or first <> struct(doc_id, row, number)")
+    return out.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list("number")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Every row of docs with its text's remaining lines, n_lines and n_removed. Null texts stay null with no lines; rows without doc_id stay as they are."""
-    gone = similar_lines(docs, percent)
-    name = "_gone"
-    joined = docs.join(gone.select("doc_id", F.col("gone").alias(name)), "doc_id", "left").select(*docs.columns, name)
-    all_ = F.split("text", "\n")
-    kept = F.expr(f"array_join(filter(split(text, '\\n'), (x, i) -> not coalesce(array_contains({name}, i), false)), '\\n')")
-    kept = F.when(F.col(name).isNull(), F.col("text")).otherwise(kept)
-    return joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(all_)).cast("long")).withColumn("n_removed", F.coalesce(F.size(name), F.lit(0)).cast("long")).withColumn("text", kept).drop(name)
+    """Every row of docs with its text's remaining lines, n_lines and n_removed, which replace columns of these names.
+
+    Null texts stay null with no lines; rows without doc_id stay as they are. Rows that are wholly equal in doc_id and text keep
+    the same lines.
+    """
+    gone = similar_lines(docs, percent).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("gone").alias("_gone"))
+    match = (docs["doc_id"].cast("long") == gone["_doc"]) & (F.xxhash64(docs["text"]) == gone["_row"])
+    joined = docs.join(gone, match, "left").select(*(docs[f"`{c}`"] for c in docs.columns), "_gone")
+    kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(_gone, i)), '\\n')")
+    return joined.withColumns({
+        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"),
+        "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
+        "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept),
+    }).drop("_gone")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,12 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Removes the shuffle files of a write as soon as it has ended; what is read later is the written table.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset (local tests)."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a temporary one, but only in a local session: executors share it there."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not root:
         found = sc._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = found.get() if found.isDefined() else f"file://{tempfile.mkdtemp(prefix='crashlens-')}"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(root)
@@ -26,11 +32,26 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Writes a frame to the shared scratch space and reads it again: lineage is cut, sizes are known."""
+    """Writes a frame to the shared scratch space and reads it again: lineage is cut, sizes are known, shuffle files go."""
     spark = df.sparkSession
-    path = folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = folder(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes the tables of frames that stored() gave and that nothing reads any more."""
+    for df in frames:
+        jvm, path = df.sparkSession._jvm, getattr(df, "_scratch_path", None)
+        if path:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -68,7 +68,7 @@ def repeats(docs, n):
     return out
 
 
-def lines(docs):
+def lines(docs, percent=80):
     sets, first, gone = [], {}, set()
     for i, t in sorted(docs, key=lambda x: x[0]):
         for k, line in enumerate(t.split("\n") if t is not None else []):
@@ -78,7 +78,7 @@ def lines(docs):
     order, holders = list(first), defaultdict(list)
     for j, x in enumerate(order):
         common = Counter(b for w in x for b in holders[w])
-        if any(100 * v >= 80 * (len(x) + len(order[b]) - v) for b, v in common.items()):
+        if any(100 * v >= percent * (len(x) + len(order[b]) - v) for b, v in common.items()):
             gone.add(x)
         for w in x:
             holders[w].append(j)

@@ -40,11 +40,10 @@ def test_jaccard_edges(docs):
     assert sorted(map(tuple, jaccard.jaccard_components(docs(rows)).collect())) == [(3, 0, 3), (4, 0, 4), (5, 2, 5), (5, 2, 5)]
 
 
-@pytest.mark.parametrize("short", [48, 3])
-def test_lines(docs, corpus, monkeypatch, short):
-    monkeypatch.setattr(lines, "SHORT", short)
-    monkeypatch.setattr(lines, "FIRST", 1)
-    rows = [*corpus(4, 60), (700, "\n\nx\n"), (701, "X\nx\n x ")]
+@pytest.mark.parametrize("counters", [1 << 17, 1])
+def test_lines(docs, corpus, monkeypatch, counters):
+    monkeypatch.setattr(lines, "COUNTERS", counters)
+    rows = [*corpus(4, 60), (700, "\n\nx\n"), (701, "X\nx\n x "), (702, "a\tb\rc\x0bd\x0ce f\nF e  d c b a"), (703, "long " * 30_000 + "\n" + "w1\n" * 3000)]
     out = lines.dedup_lines(docs([*rows, (None, "w1\nw1")])).collect()
     got = {r.doc_id: (r.n_lines, r.n_removed, brute.sha(r.text or "")) for r in out if r.doc_id is not None}
     assert got == brute.lines(rows)
@@ -52,6 +51,35 @@ def test_lines(docs, corpus, monkeypatch, short):
     assert lines.dedup_lines(docs([])).count() == 0
 
 
+def test_lines_of_repeated_ids(docs):
+    """Only a row's own lines go; wholly equal rows stay alike."""
+    out = lines.dedup_lines(docs([(1, "a b c d e\nx y z w v"), (1, "p q r s t\na b c d e"), (2, "same here\nsame here"), (2, "same here\nsame here")])).collect()
+    kept = [x for r in out for x in r.text.split("\n")]
+    assert sorted(kept) == sorted(["a b c d e", "x y z w v", "p q r s t", "same here", "same here"])
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_lines_thresholds(docs, corpus, percent):
+    rows = corpus(14, 50)
+    got = {r.doc_id: (r.n_lines, r.n_removed, brute.sha(r.text or "")) for r in lines.dedup_lines(docs(rows), percent).collect()}
+    assert got == brute.lines(rows, percent)
+
+
+def test_lines_of_one_group(docs):
+    """Many near copies of one line, some near to the first, some only to each other."""
+    import random
+
+    rng, base = random.Random(9), [f"b{i}" for i in range(30)]
+    rows = []
+    for i in range(150):
+        x = list(base)
+        for _ in range(rng.choice((1, 3, 4, 6))):
+            x[rng.randrange(30)] = f"v{rng.randrange(12)}"
+        rows.append((i, " ".join(x)))
+    got = {r.doc_id: (r.n_lines, r.n_removed, brute.sha(r.text or "")) for r in lines.dedup_lines(docs(rows)).collect()}
+    assert got == brute.lines(rows)
+
+
 @pytest.mark.parametrize(("window", "gram", "shard"), [(50, 20, 4096), (12, 4, 4096), (12, 4, 5)])
 def test_repeats(docs, corpus, monkeypatch, window, gram, shard):
     monkeypatch.setattr(substrings, "SHARD", shard)
