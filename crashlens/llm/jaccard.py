@@ -5,12 +5,15 @@ nodes hold them, rarest first; two nodes that are similar enough share at least
 n - ceil(t n) + 2 of either. A rare token is indexed alone; tokens that many prefixes hold are indexed in pairs. Tokens of
 one node only take up places of a prefix and are never sent on, and a node whose prefix has no others can't link.
 
-Before lists are searched for pairs, each list's members are held against one pivot, and what that links is joined; pairs
-are then made only between different components, and only where sizes, places and a 256-bit parity of the tokens leave room.
+Before lists are searched for pairs, each list's members are held against one pivot, and what that links is joined. Lists
+of the same members count once, however many tokens two nodes share. Pairs are then made only between different components, and
+only where sizes and a 256-bit parity of the tokens leave room. They are verified on hashes of shingles, and what passes on
+the shingles' words.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +25,16 @@ from crashlens.llm import scan, scratch
 from crashlens.llm.components import components
 
 U64 = np.uint64
+_LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Bits of a token that are kept; the rest of its hash is dropped.
 TOKEN_BITS = 48
 #: Tokens sorted and dealt out at a time by a map task.
 FLUSH = 1 << 20
 #: Tokens of a bucket, about.
 BUCKET = 1 << 20
+#: Tokens of a narrow range of hashes from which on they aren't counted in one place, but all taken as frequent, and the ranges.
+HOT = 1 << 20
+RANGE_BITS = 14
 #: Longest list of prefixes that a single token's index keeps; tokens with longer ones are indexed in pairs.
 RARE = 32
 
@@ -65,28 +72,37 @@ def _prints(tokens: np.ndarray, edges: np.ndarray, salt: int) -> np.ndarray:
 
 
 def sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, node and check: two hashes of the set; null without words."""
+    """doc_id, row (a hash of the text), n_shingles, node and check: two hashes of the set; null without words.
+
+    Rows without doc_id hold n_shingles of a range of hashes (node) that stands out in a partition: a frequent token is there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges, names = np.zeros(1 << RANGE_BITS, np.int64), ["doc_id", "row", "n_shingles", "node", "check"]
         for batch in batches:
             for at, part in scan.pieces(batch.column("text"), scan.CHUNK):
                 tokens, edges = shingle_sets(part, k)
+                ranges += np.bincount((tokens >> U64(64 - RANGE_BITS)).astype(np.int64), minlength=len(ranges))
                 n = np.diff(edges)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(part)), pa.array(n), *(pa.array(_prints(tokens, edges, s), mask=n == 0) for s in (1, 2))], ["doc_id", "n_shingles", "node", "check"]
-                )
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), batch.column("row").slice(at, len(part)), pa.array(n), *(pa.array(_prints(tokens, edges, s), mask=n == 0) for s in (1, 2))], names)
+        much = np.flatnonzero(ranges > 64 + 4 * ranges.mean())
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(much), pa.int64()), pa.nulls(len(much), pa.int64()), pa.array(ranges[much]), pa.array(much), pa.nulls(len(much), pa.int64())], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, n_shingles long, node long, check long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, row long, n_shingles long, node long, check long")
 
 
-def _deal(docs: DataFrame, k: int, buckets: int) -> DataFrame:
-    """Tokens with their nodes, dealt to buckets by value: sorted token steps, places in a table of nodes, that table."""
+def _deal(docs: DataFrame, k: int, buckets: int, hot: frozenset[int]) -> DataFrame:
+    """Tokens outside hot ranges with their nodes, dealt to buckets by value: sorted token steps, places in a table of nodes, that table."""
+    left_out = np.array(sorted(hot), U64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, owners, nodes, n = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             token, owner, table = np.concatenate(held), np.concatenate(owners), np.concatenate(nodes)
+            if len(left_out):
+                cool = ~np.isin(token >> U64(TOKEN_BITS - RANGE_BITS), left_out)
+                token, owner = token[cool], owner[cool]
             order = np.argsort(token)
             token, owner = token[order], owner[order]
             bucket = ((token >> U64(TOKEN_BITS - 32)) * U64(buckets)) >> U64(32)
@@ -129,6 +145,28 @@ def _deal(docs: DataFrame, k: int, buckets: int) -> DataFrame:
 SHARED = "node long, tokens array<long>, holders array<int>"
 
 
+def _frequent(docs: DataFrame, k: int, hot: frozenset[int]) -> DataFrame:
+    """Tokens of hot ranges by node, as if all nodes held them: no list of a frequent token is ever made."""
+    ranges = np.array(sorted(hot), U64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, part in scan.pieces(batch.column("text"), scan.CHUNK):
+                tokens, edges = shingle_sets(part, k)
+                keep = np.isin(tokens >> U64(64 - RANGE_BITS), ranges)
+                at = np.concatenate(([0], np.cumsum(keep)))[edges]
+                some = np.flatnonzero(np.diff(at))
+                offsets = pa.array(np.append(at[some], at[-1]).astype(np.int32))
+                own = (tokens[keep] >> U64(64 - TOKEN_BITS)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_prints(tokens, edges, 1)[some]), pa.ListArray.from_arrays(offsets, pa.array(own)), pa.ListArray.from_arrays(offsets, pa.array(np.full(len(own), 2**31 - 1, np.int32)))],
+                    ["node", "tokens", "holders"],
+                )
+
+    found = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, SHARED)
+    return found.groupBy("node").agg(F.min(F.struct("tokens", "holders")).alias("x")).select("node", "x.*")
+
+
 def _shared(table: pa.Table) -> pa.Table:
     """A bucket's tokens that two nodes or more hold: by node, the tokens and how many hold each."""
     token, node = [], []
@@ -174,62 +212,128 @@ def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return common.where(f"100 * common >= {percent} * (a_n + b_n - common)").select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest doc_id that links lead to.
+def _confirmed(links: DataFrame, names: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) of nodes whose texts' shingles, as words, are similar enough. names: node, least, row (a doc_id and a text's hash)."""
+    wanted = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(names, "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("least"), F.xxhash64("text").alias("row"), "text").join(wanted, ["least", "row"])
+    texts = scratch.stored(texts.groupBy("node").agg(F.max("text").alias("text")), "link-texts")
+    a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
 
-    docs: doc_id and text; other columns are ignored. A null or blank text has no shingles and links with nothing; rows
-    without doc_id are left out; repeated rows link with each other. Links: 100 * intersection >= percent * union, exactly
-    on 48-bit hashes of shingles.
-    """
-    spark = docs.sparkSession
-    rows = scratch.stored(sets(docs, k), "sets")
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    def grams(text: str) -> set[tuple[str, ...]]:
+        words = [x for x in re.split("[\x20\x09-\x0d]+", text.translate(_LOW)) if x]
+        return set(zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else {tuple(words)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("a_text"), batch.column("b_text"), strict=True):
+                x, y = grams(x.as_py()), grams(y.as_py())
+                common = len(x & y)
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    out = scratch.stored(links.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long"), "links")
+    scratch.forget(texts)
+    return out
+
+
+def _indexed(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the nodes that may link: names (node, n, least, row: its smallest doc_id, and the hash of a text), tokens (held), and prefixes."""
+    total, hot = rows.where("doc_id is not null").agg(F.sum("n_shingles")).first()[0] or 0, rows.where("doc_id is null").groupBy("node").agg(F.sum("n_shingles").alias("n"))
+    hot = frozenset(r.node for r in hot.where(F.col("n") > HOT).collect())  # at most 2 ** RANGE_BITS
     buckets = max(64, total // BUCKET)
-    least = rows.where("n_shingles > 0").groupBy("node", "check").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
-    held = _deal(docs, k, buckets).groupBy("bucket").applyInArrow(_shared, SHARED)
+    names = rows.where("doc_id is not null and n_shingles > 0").groupBy("node", "check").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.max("n_shingles").alias("n"))
+    if not names.groupBy("node").count().where("count > 1").isEmpty():
+        raise RuntimeError("two sets share a 64-bit hash; change the salts of _prints")
+    names = names.select("node", "n", F.col("least.doc_id").alias("least"), F.col("least.row").alias("row"))
+    held = _deal(docs, k, buckets, hot).groupBy("bucket").applyInArrow(_shared, SHARED)
+    if hot:
+        held = held.unionByName(_frequent(docs, k, hot))
     held = held.groupBy("node").agg(F.collect_list(F.struct("tokens", "holders")).alias("x")).select("node", F.flatten("x.tokens").alias("tokens"), F.flatten("x.holders").alias("holders"))
-    held = held.join(least.select("node", "n"), "node").withColumn("alone", F.col("n") - F.size("tokens"))
+    held = held.join(names.select("node", "n"), "node").withColumn("alone", F.col("n") - F.size("tokens"))
     # ceil(n percent / 100) tokens of n must be common at least
     held = held.withColumn("room", F.expr(f"cast(n - (n * {percent} + 99) div 100 + 2 - alone as int)")).where("room > 0")
     held = scratch.stored(held, "held")
     order = "array_sort(transform(tokens, (t, i) -> struct(holders[i] as holders, t as token)))"
-    signs = [f"s{i}" for i in range(4)]
-    held = held.select("node", "tokens", "holders", "n", "alone", "room", *(F.expr(_parity(i)).alias(x) for i, x in enumerate(signs)))
-    prefix = held.select("node", "n", "alone", *signs, F.posexplode(F.expr(f"transform(slice({order}, 1, room), x -> x.token)")).alias("place", "token")).withColumn("place", F.col("place") + F.col("alone"))
-    prefix = scratch.stored(prefix, "prefix")
-    # tokens of one node alone, and at least the parity bits that differ, are in one set only
-    apart = "a_alone + b_alone + " + " + ".join(f"bit_count(a_{x} ^ b_{x})" for x in signs)
-    fits = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) and (100 + {percent}) * (a_n + b_n - ({apart})) >= {2 * percent} * (a_n + b_n)"
-    side = lambda x, names, of="": [F.col(f"{of}{c}").alias(f"{x}_{c}") for c in names]
-
-    pivots = prefix.groupBy("token").agg(F.min(F.struct("alone", "node", "n", *signs)).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    stars = prefix.join(pivots, "token").select(F.col("p.node").alias("a"), *side("a", ["n", "alone", *signs], "p."), F.col("node").alias("b"), *side("b", ["n", "alone", *signs]))
-    links = scratch.stored(_verified(stars.where(f"a <> b and {fits}").select("a", "b").distinct(), held, percent), "links")
+    signed = held.select("node", "tokens", "holders", "n", "alone", "room", *(F.expr(_parity(i)).alias(x) for i, x in enumerate(SIGNS)))
+    prefix = signed.select("node", "n", "alone", *SIGNS, F.explode(F.expr(f"transform(slice({order}, 1, room), x -> x.token)")).alias("token"))
+    return names, held, scratch.stored(prefix, "prefix")
+
+
+SIGNS = ("s0", "s1", "s2", "s3")
+ENTRY = ("node", "n", "alone", *SIGNS, "component")
+
+
+def _fits(percent: int) -> str:
+    """SQL: sizes, and tokens that are in one set only (those of one node alone, and at least the parity bits that differ), leave room for a link."""
+    apart = "a_alone + b_alone + " + " + ".join(f"bit_count(a_{x} ^ b_{x})" for x in SIGNS)
+    return f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) and (100 + {percent}) * (a_n + b_n - ({apart})) >= {2 * percent} * (a_n + b_n)"
+
+
+def _side(x: str, names: tuple[str, ...], of: str = "") -> list:
+    return [F.col(f"{of}{c}").alias(f"{x}_{c}") for c in names]
+
+
+def _lists(entries: DataFrame) -> DataFrame:
+    """Entries of lists with two components or more, of lists with the same members only one: token, size, entry."""
+    same = [F.count(F.lit(1)).alias("size"), *(F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (1, 2)), F.min("component").alias("least"), F.max("component").alias("most")]
+    lists = entries.groupBy("token").agg(*same).where("least < most")
+    return entries.join(lists.groupBy("size", "x1", "x2").agg(F.min("token").alias("token")).select("token", "size"), "token")
+
+
+def _pairs(index: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that share two tokens of their prefixes and have room for a link."""
+    rare = _lists(index).where(f"size <= {RARE}")
+    often = index.join(index.groupBy("token").count().where(f"count > {RARE}").select("token"), "token", "left_semi")
+    often = often.groupBy(*ENTRY).agg(F.array_sort(F.collect_list("token")).alias("t"))
+    often = often.select(*ENTRY, F.explode(F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> xxhash64(x, y))))")).alias("token"))
+
+    def meet(entries: DataFrame) -> DataFrame:
+        a, b = (entries.select("token", F.col("node").alias(x), *_side(x, ENTRY[1:])) for x in "ab")
+        return a.join(b, "token").where(f"a < b and a_component <> b_component and {_fits(percent)}").select("a", "b").distinct()
+
+    return meet(rare).unionByName(meet(_lists(often))).distinct()
+
+
+def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """a, b (a < b): all links between different sets, by the smallest doc_ids that have them; rows and sets as jaccard_components.
+
+    As many rows as there are links, so a group of near copies gives its square; the components need no such thing.
+    """
+    rows = scratch.stored(sets(docs, k), "sets")
+    names, held, prefix = _indexed(docs, rows, k, percent)
+    found = scratch.stored(_verified(_pairs(prefix.withColumn("component", F.col("node")), percent), held, percent), "links")
+    links = _confirmed(found, names.select("node", "least", "row"), docs, k, percent)
+    a, b = (names.select(F.col("node").alias(x), F.col("least").alias(f"{x}_id")) for x in "ab")
+    return links.join(a, "a").join(b, "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest doc_id that links lead to.
+
+    docs: doc_id and text; other columns are ignored. A null or blank text has no shingles and links with nothing; rows
+    without doc_id are left out; rows that repeat a doc_id with different texts are documents of their own, so that links of
+    either lead to its id. Links: 100 * intersection >= percent * union. Equal sets are told by 128 bits of hash.
+    """
+    rows = scratch.stored(sets(docs, k), "sets")
+    names, held, prefix = _indexed(docs, rows, k, percent)
+    pivots = prefix.groupBy("token").agg(F.min(F.struct("alone", "node", "n", *SIGNS)).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    own = ("n", "alone", *SIGNS)
+    stars = prefix.join(pivots, "token").select(F.col("p.node").alias("a"), *_side("a", own, "p."), F.col("node").alias("b"), *_side("b", own))
+    stars = scratch.stored(_verified(stars.where(f"a <> b and {_fits(percent)}").select("a", "b").distinct(), held, percent), "stars")
+    links = _confirmed(stars, names.select("node", "least", "row"), docs, k, percent)
 
     joined = components(links)
-    index = prefix.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lists = index.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y").select("token", "size")
-    index = scratch.stored(index.join(lists, "token"), "index")
-    entry = ["node", "n", "alone", *signs, "component"]
-    rare = index.where(f"size <= {RARE}").select("token", *entry, "place")
-    often = index.where(f"size > {RARE}").groupBy(*entry).agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("t"))
-    often = often.select(*entry, F.explode(F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> struct(xxhash64(x.token, y.token) as token, x.place as place))))")).alias("c"))
-    often = often.select("c.token", *entry, "c.place")
-
-    def pairs(entries: DataFrame) -> DataFrame:
-        """Pairs of an index between components, whose sizes and places leave room for enough common tokens."""
-        a, b = (entries.select("token", F.col("node").alias(x), *side(x, [*entry[1:], "place"])) for x in "ab")
-        enough = f"(100 + {percent}) * (least(a_place, b_place) + least(a_n - a_place, b_n - b_place)) >= {percent} * (a_n + b_n)"
-        return a.join(b, "token").where(f"a < b and a_component <> b_component and {fits} and {enough}").select("a", "b").distinct()
-
-    combined = often.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    found = pairs(rare).unionByName(pairs(often.join(combined, "token"))).distinct()
-    more = scratch.stored(_verified(found, held, percent), "links")
+    index = scratch.stored(prefix.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")).select("token", *ENTRY), "index")
+    more = scratch.stored(_verified(_pairs(index, percent), held, percent), "more")
+    more = _confirmed(more, names.select("node", "least", "row"), docs, k, percent) if not more.isEmpty() else more
     joined = components(links.unionByName(more))
+    scratch.forget(prefix, held, index, stars)
 
-    nodes = least.groupBy("node").agg(F.min("least").alias("least")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = nodes.join(names, "component").select("node", "component_id")
+    nodes = names.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ids = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = nodes.join(ids, "component").select("node", "component_id")
+    rows = rows.where("doc_id is not null")
     some = rows.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", "component_id")
     return some.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 

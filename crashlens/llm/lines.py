@@ -30,7 +30,7 @@ WORDS = "array_distinct(array_remove(split({0}, ' '), ''))"
 def word_ranks(docs: DataFrame) -> list[int]:
     """By hash class of words, four times the binary logarithm of its count over all words of all documents."""
     words = docs.select(F.expr(f"explode(split(replace({PLAIN}, '\\n', ' '), ' ')) as w")).where("w <> ''")
-    found = words.select(F.expr(f"cast(xxhash64(w) & {COUNTERS - 1} as int) as c")).groupBy("c").count()
+    found = words.select(F.expr(f"hash(w) & {COUNTERS - 1} as c")).groupBy("c").count()
     ranks = [0] * COUNTERS
     for c, n in found.collect():  # at most COUNTERS rows
         ranks[c] = int(4 * math.log2(n)) + 1
@@ -41,7 +41,7 @@ def _tokens(words: str, ranks: list[int]) -> str:
     """SQL for a set of words as ascending longs, rarest first: the rank above 48 bits of the word's hash."""
     # a folded constant, looked up by place
     table = f"cast(split('{','.join(map(str, ranks))}', ',') as array<bigint>)"
-    return f"sort_array(transform(transform({words}, w -> xxhash64(w)), h -> shiftleft(get({table}, cast(h & {COUNTERS - 1} as int)), 48) | shiftrightunsigned(h, 16)))"
+    return f"sort_array(transform({words}, w -> shiftleft(get({table}, hash(w) & {COUNTERS - 1}), 48) | shiftrightunsigned(xxhash64(w), 16)))"
 
 
 def _parity(kept: str) -> str:

@@ -26,14 +26,37 @@ def test_decontamination_shuffled(spark, docs, corpus, monkeypatch):
     assert got == brute.decontamination(rows, bench)
 
 
-@pytest.mark.parametrize("rare", [32, 1])
-def test_jaccard(docs, corpus, monkeypatch, rare):
+@pytest.mark.parametrize(("rare", "hot"), [(32, 1 << 20), (1, 1 << 20), (32, 20)])
+def test_jaccard(docs, corpus, monkeypatch, rare, hot):
     monkeypatch.setattr(jaccard, "RARE", rare)
+    monkeypatch.setattr(jaccard, "HOT", hot)
     rows = corpus(3, 90, 120)
     got = {r[0]: tuple(r)[1:] for r in jaccard.jaccard_components(docs([*rows, (None, "x")])).collect()}
     assert got == brute.jaccard(rows)
 
 
+@pytest.mark.parametrize("rare", [32, 1])
+def test_jaccard_links(docs, corpus, monkeypatch, rare):
+    monkeypatch.setattr(jaccard, "RARE", rare)
+    rows = [x for x in corpus(13, 60, 120)]
+    first, want = {}, set()
+    for i, t in rows:
+        first.setdefault(brute.shingles(t), i)
+    some = [(s, i) for s, i in first.items() if s]
+    for s, i in some:
+        want |= {(i, j) for t, j in some if i < j and 100 * len(s & t) >= 80 * len(s | t)}
+    assert {tuple(r) for r in jaccard.jaccard_links(docs(rows)).collect()} == want
+
+
+def test_jaccard_of_repeated_ids(docs, corpus):
+    """Different texts of one doc_id lead to it; links of either count."""
+    base = [t for _, t in corpus(17, 40) if t and len(set(t.split())) > 30][0].split()
+    near = " ".join([*base[:-1], "other"])
+    rows = [(5, " ".join(base)), (5, "zz " + " ".join(f"q{i}" for i in range(60))), (9, near), (7, "aa " + " ".join(f"q{i}" for i in range(60))), (8, "alone " * 9)]
+    got = {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs(rows)).collect()}
+    assert got == {(5, 5), (9, 5), (7, 5), (8, 8)}
+
+
 def test_jaccard_edges(docs):
     assert jaccard.jaccard_components(docs([])).count() == 0
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (3, None), (4, "")]
