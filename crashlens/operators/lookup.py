@@ -16,12 +16,13 @@ def _merged(probes: DataFrame, times: DataFrame, at: str, by: list[str], value:
 def asof(probes: DataFrame, times: DataFrame, at: str, by: list[str], value: str, out: str) -> DataFrame:
     """The value after a probe's time, else the latest up to it; null only where a group has none (JOI-10).
 
-    One sort by group and time; groups must be given, so that no task takes all rows.
+    One sort by group and time in either direction, with frames that only grow: linear in a group's rows. Groups must be
+    given, so that no task takes all rows.
     """
     rows = _merged(probes, times, at, by, value)
-    order = Window.partitionBy(*by).orderBy(F.col("_t"), F.col("_probe"), F.col("_v"))
-    before = F.last("_v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("_v", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    group = Window.partitionBy(*by)
+    before = F.last("_v", ignorenulls=True).over(group.orderBy("_t", "_probe", "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.last("_v", ignorenulls=True).over(group.orderBy(F.desc("_t"), F.desc("_probe"), F.desc("_v")).rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn(out, F.coalesce(after, before)).where("_probe").drop("_t", "_v", "_probe")
 
 

@@ -16,15 +16,24 @@ def same_path(a: Column, b: Column) -> Column:
     return F.endswith(a, b) | F.endswith(b, a)
 
 
+#: Characters of the ends of paths that meet in an equi-join.
+ENDING = 8
+
+
 def candidates(crashes: DataFrame, targets: DataFrame, key: str) -> DataFrame:
-    """Targets with a frame on their line, in their file and function: an equi-join on the line with the rest behind it (JOI-02).
+    """Targets with a frame on their line, in their file and function (JOI-02): an equi-join on the line and the end of the path,
+    with the suffix test behind it; paths too short for that meet by line alone.
 
-    crashes: key, frames; targets: bug_id, crash_file, crash_line, crash_function (nullable).
+    crashes: key, frames; targets: bug_id, crash_file, crash_line, crash_function (null or empty: any).
     """
     lines = crashes.select(key, F.explode("frames").alias("f")).select(key, "f.*")
+    usable = targets.where("crash_file <> '' and crash_line is not null").select("bug_id", "crash_file", "crash_line", F.nullif("crash_function", F.lit("")).alias("crash_function"))
     fits = (F.col("line") == F.col("crash_line")) & same_path(F.col("file"), F.col("crash_file")) & (F.col("crash_function").isNull() | (F.col("func") == F.col("crash_function")))
-    usable = targets.where("crash_file <> '' and crash_line is not null").select("bug_id", "crash_file", "crash_line", "crash_function")
-    return lines.join(usable, fits).select(key, "bug_id").distinct()
+    long = lambda df, c: df.where(F.char_length(c) >= ENDING)
+    short = lambda df, c: df.where(F.char_length(c) < ENDING)
+    ends = F.right("file", F.lit(ENDING)) == F.right("crash_file", F.lit(ENDING))
+    found = [long(lines, "file").join(long(usable, "crash_file"), fits & ends), long(lines, "file").join(short(usable, "crash_file"), fits), short(lines, "file").join(usable, fits)]
+    return reduce(DataFrame.unionByName, (x.select(key, "bug_id") for x in found)).distinct()
 
 
 def match(crashes: DataFrame, targets: DataFrame, key: str) -> DataFrame:
@@ -37,7 +46,7 @@ def match(crashes: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     per = Window.partitionBy(key)
     found = found.withColumn("n", F.count(F.lit(1)).over(per))
     several = found.where("n > 1").join(crashes, key).join(targets, "bug_id")
-    own = lambda r: (r["line"] == F.col("crash_line")) & same_path(r["file"], F.col("crash_file")) & (F.col("crash_function").isNull() | (r["func"] == F.col("crash_function")))
+    own = lambda r: (r["line"] == F.col("crash_line")) & same_path(r["file"], F.col("crash_file")) & (F.coalesce("crash_function", F.lit("")).isin("") | (r["func"] == F.col("crash_function")))
     seen = lambda r: F.exists("frames", lambda x: (x["line"] == r["line"]) & (x["func"] == r["func"]) & same_path(x["file"], r["file"]))
     refs = F.coalesce(F.col("reference_frames"), F.array().cast("array<struct<func:string,file:string,line:int>>"))
     known = reduce(lambda a, b: a | b, (F.col("signature")[f].isNotNull() for f in sn.FIELDS))
@@ -58,8 +67,16 @@ def fingerprint_matches(left: DataFrame, right: DataFrame, key: str, print_: str
 
 def with_verdicts(pairs: DataFrame, before: str, after: str) -> DataFrame:
     """Adds verdict, shared_functions and shared_files for two logs: exact, partial, rejected or no_data (DOM-04)."""
-    a, b = fr.clean_frames(F.col(before)), fr.clean_frames(F.col(after))
-    out = pairs.withColumn("_a", a).withColumn("_b", b).withColumn("_ca", sn.crash_class(F.col(before))[0]).withColumn("_cb", sn.crash_class(F.col(after))[0])
+    return verdicts(pairs.withColumns({"_a": fr.clean_frames(F.col(before)), "_b": fr.clean_frames(F.col(after)), "_ca": sn.crash_class(F.col(before))[0], "_cb": sn.crash_class(F.col(after))[0]}))
+
+
+def parsed(logs: DataFrame, log: str, side: str) -> DataFrame:
+    """A log's clean frames and class in place of its text, as verdicts() takes them for side `a` or `b`: parse before a join, once per log."""
+    return logs.withColumns({f"_{side}": fr.clean_frames(F.col(log)), f"_c{side}": sn.crash_class(F.col(log))[0]}).drop(log)
+
+
+def verdicts(out: DataFrame) -> DataFrame:
+    """with_verdicts of pairs that hold parsed() columns of either side."""
     names = lambda x: F.array_distinct(F.transform(x, lambda f: f["func"]))
     files = lambda x: F.array_distinct(F.transform(x, lambda f: F.element_at(F.split(f["file"], "/"), -1)))
     out = out.withColumn("_f", F.array_intersect(names(F.col("_a")), names(F.col("_b")))).withColumn("_p", F.array_intersect(files(F.col("_a")), files(F.col("_b"))))

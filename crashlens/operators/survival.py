@@ -56,9 +56,8 @@ def km_median(frame: DataFrame, by: list[str], time: str = "time", event: str =
 def km_curve(frame: DataFrame, by: list[str], time: str = "time", event: str = "event") -> DataFrame:
     """Survival after each distinct time, in window form (WIN-01)."""
     steps = frame.groupBy(*by, F.col(time).alias("t")).agg(F.sum(event).alias("d"), F.count(F.lit(1)).alias("n"))
-    later = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     sofar = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    risk = steps.withColumn("risk", F.sum("n").over(later))
+    risk = steps.withColumn("risk", F.sum("n").over(Window.partitionBy(*by)) - F.sum("n").over(sofar) + F.col("n"))
     return risk.withColumn("alive", F.product(1 - F.col("d") / F.col("risk")).over(sofar))
 
 

@@ -268,29 +268,12 @@ add(
 add(
     "dag_live_window",
     lambda s, d: _dag(s, d),
-    f"""WITH RECURSIVE {EV}, o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ev),
-    x AS (SELECT user_id, event_id, i FROM o WHERE i <= 12 AND user_id < 20) SELECT a.user_id AS bug, b.event_id AS commit FROM x a JOIN x b ON a.user_id = b.user_id AND a.i = 3 AND b.i >= 3 AND b.i < 9""",
-)
-
-
-def _dag(s, d):
-    from pyspark.sql import Window
-
-    rows = events(s, d).where("user_id < 20").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("i <= 12")
-    edges = sequences.neighbours(rows, ["user_id"], ["i"], "event_id").where("next is not null").select(F.col("next").alias("child"), F.col("event_id").alias("parent"))
-    windows = rows.groupBy(F.col("user_id").alias("bug")).agg(F.max(F.when(F.col("i") == 3, F.col("event_id"))).alias("introduced"), F.max(F.when(F.col("i") == 9, F.col("event_id"))).alias("fixed"))
-    return sequences.live_commits(sequences.closure(edges, "child", "parent"), windows)
-
-
-add(
-    "dag_live_window_whole",
-    lambda s, d: _dag_whole(s, d),
     f"""WITH {EV}, x AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ev)
     SELECT a.user_id AS bug, b.event_id AS commit FROM x a JOIN x b ON a.user_id = b.user_id AND a.i = 3 AND b.i >= 3 AND b.i < 9""",
 )
 
 
-def _dag_whole(s, d):
+def _dag(s, d):
     from pyspark.sql import Window
 
     rows = events(s, d).select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("i"))

@@ -76,42 +76,6 @@ add(
     f"""WITH {LG}, q AS (SELECT *, {_parsed(LOOSE)} FROM lg), r AS (SELECT event_type, k, array_to_string(list_transform(range(1, len(f1) + 1), lambda i: f1[i] || '@' || f2[i] || '@' || f3[i]), '|') AS p FROM q)
     SELECT count(*) AS a_total, count(DISTINCT p) AS b_stacks, count(DISTINCT (event_type, k % 5)) AS c_keys, count(DISTINCT p) FILTER (WHERE k % 5 = 0) AS b_matched FROM r""",
 )
-add(
-    "fp_match_reference",
-    lambda s, d: (lambda rows: matching.fingerprint_matches(rows.where("k % 2 = 1").select("event_id", "print"), rows.where("event_id < 200 and k % 2 = 0").select("print", F.col("event_id").alias("bug")), "event_id", "print", "bug").select("event_id", F.array_join(F.transform("bugs", lambda x: x.cast("string")), ",").alias("bugs")))(
-        logs(s, d).withColumn("print", fr.fingerprint(fr.loose_frames(F.col("log"))))
-    ),
-    f"""WITH {LG}, q AS (SELECT *, {_parsed(LOOSE)} FROM lg), r AS (SELECT event_id, k, array_to_string(list_transform(range(1, len(f1) + 1), lambda i: f1[i] || '@' || f2[i])[1:3], '|') AS p FROM q)
-    SELECT a.event_id, array_to_string(list_sort(list(DISTINCT b.event_id)), ',') AS bugs FROM r a JOIN r b USING (p) WHERE a.k % 2 = 1 AND b.k % 2 = 0 AND b.event_id < 200 GROUP BY 1""",
-)
-
-
-def _targets(s, d):
-    """Bugs from the first 200 logs: their first project frame, frames and signature."""
-    rows = logs(s, d).where("event_id < 200").withColumn("f", fr.strict_frames(F.col("log"))).withColumn("x", F.get(F.filter("f", lambda x: ~x["file"].rlike("llvm-project")), F.lit(0)))
-    return rows.select(F.col("event_id").alias("bug_id"), text.right_cut(F.col("x.file"), 99).alias("crash_file"), F.col("x.line").alias("crash_line"), F.expr("if(event_id % 3 = 0, null, x.func)").alias("crash_function"), F.col("f").alias("reference_frames"), sn.signature(F.col("log")).alias("reference_signature"))
-
-
-def _crashes(s, d):
-    return logs(s, d).where("event_id between 200 and 1200").select("event_id", fr.strict_frames(F.col("log")).alias("frames"), sn.signature(F.col("log")).alias("signature"))
-
-
-PAIRS = f"""WITH {LG}, q AS (SELECT *, {_parsed(STRICT)} FROM lg), r AS (SELECT event_id, event_type, k, list_transform(range(1, len(f1) + 1), lambda i: {{'func': f1[i], 'file': f2[i], 'line': f3[i]}}) AS f FROM q WHERE event_id <= 1200),
-b AS (SELECT event_id AS bug_id, event_type, k, f, list_filter(f, lambda x: NOT contains(x.file, 'llvm-project'))[1] AS x FROM r WHERE event_id < 200),
-c AS (SELECT a.event_id, b.bug_id, a.event_type AS aty, a.k AS ak, a.f AS af, b.event_type AS bt, b.k AS bk, b.f AS bf, b.x FROM r a JOIN b ON a.event_id >= 200
-      AND len(list_filter(a.f, lambda y: y.line = b.x.line AND (suffix(y.file, b.x.file) OR suffix(b.x.file, y.file)) AND (b.bug_id % 3 = 0 OR y.func = b.x.func))) > 0)"""
-add("suffix_path_match", lambda s, d: matching.candidates(_crashes(s, d), _targets(s, d), "event_id"), PAIRS + " SELECT event_id, bug_id FROM c")
-add(
-    "matcher_scored",
-    lambda s, d: matching.match(_crashes(s, d), _targets(s, d), "event_id"),
-    PAIRS + """, n AS (SELECT *, count(*) OVER (PARTITION BY event_id) AS n, CAST(aty <> bt AS INTEGER) + CAST(ak % 2 <> bk % 2 AS INTEGER) + CAST(ak % 8 <> bk % 8 AS INTEGER) + CAST(ak % 3 <> bk % 3 AS INTEGER) AS off FROM c),
-    z AS (SELECT *, CASE WHEN off > 0 THEN -off ELSE 7 END AS score, len(list_filter(bf, lambda r: NOT (r.line = x.line AND (suffix(r.file, x.file) OR suffix(x.file, r.file)) AND (bug_id % 3 = 0 OR r.func = x.func))
-          AND len(list_filter(af, lambda y: y.line = r.line AND y.func = r.func AND (suffix(y.file, r.file) OR suffix(r.file, y.file)))) > 0)) AS stack FROM n),
-    y AS (SELECT *, max(score) OVER (PARTITION BY event_id) AS best FROM z WHERE n > 1), w AS (SELECT *, max(stack) OVER (PARTITION BY event_id) AS top FROM y WHERE best >= 0 AND score = best)
-    SELECT event_id, bug_id FROM z WHERE n = 1 UNION ALL SELECT event_id, bug_id FROM w WHERE stack = top""",
-)
-
-
 def _located(s, d):
     """All logs as targets, one per first project frame with the least event_id of its logs."""
     rows = logs(s, d).withColumn("f", fr.strict_frames(F.col("log"))).withColumn("x", F.get(F.filter("f", lambda x: ~x["file"].rlike("llvm-project")), F.lit(0))).where("x is not null")
@@ -128,8 +92,16 @@ l AS (SELECT *, list_filter(f, lambda x: NOT contains(x.file, 'llvm-project'))[1
 b AS (SELECT bug_id, event_type, k, f, x FROM m JOIN l ON event_id = bug_id),
 c AS (SELECT a.event_id, b.bug_id, a.event_type AS aty, a.k AS ak, a.f AS af, b.event_type AS bt, b.k AS bk, b.f AS bf, b.x FROM r a JOIN b
       ON len(list_filter(a.f, lambda y: y.line = b.x.line AND (suffix(y.file, b.x.file) OR suffix(b.x.file, y.file)) AND (b.bug_id % 3 = 0 OR y.func = b.x.func))) > 0)"""
-add("suffix_path_match_whole", lambda s, d: matching.candidates(_all_crashes(s, d), _located(s, d), "event_id"), WHOLE + " SELECT event_id, bug_id FROM c")
-add("matcher_scored_whole", lambda s, d: matching.match(_all_crashes(s, d), _located(s, d), "event_id"), WHOLE + ORACLES["matcher_scored"].removeprefix(PAIRS))
+add("suffix_path_match", lambda s, d: matching.candidates(_all_crashes(s, d), _located(s, d), "event_id"), WHOLE + " SELECT event_id, bug_id FROM c")
+add(
+    "matcher_scored",
+    lambda s, d: matching.match(_all_crashes(s, d), _located(s, d), "event_id"),
+    WHOLE + """, n AS (SELECT *, count(*) OVER (PARTITION BY event_id) AS n, CAST(aty <> bt AS INTEGER) + CAST(ak % 2 <> bk % 2 AS INTEGER) + CAST(ak % 8 <> bk % 8 AS INTEGER) + CAST(ak % 3 <> bk % 3 AS INTEGER) AS off FROM c),
+    z AS (SELECT *, CASE WHEN off > 0 THEN -off ELSE 7 END AS score, len(list_filter(bf, lambda r: NOT (r.line = x.line AND (suffix(r.file, x.file) OR suffix(x.file, r.file)) AND (bug_id % 3 = 0 OR r.func = x.func))
+          AND len(list_filter(af, lambda y: y.line = r.line AND y.func = r.func AND (suffix(y.file, r.file) OR suffix(r.file, y.file)))) > 0)) AS stack FROM n),
+    y AS (SELECT *, max(score) OVER (PARTITION BY event_id) AS best FROM z WHERE n > 1), w AS (SELECT *, max(stack) OVER (PARTITION BY event_id) AS top FROM y WHERE best >= 0 AND score = best)
+    SELECT event_id, bug_id FROM z WHERE n = 1 UNION ALL SELECT event_id, bug_id FROM w WHERE stack = top""",
+)
 
 
 def _print_bugs(s, d):
@@ -141,7 +113,7 @@ def _print_bugs(s, d):
 
 
 add(
-    "fp_match_reference_whole",
+    "fp_match_reference",
     _print_bugs,
     f"""WITH {LG}, q AS (SELECT *, {_parsed(LOOSE)} FROM lg), r AS (SELECT event_id, event_type, k, array_to_string(list_transform(range(1, len(f1) + 1), lambda i: f1[i] || '@' || f2[i])[1:3], '|') AS p FROM q),
     b AS (SELECT p, min(event_id) AS bug FROM r WHERE k % 2 = 0 GROUP BY p, event_type) SELECT a.event_id, array_to_string(list_sort(list(DISTINCT b.bug)), ',') AS bugs FROM r a JOIN b USING (p) WHERE a.k % 2 = 1 GROUP BY 1""",
@@ -149,6 +121,13 @@ add(
 
 
 def _pairs(s, d):
+    """Pairs of neighbouring logs, each parsed once before the join."""
+    rows = logs(s, d).select("event_id", "log")
+    after = matching.parsed(rows.where("event_id % 2 = 1").select((F.col("event_id") - 1).alias("event_id"), "log"), "log", "b")
+    return matching.verdicts(matching.parsed(rows.where("event_id % 2 = 0"), "log", "a").join(after, "event_id"))
+
+
+def _texts(s, d):
     rows = logs(s, d).select("event_id", "log")
     return rows.alias("a").join(rows.select((F.col("event_id") - 1).alias("event_id"), F.col("log").alias("after")), "event_id").where("event_id % 2 = 0")
 
@@ -159,17 +138,17 @@ u AS (SELECT *, CASE WHEN ka IS NULL OR kb IS NULL THEN 'no_data' WHEN ka = kb A
       WHEN ka = kb AND (len(fs) > 0 OR len(ps) > 0) THEN 'partial' WHEN len(list_filter(fs, lambda x: x <> 'LLVMFuzzerTestOneInput')) >= 2 THEN 'partial' ELSE 'rejected' END AS verdict FROM v)"""
 add(
     "verdict_tiers",
-    lambda s, d: matching.with_verdicts(_pairs(s, d), "log", "after").select("event_id", "verdict", F.col("shared_functions").cast("long").alias("shared_functions"), F.col("shared_files").cast("long").alias("shared_files")),
+    lambda s, d: _pairs(s, d).select("event_id", "verdict", F.col("shared_functions").cast("long").alias("shared_functions"), F.col("shared_files").cast("long").alias("shared_files")),
     f"WITH {VERDICTS} SELECT event_id, verdict, CAST(len(fs) AS BIGINT) AS shared_functions, CAST(len(ps) AS BIGINT) AS shared_files FROM u",
 )
 add(
     "loose_or_strict_match",
-    lambda s, d: matching.with_verdicts(_pairs(s, d), "log", "after").select("event_id", matching.strict_match(F.col("verdict"), matching.loose_match(F.col("log"), F.col("after"))).alias("same"), matching.loose_match(F.col("log"), F.col("after")).alias("loose")),
+    lambda s, d: matching.with_verdicts(_texts(s, d), "log", "after").select("event_id", matching.strict_match(F.col("verdict"), matching.loose_match(F.col("log"), F.col("after"))).alias("same"), matching.loose_match(F.col("log"), F.col("after")).alias("loose")),
     f"WITH {VERDICTS} SELECT event_id, verdict IN ('exact', 'partial') AS same, true AS loose FROM u",
 )
 add(
     "verdict_rollup",
-    lambda s, d: matching.with_verdicts(_pairs(s, d), "log", "after").rollup("verdict").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("verdict", F.lit("__overall__")).alias("verdict"), "n"),
+    lambda s, d: _pairs(s, d).rollup("verdict").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("verdict", F.lit("__overall__")).alias("verdict"), "n"),
     f"WITH {VERDICTS} SELECT verdict, count(*) AS n FROM u GROUP BY 1 UNION ALL SELECT '__overall__', count(*) FROM u",
 )
 add(

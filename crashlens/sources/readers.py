@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tarfile
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,8 +43,10 @@ def bug_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv(spark: SparkSession, path: str, columns: list[str], numbers: tuple[str, ...] = ()) -> DataFrame:
-    """A CSV file with a header; blank is null, numbers are cast (SRC-10, SRC-14)."""
-    rows = spark.read.schema(", ".join(f"`{c}` string" for c in columns)).csv(path, header=True)
+    """Columns of a CSV file by the names in its header; blank is null, as is a column that the file lacks; numbers are cast (SRC-10, SRC-14)."""
+    rows = spark.read.csv(path, header=True)
+    have = {x.strip().lstrip("\ufeff"): x for x in rows.columns}
+    rows = rows.select(*((F.col(f"`{have[c]}`") if c in have else F.lit(None).cast("string")).alias(c) for c in columns))
     return rows.select(*((blank_to_null(c).try_cast("long") if c in numbers else blank_to_null(c)).alias(c) for c in columns))
 
 
@@ -164,7 +167,7 @@ MEMBERS = T.StructType([T.StructField("path", T.StringType()), T.StructField("me
 
 
 def archive_members(spark: SparkSession, path: str, head: int = 64) -> DataFrame:
-    """Files in tar.gz archives with their first bytes (SRC-17..19). Corrupt archives have no members; an archive is read in one task."""
+    """Files in tar.gz archives with their first bytes (SRC-17, SRC-19). An archive that is corrupt or cut off has no members at all; an archive is read in one task."""
 
     def unpack(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -172,13 +175,15 @@ def archive_members(spark: SparkSession, path: str, head: int = 64) -> DataFrame
         for batch in batches:
             rows = []
             for name, content in zip(batch["path"], batch["content"], strict=True):
+                own = []
                 try:
                     with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
                         for m in archive:
                             if m.isfile():
-                                rows.append((name, m.name, m.size, int(m.mtime), archive.extractfile(m).read(head)))
-                except (tarfile.TarError, EOFError, OSError):
+                                own.append((name, m.name, m.size, int(m.mtime), archive.extractfile(m).read(head)))
+                except (tarfile.TarError, EOFError, OSError, zlib.error):
                     continue
+                rows += own
             yield pd.DataFrame(rows, columns=[f.name for f in MEMBERS])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, MEMBERS)

@@ -67,6 +67,9 @@ def dispatch_bits(bugs: DataFrame, order: list[str], gated: str) -> DataFrame:
 
 
 def markdown(rows: DataFrame, limit: int = 1000) -> str:
-    """A small frame as a Markdown table (SNK-03, SNK-04); for summaries, the limit is the report's length."""
+    """A small frame as a Markdown table (SNK-03, SNK-04). More rows than the limit raise an error: a report isn't cut in silence."""
     head = "| " + " | ".join(rows.columns) + " |\n|" + "---|" * len(rows.columns) + "\n"
-    return head + "".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |\n" for r in rows.limit(limit).collect())
+    found = rows.limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} rows; raise the limit or summarise first")
+    return head + "".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |\n" for r in found)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,30 +22,42 @@ def statistics(rows: DataFrame) -> DataFrame:
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("user_id", 0.01).alias("users"), F.max("ts").alias("latest"))
 
 
+def _kept(spark: SparkSession) -> dict[str, str]:
+    """The option for a fresh checkpoint below the shared folder of the session; none where it has none, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return {"checkpointLocation": f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"} if root else {}
+
+
 def cumulative(rows: DataFrame, name: str) -> StreamingQuery:
-    """Runs the statistics over what is there, complete on each trigger, into a table in memory."""
-    return statistics(rows).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs the statistics over what is there, complete on each trigger, into a table in memory. Names of running queries differ."""
+    return statistics(rows).writeStream.outputMode("complete").format("memory").queryName(name).options(**_kept(rows.sparkSession)).trigger(availableNow=True).start()
 
 
 def until_match(rows: DataFrame, condition: str, seconds: float, keep: list[str]) -> list[tuple]:
-    """The first rows that fulfil a condition: batches run until one has a hit or time is up (STR-03, STR-04)."""
+    """The first row, by `keep`, of the first batch that has one for a condition: the stream ends with it, or when time is up (STR-03, STR-04)."""
     found: list[tuple] = []
 
     def look(batch: DataFrame, _: int) -> None:
         if not found:
             found.extend(tuple(r) for r in batch.where(condition).orderBy(*keep).select(*keep).limit(1).collect())
 
-    query = rows.writeStream.foreachBatch(look).trigger(availableNow=True).start()
-    query.awaitTermination(seconds)
+    query = rows.writeStream.foreachBatch(look).options(**_kept(rows.sparkSession)).trigger(availableNow=True).start()
+    until = time.monotonic() + seconds
+    while query.isActive and not found and time.monotonic() < until:
+        query.awaitTermination(0.1)
+    error = query.exception() if not found else None
     query.stop()
+    if error is not None:
+        raise error
     return found
 
 
 def latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and latest times by event type, from a stream that has read all events."""
-    query = cumulative(stream(spark, sf_dir, "events.parquet"), "latest_status_stream")
+    name = f"latest_status_{uuid.uuid4().hex}"
+    query = cumulative(stream(spark, sf_dir, "events.parquet"), name)
     query.awaitTermination()
-    return spark.table("latest_status_stream").select("event_type", "n", "latest")
+    return spark.table(name).select("event_type", "n", "latest")
 
 
 def stop_on_match(spark: SparkSession, sf_dir: str) -> DataFrame:

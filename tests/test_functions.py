@@ -72,7 +72,7 @@ def test_text(spark):
     assert one(spark, text.location(F.lit(None).cast("string"), F.lit(3))) == "-"
     assert one(spark, text.right_cut(F.lit("x" * 60))) == "..." + "x" * 47
     assert one(spark, text.html_text(F.lit('a<br/>b <a href="u">c</a>&amp;<i>d</i>'))) == "a\nb c&d"
-    assert one(spark, text.unescaped(F.lit("a" + chr(92) + "u003db"))) == "a=b"
+    assert one(spark, text.unescaped(F.lit(r"a\u003db"))) == "a=b"
     assert one(spark, text.key_values(F.lit("A: 1\nB: 2\nA: 3\nx"))) == {"A": "3", "B": "2"}
     assert one(spark, text.tail(F.lit("a\nb\nc"), 2)) == "b\nc" and one(spark, text.tail(F.lit(None).cast("string"))) == ""
     assert one(spark, text.state_top3(F.lit("a\n b |\nc\nd"))) == ["a", "b", "c"]
