@@ -52,9 +52,9 @@ def _items(benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, for documents with a doc_id.
 
-    docs: doc_id, text; benchmark: item_id, text. Null texts have no words; equal items count each; rows that repeat a
-    doc_id give their own rows only if the texts' words differ in number, else they are one document. An empty benchmark
-    hits nothing.
+    docs: doc_id, text; benchmark: item_id, text. A row per row of docs, also where rows repeat a doc_id or are wholly equal.
+    Null texts have no words. Items with the same words count each, rows with the same item_id once. An empty benchmark hits
+    nothing.
     """
     spark = docs.sparkSession
     items = scratch.stored(_items(benchmark), "items")
@@ -72,11 +72,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
             short = short if keep[0] == "doc_id" else f"if(n = {n}, {short}, cast(array() as array<struct<key: bigint, at: int, before: int, context: array<string>>>))"
             found = f"concat({found}, {short})"
         if keep[0] == "doc_id":  # a row for the document itself, with a key of its own
-            found = f"concat({found}, array(struct(xxhash64('document', doc_id) as key, -1 as at, 0 as before, cast(array() as array<string>) as context)))"
+            found = f"concat({found}, array(struct(xxhash64('document', doc_id, row) as key, -1 as at, 0 as before, cast(array() as array<string>) as context)))"
         return frame.select(*keep, "n", F.expr(f"explode({found})").alias("f")).select(*keep, "n", "f.*")
 
-    texts = docs.where("doc_id is not null").select("doc_id", F.expr(words()).alias("w")).withColumn("n", F.size("w"))
-    ours = entries(texts, ["doc_id"])
+    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("row"), F.expr(words()).alias("w")).withColumn("n", F.size("w"))
+    ours = entries(texts, ["doc_id", "row"])
     theirs = entries(items.withColumnRenamed("words", "w"), ["sequence"]).select("key", "sequence", F.col("before").alias("their_before"), F.col("context").alias("their_context"))
     met = ours.join(F.broadcast(theirs) if small else theirs, "key", "left").where("at < 0 or sequence is not null")
     # equal words left of the gram and from it on
@@ -85,17 +85,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     a = f"case when at < 0 then 0 when before < 0 then at else at - {run('-', left)} end"
     b = f"case when at < 0 then 0 when before < 0 then at - before else at + {run('+', right)} end"
     same = "(before = their_before and before < 0 and context = their_context)"
-    hits = met.select("doc_id", "n", "at", "sequence", F.expr(f"if(before < 0 and not ({same}), 0, {a})").alias("a"), F.expr(f"if(before < 0 and not ({same}), 0, {b})").alias("b"), "before")
-    hits = hits.where(f"at < 0 or (before < 0 and b > a) or (before >= 0 and b - a >= {window})").select("doc_id", "n", "at", "sequence", "a", "b")
-    spans = hits.groupBy("doc_id", "n").agg(F.collect_set(F.when(F.col("at") >= 0, F.struct("a", "b"))).alias("spans"), F.collect_set("sequence").alias("sequences"))
+    hits = met.select("doc_id", "row", "n", "at", "sequence", F.expr(f"if(before < 0 and not ({same}), 0, {a})").alias("a"), F.expr(f"if(before < 0 and not ({same}), 0, {b})").alias("b"), "before")
+    hits = hits.where(f"at < 0 or (before < 0 and b > a) or (before >= 0 and b - a >= {window})").select("doc_id", "row", "n", "at", "sequence", "a", "b")
+    copies = F.count_if(F.col("at") < 0).alias("copies")  # the document's own entry, once for each of its rows
+    spans = hits.groupBy("doc_id", "row", "n").agg(copies, F.collect_set(F.when(F.col("at") >= 0, F.struct("a", "b"))).alias("spans"), F.collect_set("sequence").alias("sequences"))
     covered = "aggregate(array_sort(spans), struct(0L as hit, 0 as done), (s, x) -> struct(s.hit + greatest(x.b - greatest(x.a, s.done), 0) as hit, greatest(s.done, x.b) as done), s -> s.hit)"
-    counted = spans.select("doc_id", F.col("n").cast("long").alias("n_words"), F.expr(covered).alias("n_hit"), "sequences")
-    clean = counted.where("size(sequences) = 0").select("doc_id", "n_words", "n_hit", F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"))
+    counted = spans.select("doc_id", "row", "copies", F.col("n").cast("long").alias("n_words"), F.expr(covered).alias("n_hit"), "sequences")
+    clean = counted.where("size(sequences) = 0").select("doc_id", "copies", "n_words", "n_hit", F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"))
     members = items.select("sequence", "items")
-    hit = counted.where("size(sequences) > 0").select("doc_id", "n_words", "n_hit", F.explode("sequences").alias("sequence"))
-    hit = hit.join(F.broadcast(members) if small else members, "sequence").groupBy("doc_id", "n_words", "n_hit").agg(F.sort_array(F.flatten(F.collect_list("items"))).alias("i"))
-    hit = hit.select("doc_id", "n_words", "n_hit", F.size("i").cast("long").alias("n_items"), F.sha2(F.array_join("i", ","), 256).alias("items_sha256"))
-    return clean.unionByName(hit).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+    hit = counted.where("size(sequences) > 0").select("doc_id", "row", "copies", "n_words", "n_hit", F.explode("sequences").alias("sequence"))
+    hit = hit.join(F.broadcast(members) if small else members, "sequence").groupBy("doc_id", "row", "copies", "n_words", "n_hit").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
+    hit = hit.select("doc_id", "copies", "n_words", "n_hit", F.size("i").cast("long").alias("n_items"), F.sha2(F.array_join("i", ","), 256).alias("items_sha256"))
+    out = clean.unionByName(hit).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+    return out.withColumn("copies", F.explode(F.expr("sequence(1L, copies)"))).drop("copies")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
