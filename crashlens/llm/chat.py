@@ -21,6 +21,8 @@ from crashlens.llm import scratch
 TURNS = "array<struct<role: string, text: string>>"
 #: Characters of the longest string that Spark's JSON reader takes.
 JSON_CHARS = 20_000_000
+#: Turns of a block in which places of texts are counted.
+BLOCK = 256
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\\n"
 
 
@@ -49,10 +51,10 @@ def _pair(user: str, assistant: str, system: str | None = None) -> str:
 _ASKED = f"{_field('instruction')} || if({_field('input')} = '', '', '\\n\\n' || {_field('input')})"
 #: Mappings by layout; a record of any other layout keeps null turns.
 LAYOUTS = (
-    Layout("messages", ('{"messages":[{"role":"","content":""}]}',), _listed("messages", "role", "content")),
-    Layout("turns", ('{"turns":[{"role":"","text":""}]}',), _listed("turns", "role", "text")),
+    Layout("messages", ('{"messages":[{"role":"","content":""}]}', '{"messages":[]}'), _listed("messages", "role", "content")),
+    Layout("turns", ('{"turns":[{"role":"","text":""}]}', '{"turns":[]}'), _listed("turns", "role", "text")),
     Layout(
-        "conversations", ('{"conversations":[{"from":"","value":""}]}',),
+        "conversations", ('{"conversations":[{"from":"","value":""}]}', '{"conversations":[]}'),
         f"transform({_listed('conversations', 'from', 'value')}, x -> struct(case x.role when 'human' then 'user' when 'gpt' then 'assistant' else x.role end as role, x.text as text))",
     ),
     Layout("instruction", ('{"instruction":"","output":""}', '{"instruction":"","input":"","output":""}'), _pair(_ASKED, _field("output"))),
@@ -91,37 +93,44 @@ def _typed(turns: str, column: str) -> str:
 
 
 def canonical(records: DataFrame, column: str = "record") -> DataFrame:
-    """Adds layout and turns to JSON records or typed ones (structs, whose schema is hashed instead).
+    """Adds layout and turns, which replace columns of these names, to JSON records or typed ones (structs, whose schema is hashed instead).
 
     Malformed JSON, null and unknown layouts have null for both; no turns are an empty array. A JSON record of more than
     JSON_CHARS characters that can't be read raises an error, as it may be whole but oversize.
     """
-    cases = [(" or ".join(f"f = {fingerprint(f'parse_json({chr(39)}{x}{chr(39)})')}" for x in y.examples), y) for y in LAYOUTS]
+    cases = [(" or ".join(f"_print = {fingerprint(f'parse_json({chr(39)}{x}{chr(39)})')}" for x in y.examples), y) for y in LAYOUTS]
     case = lambda what: "case " + " ".join(f"when {test} then {what(y)}" for test, y in cases) + " end"
     kind = records.schema[column].dataType
     if isinstance(kind, StructType):
         example = json.dumps(_example(kind)).replace("\\", "\\\\").replace("'", "\\'")
         f = fingerprint(f"parse_json('{example}')")
-        name = records.sparkSession.sql(f"select {case(lambda y: f'{chr(39)}{y.name}{chr(39)}')} as name from (select {f} as f)").first().name
+        name = records.sparkSession.sql(f"select {case(lambda y: f'{chr(39)}{y.name}{chr(39)}')} as name from (select {f} as _print)").first().name
         turns = next((_typed(y.turns, column) for y in LAYOUTS if y.name == name), "null")
         known = F.col(column).isNotNull()
         return records.withColumn("layout", F.when(known, F.lit(name).cast("string"))).withColumn("turns", F.when(known, F.expr(f"cast({turns} as {TURNS})")))
     read = f"if(char_length(`{column}`) > {JSON_CHARS}, parse_json(`{column}`), try_parse_json(`{column}`))"
-    parsed = records.withColumn("v", F.expr(read)).withColumn("f", F.expr(fingerprint("v")))
-    return parsed.withColumn("layout", F.expr(case(lambda y: f"'{y.name}'"))).withColumn("turns", F.expr(case(lambda y: f"cast({y.turns} as {TURNS})"))).drop("v", "f")
+    parsed = records.withColumn("_record", F.expr(read)).withColumn("_print", F.expr(fingerprint("_record")))
+    turns = lambda y: f"cast({y.turns.replace('try_variant_get(v, ', 'try_variant_get(_record, ')} as {TURNS})"
+    return parsed.withColumn("layout", F.expr(case(lambda y: f"'{y.name}'"))).withColumn("turns", F.expr(case(turns))).drop("_record", "_print")
 
 
 def render(turns: DataFrame) -> DataFrame:
-    """Adds formatted, the marked turns, and loss, the places in it (start from 0, length, in code points) of assistant texts.
+    """Adds formatted, the marked turns, and loss, the places in it (start from 0, length, in code points) of assistant texts; both replace columns of these names.
 
     Needs column turns. Null turns give null; a line break in a role is escaped, as the first one ends the role.
     """
     role = f"replace({escape('x.role')}, '\n', '\\\\n')"
-    parts = turns.withColumn("part", F.expr(f"transform(turns, x -> struct('{OPEN}' || {role} || '\n' as head, {escape('x.text')} as body, x.role = 'assistant' as loss))"))
+    parts = turns.withColumn("_part", F.expr(f"transform(turns, x -> struct('{OPEN}' || {role} || '\n' as head, {escape('x.text')} as body, x.role = 'assistant' as loss))"))
     close = CLOSE.replace("\\n", "\n")
-    out = parts.withColumn("formatted", F.expr(f"array_join(transform(part, x -> x.head || x.body || '{close}'), '')"))
-    step = f"struct(a.at + char_length(x.head) + char_length(x.body) + {len(close)} as at, if(x.loss, concat(a.loss, array(struct(a.at + char_length(x.head) as start, char_length(x.body) as length))), a.loss) as loss)"
-    return out.withColumn("loss", F.expr(f"aggregate(part, struct(0 as at, cast(array() as array<struct<start: int, length: int>>) as loss), (a, x) -> {step}, a -> a.loss)")).drop("part")
+    out = parts.withColumn("formatted", F.expr(f"array_join(transform(_part, x -> x.head || x.body || '{close}'), '')"))
+    size = f"char_length(x.head) + char_length(x.body) + {len(close)}"
+    step = f"struct(a.at + {size} as at, if(x.loss, concat(a.loss, array(struct(a.at + char_length(x.head) as start, char_length(x.body) as length))), a.loss) as loss)"
+    # places are gathered by blocks of turns, as an array that grows with each turn would be copied each time
+    block = f"aggregate(slice(_part, i * {BLOCK} + 1, {BLOCK}), struct(0 as at, cast(array() as array<struct<start: int, length: int>>) as loss), (a, x) -> {step})"
+    blocks = out.withColumn("_blocks", F.expr(f"transform(sequence(0, greatest(size(_part) - 1, 0) div {BLOCK}), i -> {block})"))
+    moved = "concat(a.loss, array(transform(x.loss, y -> struct(a.at + y.start as start, y.length as length))))"
+    places = f"aggregate(_blocks, struct(0 as at, cast(array() as array<array<struct<start: int, length: int>>>) as loss), (a, x) -> struct(a.at + x.at as at, {moved} as loss), a -> flatten(a.loss))"
+    return blocks.withColumn("loss", F.expr(f"if(turns is null, null, {places})")).drop("_blocks").drop("_part")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
