@@ -1,8 +1,8 @@
 """Best-fit packing of token pieces into sequences of a fixed capacity.
 
-The plan depends on the histogram of lengths alone, capacity counters at most: single lengths, then pairs, then triples
-that fill a gap exactly are consumed as often as availability counts allow; what is left goes to the open sequence with
-the smallest gap that takes it. A piece then finds its place from its rank among the pieces of its length.
+The plan depends on the histogram of lengths alone, capacity counters at most. Lengths and the sums of pairs are indexed; single
+lengths, then pairs, then triples (a length and an indexed pair) that fill a gap exactly are consumed as often as availability
+counts allow; what is left goes to the open sequence with the smallest gap that takes it. A piece then finds its place from its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -18,16 +18,59 @@ from crashlens.llm import scratch
 from crashlens.llm.tokens import crc32, encoder, public
 
 
-def _sums(have: np.ndarray, capacity: int) -> np.ndarray:
-    """Which sums of two available lengths exist (one length taken twice included)."""
-    n = 2 * capacity + 2
-    f = np.fft.rfft(have.astype(float), n)
-    return np.rint(np.fft.irfft(f * f, n))[: capacity + 1] > 0
+class Sums:
+    """Sums of available lengths: single ones, pairs by their sum, and triples as a length and a pair of the rest.
+
+    Availability only falls, so an entry that is used up never comes back and each is passed over once.
+    """
+
+    def __init__(self, left: np.ndarray, capacity: int):
+        self.left = left
+        v = np.flatnonzero(left[:capacity])
+        firsts, seconds = [np.zeros(0, np.uint16)], [np.zeros(0, np.uint16)]
+        for a in v.tolist():
+            fits = v[(v >= a) & (v < capacity - a)]
+            firsts.append(np.full(len(fits), a, np.uint16))
+            seconds.append(fits.astype(np.uint16))
+        a, b = np.concatenate(firsts), np.concatenate(seconds)
+        sums = a.astype(np.int32) + b
+        order = np.argsort(sums, kind="stable")
+        self.a, self.b = a[order], b[order]  # the more even pairs of a sum last
+        self.begin = np.searchsorted(sums[order], np.arange(capacity + 1))
+        self.end = np.append(self.begin[1:], len(a))
+        self.some = self.begin < self.end
+
+    def free(self, length: int, used: tuple[int, ...]) -> int:
+        return int(self.left[length]) - used.count(length)
+
+    def pair(self, total: int, used: tuple[int, ...]) -> tuple[int, int] | None:
+        """Two available lengths with that sum, besides those that are used already."""
+        while self.some[total]:
+            i = int(self.end[total]) - 1
+            a, b = int(self.a[i]), int(self.b[i])
+            if self.left[a] and self.left[b] and (a != b or self.left[a] > 1):
+                break
+            self.end[total] = i
+            self.some[total] = self.begin[total] < i
+        for i in range(int(self.end[total]) - 1, int(self.begin[total]) - 1, -1):
+            a, b = int(self.a[i]), int(self.b[i])
+            if self.free(a, used) > 0 and self.free(b, (*used, a)) > 0:
+                return b, a
+        return None
+
+    def triple(self, total: int, used: tuple[int, ...]) -> tuple[int, int, int] | None:
+        """Three available lengths with that sum: the longest whose rest is the sum of a pair."""
+        x = np.arange(total - 2, 0, -1)
+        for length in x[(self.left[x] > 0) & self.some[total - x]].tolist():
+            if self.free(length, used) > 0 and (found := self.pair(total - length, (*used, length))):
+                return length, *found
+        return None
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths with how many sequences have each; counts[length] pieces, lengths from 1 to capacity."""
     left, out = counts.astype(np.int64).copy(), []
+    sums = Sums(left, capacity)
 
     def take(pattern: tuple[int, ...]) -> None:
         kinds, need = np.unique(pattern, return_counts=True)
@@ -38,37 +81,13 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]
 
     if left[capacity]:
         take((capacity,))
-    pairs, stale = _sums(left > 0, capacity), 0
     for length in range(capacity - 1, 0, -1):
         gap = capacity - length
-        if left[length] and left[gap]:
+        if left[length] and sums.free(gap, (length,)) > 0:
             take((length, gap))
-        while left[length]:
-            a = np.arange(1, gap // 2 + 1)
-            a = a[(left[a] > 0) & (left[gap - a] > 0)]
-            a = a[(left[a] > (a == length)) & (left[gap - a] > (gap - a == length)) & ((a * 2 != gap) | (left[a] > 1))]
-            if not len(a):
-                break
-            before = left[length]
-            take((length, int(gap - a[-1]), int(a[-1])))
-            if left[length] == before:
-                break
-            stale += 1
-        while left[length]:
-            if stale:
-                pairs, stale = _sums(left > 0, capacity), 0
-            a = np.arange(1, gap - 1)
-            for x in a[(left[a] > 0) & pairs[gap - a]][::-1].tolist():
-                b = np.arange(1, (gap - x) // 2 + 1)
-                c = gap - x - b
-                need = lambda y, z: 1 + (y == length) + (y == x) + (y == z)  # noqa: B023, E731
-                b = b[(left[b] >= need(b, c)) & (left[c] >= need(c, b))]
-                if len(b) and left[x] > (x == length):
-                    take((length, x, int(gap - x - b[-1]), int(b[-1])))
-                    stale += 1
-                    break
-            if not stale:
-                break
+        for more in (sums.pair, sums.triple):
+            while left[length] and (found := more(gap, (length,))):
+                take((length, *found))
     # best fit of the rest, longest first
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     gaps = np.zeros(capacity + 1, bool)
@@ -115,34 +134,43 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]
     return {k: np.array([r[i] for r in rows], np.int64) for i, k in enumerate(("length", "rank", "sequence", "offset"))}
 
 
+#: Columns that packing uses inside.
+INSIDE = ("_bucket", "_n", "_base", "_own", "_rank")
+
+
 def ranked(pieces: DataFrame, buckets: int) -> DataFrame:
-    """Numbers the pieces of each length from 0 in column rank.
+    """Numbers the pieces of each length from 0 in column _rank.
 
     Pieces of a length are dealt to hash buckets, ranked within one and moved by the counts of the buckets before it, so
-    a length that most pieces have isn't sorted in one task.
+    a length that most pieces have isn't sorted in one task. Equal pieces take their ranks in any order.
     """
-    salted = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    counts = salted.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    return salted.withColumn("own", F.row_number().over(own)).join(counts, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("own") - 1).drop("bucket", "own", "base")
+    salted = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id() % 64), F.lit(buckets)))
+    salted = scratch.stored(salted, "salted")
+    counts = salted.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
+    return salted.withColumn("_own", F.row_number().over(own)).join(counts, ["length", "_bucket"]).withColumn("_rank", F.col("_base") + F.col("_own") - 1).drop("_bucket", "_own", "_base")
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, length, ids_crc32 and more); lengths from 1 to capacity."""
+    """Adds sequence_id and offset, which replace columns of these names, to pieces: doc_id, piece, length from 1 to capacity, ids_crc32.
+
+    Other columns stay, but those named as in INSIDE go. No pieces give no rows; null ids and equal rows are pieces like others.
+    """
     spark = pieces.sparkSession
+    pieces = pieces.drop(*INSIDE)
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # capacity rows at most
         counts[length] = n
     table = places(plan(counts, capacity))
-    shared, kept = spark.sparkContext.broadcast(table), [f for f in pieces.schema.fields if f.name not in ("rank", "sequence_id", "offset")]
+    shared, kept = spark.sparkContext.broadcast(table), [f for f in pieces.schema.fields if f.name not in ("sequence_id", "offset")]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         keys = t["length"] << 40 | t["rank"]
         for batch in batches:
-            length, rank = (np.asarray(batch.column(k)).astype(np.int64) for k in ("length", "rank"))
+            length, rank = (np.asarray(batch.column(k)).astype(np.int64) for k in ("length", "_rank"))
             at = np.searchsorted(keys, length << 40 | rank, "right") - 1
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(f.name) for f in kept), pa.array(t["sequence"][at] + rank - t["rank"][at]), pa.array(t["offset"][at])],
@@ -150,7 +178,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
             )
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "sequence_id long, offset long"])
-    return ranked(pieces, max(32, int(counts.sum()) // 200_000)).select(*(f.name for f in kept), "rank").mapInArrow(place, schema)
+    return ranked(pieces, max(32, int(counts.sum()) // 200_000)).select(*(f"`{f.name}`" for f in kept), "_rank").mapInArrow(place, schema)
 
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -177,6 +205,11 @@ def cut(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, capacity: int = 4096, path: str | None = None, end_id: int = 1) -> DataFrame:
+    """A row per piece of each row's text (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null or empty text is one piece with the end id alone. Rows with a null or repeated doc_id are packed like others; no rows
+    give no pieces. A text of any length is cut into as many pieces as it needs.
+    """
     pieces = scratch.stored(cut(docs, path or public("word_bpe_49k.json"), end_id, capacity), "pieces")
     return pack(pieces, capacity).withColumns({"length": F.col("length").cast("long")})
 
