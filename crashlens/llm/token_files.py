@@ -98,8 +98,11 @@ def starts(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-def read(manifest: DataFrame) -> DataFrame:
-    """A row per document, decoded from the files: doc_id, start, n_tokens, ids_crc32."""
+def read(manifest: DataFrame, end_id: int) -> DataFrame:
+    """A row per document, decoded from the files: doc_id, start, n_tokens, ids_crc32.
+
+    Each document must end where the file's tokens have an end id, as an occurrence lookup gives; else the file is damaged.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,6 +110,8 @@ def read(manifest: DataFrame) -> DataFrame:
                 shard = Shard.from_bytes(get(row["path"]))
                 values = shard.tokens.decode()
                 edges = np.concatenate(([0], np.cumsum(shard.lengths)))
+                if len(np.intersect1d(shard.tokens.select(end_id), edges[1:] - 1)) != len(shard.doc_ids) or edges[-1] != shard.tokens.n:
+                    raise ValueError(f"{row['path']} is damaged")
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(shard.doc_ids), "start": pa.array(edges[:-1] + row["start"]), "n_tokens": pa.array(shard.lengths),
                     "ids_crc32": pa.array([crc32(values[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.int64()),
@@ -119,4 +124,4 @@ def read(manifest: DataFrame) -> DataFrame:
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = scratch.table(spark, sf_dir, "documents")
     manifest = write(docs, public("byte_bpe_50k.json"), 2, scratch.folder(spark, "token-files"), scratch.partitions(spark))
-    return read(manifest)
+    return read(manifest, 2)

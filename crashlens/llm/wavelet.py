@@ -1,4 +1,8 @@
-"""A wavelet matrix: bit planes with rank samples. Access, counting and occurrence lookup work on arrays of places."""
+"""A wavelet matrix: bit planes with a rank directory that is stored with them. Access, counting and occurrence lookup work on arrays of places.
+
+The directory has the ones before each word of 64 bits, as 16 bits within a block of 1,000 words and 64 bits for the block: a
+quarter of the planes' size.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +10,27 @@ import struct
 
 import numpy as np
 
-#: Bits between two rank samples.
+#: Bits of a word, and words of a block of the directory.
 STEP = 64
-_MAGIC = b"WVM1"
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+BLOCK = 1000
+_MAGIC = b"WVM2"
 
 
 class WaveletMatrix:
     def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
         """planes: 64-bit words, most significant bit of the values first."""
         self.n, self.planes, self.zeros, self.bits = n, planes, zeros, len(planes)
-        self._samples: list[np.ndarray] | None = None
+        self.small: list[np.ndarray] = []
+        self.large: list[np.ndarray] = []
+
+    def _direct(self) -> WaveletMatrix:
+        """Makes the directory."""
+        for p in self.planes:
+            before = np.concatenate(([0], np.cumsum(np.bitwise_count(p), dtype=np.int64)))[:-1]
+            large = before[::BLOCK]
+            self.large.append(large)
+            self.small.append((before - np.repeat(large, BLOCK)[: len(before)]).astype(np.uint16))
+        return self
 
     @classmethod
     def build(cls, values: np.ndarray, bits: int | None = None) -> WaveletMatrix:
@@ -33,20 +47,24 @@ class WaveletMatrix:
             left = v[~one]
             zeros.append(len(left))
             v = np.concatenate((left, v[one]))
-        return cls(n, planes, zeros)
-
-    @property
-    def samples(self) -> list[np.ndarray]:
-        """Ones before each word of a plane."""
-        if self._samples is None:
-            self._samples = [np.concatenate(([0], np.cumsum(np.bitwise_count(p), dtype=np.int64)))[:-1].astype(np.uint32 if self.n < 2**32 else np.int64) for p in self.planes]
-        return self._samples
+        return cls(n, planes, zeros)._direct()
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         """Ones of a plane before each place."""
         word = at >> 6
         low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.samples[level][word].astype(np.int64) + np.bitwise_count(self.planes[level][word] & low)
+        return self.large[level][word // BLOCK] + self.small[level][word] + np.bitwise_count(self.planes[level][word] & low)
+
+    def _places(self, level: int, one: bool, number: np.ndarray) -> np.ndarray:
+        """Places of a plane's ones or zeros by their ascending numbers, from 0: the directory leads to the words, and only those are unpacked."""
+        before = np.repeat(self.large[level], BLOCK)[: len(self.small[level])] + self.small[level]
+        if not one:
+            before = np.arange(len(before)) * STEP - before
+        word = np.searchsorted(before, number, "right") - 1
+        some, at = np.unique(word, return_inverse=True)
+        bits = np.unpackbits(self.planes[level][some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") == one
+        order = np.argsort(~bits, axis=1, kind="stable")  # places of a word's bits, wanted ones first
+        return word * STEP + order[at, number - before[word]]
 
     def access(self, at: np.ndarray) -> np.ndarray:
         at, out = np.asarray(at, np.int64), np.zeros(len(at), np.int64)
@@ -73,16 +91,13 @@ class WaveletMatrix:
     def select(self, value: int) -> np.ndarray:
         """All places of a value, ascending."""
         total, lo = self.count(value), np.zeros(1, np.int64)
-        starts = []
         for level in range(self.bits):
-            starts.append(int(lo[0]))
             ones = self._ones(level, lo)
             lo = self.zeros[level] + ones if (value >> (self.bits - 1 - level)) & 1 else lo - ones
         at = int(lo[0]) + np.arange(total)
         for level in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level].view(np.uint8), bitorder="little")[: self.n].astype(bool)
-            places = np.flatnonzero(bit) if (value >> (self.bits - 1 - level)) & 1 else np.flatnonzero(~bit)
-            at = places[at - (self.zeros[level] if (value >> (self.bits - 1 - level)) & 1 else 0)]
+            one = bool((value >> (self.bits - 1 - level)) & 1)
+            at = self._places(level, one, at - (self.zeros[level] if one else 0))
         return at
 
     def decode(self) -> np.ndarray:
@@ -99,7 +114,8 @@ class WaveletMatrix:
 
     def to_bytes(self) -> bytes:
         head = struct.pack("<4sqi", _MAGIC, self.n, self.bits) + struct.pack(f"<{self.bits}q", *self.zeros)
-        return head + b"".join(p.astype("<u8").tobytes() for p in self.planes)
+        parts = [x.astype(kind).tobytes() for kind, xs in (("<u8", self.planes), ("<i8", self.large), ("<u2", self.small)) for x in xs]
+        return head + b"".join(parts)
 
     @classmethod
     def from_bytes(cls, data: bytes | memoryview) -> WaveletMatrix:
@@ -107,4 +123,10 @@ class WaveletMatrix:
         if magic != _MAGIC:
             raise ValueError("not a wavelet matrix")
         zeros, at, words = list(struct.unpack_from(f"<{bits}q", data, 16)), 16 + 8 * bits, -(-n // STEP) + 1
-        return cls(n, [np.frombuffer(data, "<u8", words, at + 8 * words * i) for i in range(bits)], zeros)
+        blocks = -(-words // BLOCK)
+        out = cls(n, [np.frombuffer(data, "<u8", words, at + 8 * words * i) for i in range(bits)], zeros)
+        at += 8 * words * bits
+        out.large = [np.frombuffer(data, "<i8", blocks, at + 8 * blocks * i) for i in range(bits)]
+        at += 8 * blocks * bits
+        out.small = [np.frombuffer(data, "<u2", words, at + 2 * words * i) for i in range(bits)]
+        return out
