@@ -68,7 +68,7 @@ def repeats(docs, n):
     return out
 
 
-def lines(docs, percent=80):
+def gone_lines(docs, percent=80):
     sets, first, gone = [], {}, set()
     for i, t in sorted(docs, key=lambda x: x[0]):
         for k, line in enumerate(t.split("\n") if t is not None else []):
@@ -86,9 +86,26 @@ def lines(docs, percent=80):
     for i, k, x in sets:
         if x in gone or first[x] < (i, k):
             out[i].add(k)
+    return out
+
+
+def lines(docs, percent=80):
+    out = gone_lines(docs, percent)
     return {i: (len(t.split("\n")) if t is not None else 0, len(out[i]), sha("\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in out[i]))) for i, t in docs}
 
 
+def packed(rows, capacity):
+    """Sequences are gapless from 0 and hold no more than the capacity; pieces of a document follow each other."""
+    sequences, pieces = defaultdict(list), defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+        pieces[r.doc_id].append((r.piece, r.start, r.length))
+    for parts in sequences.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= capacity
+    return len(sequences), pieces
+
+
 def chat(rows):
     groups, out = defaultdict(list), {}
     for c, t, r, x in rows:

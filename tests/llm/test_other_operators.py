@@ -112,6 +112,39 @@ def test_typed_layouts(spark):
     assert other.layout is None and other.turns is None
 
 
+def test_empty_lists_and_clashing_columns(spark):
+    got = chat.canonical(spark.createDataFrame([('{"turns":[]}',), ('{"messages":[]}',), ('{"turns":[{"role":"user","text":"x"}]}',)], "record string").withColumns({c: F.lit(1) for c in ("v", "f", "part")}))
+    assert [(r.layout, [tuple(t) for t in r.turns], r.v, r.f) for r in got.collect()] == [("turns", [], 1, 1), ("messages", [], 1, 1), ("turns", [("user", "x")], 1, 1)]
+    out = chat.render(got).collect()
+    assert out[0].formatted == "" and out[0].loss == [] and out[0].part == 1
+
+
+def test_places_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 3)
+    turns = [(1, i, ("user", "assistant")[i % 2], "é" * i + "<|") for i in range(20)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    rendered = chat.render(chat.canonical(chat.conversations(frame)))
+    assert {r[0]: tuple(r)[1:5] for r in chat.digest(rendered).collect()} == brute.chat(turns)
+    row = rendered.first()
+    assert [row.formatted[x.start : x.start + x.length] for x in row.loss] == ["é" * i + "<\\|" for i in range(1, 20, 2)]
+
+
+def test_numerals_are_no_letters():
+    model = language.Model({"x": ["abc abc"]})
+    assert model.predict(["½ ² Ⅷ 12 _", "ª", None, "", "a"])[0] == ["und", "x", "und", "und", "x"]
+
+
+def test_language_blocks_ties_and_sizes():
+    """Parsing starts anew at each block; ties go to the first name; a longer labelled text costs more bits a phrase."""
+    rng = random.Random(7)
+    train, text = "".join(rng.choice("abc ") for _ in range(300)), "".join(rng.choice("abcd ") for _ in range(2 * language.BLOCK + 77))
+    model = language.Model({"x": [train], "y": [train]})
+    want = sum(longest_parse(text[i : i + language.BLOCK], train) for i in range(0, len(text), language.BLOCK))
+    assert model.phrases([text]).tolist() == [[want, want]] and model.predict([text, text]) == (["x", "x"], [0.0, 0.0])
+    small, large = language.Model({"a": ["qq"], "b": ["q" * 5000 + "z"]}).automata
+    assert small.bits < large.bits
+
+
 def test_chat_is_native(spark):
     frame = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = chat.digest(chat.render(chat.canonical(chat.conversations(frame))))._jdf.queryExecution().executedPlan().toString()
@@ -124,13 +157,28 @@ def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.integers(-3, 4, (300, 3)) / 256)]
     odd = [(500, None), (501, [1.0, None, 2.0]), (502, [float("nan"), 1.0, 1.0]), (503, [float("inf")] * 3), (550, []), (600, [1.0, 2.0]), (601, [1.0, -2.0]), (650, [1.0] * 4), (None, [1.0] * 3)]
-    frame = spark.createDataFrame([*rows, *odd, *rows[:5]], "vec_id long, embedding array<float>").withColumn("v", F.lit(0)).withColumn("shard", F.lit(0))
+    frame = spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<float>").withColumn("v", F.lit(0)).withColumn("shard", F.lit(0))
     v = topk.integers(frame)
     assert sorted(map(tuple, topk.top_k(v, v.where("vec_id % 50 = 0")).collect())) == brute.top_k([*rows, *odd])
     none = topk.integers(frame.where("false"))
     assert topk.top_k(none, none).count() == 0
 
 
+def test_top_k_of_hot_regions(spark, monkeypatch):
+    """Many equal vectors, many parts of a region, more dimensions, repeated rows."""
+    monkeypatch.setattr(topk, "SHARD", 50)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 130)).astype(np.float32))]
+    rows = [(i, rows[7][1]) if i % 3 == 0 else (i, v) for i, v in rows]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    v = topk.integers(frame)
+    assert sorted(map(tuple, topk.top_k(v, v.where("vec_id % 50 = 0")).collect())) == brute.top_k(rows)
+    twice = topk.integers(frame.unionByName(frame.where("vec_id = 399")))
+    got = [tuple(r) for r in topk.top_k(twice, twice.where("vec_id = 0"), 400).collect()]
+    assert len(got) == 400 and sum(r[2] == 399 for r in got) == 2
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_top_k_keeps_all_finite_vectors(spark, monkeypatch, kind):
     """Components from 2^20 up to the greatest floats, whose scores pass 63 bits, of both signs."""
@@ -192,11 +240,17 @@ def test_pipeline_stages(spark, tmp_path, corpus):
     before, after = seen["language_id"]
     assert {r.doc_id for r in after} == {i for i, t in before if any(c.isalpha() for c in t or "")}
     before, after = seen["line_dedup"]
-    want = brute.lines(before)
-    assert {r.doc_id: brute.sha(r.text) for r in after} == {i: w[2] for i, w in want.items() if w[1] == 0 or w[1] < w[0] and i in {r.doc_id for r in after}}
+    want, texts = brute.lines(before), dict(before)
+    left = {i: "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in brute.gone_lines(before)[i]) for i in texts}
+    assert {r.doc_id: r.text for r in after} == {i: left[i] for i in texts if want[i][1] == 0 or left[i].strip(" \t\n\r\x0b\x0c")}
     before, after = seen["ngram_jaccard"]
     assert {r.doc_id for r in after} == {i for i, (_, c) in brute.jaccard(before).items() if c == i}
     before, after = seen["decontamination"]
     assert {r.doc_id for r in after} == {i for i, x in brute.decontamination(before, bench).items() if not x[4]} and 700 not in {r.doc_id for r in after}
     before, after = seen["best_fit_packing"]
     assert {r.doc_id for r in after} == {i for i, _ in before}
+    assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "start", "length", "ids_crc32").collect())) == sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in after)
+    brute.packed(after, 4096)
+    none = spark.read.parquet(f"{tmp_path}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0

@@ -18,6 +18,15 @@ def test_decontamination(spark, docs, corpus):
     assert len(none) == len(rows) and not any(r.n_hit or r.contaminated for r in none)
 
 
+def test_decontamination_of_repeated_ids(spark, docs):
+    """Each row has its own result; an item on two rows counts once."""
+    bench = spark.createDataFrame([(7, "one two three"), (7, "two three four"), (8, "ONE two three")], "item_id long, text string")
+    rows = [(1, "one two three four"), (1, "nine ten two six"), (2, "one two three"), (2, "one two three")]
+    got = sorted(tuple(r) for r in decontamination.decontaminate(docs(rows), bench).collect())
+    sha = brute.sha
+    assert got == [(1, 4, 0, 0, sha(""), False), (1, 4, 4, 2, sha("7,8"), True), (2, 3, 3, 2, sha("7,8"), True), (2, 3, 3, 2, sha("7,8"), True)]
+
+
 def test_decontamination_shuffled(spark, docs, corpus, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_BYTES", -1)
     rows = corpus(2, 25)

@@ -46,12 +46,12 @@ def test_token_files(spark, docs, corpus, monkeypatch):
     random.Random(1).shuffle(rows)
     path = public("byte_bpe_50k.json")
     manifest = token_files.write(docs([*rows, (None, "x")]), path, 2, scratch.folder(spark, "t"), 3)
-    got, coder, start = sorted(map(tuple, token_files.read(manifest).collect())), Encoder(path), 0
+    got, coder, start = sorted(map(tuple, token_files.read(manifest, 2).collect())), Encoder(path), 0
     for (doc, text), row in zip(sorted(rows, key=lambda r: r[0]), got, strict=True):
         ids = np.array([*coder.library.encode(text or "", add_special_tokens=False).ids, 2])
         assert row == (doc, start, len(ids), crc32(ids))
         start += len(ids)
-    assert token_files.read(token_files.write(docs([]), path, 2, scratch.folder(spark, "t"), 3)).count() == 0
+    assert token_files.read(token_files.write(docs([]), path, 2, scratch.folder(spark, "t"), 3), 2).count() == 0
 
 
 @pytest.mark.parametrize("block", [2, 6, 64, 1 << 20])
