@@ -35,6 +35,8 @@ BUCKET = 1 << 20
 #: Tokens of a narrow range of hashes from which on they aren't counted in one place, but all taken as frequent, and the ranges.
 HOT = 1 << 20
 RANGE_BITS = 14
+#: Ids up to which a join with the texts is broadcast: three longs each.
+BROADCAST_ROWS = 200_000
 #: Longest list of prefixes that a single token's index keeps; tokens with longer ones are indexed in pairs.
 RARE = 32
 
@@ -214,7 +216,9 @@ def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 
 def _confirmed(links: DataFrame, names: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) of nodes whose texts' shingles, as words, are similar enough. names: node, least, row (a doc_id and a text's hash)."""
-    wanted = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(names, "node")
+    wanted = scratch.stored(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(names, "node"), "wanted")
+    if wanted.count() <= BROADCAST_ROWS:  # else both sides are shuffled by document
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("least"), F.xxhash64("text").alias("row"), "text").join(wanted, ["least", "row"])
     texts = scratch.stored(texts.groupBy("node").agg(F.max("text").alias("text")), "link-texts")
     a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
@@ -320,15 +324,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     pivots = prefix.groupBy("token").agg(F.min(F.struct("alone", "node", "n", *SIGNS)).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
     own = ("n", "alone", *SIGNS)
     stars = prefix.join(pivots, "token").select(F.col("p.node").alias("a"), *_side("a", own, "p."), F.col("node").alias("b"), *_side("b", own))
-    stars = scratch.stored(_verified(stars.where(f"a <> b and {_fits(percent)}").select("a", "b").distinct(), held, percent), "stars")
-    links = _confirmed(stars, names.select("node", "least", "row"), docs, k, percent)
-
+    links = scratch.stored(_verified(stars.where(f"a <> b and {_fits(percent)}").select("a", "b").distinct(), held, percent), "stars")
+    while True:  # once, unless hashes of different shingles are equal
+        joined = components(links)
+        index = scratch.stored(prefix.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")).select("token", *ENTRY), "index")
+        found = scratch.stored(links.unionByName(_verified(_pairs(index, percent), held, percent)).distinct(), "found")
+        scratch.forget(index)
+        links = _confirmed(found, names.select("node", "least", "row"), docs, k, percent)
+        if links.count() == found.count():
+            break
     joined = components(links)
-    index = scratch.stored(prefix.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")).select("token", *ENTRY), "index")
-    more = scratch.stored(_verified(_pairs(index, percent), held, percent), "more")
-    more = _confirmed(more, names.select("node", "least", "row"), docs, k, percent) if not more.isEmpty() else more
-    joined = components(links.unionByName(more))
-    scratch.forget(prefix, held, index, stars)
+    scratch.forget(prefix, held, found)
 
     nodes = names.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = nodes.groupBy("component").agg(F.min("least").alias("component_id"))

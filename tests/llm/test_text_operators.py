@@ -35,10 +35,12 @@ def test_decontamination_shuffled(spark, docs, corpus, monkeypatch):
     assert got == brute.decontamination(rows, bench)
 
 
-@pytest.mark.parametrize(("rare", "hot"), [(32, 1 << 20), (1, 1 << 20), (32, 20)])
-def test_jaccard(docs, corpus, monkeypatch, rare, hot):
+@pytest.mark.parametrize(("rare", "hot", "bits"), [(32, 1 << 20, 48), (1, 1 << 20, 48), (32, 20, 48), (32, 1 << 20, 32)])
+def test_jaccard(docs, corpus, monkeypatch, rare, hot, bits):
     monkeypatch.setattr(jaccard, "RARE", rare)
     monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "TOKEN_BITS", bits)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0 if hot == 20 else 1000)
     rows = corpus(3, 90, 120)
     got = {r[0]: tuple(r)[1:] for r in jaccard.jaccard_components(docs([*rows, (None, "x")])).collect()}
     assert got == brute.jaccard(rows)
