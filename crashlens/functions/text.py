@@ -113,6 +113,31 @@ def key_values(block: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(parsed, lambda x: x["k"] == k), -1)["v"]))
 
 
+def report_block(block: Column) -> Column:
+    """A report's key lines, crash state and other lines, as struct (fields, crash_state, extra) (SCL-24).
+
+    The lines after `Crash State:` that are no key lines are its frames, null if there are none; the first blank line after it
+    ends the block. extra holds the lines before it that are no key lines.
+    """
+    lines = F.transform(F.split(F.coalesce(block, F.lit("")), r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    head = lines_until = F.array_position(F.transform(lines, lambda x: x.rlike(r"^Crash State:")), F.lit(True)).cast("int")
+    end = F.array_position(F.transform(lines, lambda x, i: (x == "") & (i >= head) & (head > 0)), F.lit(True)).cast("int")
+    lines = F.when(end > 0, F.slice(lines, F.lit(1), F.greatest(end - 1, F.lit(0)))).otherwise(lines)
+    lines = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"), x.rlike(KEY_VALUE).alias("k")))
+    # a second heading starts the frames anew
+    last = F.coalesce(F.array_max(F.transform(F.filter(lines, lambda x: x["x"].rlike(r"^Crash State:")), lambda x: x["i"])), F.lit(-1))
+    other = F.filter(lines, lambda x: (x["x"] != "") & ~x["k"])
+    state = F.transform(F.filter(other, lambda x: (last >= 0) & (x["i"] > last)), lambda x: x["x"])
+    extra = F.transform(F.filter(other, lambda x: (lines_until <= 0) | (x["i"] < lines_until)), lambda x: x["x"])
+    fields = key_values(F.array_join(F.transform(F.filter(lines, lambda x: x["k"] & ~x["x"].rlike(r"^Crash State:")), lambda x: x["x"]), "\n"))
+    return F.struct(fields.alias("fields"), F.when(F.size(state) > 0, state).alias("crash_state"), F.nullif(F.array_join(extra, "\n"), F.lit("")).alias("extra"))
+
+
+def first_url(text: Column) -> Column:
+    """The first web address in a text, or null (SCL-14)."""
+    return F.nullif(F.regexp_extract(text, r"https?://[^\s'\"<>]+", 0), F.lit(""))
+
+
 def tail(text: Column, lines: int = 80, chars: int = 12000) -> Column:
     """The last lines, and of those the last characters (SCL-26)."""
     parts = F.split(F.coalesce(text, F.lit("")), "\n")

@@ -12,11 +12,44 @@ def collapse_runs(rows: DataFrame, by: list[str], order: list[str], value: str)
     return rows.withColumn("_b", before).where(~F.col("_b").eqNullSafe(F.col(value)) | F.col("_b").isNull()).drop("_b")
 
 
-def common_prefix(left: DataFrame, right: DataFrame, by: list[str], position: str, value: str) -> DataFrame:
-    """Positions before the first one at which two sequences differ; `__revert_x` equals x (WIN-03)."""
+def common_prefix(left: DataFrame, right: DataFrame, by: list[str], position: str, value: str, renames: DataFrame | None = None) -> DataFrame:
+    """Positions before the first one at which two sequences differ (WIN-03): by the first word, `__revert_x` equals x, and two names
+    of a pair in renames (old, new) equal each other. A position that only one side has ends the prefix."""
+    word = lambda c: F.split_part(F.col(c), F.lit(" "), F.lit(1))
     both = left.select(*by, position, F.col(value).alias("a")).join(right.select(*by, position, F.col(value).alias("b")), [*by, position])
-    off = (~(F.col("a").eqNullSafe(F.col("b")) | (F.col("b") == F.concat(F.lit("__revert_"), F.col("a"))))).cast("int")
-    return both.withColumn("_m", F.sum(off).over(Window.partitionBy(*by).orderBy(position))).where("_m = 0").drop("_m")
+    same = word("a").eqNullSafe(word("b")) | (word("b") == F.concat(F.lit("__revert_"), word("a")))
+    if renames is not None:
+        pairs = renames.select(F.least("old", "new").alias("_x"), F.greatest("old", "new").alias("_y")).distinct().withColumn("_r", F.lit(True))
+        both = both.withColumn("_x", F.least(word("a"), word("b"))).withColumn("_y", F.greatest(word("a"), word("b"))).join(pairs, ["_x", "_y"], "left")
+        same = same | F.coalesce("_r", F.lit(False))
+    off = (~F.coalesce(same, F.lit(False))).cast("int")
+    both = both.withColumn("_off", off).drop("_x", "_y", "_r")
+    off = F.col("_off")
+    return both.withColumn("_m", F.sum(off).over(Window.partitionBy(*by).orderBy(position))).where("_m = 0").drop("_m", "_off")
+
+
+def best_sources(rows: DataFrame, introduced: DataFrame | None = None) -> DataFrame:
+    """bug, commit: each bug's best source (WIN-06): the highest rank over 0; of equal ones the commit at which the bug was
+    introduced, whose id either is a prefix of the other, else the last commit in topological order.
+
+    rows: bug, commit, rank, topo; introduced: bug, introduced.
+    """
+    own = F.lit(0)
+    if introduced is not None:
+        rows = rows.join(introduced, "bug", "left")
+        own = F.coalesce((F.col("introduced") != "") & (F.startswith("commit", F.col("introduced")) | F.startswith("introduced", F.col("commit"))), F.lit(False)).cast("int")
+    return rows.where("rank > 0").groupBy("bug").agg(F.max(F.struct("rank", own.alias("own"), "topo", "commit")).alias("x")).select("bug", "x.commit")
+
+
+def transplant_plan(rows: DataFrame, target: str, introduced: DataFrame | None = None) -> DataFrame:
+    """bug, state and source for a target commit (WIN-06): triggered there, needed from its best source, or unusable.
+
+    rows: bug, commit, status, rank, topo; statuses other than `0|0` and `0|1` count as triggered.
+    """
+    there = rows.where(F.col("commit") == target).select("bug", F.coalesce(F.col("status").isin("1|1", "1|0", "0.5|1", "0.5|0"), F.lit(False)).alias("here"))
+    best = best_sources(rows, introduced).withColumnRenamed("commit", "source")
+    state = F.when(F.col("here"), "triggered").when(F.col("source").isNotNull(), "needed").otherwise("unusable")
+    return there.join(best, "bug", "left").select("bug", state.alias("state"), F.when(~F.col("here"), F.col("source")).alias("source"))
 
 
 def neighbours(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:

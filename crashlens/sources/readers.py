@@ -33,6 +33,11 @@ def bug_metadata(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("location", text.location(F.col("crash_file"), F.col("crash_line")))
 
 
+def with_references(bugs: DataFrame, logs: DataFrame) -> DataFrame:
+    """Bugs with the frames and signature of their reference logs, null where there is none (SRC-08). logs: as reference_logs() gives them."""
+    return bugs.join(logs.select("bug_id", F.col("frames").alias("reference_frames"), F.col("signature").alias("reference_signature")), "bug_id", "left")
+
+
 def bug_report(spark: SparkSession, path: str) -> DataFrame:
     """fuzzer, trial, bug_id, time_first_reached, time_first_triggered from a nested report (SRC-11)."""
     bugs = spark.read.schema(REPORT).json(path, multiLine=True).select(F.explode("bugs").alias("bug_id", "b"))
@@ -136,6 +141,32 @@ def project_list(lines: DataFrame) -> DataFrame:
     return lines.select(F.trim("value").alias("project")).where("project <> '' and not startswith(project, '#')")
 
 
+#: Names under which bug lists hold a field.
+PROJECT_KEYS = ("Project", "project", "project_name")
+TARGET_KEYS = ("Fuzz Target", "Fuzz target", "fuzz_target", "fuzz target", "FuzzTarget")
+DETAIL_KEYS = ("Detailed Report", "detailed report", "detailed_report", "detailedReport", "detail", "url")
+JOB_KEYS = ("Job Type", "job_type", "JobType")
+UNKNOWN_TARGET = "<unknown>"
+
+
+def keyed_bugs(files: DataFrame) -> DataFrame:
+    """project, target, job_type, id of JSON objects by bug id (SRC-33). files: value, a whole file each. Entries without a project go."""
+    entries = files.select(F.explode(F.from_json("value", "map<string, string>")).alias("id", "entry"))
+    pick = lambda keys, at="$": F.coalesce(*(F.nullif(F.trim(F.get_json_object("entry", f"{at}['{k}']")), F.lit("")) for k in keys))
+    both = lambda keys: F.coalesce(pick(keys, "$['reproduce']"), pick(keys, "$['Reproduce']"), pick(keys))
+    rows = entries.where(F.startswith(F.ltrim("entry"), F.lit("{"))).select(both(PROJECT_KEYS).alias("project"), F.coalesce(both(TARGET_KEYS), F.lit(UNKNOWN_TARGET)).alias("target"), F.coalesce(both(JOB_KEYS), F.lit("")).alias("job_type"), F.trim("id").alias("id"))
+    return rows.where("project is not null and id <> ''")
+
+
+def listed_bugs(files: DataFrame) -> DataFrame:
+    """The same of lists of records, bare or below `results` or `items`; the id is the report's address, else a running number (SRC-33)."""
+    arrays = F.coalesce(*(F.from_json(x, "array<string>") for x in (F.get_json_object("value", "$.results"), F.get_json_object("value", "$.items"), F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.col("value")))))
+    rows = files.select(F.posexplode(arrays).alias("i", "entry"))
+    pick = lambda keys: F.coalesce(*(F.nullif(F.trim(F.get_json_object("entry", f"$['{k}']")), F.lit("")) for k in keys))
+    id_ = F.coalesce(pick(DETAIL_KEYS), text.first_url(F.col("entry")), F.concat(F.lit("__NO_DETAILED_REPORT__#"), (F.col("i") + 1).cast("string")))
+    return rows.select(pick(PROJECT_KEYS).alias("project"), F.coalesce(pick(TARGET_KEYS), F.lit(UNKNOWN_TARGET)).alias("target"), F.coalesce(pick(JOB_KEYS), F.lit("")).alias("job_type"), id_.alias("id")).where("project is not null")
+
+
 def bug_list(keyed: DataFrame, listed: DataFrame) -> DataFrame:
     """The id-keyed form; the list form only if the first has no rows (SRC-33)."""
     from crashlens.operators import lookup
@@ -166,8 +197,8 @@ def compile_commands(spark: SparkSession, path: str) -> DataFrame:
 MEMBERS = T.StructType([T.StructField("path", T.StringType()), T.StructField("member", T.StringType()), T.StructField("size", T.LongType()), T.StructField("mtime", T.LongType()), T.StructField("head", T.BinaryType())])
 
 
-def archive_members(spark: SparkSession, path: str, head: int = 64) -> DataFrame:
-    """Files in tar.gz archives with their first bytes (SRC-17, SRC-19). An archive that is corrupt or cut off has no members at all; an archive is read in one task."""
+def _unpacker(head: int):
+    """Members of whole archives (path, content), with their first bytes."""
 
     def unpack(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -186,7 +217,31 @@ def archive_members(spark: SparkSession, path: str, head: int = 64) -> DataFrame
                 rows += own
             yield pd.DataFrame(rows, columns=[f.name for f in MEMBERS])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, MEMBERS)
+    return unpack
+
+
+def archive_members(spark: SparkSession, path: str, head: int = 64) -> DataFrame:
+    """Files in tar.gz archives with their first bytes (SRC-17, SRC-19). An archive that is corrupt or cut off has no members at all; an archive is read in one task."""
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_unpacker(head), MEMBERS)
+
+
+def corpus_inputs(spark: SparkSession, root: str, n_bytes: int) -> DataFrame:
+    """fuzzer, trial, time, head of the inputs in corpora below root (SRC-18): members of `.../<fuzzer>/trial-<n>/corpus/*.tar.gz` at the
+    archive's time, and files of `corpus/<time>/`, at their own time where the folder's name is no number."""
+    place = r"([^/]+)/trial-(\d+)/corpus/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("path").rlike(place))
+    own = [F.regexp_extract("path", place, 1).alias("fuzzer"), F.regexp_extract("path", place, 2).alias("trial")]
+    packed = files.where("path like '%.tar.gz'")
+    members = packed.select("path", "content").mapInPandas(_unpacker(n_bytes), MEMBERS).select("path", "head").join(packed.select("path", "modificationTime"), "path")
+    members = members.select(*own, F.unix_seconds("modificationTime").alias("time"), "head")
+    plain = files.where("path not like '%.tar.gz'").where(F.col("path").rlike(place + r"[^/]+/[^/]+$"))
+    folder = F.regexp_extract("path", place + r"([^/]+)/", 3).try_cast("long")
+    return members.unionByName(plain.select(*own, F.coalesce(folder, F.unix_seconds("modificationTime")).alias("time"), F.substring("content", 1, n_bytes).alias("head")))
+
+
+def benchmark_dirs(files: DataFrame) -> DataFrame:
+    """Names of folders with `_transplant_` in them that hold a bug_metadata.json (SRC-43). files: path."""
+    return files.select(F.regexp_extract("path", r"([^/]*_transplant_[^/]*)/bug_metadata\.json$", 1).alias("benchmark")).where("benchmark <> ''").distinct()
 
 
 def archive_census(members: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crashlens.functions import text
 from crashlens.operators import sequences
 
 
@@ -23,6 +24,39 @@ def bug_report(bugs: DataFrame, events: DataFrame) -> DataFrame:
     return full.withColumn("reached_by", F.coalesce("reached_by", empty)).withColumn("triggered_by", F.coalesce("triggered_by", empty)).select("bug_id", F.to_json(F.struct(*(F.col(c) for c in [*bugs.columns, "reached_by", "triggered_by"]))).alias("report"))
 
 
+def bug_summary(bugs: DataFrame, events: DataFrame) -> DataFrame:
+    """One row: total_bugs, bugs_with_crash_line, bugs_reached, bugs_triggered (SNK-02). bugs: bug_id, crash_line; events as in bug_report()."""
+    seen = events.groupBy("bug_id").agg(F.count("time_first_reached").alias("r"), F.count("time_first_triggered").alias("t"))
+    return bugs.join(seen, "bug_id", "left").agg(F.count(F.lit(1)).alias("total_bugs"), F.count("crash_line").alias("bugs_with_crash_line"), F.count_if(F.col("r") > 0).alias("bugs_reached"), F.count_if(F.col("t") > 0).alias("bugs_triggered"))
+
+
+def bug_lines(bugs: DataFrame, events: DataFrame) -> DataFrame:
+    """bug_id and its line of the readable report, in fixed columns (SNK-02): id, location cut to its last 50 characters, reached, triggered."""
+    seen = events.groupBy("bug_id").agg(F.count("time_first_reached").alias("r"), F.count("time_first_triggered").alias("t"))
+    place = F.when(F.coalesce("crash_line", F.lit(0)) != 0, F.concat_ws(":", "crash_file", F.col("crash_line").cast("string"))).otherwise("(no crash line)")
+    yes = lambda c: F.when(F.coalesce(c, F.lit(0)) > 0, "yes").otherwise("no")
+    wide = lambda c, n: F.when(F.char_length(c) < n, F.rpad(c, F.lit(n), F.lit(" "))).otherwise(c)
+    line = F.concat_ws(" ", wide(F.col("bug_id"), 20), wide(text.right_cut(place, 50), 50), F.lpad(yes("r"), 8, " "), F.lpad(yes("t"), 10, " "))
+    return bugs.join(seen, "bug_id", "left").select("bug_id", line.alias("line"))
+
+
+def progress(results: DataFrame, ongoing: list[str]) -> DataFrame:
+    """One row of a batch's progress (SNK-08): completed, skipped, ongoing, succeeded, failed, and the results as JSON by bug id. results: bug_id, status and more."""
+    skipped = F.col("status") == "skipped"
+    return results.agg(
+        F.count_if(~skipped).alias("completed"), F.count_if(skipped).alias("skipped"), F.array(*(F.lit(x) for x in ongoing)).cast("array<string>").alias("ongoing"),
+        F.count_if(F.col("status") == "success").alias("succeeded"), F.count_if(F.col("status").isin("failed", "error")).alias("failed"),
+        F.transform(F.array_sort(F.collect_list(F.struct("bug_id", F.to_json(F.struct(*results.columns)).alias("j")))), lambda x: x["j"]).alias("results"),
+    )
+
+
+def refreshed(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Old rows in which new ones replace the given columns where there are any (SNK-10)."""
+    fresh = new.select(key, *(F.col(c).alias(f"_{c}") for c in columns), F.lit(True).alias("_new"))
+    out = old.join(fresh, key, "left")
+    return out.select(*(F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns))
+
+
 def allow_list(functions: DataFrame) -> DataFrame:
     """Sorted distinct `fun:` lines and `src:*` at the end (SNK-05)."""
     rows = functions.select(F.concat(F.lit("fun:"), F.col("func")).alias("value"), F.lit(0).alias("o")).distinct()
