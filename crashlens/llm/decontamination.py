@@ -27,7 +27,7 @@ SEPARATORS = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 def words(text: str = "text") -> str:
     """SQL for the words of a text; none for null."""
     plain = f"if(octet_length({text}) = char_length({text}), lower({text}), translate({text}, '{_UPPER}', '{_LOWER}'))"
-    return f"filter(coalesce(split({plain}, '{SEPARATORS}'), array()), x -> x <> '')"
+    return f"array_remove(coalesce(split({plain}, '{SEPARATORS}'), array()), '')"
 
 
 def fingerprints(array: str, size: str, window: int = WINDOW, gram: int = GRAM) -> str:
@@ -35,11 +35,27 @@ def fingerprints(array: str, size: str, window: int = WINDOW, gram: int = GRAM)
 
     In each window the least such long is kept, the first of equal hashes on either side.
     """
-    mask = -(2**31)
-    hashed = f"transform({array}, x -> xxhash64(x))"
-    grams = f"transform(sequence(0, {size} - {gram}), i -> (xxhash64(slice(h, i + 1, {gram})) & {mask}L) | i)"
-    kept = f"array_distinct(transform(sequence(1, {size} - {window - 1}), i -> array_min(slice(g, i, {window - gram + 1}))))"
-    inner = f"transform(array({hashed}), h -> transform(array({grams}), g -> {kept})[0])[0]"
+    if not 0 < gram <= window:
+        raise ValueError("a gram has at least one word and at most a window's")
+    steps: list[tuple[str, str]] = [("h1", f"transform({array}, x -> xxhash64(x))")]
+    # hashes and minima of longer runs are made of those of shorter ones, a whole array at a time
+    join = lambda a, b, by, how: f"zip_with({a}, slice({b}, {by + 1}, {size}), (x, y) -> {how})"
+    while (n := 2 ** len(steps)) <= gram:
+        steps.append((f"h{n}", join(f"h{n // 2}", f"h{n // 2}", n // 2, "xxhash64(x, y)")))
+    n = 2 ** (len(steps) - 1)
+    hashed = f"h{n}"
+    while n < gram:
+        more = 1 << (gram - n).bit_length() - 1
+        hashed, n = join(hashed, f"h{more}", n, "xxhash64(x, y)"), n + more
+    steps.append(("m1", f"slice(transform({hashed}, (x, i) -> (x & {-(2**31)}L) | i), 1, {size} - {gram - 1})"))
+    width, n = window - gram + 1, 1
+    while 2 * n <= width:
+        steps.append((f"m{2 * n}", join(f"m{n}", f"m{n}", n, "least(x, y)")))
+        n *= 2
+    least = join(f"m{n}", f"m{n}", width - n, "least(x, y)") if n < width else f"m{n}"
+    inner = f"array_distinct(slice({least}, 1, {size} - {window - 1}))"
+    for name, value in reversed(steps):
+        inner = f"transform(array({value}), {name} -> {inner})[0]"
     return f"if({size} >= {window}, {inner}, cast(array() as array<bigint>))"
 
 

@@ -18,6 +18,23 @@ def test_decontamination(spark, docs, corpus):
     assert len(none) == len(rows) and not any(r.n_hit or r.contaminated for r in none)
 
 
+@pytest.mark.parametrize(("window", "gram"), [(13, 6), (5, 1), (4, 4), (9, 3), (12, 7)])
+def test_fingerprints_cover_windows(spark, window, gram):
+    """Each window keeps its least gram; equal runs of words have equal fingerprints wherever they stand."""
+    import random
+
+    rng = random.Random(window)
+    run = [f"x{i}" for i in range(window)]
+    for n in (0, window - 1, window, window + 1, 60):
+        a = [rng.choice("abc") for _ in range(n)]
+        b = [*a, *run, "z", "y"]
+        frame = spark.createDataFrame([(0, a), (1, b), (2, ["q", *run])], "i int, w array<string>")
+        got = {r.i: r.f for r in frame.selectExpr("i", f"{decontamination.fingerprints('w', 'size(w)', window, gram)} as f").collect()}
+        places = sorted(x & 2**31 - 1 for x in got[0])
+        assert (not places) == (n < window) and all(any(k <= p <= k + window - gram for p in places) for k in range(n - window + 1))
+        assert {x >> 31 for x in got[1]} & {x >> 31 for x in got[2]}
+
+
 def test_decontamination_of_repeated_ids(spark, docs):
     """Each row has its own result; an item on two rows counts once."""
     bench = spark.createDataFrame([(7, "one two three"), (7, "two three four"), (8, "ONE two three")], "item_id long, text string")
