@@ -11,6 +11,7 @@ operations.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ DENSE = 1 << 25
 #: Parsing starts anew at each such place of a text.
 BLOCK = 1024
 UNKNOWN = "und"
+#: Runs of digits, punctuation and blanks, which tell no language: one space each in labelled texts and in those to be told.
+APART = re.compile(r"[\x00-\x40\x5b-\x60\x7b-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7\u2000-\u206f\u3000-\u303f]+")
 
 
 def automaton(text: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -156,7 +159,7 @@ class Model:
         some = [i for i, x in enumerate(texts) if x and any(map(str.isalpha, x))] if self.languages else []
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if some:
-            found = self.phrases([texts[i] for i in some]) * np.array([a.bits for a in self.automata])
+            found = self.phrases([APART.sub(" ", texts[i]) for i in some]) * np.array([a.bits for a in self.automata])
             best = found.argmin(1)
             ranked = np.sort(found, 1)
             score = 1 - ranked[:, 0] / ranked[:, 1] if len(self.languages) > 1 else np.ones(len(some))
@@ -177,7 +180,7 @@ def sample(docs: DataFrame) -> dict[str, list[str]]:
     rows = fit.where(F.col("doc_id").isin([r[0] for r in ids.collect()])).select("doc_id", "lang", part).collect()
     out: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r.doc_id, r.text)):
-        out.setdefault(row.lang, []).append(row.text)
+        out.setdefault(row.lang, []).append(APART.sub(" ", row.text))
     return out
 
 
