@@ -2,9 +2,9 @@
 
 A window of 50 words goes to the shard of its least 20-gram hash, so equal windows meet in a shard whatever documents they
 are in. Neighbouring windows with the same least hash travel as one segment. A shard holds distinct segments as word codes
-in a wavelet matrix over their Burrows-Wheeler transform. Segments are streamed through backward search; a window counts
-if the interval of its 50 words has a segment of a smaller document, and a search that fails early rules out all
-windows that hold the failed part. Segments of a key too frequent for a shard are indexed in several and searched in each.
+in a wavelet matrix over their Burrows-Wheeler transform. Segments are streamed through backward search, which gives their
+matching statistics; a window counts if 50 words match and the interval has a segment of a smaller document, the least owner
+of which another wavelet matrix tells. Segments of a key too frequent for a shard are indexed in several and searched in each.
 """
 
 from __future__ import annotations
@@ -27,19 +27,52 @@ GRAM = 20
 SHARD = 4096
 
 
+class Below:
+    """Nearest places of values below a bound: minima of aligned runs of 1, 2, 4 ... bytes, two bytes a value in all."""
+
+    def __init__(self, values: np.ndarray):
+        """The first value is below all bounds that are asked for."""
+        self.runs = [values]
+        while len(self.runs[-1]) > 1:
+            v = self.runs[-1]
+            v = np.append(v, v[-1:]) if len(v) % 2 else v
+            self.runs.append(np.minimum(v[::2], v[1::2]))
+
+    def last(self, at: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """For each place the last one up to it whose value is below the bound."""
+        end = at + 1
+        level = np.full(len(at), len(self.runs))
+        for k, run in enumerate(self.runs):  # up, until a run holds the place
+            odd = np.flatnonzero((level > k) & ((end >> k) & 1 == 1))
+            held = run[(end[odd] >> k) - 1] < bound[odd]
+            level[odd[held]] = k
+            end[odd[~held]] -= 1 << k
+        for k in range(len(self.runs) - 2, -1, -1):  # down, into its right half unless that holds none
+            i = np.flatnonzero(level > k)
+            end[i[self.runs[k][(end[i] >> k) - 1] >= bound[i]]] -= 1 << k
+        return end - 1
+
+
 class FMIndex:
-    """Backward search over rows of word codes (from 1); each row has an owner."""
+    """Matching statistics over rows of word codes (from 1), by backward search; each row has an owner.
+
+    Held: the Burrows-Wheeler transform and the owners of suffixes in their order as wavelet matrices, and the
+    lengths that neighbouring suffixes have in common as bytes.
+    """
 
     def __init__(self, rows: list[np.ndarray], owners: np.ndarray, depth: int):
-        """Suffixes are sorted by their first words, more than depth of them; patterns have depth words at most."""
+        """Suffixes are sorted by their first words, more than depth of them; matches have depth words at most, of 200 at most."""
+        if depth > 200:
+            raise ValueError("windows of more than 200 words")
         sizes = np.array([len(x) + 1 for x in rows])
         text = np.zeros(int(sizes.sum()) + 1, np.int64)  # zeros part rows
         at = np.cumsum(sizes) - sizes
         for x, i in zip(rows, at.tolist(), strict=True):
             text[i : i + len(x)] = x
         n = len(text)
-        rank, h = text.copy(), 1
+        rank, h, ranks = text.copy(), 1, []
         while True:
+            ranks.append(np.append(rank, -1).astype(np.int32))
             after = np.zeros(n, np.int64)
             after[: n - h] = rank[h:] + 1
             key = rank * (n + text.max() + 2) + after
@@ -51,18 +84,24 @@ class FMIndex:
             h *= 2
             if h > depth or new.all():
                 break
-        self.n = n
+        self.n, self.depth = n, depth
         self.tree = WaveletMatrix.build(text[order - 1])
         top = 1 << self.tree.bits
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=top))))
         self.known = np.diff(self.first) > 0
         codes = np.arange(top)
         self.zero = self._down(codes, np.zeros(top, np.int64))
-        own = np.append(np.repeat(owners, sizes), np.iinfo(np.int64).max)[order]
-        self.least = [own]
-        while 2 ** len(self.least) <= n:
-            below, step = self.least[-1], 2 ** (len(self.least) - 1)
-            self.least.append(np.minimum(below[:-step], below[step:]))
+        self.values, own = np.unique(np.append(np.repeat(owners, sizes), np.iinfo(np.int64).max)[order], return_inverse=True)
+        self.owners = WaveletMatrix.build(own)
+        # words in common with the suffix before, depth at most; none at either end
+        common, x, y = np.zeros(n - 1, np.int64), order[:-1].copy(), order[1:].copy()
+        for i in range(len(ranks) - 1, -1, -1):
+            same = np.where(ranks[i][x] == ranks[i][y], 1 << i, 0)
+            common, x, y = common + same, x + same, y + same
+        common[~new[1:]] = depth
+        self.common = np.concatenate(([0], np.minimum(common, depth), [0])).astype(np.uint8)
+        self.before, self.behind = Below(self.common), Below(self.common[::-1].copy())
+        self.full = np.flatnonzero(self.common < depth - 1)
 
     def _down(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
         for level in range(self.tree.bits):
@@ -71,71 +110,84 @@ class FMIndex:
         return at
 
     def step(self, codes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of the patterns with a word put before them."""
-        both = self._down(np.concatenate((codes, codes)), np.concatenate((lo, hi))) - np.tile(self.zero[codes], 2) + np.tile(self.first[codes], 2)
-        return both[: len(lo)], both[len(lo) :]
+        """Intervals of the patterns with a word put before them; empty for words that no row has."""
+        fine = codes < len(self.known)
+        fine[fine] = self.known[codes[fine]]
+        codes, out = codes[fine], np.zeros((2, len(lo)), np.int64)
+        both = self._down(np.concatenate((codes, codes)), np.concatenate((lo[fine], hi[fine]))) - np.tile(self.zero[codes], 2) + np.tile(self.first[codes], 2)
+        out[:, fine] = both.reshape(2, -1)
+        return out[0], out[1]
 
     def minima(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The least owner in each interval, none of them empty."""
-        level = np.frexp((hi - lo).astype(float))[1] - 1
-        out = np.empty(len(lo), np.int64)
-        for x in np.unique(level).tolist():
-            i = level == x
-            out[i] = np.minimum(self.least[x][lo[i]], self.least[x][hi[i] - 2**x])
-        return out
-
-    def search(self, words: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each pattern words[begin : begin + length] the place, from 0, from which on no row has it, and the least owner of rows that have it all."""
-        out, owner = np.zeros(len(begin), np.int64), np.full(len(begin), np.iinfo(np.int64).max)
-        live, lo, hi = np.arange(len(begin)), np.zeros(len(begin), np.int64), np.full(len(begin), self.n)
-        for j in range(length - 1, -1, -1):
-            codes = words[begin[live] + j]
-            fine = codes < len(self.known)
-            fine[fine] = self.known[codes[fine]]
-            lo[fine], hi[fine] = self.step(codes[fine], lo[fine], hi[fine])
-            fine &= lo < hi
-            out[live[~fine]] = j
-            live, lo, hi = live[fine], lo[fine], hi[fine]
-            if not len(live):
-                return out, owner
-        owner[live] = self.minima(lo, hi)
-        return out, owner
+        return self.values[self.owners.least(lo, hi)]
+
+    def statistics(self, words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word of the streams words[begin:end] how many words from it on a row has too, depth at most, and their interval.
+
+        Streams are read from their ends, all at once. A match that can't be put a word before is cut to the longest one with a wider
+        interval. A stream ends where no match of depth words can follow; words before that have 0.
+        """
+        match, low, high = np.zeros(len(words), np.uint8), np.zeros(len(words), np.int32), np.zeros(len(words), np.int32)
+        at, lo, hi, size = end - 1, np.zeros(len(begin), np.int64), np.full(len(begin), self.n), np.zeros(len(begin), np.int64)
+        while True:
+            live = at - begin + 1 + size >= self.depth
+            live &= at >= begin
+            if not live.all():
+                begin, at, lo, hi, size = (x[live] for x in (begin, at, lo, hi, size))
+            if not len(at):
+                return match, low, high
+            whole = np.flatnonzero(size == self.depth)
+            if len(whole):  # the last word goes
+                i = np.searchsorted(self.full, lo[whole], "right")
+                lo[whole], hi[whole] = self.full[i - 1], self.full[i]
+                size[whole] -= 1
+            a, b = self.step(words[at], lo, hi)
+            on = a < b
+            lo[on], hi[on] = a[on], b[on]
+            size[on] += 1
+            put = at[on]
+            match[put], low[put], high[put] = size[on], lo[on], hi[on]
+            off = np.flatnonzero(~on)
+            to = np.maximum(self.common[lo[off]], self.common[hi[off]]).astype(np.int64)
+            none = size[off] == 0
+            at[on] -= 1
+            at[off[none]] -= 1
+            size[off] = to
+            lo[off[to == 0]], hi[off[to == 0]] = 0, self.n
+            wider = (to > 0) & (at[off] - begin[off] + 1 + to >= self.depth)
+            off, to = off[wider], to[wider]
+            if len(off):
+                lo[off] = self.before.last(lo[off], to)
+                hi[off] = self.n - self.behind.last(self.n - hi[off], to)
 
 
 def repeats(index: FMIndex, words: np.ndarray, begin: np.ndarray, windows: np.ndarray, own: np.ndarray, length: int) -> tuple[list[list[int]], np.ndarray]:
     """For each segment with so many windows (length of them at most): starts and ends in turn of the words covered by windows
     that rows with smaller owners have; and whether rows with no greater owner have its first and last window, so all its words."""
-    n = len(begin)
-    hits: list[list[int]] = [[] for _ in range(n)]
-    _, owner = index.search(words, begin + windows - 1, length)
-    last, whole = owner < own, owner <= own
-    for i in np.flatnonzero(last).tolist():
-        hits[i].append(int(windows[i]) - 1)
-    place = np.zeros(n, np.int64)
-    ends = windows - 1  # the last one is done
-    live = np.flatnonzero(place < ends)
-    once = True
-    while len(live):
-        failed, owner = index.search(words, begin[live] + place[live], length)
-        found = owner < own[live]
-        for i in live[found].tolist():
-            hits[i].append(int(place[i]))
-        place[live] += np.where(found, 0, failed) + 1
-        if once:
-            whole[live] &= owner <= own[live]
-            place[live[found & last[live]]] = length  # first and last window found: they cover all between
-            once = False
-        live = live[place[live] < ends[live]]
-    out = []
-    for starts in hits:
-        spans: list[int] = []
-        for p in sorted(starts):
-            if spans and p <= spans[-1]:
-                spans[-1] = p + length
-            else:
-                spans += [p, p + length]
-        out.append(spans)
-    return out, whole
+    match, low, high = index.statistics(words, begin, begin + windows + length - 1)
+    ends = np.cumsum(windows)
+    of = np.repeat(np.arange(len(begin)), windows)
+    place = np.arange(len(of)) - np.repeat(ends - windows, windows)
+    at = begin[of] + place
+    found, owner = match[at] == length, np.full(len(of), np.iinfo(np.int64).max)
+
+    def look(i: np.ndarray) -> None:
+        i = i[found[i]]
+        owner[i] = index.minima(low[at[i]].astype(np.int64), high[at[i]].astype(np.int64))
+
+    look(np.unique(np.concatenate((ends - windows, ends - 1))))
+    start, last = owner[ends - windows], owner[ends - 1]
+    part = ~((start < own) & (last < own))  # else first and last window cover all between
+    look(np.flatnonzero(part[of] & (place > 0) & (place < windows[of] - 1)))
+    hit = np.flatnonzero(owner < own[of])
+    new = np.ones(len(hit), bool)
+    new[1:] = (of[hit[1:]] != of[hit[:-1]]) | (place[hit[1:]] > place[hit[:-1]] + length)
+    out: list[list[int]] = [[] for _ in begin]
+    first = np.flatnonzero(new)
+    for i, a, b in zip(of[hit[first]].tolist(), place[hit[first]].tolist(), place[hit[np.append(first[1:], len(hit)) - 1]].tolist() if len(hit) else [], strict=True):
+        out[i] += [a, b + length]
+    return out, (start <= own) & (last <= own)
 
 
 def _least(g: np.ndarray, width: int) -> np.ndarray:

@@ -85,6 +85,15 @@ class WaveletMatrix:
             lo, hi = np.where(one, self.zeros[level] + a, lo - a), np.where(one, self.zeros[level] + b, hi - b)
         return hi - lo
 
+    def least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The least value of each range of places, none of them empty."""
+        out = np.zeros(len(lo), np.int64)
+        for level in range(self.bits):
+            a, b = self._ones(level, lo), self._ones(level, hi)
+            one = hi - lo == b - a
+            lo, hi, out = np.where(one, self.zeros[level] + a, lo - a), np.where(one, self.zeros[level] + b, hi - b), out << 1 | one
+        return out
+
     def count(self, value: int) -> int:
         return int(self.rank(np.array([value]), np.array([self.n]))[0]) if value < 1 << self.bits else 0
 

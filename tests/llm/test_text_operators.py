@@ -139,5 +139,32 @@ def test_repeats(docs, corpus, monkeypatch, window, gram, shard):
     assert got == brute.repeats(rows, window)
 
 
+def test_matching_statistics():
+    """Longest matches from each word on, and the least owner of full ones, against all substrings."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        depth, n = int(rng.integers(2, 9)), int(rng.integers(1, 12))
+        rows = [rng.integers(1, int(rng.integers(3, 7)), rng.integers(depth, 2 * depth)) for _ in range(n)]
+        owners, some = rng.integers(0, 5, n), rng.random(n) < 0.7
+        some[0] = True
+        index = substrings.FMIndex([r for r, i in zip(rows, some, strict=True) if i], owners[some], depth)
+        held: dict[tuple, int] = {}
+        for r, o in ((r, o) for r, o, i in zip(rows, owners.tolist(), some, strict=True) if i):
+            for a in range(len(r)):
+                for b in range(a, len(r) + 1):
+                    held[tuple(r[a:b])] = min(held.get(tuple(r[a:b]), 9), o)
+        words, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
+        begin = np.cumsum(sizes) - sizes
+        match, low, high = index.statistics(words, begin, begin + sizes)
+        for r, x in zip(rows, begin.tolist(), strict=True):
+            for p in range(len(r)):
+                want = max(m for m in range(min(depth, len(r) - p) + 1) if tuple(r[p : p + m]) in held)
+                assert match[x + p] == want or (match[x + p] == 0 and want < depth)
+                if want == depth:
+                    assert index.minima(low[[x + p]].astype(int), high[[x + p]].astype(int))[0] == held[tuple(r[p : p + depth])]
+
+
 def test_repeats_empty(docs):
     assert substrings.remove_repeats(docs([])).count() == 0
