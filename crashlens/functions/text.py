@@ -133,6 +133,11 @@ def report_block(block: Column) -> Column:
     return F.struct(fields.alias("fields"), F.when(F.size(state) > 0, state).alias("crash_state"), F.nullif(F.array_join(extra, "\n"), F.lit("")).alias("extra"))
 
 
+def json_pick(json: Column | str, paths: list[str], default: str) -> Column:
+    """The first of several paths that a JSON text has, else a default (JSN-01, SCL-14)."""
+    return F.coalesce(*(F.get_json_object(json, p) for p in paths), F.lit(default))
+
+
 def first_url(text: Column) -> Column:
     """The first web address in a text, or null (SCL-14)."""
     return F.nullif(F.regexp_extract(text, r"https?://[^\s'\"<>]+", 0), F.lit(""))

@@ -13,6 +13,28 @@ def ratio_by(rows: DataFrame, by: list[str], hit: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(hit).cast("long").alias("hits")).withColumn("share", F.try_divide(F.col("hits"), F.col("n")))
 
 
+def strata(rows: DataFrame, fuzzers: DataFrame, hit: str) -> DataFrame:
+    """fuzzer, stratum, n, hits and share, to four places, with zeros and no share for a fuzzer's empty strata (AGG-02).
+
+    rows: fuzzer, stratum and a column of 0 and 1; fuzzers: one row each, in `fuzzer`.
+    """
+    grid = fuzzers.select("fuzzer").distinct().select("fuzzer", F.explode(F.array(F.lit("gated"), F.lit("always"))).alias("stratum"))
+    out = grid.join(ratio_by(rows, ["fuzzer", "stratum"], hit), ["fuzzer", "stratum"], "left")
+    return out.withColumns({"n": F.coalesce("n", F.lit(0)), "hits": F.coalesce("hits", F.lit(0)), "share": F.round("share", 4)})
+
+
+def usage_cost(rows: DataFrame, prices: DataFrame, default: tuple[float, float, float], by: list[str]) -> DataFrame:
+    """Sums of input_tokens, cached_input_tokens, output_tokens, and their cost (AGG-13). Cached tokens are among the input ones.
+
+    rows: by, model and the tokens; prices: model, input, cached, output per million, a row per model; other models cost the default.
+    """
+    kinds = ("input_tokens", "cached_input_tokens", "output_tokens")
+    sums = rows.groupBy(*dict.fromkeys([*by, "model"])).agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in kinds)).join(prices, "model", "left")
+    price = lambda c, i: F.coalesce(c, F.lit(default[i]))
+    cost = ((F.col(kinds[0]) - F.col(kinds[1])) * price("input", 0) + F.col(kinds[1]) * price("cached", 1) + F.col(kinds[2]) * price("output", 2)) / 1_000_000
+    return sums.withColumn("cost", cost).groupBy(*by).agg(*(F.sum(k).alias(k) for k in (*kinds, "cost")))
+
+
 def precedence(gated: Column, always: Column) -> Column:
     """gated before always before unmatched (AGG-05)."""
     return F.when(gated, "gated").when(always, "always").otherwise("unmatched")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crashlens.functions import bits, text
-from crashlens.operators import rollups, sequences, survival
+from crashlens.operators import choices, rollups, sequences, survival
 from crashlens.plans.base import EV, Query, events, table
 
 QUERIES: dict[str, Query] = {}
@@ -90,6 +90,13 @@ add(
     lambda s, d: rollups.ratio_by(_matrix(s, d).withColumn("stratum", bits.stratum(F.col("user_id") % 3)), ["event_type", "stratum"], "event").withColumn("share", F.round("share", 6)),
     MATRIX + " SELECT event_type, CASE WHEN user_id % 3 = 0 THEN 'always' ELSE 'gated' END AS stratum, count(*) AS n, CAST(sum(event) AS BIGINT) AS hits, round(sum(event) / count(*), 6) AS share FROM m GROUP BY ALL",
 )
+add(
+    "stratum_zeros",
+    lambda s, d: rollups.strata(_matrix(s, d).where("event_type <> 'error' or user_id % 3 = 0").select(F.col("event_type").alias("fuzzer"), bits.stratum(F.col("user_id") % 3).alias("stratum"), "event"), table(s, d, "events").select(F.col("event_type").alias("fuzzer")), "event"),
+    MATRIX + """, z AS (SELECT event_type AS fuzzer, CASE WHEN user_id % 3 = 0 THEN 'always' ELSE 'gated' END AS stratum, event FROM m WHERE event_type <> 'error' OR user_id % 3 = 0),
+    g AS (SELECT event_type AS fuzzer, unnest(['gated', 'always']) AS stratum FROM e)
+    SELECT g.fuzzer, g.stratum, count(event) AS n, CAST(coalesce(sum(event), 0) AS BIGINT) AS hits, round(sum(event) / count(event), 4) AS share FROM g LEFT JOIN z USING (fuzzer, stratum) GROUP BY 1, 2""",
+)
 add(
     "stratum_km",
     lambda s, d: survival.km_median(_matrix(s, d).withColumn("stratum", bits.stratum(F.col("user_id") % 3)), ["stratum"]),
@@ -162,7 +169,7 @@ add(
 )
 add(
     "pending_antijoin",
-    lambda s, d: events(s, d).select("user_id", "event_type").distinct().join(events(s, d).where("k > 96").select("user_id", "event_type").distinct(), ["user_id", "event_type"], "left_anti"),
+    lambda s, d: choices.pending(events(s, d).select("user_id", "event_type").distinct(), events(s, d).where("k > 96"), ["user_id", "event_type"]),
     f"WITH {EV} SELECT DISTINCT user_id, event_type FROM ev ANTI JOIN (SELECT user_id, event_type FROM ev WHERE k > 96) p USING (user_id, event_type)",
 )
 add(
@@ -247,7 +254,7 @@ add(
 )
 add(
     "json_pick_default",
-    lambda s, d: table(s, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.missing"), F.get_json_object("props", "$.k"), F.lit("-")).alias("picked")),
+    lambda s, d: table(s, d, "events").select("event_id", text.json_pick("props", ["$.missing", "$.k"], "-").alias("picked")),
     "SELECT event_id, coalesce(json_extract_string(props, '$.missing'), json_extract_string(props, '$.k'), '-') AS picked FROM events",
 )
 add(

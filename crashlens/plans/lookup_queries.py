@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crashlens.functions import frames, sanitizer, text
-from crashlens.operators import lookup, sequences
+from crashlens.operators import choices, lookup, sequences
 from crashlens.plans.base import Query, table
+from crashlens.sources import sinks
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +22,20 @@ def _windows(s, d):
     return table(s, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("introduced"), F.max("l_shipdate").alias("fixed"))
 
 
+def _bugs(s, d):
+    """Orders as bugs: returned lines as bytes of a diff, open lines as those of a testcase."""
+    files = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_if(F.col("l_returnflag") == "R").alias("diff_bytes"), F.count_if(F.col("l_returnflag") == "N").alias("testcase_bytes"))
+    return table(s, d, "orders").join(files, "o_orderkey", "left").select(
+        F.col("o_orderkey").alias("bug_id"), "diff_bytes", "testcase_bytes", (F.col("o_orderpriority") == "5-LOW").alias("impossible"), F.expr("if(o_orderkey % 11 = 0, '', 'fuzz')").alias("fuzz_target"),
+        F.expr("case o_orderkey % 4 when 0 then 'address (ASAN)' when 1 then 'undefined (UBSAN)' when 3 then 'memory (MSAN)' end").alias("sanitizer"),
+    )
+
+
+def _by_customer(s, d):
+    """Line items with their customers, who stand for projects."""
+    return table(s, d, "lineitem").join(table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+
+
 WINDOWS = "w AS (SELECT l_orderkey, min(l_shipdate) AS introduced, max(l_shipdate) AS fixed FROM lineitem GROUP BY 1)"
 add(
     "filtered_equi_join",
@@ -85,9 +100,21 @@ add(
 )
 add(
     "merge_order",
-    lambda s, d: lookup.merge_order(table(s, d, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey"),
-    """WITH o AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), p AS (SELECT a.l_orderkey, count(DISTINCT b.l_orderkey) AS degree FROM o a JOIN o b USING (l_partkey) WHERE a.l_orderkey <> b.l_orderkey GROUP BY 1)
-    SELECT l_orderkey, count(*) AS n, coalesce(any_value(degree), 0) AS degree FROM o LEFT JOIN p USING (l_orderkey) GROUP BY 1""",
+    lambda s, d: lookup.merge_order(_by_customer(s, d), "l_orderkey", "l_suppkey", ("o_custkey",)),
+    """WITH o AS (SELECT DISTINCT o_custkey, l_orderkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey), p AS (SELECT a.l_orderkey, count(DISTINCT b.l_orderkey) AS degree FROM o a JOIN o b USING (o_custkey, l_suppkey) WHERE a.l_orderkey <> b.l_orderkey GROUP BY 1),
+    x AS (SELECT o_custkey, l_orderkey, count(*) AS n, coalesce(any_value(degree), 0) AS degree FROM o LEFT JOIN p USING (l_orderkey) GROUP BY 1, 2)
+    SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY degree, n, l_orderkey) AS INTEGER) AS rank FROM x""",
+)
+add(
+    "applied_overlaps",
+    lambda s, d: lookup.overlapping(table(s, d, "lineitem").select("l_orderkey", "l_partkey"), table(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "l_partkey").select("l_orderkey", F.array_join(F.transform("applied", lambda x: x.cast("string")), ",").alias("applied")),
+    """WITH o AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), h AS (SELECT * FROM o WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'))
+    SELECT o.l_orderkey, array_to_string(list_sort(list(DISTINCT h.l_orderkey)), ',') AS applied FROM o JOIN h USING (l_partkey) WHERE o.l_orderkey <> h.l_orderkey GROUP BY 1""",
+)
+add(
+    "dispatch_bits",
+    lambda s, d: sinks.dispatch_state(sinks.dispatch_bits(table(s, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "F").alias("gated")), ["o_orderkey"], "gated", ("o_custkey",)), ("o_custkey",)),
+    "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS next_bit, CAST(greatest(1, ceil(count(*) FILTER (WHERE o_orderstatus = 'F') / 8)) AS BIGINT) AS dispatch_bytes FROM orders GROUP BY 1",
 )
 add(
     "overlap_with_subset",
@@ -135,7 +162,7 @@ add(
     "numeric_id_order",
     lambda s, d: table(s, d, "orders").withColumn("id", F.expr("if(o_orderkey % 10 = 0, 'X' || o_orderkey, 'OSV-' || (2000 + o_orderkey % 7) || '-' || o_orderkey)")).select(
         "o_orderkey",
-        F.row_number().over(Window.partitionBy("o_orderstatus").orderBy(F.nullif(F.regexp_extract("id", r"^OSV-(\d+)-(\d+)$", 1), F.lit("")).try_cast("int").asc_nulls_last(), F.nullif(F.regexp_extract("id", r"^OSV-(\d+)-(\d+)$", 2), F.lit("")).try_cast("int").asc_nulls_last(), "id")).alias("rank"),
+        F.row_number().over(Window.partitionBy("o_orderstatus").orderBy(*choices.numeric_id(F.col("id")))).alias("rank"),
     ),
     "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey % 10 = 0, CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE o_orderkey % 7 END, CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE o_orderkey END, 'X' || CAST(o_orderkey AS VARCHAR)) AS INTEGER) AS rank FROM orders",
 )
@@ -163,8 +190,11 @@ add(
 )
 add(
     "categorize_with_flags",
-    lambda s, d: table(s, d, "orders").join(table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("has_diff", F.lit(True)), "o_orderkey", "left").groupBy(F.when(F.col("o_orderstatus") == "F", "local").when(F.col("has_diff"), "diff").otherwise("testcase_only").alias("category")).agg(F.count(F.lit(1)).alias("n")),
-    "SELECT CASE WHEN o_orderstatus = 'F' THEN 'local' WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'diff' ELSE 'testcase_only' END AS category, count(*) AS n FROM orders GROUP BY 1",
+    lambda s, d: choices.categorised(_bugs(s, d), table(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("bug_id"))),
+    """WITH f AS (SELECT l_orderkey AS o_orderkey, count(*) FILTER (WHERE l_returnflag = 'R') AS r, count(*) FILTER (WHERE l_returnflag = 'N') AS n FROM lineitem GROUP BY 1),
+    b AS (SELECT o_orderkey, o_orderstatus, r, n, o_orderpriority <> '5-LOW' AND o_orderkey % 4 <> 3 AND o_orderkey % 11 <> 0 AS fit FROM orders LEFT JOIN f USING (o_orderkey)),
+    c AS (SELECT o_orderkey AS bug_id, CASE WHEN o_orderstatus = 'P' THEN 'local' WHEN fit AND r > 0 THEN 'diff' WHEN fit AND n > 0 THEN 'testcase_only' END AS category FROM b)
+    SELECT * FROM c WHERE category IS NOT NULL""",
 )
 add(
     "chrono_distinct_union",

@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crashlens.functions import text
-from crashlens.operators import sequences
+from crashlens.operators import choices, rollups, sequences
 from crashlens.plans.base import Query, table
 
+
+def _usage(s, d):
+    """Turns as an agent's usage: characters as tokens, a quarter of them cached."""
+    size = F.char_length("text")
+    return table(s, d, "conversations").select("conv_id", F.col("role").alias("model"), size.alias("input_tokens"), F.floor(size / 4).alias("cached_input_tokens"), F.col("turn").alias("output_tokens"))
+
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -61,7 +68,7 @@ add(
 )
 add(
     "left_default",
-    lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left").select("doc_id", F.coalesce(F.col("quality").cast("string"), F.lit("-")).alias("quality"), F.when(F.col("toxic").isNull(), "no_data").otherwise("data").alias("state")),
+    lambda s, d: choices.with_default(table(s, d, "documents").select("doc_id"), table(s, d, "labels"), ["doc_id"], "quality").join(table(s, d, "labels").select("doc_id", "toxic"), "doc_id", "left").select("doc_id", "quality", F.when(F.col("toxic").isNull(), "no_data").otherwise("data").alias("state")),
     "SELECT d.doc_id, coalesce(CAST(quality AS VARCHAR), '-') AS quality, CASE WHEN toxic IS NULL THEN 'no_data' ELSE 'data' END AS state FROM documents d LEFT JOIN labels USING (doc_id)",
 )
 add(
@@ -71,8 +78,10 @@ add(
 )
 add(
     "usage_cost",
-    lambda s, d: table(s, d, "conversations").groupBy("role").agg(F.sum(F.char_length("text")).alias("tokens"), F.count(F.lit(1)).alias("n")).join(F.broadcast(s.createDataFrame([("user", 1.25), ("assistant", 10.0)], "role string, price double")), "role", "left").select("role", "n", "tokens", F.round(F.col("tokens") * F.coalesce("price", F.lit(2.0)) / 1_000_000, 9).alias("cost")),
-    "SELECT role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS tokens, round(sum(length(text)) * CASE role WHEN 'user' THEN 1.25 WHEN 'assistant' THEN 10.0 ELSE 2.0 END / 1000000, 9) AS cost FROM conversations GROUP BY 1",
+    lambda s, d: rollups.usage_cost(_usage(s, d), s.createDataFrame([("user", 1.25, 0.125, 10.0), ("assistant", 2.0, 0.5, 8.0)], "model string, input double, cached double, output double"), (1.0, 0.25, 4.0), ["conv_id"]).withColumn("cost", F.round("cost", 9)),
+    """WITH u AS (SELECT conv_id, role, CAST(sum(length(text)) AS BIGINT) AS i, CAST(sum(length(text) // 4) AS BIGINT) AS c, CAST(sum(turn) AS BIGINT) AS o FROM conversations GROUP BY ALL),
+    v AS (SELECT *, CASE role WHEN 'user' THEN (i - c) * 1.25 + c * 0.125 + o * 10 WHEN 'assistant' THEN (i - c) * 2.0 + c * 0.5 + o * 8 ELSE (i - c) * 1.0 + c * 0.25 + o * 4 END / 1000000 AS cost FROM u)
+    SELECT conv_id, CAST(coalesce(sum(i), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(c), 0) AS BIGINT) AS cached_input_tokens, CAST(coalesce(sum(o), 0) AS BIGINT) AS output_tokens, CAST(round(coalesce(sum(cost), 0), 9) AS DOUBLE) AS cost FROM v GROUP BY 1""",
 )
 add(
     "first_session_record",

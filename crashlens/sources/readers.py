@@ -113,6 +113,17 @@ def raw_trace(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").rlike(TRACE)).select("pos", F.regexp_extract("value", TRACE, 1).alias("offset"), F.regexp_extract("value", TRACE, 2).alias("caller"))
 
 
+def trace_offsets(calls: DataFrame) -> DataFrame:
+    """Distinct offsets of a raw trace (SRC-23), each with the place where it first stands. calls: as raw_trace() gives them."""
+    return calls.groupBy("offset").agg(F.min("pos").alias("pos"))
+
+
+def trace_callees(calls: DataFrame) -> DataFrame:
+    """caller and the offsets that it called, in order, repeats too (SRC-23)."""
+    listed = F.array_sort(F.collect_list(F.struct("pos", "offset")))
+    return calls.groupBy("caller").agg(F.transform(listed, lambda x: x["offset"]).alias("callees"))
+
+
 def entered(lines: DataFrame) -> DataFrame:
     """pos, func, location from lines (pos, value) of a symbolised trace (SRC-24, SRC-25)."""
     form = r"^Entering function: (.*?) Location: (.*)$"
@@ -250,6 +261,16 @@ def archive_census(members: DataFrame) -> DataFrame:
     return members.groupBy("fuzzer").agg(F.countDistinct("path").alias("archives"), F.count(F.lit(1)).alias("members"), F.count_if(crash).alias("crashes"))
 
 
+def member_prefixes(members: DataFrame) -> DataFrame:
+    """prefix, of a member's file name up to its first hyphen, and n (SRC-19). members: member."""
+    return members.groupBy(F.split_part(F.element_at(F.split("member", "/"), -1), F.lit("-"), F.lit(1)).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def member_samples(members: DataFrame, k: int = 8) -> DataFrame:
+    """The first k members by archive and name (SRC-19): a report's examples."""
+    return members.select("path", "member", "size").orderBy("path", "member").limit(k)
+
+
 def markdown_report(spark: SparkSession, path: str) -> DataFrame:
     """Counts from a rendered report, null where a section is missing (SRC-38)."""
     number = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit("")).try_cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crashlens.functions import text
+from crashlens.functions import bits, text
 from crashlens.operators import sequences
 
 
@@ -92,14 +92,29 @@ def changed(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Dat
     return old.alias("o").join(new.alias("n"), key).agg(F.count_if(~same).alias("changed"))
 
 
-def dispatch_bits(bugs: DataFrame, order: list[str], gated: str) -> DataFrame:
-    """bit and, for the first 63, its value; null bits for bugs without a gate (WIN-10)."""
-    numbered = bugs.where(gated).withColumn("bit", F.row_number().over(Window.orderBy(*order)) - 1)
+def dispatch_bits(bugs: DataFrame, order: list, gated: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """bit and, for the first 63, its value; null bits for bugs without a gate (WIN-10). by: the project, if there are several."""
+    numbered = bugs.where(gated).withColumn("bit", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
     numbered = numbered.withColumn("dispatch_value", F.when(F.col("bit") <= 62, F.expr("shiftleft(1L, bit)")))
     rest = bugs.where(~F.expr(gated)).withColumn("bit", F.lit(None).cast("int")).withColumn("dispatch_value", F.lit(0).cast("long"))
     return numbered.unionByName(rest)
 
 
+def dispatch_state(numbered: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """next_bit and dispatch_bytes, one at least, of numbered bugs (WIN-10)."""
+    return numbered.groupBy(*by).agg(F.count("bit").alias("next_bit")).withColumn("dispatch_bytes", bits.byte_width(F.col("next_bit")))
+
+
+def document(title: str, sections: list[tuple[str, DataFrame | str]], limit: int = 1000) -> str:
+    """A Markdown report of headings with tables or plain text (SNK-04). A table without rows says so; one over the limit raises an error."""
+    out = [f"# {title}\n"]
+    for heading, body in sections:
+        table = body if isinstance(body, str) else markdown(body, limit)
+        empty = not isinstance(body, str) and table.count("\n") == 2
+        out.append(f"## {heading}\n\n{'Nothing.' if empty else table.rstrip()}\n")
+    return "\n".join(out)
+
+
 def markdown(rows: DataFrame, limit: int = 1000) -> str:
     """A small frame as a Markdown table (SNK-03, SNK-04). More rows than the limit raise an error: a report isn't cut in silence."""
     head = "| " + " | ".join(rows.columns) + " |\n|" + "---|" * len(rows.columns) + "\n"
