@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crashlens.llm import chat, decontamination, jaccard, language, lines, packing, substrings, token_counts, token_files, topk
+from crashlens.llm import bins, chat, decontamination, importance, jaccard, language, lexical, lines, packing, substrings, token_counts, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_token_output": token_files.op9_token_output,
     "op10_exact_top_k": topk.op10_exact_top_k,
+    "op11_importance_resampling": importance.op11_importance_resampling,
+    "op12_packing": bins.op12_packing,
+    "op13_ranked_search": lexical.op13_ranked_search,
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE,
@@ -27,4 +30,6 @@ ORACLES: dict[str, str] = {
     "op6_substring_dedup": substrings.ORACLE,
     "op7_chat_formatting": chat.ORACLE,
     "op10_exact_top_k": topk.ORACLE,
+    "op11_importance_resampling": importance.ORACLE,
+    "op13_ranked_search": lexical.ORACLE,
 }
