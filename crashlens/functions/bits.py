@@ -43,3 +43,54 @@ def status_cell(confidence: Column, live: Column) -> Column:
 def status_rank(status: Column) -> Column:
     """2 for a sure trigger, 1 for a likely one that is live, else 0 (FLT-09)."""
     return F.when(status.isin("1|1", "1|0"), 2).when(status == "0.5|1", 1).otherwise(0)
+
+
+def _bit(place: Column) -> Column:
+    """A place's bit in its byte, as a number."""
+    return F.pow(F.lit(2), F.pmod(place, F.lit(8))).cast("int")
+
+
+def mask(place: Column, width: Column) -> Column:
+    """A bit set of so many bytes, least first, with one bit; any width. A null place gives no bit (WIN-10)."""
+    byte = F.floor(place / 8).cast("int")
+    one = F.concat(F.repeat(F.lit("00"), byte), F.lpad(F.hex(_bit(place)), 2, "0"), F.repeat(F.lit("00"), width.cast("int") - 1 - byte))
+    return F.unhex(F.when(place.isNotNull(), one).otherwise(F.repeat(F.lit("00"), width.cast("int"))))
+
+
+def mask_of(places: Column, width: Column) -> Column:
+    """A bit set of so many bytes with all bits of an array (SCL-19)."""
+    by_byte = lambda i: F.aggregate(F.filter(places, lambda p: F.floor(p / 8) == i), F.lit(0), lambda a, p: a.bitwiseOR(_bit(p)))
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), width.cast("int") - 1), lambda i: F.lpad(F.hex(by_byte(i)), 2, "0")), ""))
+
+
+def places(mask_: Column) -> Column:
+    """Places of the bits in a bit set, rising (SCL-18)."""
+    return set_bits(F.hex(mask_))
+
+
+def has_bit(mask_: Column, place: Column) -> Column:
+    """Whether a bit is set; never beyond the last byte (SCL-19)."""
+    byte = F.substring(mask_, F.floor(place / 8).cast("int") + 1, F.lit(1))
+    return F.coalesce(F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(place, F.lit(8)).cast("int")) == 1, F.lit(False)) & (F.octet_length(byte) > 0)
+
+
+def _bytewise(a: Column, b: Column, how) -> Column:
+    n = F.greatest(F.octet_length(a), F.octet_length(b))
+    byte = lambda m, i: F.coalesce(F.conv(F.nullif(F.substr(F.hex(m), i * 2 - 1, F.lit(2)), F.lit("")), 16, 10).cast("int"), F.lit(0))
+    each = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.unhex(F.array_join(F.transform(each, lambda i: F.lpad(F.hex(how(byte(a, i), byte(b, i))), 2, "0")), ""))
+
+
+def mask_or(a: Column, b: Column) -> Column:
+    """Bits of either; the shorter counts as filled up with zeros."""
+    return _bytewise(a, b, lambda x, y: x.bitwiseOR(y))
+
+
+def mask_and(a: Column, b: Column) -> Column:
+    """Bits of both."""
+    return _bytewise(a, b, lambda x, y: x.bitwiseAND(y))
+
+
+def lone_bit(mask_: Column) -> Column:
+    """The place of the only bit of a bit set; null for none or several (SCL-19)."""
+    return F.when(F.size(places(mask_)) == 1, F.get(places(mask_), F.lit(0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -100,7 +100,53 @@ def with_fallback(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     return primary.unionByName(secondary.crossJoin(F.broadcast(flag)).where("_none").drop("_none"))
 
 
-def prefix_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: int) -> DataFrame:
-    """Ids of which either is a prefix of the other (JOI-15); both have `least` characters or more, which makes it an equi-join."""
-    x, y = left.withColumn("_p", F.substr(a, F.lit(1), F.lit(least))), right.withColumn("_p", F.substr(b, F.lit(1), F.lit(least)))
-    return x.join(y, "_p").where(F.startswith(F.col(a), F.col(b)) | F.startswith(F.col(b), F.col(a))).drop("_p")
+def affix_pairs(left: DataFrame, right: DataFrame, a: str, b: str, ends: bool = False) -> DataFrame:
+    """Distinct (a, b) of which either is a prefix of the other, or with `ends` a suffix; nulls meet nothing (JOI-02, JOI-15).
+
+    An index by length: each text gives a key for every length that the other side has and that isn't over its own, so both
+    directions are equi-joins. Lengths are a bounded dimension, of ids and paths; their distinct values go through the driver.
+    """
+    x, y = left.select(a).where(F.col(a).isNotNull()).distinct(), right.select(b).where(F.col(b).isNotNull()).distinct()
+    cut = F.right if ends else F.left
+
+    def index(df: DataFrame, own: str, other: DataFrame, name: str, upto: Column) -> DataFrame:
+        lengths = sorted(other.agg(F.collect_set(F.char_length(name))).first()[0])
+        some = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= upto)
+        return df.select(own, F.explode(F.transform(some, lambda n: cut(F.col(own), n))).alias(name))
+
+    longer = index(x, a, y, b, F.char_length(a)).join(y, b)
+    shorter = index(y, b, x, a, F.char_length(b) - 1).join(x, a)
+    return longer.select(a, b).unionByName(shorter.select(a, b))
+
+
+def prefixes(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows of both sides whose ids a and b are such that either is a prefix of the other, of any lengths (JOI-15)."""
+    return left.join(affix_pairs(left, right, a, b), a).join(right, b)
+
+
+def first_projects(files: DataFrame, projects: DataFrame) -> DataFrame:
+    """file, project: the first project of the table whose name a file's name begins with, whatever the case, `_` and `-` (JOI-19).
+
+    files: file; projects: project, row (the place in the table). Files without one have no row.
+    """
+    plain = lambda c: F.regexp_replace(F.lower(c), "[_-]", "")
+    a, b = files.select("file").distinct().withColumn("_f", plain("file")), projects.withColumn("_p", plain("project"))
+    met = a.join(affix_pairs(a, b, "_f", "_p").where("startswith(_f, _p)"), "_f").join(b, "_p")
+    return met.groupBy("file").agg(F.min(F.struct("row", "project"))["project"].alias("project"))
+
+
+def containing(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct (a, b) of which either holds the other anywhere; nulls and empty ids meet nothing (SRC-13).
+
+    A q-gram index: q is the least length of all ids. An id is looked for by that of its grams that fewest longer ids hold, then verified.
+    """
+    x, y = (df.select(F.col(c).alias("id")).where("id <> ''").distinct() for df, c in ((left, a), (right, b)))
+    least = x.unionByName(y).agg(F.min(F.char_length("id"))).first()[0] or 1
+    grams = lambda df: df.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("id") - least + 1), lambda i: F.substr("id", i, F.lit(least))))).alias("gram"))
+
+    def held(short: DataFrame, long: DataFrame, one: str, other: str) -> DataFrame:
+        index = grams(long)
+        rare = grams(short).join(index.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram").groupBy("id").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+        return rare.withColumnRenamed("id", one).join(index.withColumnRenamed("id", other), "gram").where(F.contains(F.col(other), F.col(one))).select(a, b)
+
+    return held(x, y, a, b).unionByName(held(y, x, b, a).where(F.col(a) != F.col(b)))

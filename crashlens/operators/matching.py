@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crashlens.functions import frames as fr
 from crashlens.functions import sanitizer as sn
+from crashlens.operators import lookup
+from crashlens.sources import shared
 
 
 def same_path(a: Column, b: Column) -> Column:
@@ -16,47 +18,41 @@ def same_path(a: Column, b: Column) -> Column:
     return F.endswith(a, b) | F.endswith(b, a)
 
 
-#: Characters of the ends of paths that meet in an equi-join.
-ENDING = 8
-
-
 def candidates(crashes: DataFrame, targets: DataFrame, key: str) -> DataFrame:
-    """Targets with a frame on their line, in their file and function (JOI-02): an equi-join on the line and the end of the path,
-    with the suffix test behind it; paths too short for that meet by line alone.
+    """Targets with a frame on their line, in their file and function (JOI-02).
 
+    Distinct files meet first, by the suffix index of affix_pairs(); frames then join the targets' places on file and line.
     crashes: key, frames; targets: bug_id, crash_file, crash_line, crash_function (null or empty: any).
     """
-    lines = crashes.select(key, F.explode("frames").alias("f")).select(key, "f.*")
-    usable = targets.where("crash_file <> '' and crash_line is not null").select("bug_id", "crash_file", "crash_line", F.nullif("crash_function", F.lit("")).alias("crash_function"))
-    fits = (F.col("line") == F.col("crash_line")) & same_path(F.col("file"), F.col("crash_file")) & (F.col("crash_function").isNull() | (F.col("func") == F.col("crash_function")))
-    long = lambda df, c: df.where(F.char_length(c) >= ENDING)
-    short = lambda df, c: df.where(F.char_length(c) < ENDING)
-    ends = F.right("file", F.lit(ENDING)) == F.right("crash_file", F.lit(ENDING))
-    found = [long(lines, "file").join(long(usable, "crash_file"), fits & ends), long(lines, "file").join(short(usable, "crash_file"), fits), short(lines, "file").join(usable, fits)]
-    return reduce(DataFrame.unionByName, (x.select(key, "bug_id") for x in found)).distinct()
+    lines = crashes.select(key, F.explode("frames").alias("f")).select(key, "f.*").where("file is not null and line is not null")
+    usable = targets.where("crash_file <> '' and crash_line is not null").select("bug_id", "crash_file", F.col("crash_line").alias("line"), F.nullif("crash_function", F.lit("")).alias("crash_function"))
+    places = lookup.affix_pairs(lines, usable, "file", "crash_file", ends=True).join(usable, "crash_file").drop("crash_file")
+    return lines.join(places, ["file", "line"]).where("crash_function is null or func = crash_function").select(key, "bug_id").distinct()
 
 
 def match(crashes: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     """Bugs of each crash (DOM-01): a lone candidate as it is; of several, those with the best sanitizer score, unless it is
     negative, and of those the ones with the best stack score; ties stay.
 
-    crashes: key, frames, signature; targets also reference_frames and reference_signature (nullable structs).
+    crashes: key, frames, signature; targets also reference_frames and reference_signature (nullable structs). Either side is read,
+    and its logs parsed, once; crashes with equal frames and signature are matched together, in one aggregate, and told apart at the end.
     """
-    found = candidates(crashes, targets, key)
-    per = Window.partitionBy(key)
-    found = found.withColumn("n", F.count(F.lit(1)).over(per))
-    several = found.where("n > 1").join(crashes, key).join(targets, "bug_id")
+    kind = F.sha2(F.to_json(F.struct("frames", "signature")), 256)
+    crashes = shared.stored(crashes.select(key, "frames", "signature", kind.alias("_kind")), "crashes")
+    targets = shared.stored(targets.select("bug_id", "crash_file", "crash_line", "crash_function", "reference_frames", "reference_signature"), "targets")
+    kinds = shared.stored(crashes.groupBy("_kind").agg(F.first("frames").alias("frames"), F.first("signature").alias("signature")), "kinds")
+    met = candidates(kinds, targets, "_kind").join(kinds, "_kind").join(targets, "bug_id")
     own = lambda r: (r["line"] == F.col("crash_line")) & same_path(r["file"], F.col("crash_file")) & (F.coalesce("crash_function", F.lit("")).isin("") | (r["func"] == F.col("crash_function")))
     seen = lambda r: F.exists("frames", lambda x: (x["line"] == r["line"]) & (x["func"] == r["func"]) & same_path(x["file"], r["file"]))
     refs = F.coalesce(F.col("reference_frames"), F.array().cast("array<struct<func:string,file:string,line:int>>"))
     known = reduce(lambda a, b: a | b, (F.col("signature")[f].isNotNull() for f in sn.FIELDS))
-    scored = several.select(
-        key, "bug_id", F.size(F.filter(refs, lambda r: ~F.coalesce(own(r), F.lit(False)) & F.coalesce(seen(r), F.lit(False)))).alias("stack_score"),
-        F.when(known, F.coalesce(sn.score(F.col("signature"), F.col("reference_signature")), F.lit(0))).alias("sanitizer_score"),
-    )
-    best = scored.withColumn("best", F.max("sanitizer_score").over(per)).where("best is null or best >= 0 and sanitizer_score = best")
-    best = best.withColumn("top", F.max("stack_score").over(per)).where("stack_score = top")
-    return found.where("n = 1").select(key, "bug_id").unionByName(best.select(key, "bug_id"))
+    stack = F.size(F.filter(refs, lambda r: ~F.coalesce(own(r), F.lit(False)) & F.coalesce(seen(r), F.lit(False))))
+    score = F.when(known, F.coalesce(sn.score(F.col("signature"), F.col("reference_signature")), F.lit(0)))
+    listed = met.groupBy("_kind").agg(F.collect_list(F.struct("bug_id", score.alias("score"), stack.alias("stack"))).alias("all"))
+    best = listed.withColumn("_best", F.array_max(F.transform("all", lambda x: x["score"])))
+    best = best.withColumn("fit", F.filter("all", lambda x: F.col("_best").isNull() | ((F.col("_best") >= 0) & (x["score"] == F.col("_best")))))
+    best = best.withColumn("fit", F.expr("if(size(all) = 1, all, filter(fit, x -> x.stack = array_max(transform(fit, y -> y.stack))))"))
+    return crashes.select(key, "_kind").join(best.select("_kind", F.explode("fit.bug_id").alias("bug_id")), "_kind").select(key, "bug_id")
 
 
 def fingerprint_matches(left: DataFrame, right: DataFrame, key: str, print_: str, bug: str) -> DataFrame:

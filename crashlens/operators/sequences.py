@@ -28,26 +28,15 @@ def common_prefix(left: DataFrame, right: DataFrame, by: list[str], position: st
     return both.withColumn("_m", F.sum(off).over(Window.partitionBy(*by).orderBy(position))).where("_m = 0").drop("_m", "_off")
 
 
-def best_sources(rows: DataFrame, introduced: DataFrame | None = None) -> DataFrame:
-    """bug, commit: each bug's best source (WIN-06): the highest rank over 0; of equal ones the commit at which the bug was
-    introduced, whose id either is a prefix of the other, else the last commit in topological order.
-
-    rows: bug, commit, rank, topo; introduced: bug, introduced.
-    """
-    own = F.lit(0)
-    if introduced is not None:
-        rows = rows.join(introduced, "bug", "left")
-        own = F.coalesce((F.col("introduced") != "") & (F.startswith("commit", F.col("introduced")) | F.startswith("introduced", F.col("commit"))), F.lit(False)).cast("int")
-    return rows.where("rank > 0").groupBy("bug").agg(F.max(F.struct("rank", own.alias("own"), "topo", "commit")).alias("x")).select("bug", "x.commit")
-
-
-def transplant_plan(rows: DataFrame, target: str, introduced: DataFrame | None = None) -> DataFrame:
+def transplant_plan(rows: DataFrame, target: str, introduced: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
     """bug, state and source for a target commit (WIN-06): triggered there, needed from its best source, or unusable.
 
-    rows: bug, commit, status, rank, topo; statuses other than `0|0` and `0|1` count as triggered.
+    rows: bug, commit, status, rank, row; statuses other than `0|0` and `0|1` count as triggered. introduced and edges as in graphs.best_sources().
     """
+    from crashlens.operators import graphs
+
     there = rows.where(F.col("commit") == target).select("bug", F.coalesce(F.col("status").isin("1|1", "1|0", "0.5|1", "0.5|0"), F.lit(False)).alias("here"))
-    best = best_sources(rows, introduced).withColumnRenamed("commit", "source")
+    best = graphs.best_sources(rows, edges, introduced).withColumnRenamed("commit", "source")
     state = F.when(F.col("here"), "triggered").when(F.col("source").isNotNull(), "needed").otherwise("unusable")
     return there.join(best, "bug", "left").select("bug", state.alias("state"), F.when(~F.col("here"), F.col("source")).alias("source"))
 

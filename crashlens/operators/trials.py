@@ -68,13 +68,16 @@ def top_states(crashes: DataFrame, k: int = 5) -> DataFrame:
 def corpus_snapshots(inputs: DataFrame, bugs: DataFrame, n_bytes: int) -> DataFrame:
     """fuzzer, trial, bug_id and the earliest time at which a corpus holds an input that switches the bug on (SRC-18).
 
-    inputs: fuzzer, trial, time, head (an input's first bytes); bugs: bug_id, dispatch_value up to 2^62, 0 for those always on.
+    inputs: fuzzer, trial, time, head (an input's first bytes); bugs: bug_id and dispatch_mask, a bit set of any width, or
+    dispatch_value up to 2^62; no bit for those always on.
     Shorter inputs switch nothing on. Inputs of a trial are taken together by head before bugs are met.
     """
     heads = inputs.where(F.octet_length("head") >= n_bytes).groupBy("fuzzer", "trial", F.substring("head", 1, n_bytes).alias("head")).agg(F.min("time").alias("time"))
     bit = heads.select("fuzzer", "trial", "time", F.explode(bits.set_bits(F.hex("head"))).alias("bit"))
-    gated = bugs.where("dispatch_value > 0").select("bug_id", F.explode(F.expr("filter(sequence(0, 62), i -> getbit(dispatch_value, i) = 1)")).alias("bit"))
-    always = heads.crossJoin(F.broadcast(bugs.where("dispatch_value = 0").select("bug_id")))  # bugs are a dimension of one project
+    held = bits.places(F.col("dispatch_mask")) if "dispatch_mask" in bugs.columns else F.expr("filter(sequence(0, 62), i -> getbit(dispatch_value, i) = 1)")
+    bugs = bugs.select("bug_id", held.alias("_bits"))
+    gated = bugs.select("bug_id", F.explode("_bits").alias("bit"))
+    always = heads.crossJoin(F.broadcast(bugs.where("size(_bits) = 0").select("bug_id")))  # bugs are a dimension of one project
     hits = bit.join(gated, "bit").select("fuzzer", "trial", "bug_id", "time").unionByName(always.select("fuzzer", "trial", "bug_id", "time"))
     return hits.groupBy("fuzzer", "trial", "bug_id").agg(F.min("time").alias("first_time"))
 

@@ -31,6 +31,12 @@ LOG = r"""'==7==ERROR: AddressSanitizer: ' || CASE event_type WHEN 'error' THEN
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with k and their log."""
+    return table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("log", F.expr(LOG))
+
+
+def timed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """logs() with t, seconds since the first event."""
     return events(spark, sf_dir).withColumn("log", F.expr(LOG))
 
 

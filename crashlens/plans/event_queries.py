@@ -267,11 +267,6 @@ add(
     lambda s, d: sequences.top(events(s, d).groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n")), [F.desc("n"), F.col("event_type"), F.col("k")], 5),
     f"WITH {EV} , x AS (SELECT event_type, k, count(*) AS n FROM ev GROUP BY ALL) SELECT *, CAST(row_number() OVER (ORDER BY n DESC, event_type, k) AS INTEGER) AS rank FROM x ORDER BY rank LIMIT 5",
 )
-add(
-    "coverage_first_reach",
-    lambda s, d: events(s, d).groupBy("user_id", "event_type").agg(F.min(F.when(F.col("k") % 10 == 3, F.struct("t", "event_id"))).alias("r")).where("r is not null").select("user_id", "event_type", F.col("r.t").alias("t"), F.col("r.event_id").alias("event_id")),
-    f"WITH {EV} SELECT user_id, event_type, min(t) AS t, arg_min(event_id, (t, event_id)) AS event_id FROM ev WHERE k % 10 = 3 GROUP BY ALL",
-)
 add(
     "dag_live_window",
     lambda s, d: _dag(s, d),

@@ -8,7 +8,7 @@ from crashlens.functions import frames as fr
 from crashlens.functions import sanitizer as sn
 from crashlens.functions import text
 from crashlens.operators import matching
-from crashlens.plans.base import LG, Query, logs, table
+from crashlens.plans.base import LG, Query, logs, table, timed_logs
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +18,7 @@ def add(name: str, query: Query, sql: str) -> None:
     QUERIES[name], ORACLES[name] = query, sql
 
 
+#: The grammar of sanitizer logs, as in functions/frames.py, for DuckDB.
 STRICT = r"(?m)^\s*#\d+\s+0x[0-9a-fA-F]+\s+in\s+(.+?)\s+(/src/[^:\n]+):(\d+)(?::\d+)?"
 LOOSE = r"(?m)^\s*#\d+\s+0x[0-9a-fA-F]+\s+in\s+(.+?)\s+(/src/[^:\n]+)(?::(\d+))?"
 ANY = r"(?m)#\d+\s+\S+\s+in\s+(.+?)\s+(/\S+?):(\d+)(?::\d+)?\s*$"
@@ -183,7 +184,7 @@ add(
 )
 add(
     "representative_stack",
-    lambda s, d: matching.representatives(logs(s, d), ["event_type", "k"], ["t", "event_id"], "log").select("event_type", "k", "n", F.md5("log").alias("log")),
+    lambda s, d: matching.representatives(timed_logs(s, d), ["event_type", "k"], ["t", "event_id"], "log").select("event_type", "k", "n", F.md5("log").alias("log")),
     f"WITH {LG} SELECT event_type, k, count(*) AS n, md5(arg_min(log, (t, event_id))) AS log FROM lg GROUP BY ALL",
 )
 add(

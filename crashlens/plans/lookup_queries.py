@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from crashlens.functions import frames, sanitizer, text
+from crashlens.functions import bits, frames, sanitizer, text
 from crashlens.operators import choices, lookup, sequences
 from crashlens.plans.base import Query, table
-from crashlens.sources import sinks
+from crashlens.sources import readers, sinks
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -116,6 +116,36 @@ add(
     lambda s, d: sinks.dispatch_state(sinks.dispatch_bits(table(s, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "F").alias("gated")), ["o_orderkey"], "gated", ("o_custkey",)), ("o_custkey",)),
     "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS next_bit, CAST(greatest(1, ceil(count(*) FILTER (WHERE o_orderstatus = 'F') / 8)) AS BIGINT) AS dispatch_bytes FROM orders GROUP BY 1",
 )
+PARTS = "g AS (SELECT p_partkey, p_partkey % 3 AS project, p_size, CASE WHEN p_size <= 40 THEN row_number() OVER (PARTITION BY p_partkey % 3, p_size <= 40 ORDER BY p_partkey) - 1 END AS bit FROM part), w AS (SELECT project, greatest(1, (count(bit) + 7) // 8) AS w FROM g GROUP BY 1)"
+
+
+def _gated(s, d):
+    """Parts as bugs of three projects, gated where they are small."""
+    return sinks.dispatch_bits(table(s, d, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 3).alias("project")), ["p_partkey"], "p_size <= 40", ("project",))
+
+
+add(
+    "dispatch_masks",
+    lambda s, d: _gated(s, d).select("p_partkey", "bit", F.md5(F.hex("dispatch_mask")).alias("mask"), bits.lone_bit(F.col("dispatch_mask")).alias("lone"), bits.has_bit(F.col("dispatch_mask"), F.lit(70)).alias("seventy")),
+    f"""WITH {PARTS} SELECT p_partkey, CAST(bit AS INTEGER) AS bit, md5(CASE WHEN bit IS NULL THEN repeat('00', w) ELSE repeat('00', bit // 8) || printf('%02X', 1 << CAST(bit % 8 AS INTEGER)) || repeat('00', w - 1 - bit // 8) END) AS mask,
+    CAST(bit AS INTEGER) AS lone, coalesce(bit = 70, false) AS seventy FROM g JOIN w USING (project)""",
+)
+
+
+def _mask_sets(s, d):
+    """Sets of a project's bits: of its smaller and of its larger bugs, their union and intersection."""
+    rows = _gated(s, d).groupBy("project", F.octet_length("dispatch_mask").alias("w")).agg(F.collect_set(F.when(F.col("p_size") < 30, F.col("bit"))).alias("a"), F.collect_set(F.when(F.col("p_size") >= 20, F.col("bit"))).alias("b"))
+    rows = rows.select("project", bits.mask_of(F.col("a"), F.col("w")).alias("a"), bits.mask_of(F.col("b"), F.col("w")).alias("b"))
+    n = lambda m: F.size(bits.places(m)).cast("long")
+    return rows.select("project", n(F.col("a")).alias("small"), n(F.col("b")).alias("large"), n(bits.mask_or(F.col("a"), F.col("b"))).alias("either"), n(bits.mask_and(F.col("a"), F.col("b"))).alias("both"), F.array_max(bits.places(bits.mask_and(F.col("a"), F.col("b")))).alias("last"))
+
+
+add(
+    "mask_sets",
+    _mask_sets,
+    f"""WITH {PARTS}, m AS (SELECT project, bitstring_agg(CASE WHEN p_size < 30 THEN bit END, 0, 99999) AS a, bitstring_agg(CASE WHEN p_size >= 20 THEN bit END, 0, 99999) AS b, max(bit) FILTER (WHERE p_size >= 20 AND p_size < 30) AS last FROM g GROUP BY 1)
+    SELECT project, CAST(bit_count(a) AS BIGINT) AS small, CAST(bit_count(b) AS BIGINT) AS large, CAST(bit_count(a | b) AS BIGINT) AS either, CAST(bit_count(a & b) AS BIGINT) AS both, CAST(last AS INTEGER) AS last FROM m""",
+)
 add(
     "overlap_with_subset",
     lambda s, d: table(s, d, "lineitem").join(table(s, d, "lineitem").where("l_returnflag = 'R'").select("l_partkey").distinct(), "l_partkey", "left_semi").where("l_returnflag <> 'R'").select("l_orderkey").distinct(),
@@ -126,17 +156,51 @@ add(
     lambda s, d: lookup.with_fallback(table(s, d, "lineitem").where("l_quantity > 1000").select("l_orderkey"), table(s, d, "lineitem").where("l_quantity = 50").select("l_orderkey")),
     "SELECT l_orderkey FROM lineitem WHERE l_quantity > 1000 UNION ALL SELECT l_orderkey FROM lineitem WHERE l_quantity = 50 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_quantity > 1000)",
 )
+def _ids(s, d, name, out, more):
+    """Parts with an id of one to forty characters."""
+    return table(s, d, "part").select(F.col("p_partkey").alias(name), F.left(F.sha1((F.col("p_partkey") + more).cast("string")), (F.col("p_partkey") * 7 % 40 + 1).cast("int")).alias(out))
+
+
 add(
     "prefix_match",
-    lambda s, d: lookup.prefix_pairs(table(s, d, "part").select("p_partkey", F.md5(F.col("p_partkey").cast("string")).alias("long_id")), table(s, d, "part").select(F.col("p_partkey").alias("other"), F.substr(F.md5(F.col("p_partkey").cast("string")), F.lit(1), F.lit(10)).alias("short_id")), "long_id", "short_id", 7).select("p_partkey", "other"),
-    "SELECT a.p_partkey, b.p_partkey AS other FROM part a JOIN part b ON md5(CAST(a.p_partkey AS VARCHAR))[1:10] = md5(CAST(b.p_partkey AS VARCHAR))[1:10]",
+    lambda s, d: lookup.prefixes(_ids(s, d, "p_partkey", "long_id", 0), _ids(s, d, "other", "short_id", 40), "long_id", "short_id").select("p_partkey", "other"),
+    """WITH p AS (SELECT p_partkey AS k, sha1(CAST(p_partkey AS VARCHAR))[1:p_partkey * 7 % 40 + 1] AS a, sha1(CAST(p_partkey + 40 AS VARCHAR))[1:p_partkey * 7 % 40 + 1] AS b FROM part)
+    SELECT x.k AS p_partkey, y.k AS other FROM p x JOIN p y ON starts_with(x.a, y.b) OR starts_with(y.b, x.a)""",
 )
+
+
+def _projects(s, d):
+    """Parts' names as files, their first one and two words as projects in order of the parts."""
+    words = lambda n: table(s, d, "part").select(F.array_join(F.slice(F.split("p_name", " "), 1, n), "_").alias("project"), (F.col("p_partkey") * 7 % 1000 * 1000000 + F.col("p_partkey")).alias("row"))
+    projects = words(1).unionByName(words(2)).groupBy("project").agg(F.min("row").alias("row"))
+    files = table(s, d, "part").select("p_partkey", F.concat(F.upper(F.replace("p_name", F.lit(" "), F.lit("-"))), F.lit(".c")).alias("file"))
+    return files.join(lookup.first_projects(files, projects), "file").select("p_partkey", "project")
+
+
 add(
     "normalized_prefix_first",
-    lambda s, d: lookup.prefix_pairs(
-        table(s, d, "part").select("p_partkey", F.regexp_replace(F.lower(F.concat("p_name", F.lit(".c"))), "[ _-]", "").alias("file")), table(s, d, "part").select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("project")).distinct(), "file", "project", 3
-    ).groupBy("p_partkey").agg(F.min("project").alias("project")),
-    "SELECT p_partkey, lower(split_part(p_name, ' ', 1)) AS project FROM part",
+    _projects,
+    """WITH w AS (SELECT split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_partkey * 7 % 1000 * 1000000 + p_partkey AS r FROM part), j AS (SELECT project, min(r) AS r FROM (SELECT a AS project, r FROM w UNION ALL SELECT CASE WHEN b = '' THEN a ELSE a || '_' || b END, r FROM w) GROUP BY 1)
+    SELECT p_partkey, arg_min(project, (r, project)) AS project FROM part JOIN j ON starts_with(replace(replace(lower(p_name), ' ', ''), '-', ''), replace(replace(lower(project), '_', ''), '-', '')) GROUP BY 1""",
+)
+
+
+def _builds(s, d):
+    """Orders as builds of five projects; all closed ones look for a commit: a piece of an id, a longer id, or none that there is."""
+    md, k = F.md5(F.col("o_orderkey").cast("string")), F.col("o_orderkey")
+    builds = table(s, d, "orders").select(k.alias("line"), F.col("o_orderpriority").alias("target"), F.left(md, (k % 20 + 12).cast("int")).alias("commit_id"), F.concat(F.lit("oss"), k).alias("oss_fuzz_commit"))
+    commit = F.when(k % 3 == 0, F.substr(md, F.lit(3), (k % 5 + 8).cast("int"))).when(k % 3 == 1, md).otherwise(F.concat(F.lit("none"), F.left(md, F.lit(7))))
+    wanted = table(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderpriority").alias("target"), commit.alias("commit"))
+    return readers.build_commits(builds, wanted)
+
+
+add(
+    "build_commits",
+    _builds,
+    """WITH o AS (SELECT *, md5(CAST(o_orderkey AS VARCHAR)) AS m, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey DESC) AS back FROM orders)
+    SELECT a.o_orderpriority AS target, CASE WHEN a.o_orderkey % 3 = 0 THEN substring(a.m, 3, a.o_orderkey % 5 + 8) WHEN a.o_orderkey % 3 = 1 THEN a.m ELSE 'none' || a.m[1:7] END AS commit,
+    CASE WHEN a.o_orderkey % 3 = 1 OR a.o_orderkey % 3 = 0 AND a.o_orderkey % 5 + 10 <= a.o_orderkey % 20 + 12 THEN 'oss' || CAST(a.o_orderkey AS VARCHAR) ELSE 'oss' || CAST(b.o_orderkey AS VARCHAR) END AS oss_fuzz_commit,
+    a.o_orderkey % 3 = 1 OR a.o_orderkey % 3 = 0 AND a.o_orderkey % 5 + 10 <= a.o_orderkey % 20 + 12 AS matched FROM o a JOIN o b ON b.o_orderpriority = a.o_orderpriority AND b.back = 1 WHERE a.o_orderstatus = 'F'""",
 )
 add(
     "adjacent_neighbor",

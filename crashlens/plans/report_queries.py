@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crashlens.functions import bits, frames, text
-from crashlens.operators import grouping, patches, sequences, trials
-from crashlens.plans.base import EV, LG, Query, events, logs, table
+from crashlens.operators import graphs, grouping, patches, sequences, trials
+from crashlens.plans.base import EV, LG, Query, events, logs, table, timed_logs
 from crashlens.plans.log_queries import LOOSE, SHORT, _parsed
 from crashlens.sources import sinks
 
@@ -24,7 +24,7 @@ def _trials(s, d):
 
 
 def _crashes(s, d):
-    return logs(s, d).where("event_type <> 'view'").select(F.col("user_id").alias("trial_id"), F.col("t").alias("time"), F.col("log").alias("crash_stacktrace"), F.concat_ws("\n", F.concat(F.lit("fn_"), F.col("k") % 7), F.col("event_type")).alias("crash_state"), F.concat(F.lit("k"), F.col("k") % 9, F.lit("|x")).alias("crash_key"))
+    return timed_logs(s, d).where("event_type <> 'view'").select(F.col("user_id").alias("trial_id"), F.col("t").alias("time"), F.col("log").alias("crash_stacktrace"), F.concat_ws("\n", F.concat(F.lit("fn_"), F.col("k") % 7), F.col("event_type")).alias("crash_state"), F.concat(F.lit("k"), F.col("k") % 9, F.lit("|x")).alias("crash_key"))
 
 
 TRIALS = f"{LG}, tr AS (SELECT c_custkey AS id, c_mktsegment AS fuzzer, 'b' || CAST(c_nationkey % 3 AS VARCHAR) AS benchmark, c_custkey % 7 = 0 AS preempted, CASE WHEN c_acctbal > 0 THEN c_name END AS time_ended FROM customer), cr AS (SELECT * FROM lg WHERE event_type <> 'view')"
@@ -61,18 +61,19 @@ add(
 
 
 def _corpus(s, d):
-    """Events as inputs of two bytes, of one where k is a multiple of five; bugs switched on by a bit of parts' numbers, and two always on."""
-    head = F.unhex(F.when(F.col("k") % 5 == 0, F.lpad(F.hex(F.col("event_id") % 256), 2, "0")).otherwise(F.lpad(F.hex(F.col("event_id") % 65536), 4, "0")))
+    """Events as inputs of ten bytes, of one where k is a multiple of five; nations as bugs that a bit of up to 73 switches on, some always on."""
+    head = F.unhex(F.when(F.col("k") % 5 == 0, F.lpad(F.hex(F.col("event_id") % 256), 2, "0")).otherwise(F.repeat(F.lpad(F.hex(F.col("event_id") % 65536), 4, "0"), F.lit(5))))
     inputs = events(s, d).select((F.col("user_id") % 3).alias("fuzzer"), F.col("user_id").alias("trial"), F.col("t").alias("time"), head.alias("head"))
-    bugs = s.range(14).select(F.concat(F.lit("bug-"), "id").alias("bug_id"), F.expr("if(id < 12, shiftleft(1L, cast(id as int)), 0L)").alias("dispatch_value"))
-    return trials.corpus_snapshots(inputs, bugs, 2)
+    place = F.when(F.col("n_nationkey") % 9 != 8, F.col("n_nationkey") * 3)
+    bugs = table(s, d, "nation").select(F.concat(F.lit("bug-"), "n_nationkey").alias("bug_id"), bits.mask(place, F.lit(10)).alias("dispatch_mask"))
+    return trials.corpus_snapshots(inputs, bugs, 10)
 
 
 add(
     "corpus_snapshots",
     _corpus,
-    f"""WITH {EV}, i AS (SELECT user_id % 3 AS fuzzer, user_id AS trial, t, event_id % 65536 // 256 + event_id % 256 * 256 AS v FROM ev WHERE k % 5 <> 0), b AS (SELECT 'bug-' || CAST(x AS VARCHAR) AS bug_id, CASE WHEN x < 12 THEN 1 << x ELSE 0 END AS dv FROM range(14) AS r(x))
-    SELECT fuzzer, trial, bug_id, min(t) AS first_time FROM i JOIN b ON dv = 0 OR (v & dv) <> 0 GROUP BY ALL""",
+    f"""WITH {EV}, i AS (SELECT user_id % 3 AS fuzzer, user_id AS trial, t, event_id % 65536 // 256 + event_id % 256 * 256 AS v FROM ev WHERE k % 5 <> 0), b AS (SELECT 'bug-' || CAST(n_nationkey AS VARCHAR) AS bug_id, n_nationkey % 9 = 8 AS always, CAST(n_nationkey * 3 % 16 AS INTEGER) AS p FROM nation)
+    SELECT fuzzer, trial, bug_id, min(t) AS first_time FROM i JOIN b ON always OR (v >> p) & 1 = 1 GROUP BY ALL""",
 )
 
 
@@ -163,16 +164,28 @@ add(
 
 
 def _sources(s, d):
-    """Events as cells of a matrix: bugs by k, commits by user in topological order of their numbers."""
-    status = F.expr("case user_id % 5 when 0 then '1|1' when 1 then '0.5|1' when 2 then '0|1' when 3 then '0.5|0' else '0|0' end")
-    return events(s, d).groupBy((F.col("k")).alias("bug"), F.col("user_id").alias("topo")).agg(F.count(F.lit(1)).alias("n")).select("bug", "topo", F.sha1(F.col("topo").cast("string")).alias("commit"), F.expr("if((bug + topo) % 3 = 0, '0|0', case topo % 5 when 0 then '1|1' when 1 then '0.5|1' when 2 then '0|1' when 3 then '0.5|0' else '0|0' end)").alias("status")).withColumn("rank", bits.status_rank(F.col("status")))
+    """Events as cells of a matrix: bugs by k, commits by user, in an order of rows that no history has."""
+    u = F.col("user_id")
+    rank = F.expr("if((k + user_id) % 3 = 0, '0|0', case user_id % 5 when 0 then '1|1' when 1 then '0.5|1' when 2 then '0|1' when 3 then '0.5|0' else '0|0' end)")
+    rows = events(s, d).select(F.col("k").alias("bug"), "user_id", F.sha1(u.cast("string")).alias("commit"), bits.status_rank(rank).alias("rank"), (u % 10 * 1000000 + u).alias("row")).distinct()
+    users = events(s, d).select("user_id").distinct()
+    up = users.select("user_id", F.explode(F.array_distinct(F.array(F.floor(u / 2), F.floor(u / 3)))).alias("parent")).where("parent > 0")  # histories that branch and merge
+    edges = up.select(F.sha1(u.cast("string")).alias("child"), F.sha1(F.col("parent").cast("string")).alias("parent"))
+    introduced = rows.where("bug < 100").select("bug").distinct().select("bug", F.substr(F.sha1((F.col("bug") * 5).cast("string")), F.lit(1), F.lit(12)).alias("introduced"))
+    return graphs.best_sources(rows.drop("user_id"), edges, introduced.where("bug % 2 = 0"))
 
 
 add(
     "best_sources_introduced",
-    lambda s, d: sequences.best_sources(_sources(s, d), s.range(100).select(F.col("id").cast("int").alias("bug"), F.substr(F.sha1((F.col("id") * 5).cast("string")), F.lit(1), F.lit(12)).alias("introduced"))).select("bug", "commit"),
-    f"""WITH {EV}, c AS (SELECT DISTINCT k AS bug, user_id AS topo FROM ev), r AS (SELECT *, CASE WHEN (bug + topo) % 3 = 0 THEN 0 WHEN topo % 5 = 0 THEN 2 WHEN topo % 5 = 1 THEN 1 ELSE 0 END AS rank, (bug < 100 AND topo = bug * 5) AS own FROM c)
-    SELECT bug, sha1(CAST(arg_max(topo, (rank, CAST(own AS INTEGER), topo)) AS VARCHAR)) AS commit FROM r WHERE rank > 0 GROUP BY 1""",
+    _sources,
+    f"""WITH RECURSIVE {EV}, c AS (SELECT DISTINCT k AS bug, user_id AS u, user_id % 10 * 1000000 + user_id AS r FROM ev), us AS (SELECT DISTINCT user_id AS u FROM ev),
+    e AS (SELECT u AS c, u // 2 AS p FROM us WHERE u // 2 > 0 UNION SELECT u, u // 3 FROM us WHERE u // 3 > 0), a AS (SELECT c AS d, p AS x FROM e UNION SELECT a.d, e.p FROM a JOIN e ON a.x = e.c),
+    k AS (SELECT *, CASE WHEN (bug + u) % 3 = 0 THEN 0 WHEN u % 5 = 0 THEN 2 WHEN u % 5 = 1 THEN 1 ELSE 0 END AS rank FROM c),
+    t AS (SELECT * FROM (SELECT *, max(rank) OVER (PARTITION BY bug) AS top FROM k) WHERE rank > 0 AND rank = top),
+    n AS (SELECT x.bug, x.r, min(y.r) AS after FROM t x JOIN a ON a.x = x.u JOIN t y ON y.bug = x.bug AND y.u = a.d AND y.r > x.r GROUP BY 1, 2),
+    f AS (SELECT bug, min(r) AS r FROM t GROUP BY 1 UNION SELECT f.bug, n.after FROM f JOIN n ON n.bug = f.bug AND n.r = f.r),
+    z AS (SELECT bug, max(r) AS r FROM f GROUP BY 1), o AS (SELECT bug, u FROM t WHERE bug < 100 AND bug % 2 = 0 AND u = bug * 5)
+    SELECT z.bug, sha1(CAST(coalesce(o.u, t.u) AS VARCHAR)) AS commit FROM z JOIN t ON t.bug = z.bug AND t.r = z.r LEFT JOIN o ON o.bug = z.bug""",
 )
 add(
     "common_prefix_renamed",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crashlens.functions import frames, sanitizer, text
+from crashlens.sources import numbered
 
 BUG = "struct<dispatch_value: bigint, triggered: boolean, crash_file: string, crash_line: int, crash_function: string>"
 METADATA = f"project string, target_commit string, dispatch_bytes bigint, total_bugs bigint, bugs map<string, {BUG}>"
@@ -56,10 +57,11 @@ def csv(spark: SparkSession, path: str, columns: list[str], numbers: tuple[str,
 
 
 def matrix(spark: SparkSession, path: str) -> DataFrame:
-    """A commit by bug matrix as rows: commit, row, bug, status (SRC-12)."""
+    """A commit by bug matrix as rows: commit, row, bug, status (SRC-12). row is the line's number below the header, whatever the file's size."""
     from crashlens.operators import rollups
 
-    wide = spark.read.csv(path, header=True).withColumnRenamed("commit id", "commit").withColumn("row", F.monotonically_increasing_id())
+    wide = numbered.csv_rows(spark, path).withColumnRenamed("commit id", "commit").select("commit", "row", "*")
+    wide = wide.select("commit", "row", *(F.col(f"`{c}`") for c in wide.columns[2:] if c not in ("commit", "row")))
     return rollups.to_long(wide, ["commit", "row"])
 
 
@@ -68,28 +70,51 @@ def unmatched_keys(rows: DataFrame) -> DataFrame:
     return rows.select("fuzzer", text.normal_key(F.col("crash_key")).alias("key")).distinct()
 
 
+def builds(spark: SparkSession, path: str) -> DataFrame:
+    """line, and the columns of a builds CSV file (SRC-13)."""
+    return numbered.csv_rows(spark, path).withColumnRenamed("row", "line")
+
+
+def build_commits(builds: DataFrame, wanted: DataFrame) -> DataFrame:
+    """target, commit, oss_fuzz_commit, matched: for each wanted commit of a project the first build whose commit holds it or is held
+    by it, else the project's last row with matched = false (SRC-13); none for an unknown project.
+
+    builds: line, target, commit_id, oss_fuzz_commit; wanted: target, commit. Ids meet by lookup.containing().
+    """
+    from crashlens.operators import lookup
+
+    wanted = wanted.select("target", "commit").distinct()
+    met = wanted.join(lookup.containing(wanted, builds, "commit", "commit_id"), "commit").join(builds.select("target", "commit_id", "line", "oss_fuzz_commit"), ["target", "commit_id"])
+    first = met.groupBy("target", "commit").agg(F.min(F.struct("line", "oss_fuzz_commit"))["oss_fuzz_commit"].alias("_hit"), F.lit(True).alias("_matched"))
+    last = builds.groupBy("target").agg(F.max(F.struct("line", "oss_fuzz_commit"))["oss_fuzz_commit"].alias("_last"))
+    out = wanted.join(last, "target").join(first, ["target", "commit"], "left")
+    return out.select("target", "commit", F.when(F.col("_matched"), F.col("_hit")).otherwise(F.col("_last")).alias("oss_fuzz_commit"), F.coalesce("_matched", F.lit(False)).alias("matched"))
+
+
 def build_commit(builds: DataFrame, project: str, commit: str) -> DataFrame:
-    """The build whose commit holds the given one or is held by it, else the project's last row with matched = false (SRC-13). builds: line, target, commit_id, oss_fuzz_commit."""
-    own = builds.where(F.col("target") == project)
-    hit = F.col("commit_id").contains(commit) | F.lit(commit).contains(F.col("commit_id"))
-    return own.withColumn("matched", hit).orderBy(F.desc("matched"), F.when(F.col("matched"), F.col("line")).otherwise(-F.col("line"))).limit(1).select("oss_fuzz_commit", "matched")
+    """build_commits() of one commit: oss_fuzz_commit and matched (SRC-13)."""
+    wanted = builds.sparkSession.createDataFrame([(project, commit)], "target string, commit string")
+    return build_commits(builds, wanted).select("oss_fuzz_commit", "matched")
 
 
 def coverage(spark: SparkSession, path: str) -> DataFrame:
-    """file, line, count: the greatest count of segment starts that were hit (SRC-16); gzip is read as it is."""
+    """archive, file, file_pos (the file's place in the archive), line, count: the greatest count of segment starts that were hit (SRC-16);
+    gzip is read as it is."""
     rows = spark.read.schema("data array<struct<files: array<struct<filename: string, segments: array<array<string>>>>>>").json(path)
-    segments = rows.select(F.input_file_name().alias("archive"), F.explode(F.col("data")[0]["files"]).alias("f")).select("archive", F.col("f.filename").alias("file"), F.explode("f.segments").alias("s"))
+    segments = rows.select(F.input_file_name().alias("archive"), F.posexplode(F.col("data")[0]["files"]).alias("file_pos", "f")).select("archive", "file_pos", F.col("f.filename").alias("file"), F.explode("f.segments").alias("s"))
     hit = (F.get("s", F.lit(3)).isin("true", "1")) & (F.get("s", F.lit(2)).try_cast("long") > 0)
-    return segments.where(hit).groupBy("archive", "file", F.get("s", F.lit(0)).try_cast("int").alias("line")).agg(F.max(F.get("s", F.lit(2)).try_cast("long")).alias("count"))
+    return segments.where(hit).groupBy("archive", "file", "file_pos", F.get("s", F.lit(0)).try_cast("int").alias("line")).agg(F.max(F.get("s", F.lit(2)).try_cast("long")).alias("count"))
 
 
 def first_covered(lines: DataFrame, bugs: DataFrame, keys: list[str]) -> DataFrame:
     """Earliest snapshot in which a bug's line is covered; of the files an archive has for a bug only the first one counts (JOI-08).
 
-    lines: keys, archive, file, file_pos, line, time; bugs: bug_id, crash_file, crash_line. The file test is a suffix
-    test, so files meet bugs first, one row per distinct file name.
+    lines: keys, archive, file, file_pos, line, time, as coverage() gives them with its archives' keys and times; bugs: bug_id,
+    crash_file, crash_line. Either path may be a suffix of the other: distinct file names meet by the index of affix_pairs().
     """
-    names = lines.select("file").distinct().join(bugs.select("bug_id", "crash_file"), F.endswith("file", "crash_file") | F.endswith("crash_file", "file")).select("file", "bug_id")
+    from crashlens.operators import lookup
+
+    names = lookup.affix_pairs(lines, bugs, "file", "crash_file", ends=True).join(bugs.select("bug_id", "crash_file"), "crash_file").select("file", "bug_id")
     files = lines.select(*keys, "archive", "file", "file_pos", "time").distinct().join(names, "file")
     chosen = files.groupBy(*keys, "archive", "time", "bug_id").agg(F.min(F.struct("file_pos", "file")).alias("x")).select(*keys, "archive", "time", "bug_id", F.col("x.file").alias("file"))
     hit = chosen.join(bugs.select("bug_id", "crash_line"), "bug_id").join(lines.select(*keys, "archive", "file", F.col("line").alias("crash_line")), [*keys, "archive", "file", "crash_line"], "left_semi")
@@ -109,25 +134,25 @@ def reference_logs(spark: SparkSession, path: str, own: str | None = None) -> Da
 
 
 def raw_trace(lines: DataFrame) -> DataFrame:
-    """pos, offset, caller from lines (pos, value) of a raw trace (SRC-23, SRC-42)."""
-    return lines.where(F.col("value").rlike(TRACE)).select("pos", F.regexp_extract("value", TRACE, 1).alias("offset"), F.regexp_extract("value", TRACE, 2).alias("caller"))
+    """offset and caller from lines (pos, value, and file where there are several) of raw traces, beside what lines have (SRC-23, SRC-42)."""
+    return lines.where(F.col("value").rlike(TRACE)).select(*(c for c in lines.columns if c != "value"), F.regexp_extract("value", TRACE, 1).alias("offset"), F.regexp_extract("value", TRACE, 2).alias("caller"))
 
 
-def trace_offsets(calls: DataFrame) -> DataFrame:
-    """Distinct offsets of a raw trace (SRC-23), each with the place where it first stands. calls: as raw_trace() gives them."""
-    return calls.groupBy("offset").agg(F.min("pos").alias("pos"))
+def trace_offsets(calls: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct offsets of a raw trace (SRC-23), each with the place where it first stands. calls: as raw_trace() gives them; by: the file, where there are several."""
+    return calls.groupBy(*by, "offset").agg(F.min("pos").alias("pos"))
 
 
-def trace_callees(calls: DataFrame) -> DataFrame:
+def trace_callees(calls: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """caller and the offsets that it called, in order, repeats too (SRC-23)."""
     listed = F.array_sort(F.collect_list(F.struct("pos", "offset")))
-    return calls.groupBy("caller").agg(F.transform(listed, lambda x: x["offset"]).alias("callees"))
+    return calls.groupBy(*by, "caller").agg(F.transform(listed, lambda x: x["offset"]).alias("callees"))
 
 
 def entered(lines: DataFrame) -> DataFrame:
-    """pos, func, location from lines (pos, value) of a symbolised trace (SRC-24, SRC-25)."""
+    """func and location from lines (pos, value, and file where there are several) of symbolised traces, beside what lines have (SRC-24, SRC-25)."""
     form = r"^Entering function: (.*?) Location: (.*)$"
-    return lines.where(F.col("value").rlike(form)).select("pos", F.regexp_extract("value", form, 1).alias("func"), F.regexp_extract("value", form, 2).alias("location"))
+    return lines.where(F.col("value").rlike(form)).select(*(c for c in lines.columns if c != "value"), F.regexp_extract("value", form, 1).alias("func"), F.regexp_extract("value", form, 2).alias("location"))
 
 
 def call_graph(lines: DataFrame, trace: str) -> DataFrame:
@@ -186,14 +211,14 @@ def bug_list(keyed: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def commit_range(edges: DataFrame, commits: DataFrame, start: str, end: str) -> DataFrame:
-    """Commits between two, on paths that join them, start included; else those in their time window (SRC-34). edges: child, parent; commits: commit, ts."""
-    from crashlens.operators import lookup, sequences
+    """Commits between two, on paths that join them, both included; if the first is no ancestor of the last, those at times strictly
+    between theirs (SRC-34). edges: child, parent; commits: commit, ts. Paths come from the chains of graphs.history()."""
+    from crashlens.operators import graphs, lookup
 
-    reach = sequences.closure(edges, "child", "parent")
-    after = reach.where(F.col("b") == start).select(F.col("a").alias("commit"))
-    path = after.join(reach.where(F.col("a") == end).select(F.col("b").alias("commit")), "commit", "left_semi").select("commit")
+    ends = edges.sparkSession.createDataFrame([(0, start, end)], "key int, first string, last string")
+    path = graphs.between(graphs.history(edges), ends).select("commit")
     times = commits.where(F.col("commit").isin(start, end)).agg(F.min("ts").alias("x"), F.max("ts").alias("y"))
-    window = commits.join(F.broadcast(times), F.expr("ts between x and y")).select("commit")
+    window = commits.join(F.broadcast(times), F.expr("ts > x and ts < y")).select("commit")
     return lookup.with_fallback(path, window)
 
 
@@ -271,20 +296,37 @@ def member_samples(members: DataFrame, k: int = 8) -> DataFrame:
     return members.select("path", "member", "size").orderBy("path", "member").limit(k)
 
 
+#: The headings, table rules and sentence of a duplication report.
+LEVEL_1 = r"(?s)## Level 1.*?\| raw OSV ids \|.*?\n\| ---: \|.*?\n\| (\d+) \| (\d+) \| (\d+) \|"
+CRASHES = r"(?s)## Crashes.*?unique FuzzBench `crash_key`s.*?\n\| ---: \|.*?\n\| (\d+) \| (\d+) \| (\d+) \| (\d+) \|"
+OCCURRENCES = r"\*\*([\d,]+) total (?:unmatched )?crash occurrences\*\*"
+SHARED = r"(?s)Bugs that share a top-3 `\(function, file\)` fingerprint\n\n\| top-3.*?\n\| --- \|.*?\n\| `([^`]+)` \| ([^|]+?) \| (\d+) \|"
+
+
 def markdown_report(spark: SparkSession, path: str) -> DataFrame:
-    """Counts from a rendered report, null where a section is missing (SRC-38)."""
-    number = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit("")).try_cast("long")
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), number(r"(?s)total (?:unmatched )?crash occurrences[^0-9]*(\d+)").alias("occurrences"), number(r"(?s)distinct crash keys[^0-9]*(\d+)").alias("keys"))
-
-
-def fuzzer_dirs(files: DataFrame) -> DataFrame:
-    """benchmark, fuzzer and trial of files (path): nested `b/f/trial-n` if there is any, else flat `b-f` (SRC-39)."""
-    nested, flat = r"/([^/]+)/([^/]+)/trial-(\d+)/", r"/([^/]+)-([^/-]+)/"
-    rank = F.when(F.col("path").rlike(nested), 0).when(F.col("path").rlike(flat), 1)
-    rows = files.withColumn("layout", rank).where("layout is not null")
-    best = rows.agg(F.min("layout").alias("least"))
-    part = lambda g: F.when(F.col("layout") == 0, F.regexp_extract("path", nested, g)).otherwise(F.regexp_extract("path", flat, min(g, 2)) if g < 3 else F.lit("1"))
-    return rows.join(F.broadcast(best), F.expr("layout = least")).select(part(1).alias("benchmark"), part(2).alias("fuzzer"), part(3).alias("trial"), "path")
+    """A duplication report's counts (SRC-38): bugs by id and by two keys, crashes by the same and those that match a bug, occurrences,
+    and the first group of bugs that share a fingerprint. A missing section gives nulls; without the first one all are null."""
+    part = lambda p, g: F.nullif(F.regexp_extract("value", p, g), F.lit(""))
+    whole = F.col("value").rlike(LEVEL_1)
+    number = lambda p, g: F.when(whole, F.replace(part(p, g), F.lit(","), F.lit("")).try_cast("long"))
+    names = [("bugs", LEVEL_1, 1), ("bugs_ff", LEVEL_1, 2), ("bugs_ffl", LEVEL_1, 3), ("crashes", CRASHES, 1), ("crashes_ff", CRASHES, 2), ("crashes_ffl", CRASHES, 3), ("crashes_matched", CRASHES, 4), ("occurrences", OCCURRENCES, 1)]
+    example = F.when(whole & F.col("value").rlike(SHARED), F.struct(F.trim(part(SHARED, 1)).alias("chain"), F.trim(part(SHARED, 2)).alias("ids"), number(SHARED, 3).alias("n")))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), *(number(p, g).alias(n) for n, p, g in names), example.alias("example"))
+
+
+def fuzzer_dirs(files: DataFrame, benchmark: str) -> DataFrame:
+    """fuzzer and trial of a benchmark's files (path) below `experiment-folders`: nested `benchmark/fuzzer/trial-n` if there is any, else
+    flat `benchmark-fuzzer/trial-n`, names with hyphens whole (SRC-39)."""
+    below = F.split_part(F.concat(F.lit("/"), F.regexp_replace("path", "^/+", "")), F.lit("/experiment-folders/"), F.lit(2))
+    parts = files.withColumn("_p", F.split(below, "/")).where(F.size("_p") > 2)
+    top = F.get("_p", F.lit(0))
+    nested = (top == benchmark) & F.get("_p", F.lit(2)).rlike(r"^trial-\d+$")
+    flat = F.startswith(top, F.lit(f"{benchmark}-")) & (F.char_length(top) > len(benchmark) + 1) & F.get("_p", F.lit(1)).rlike(r"^trial-\d+$")
+    rows = parts.withColumn("_layout", F.when(nested, 0).when(flat, 1)).where("_layout is not null")
+    best = rows.agg(F.min("_layout").alias("_least"))
+    fuzzer = F.when(F.col("_layout") == 0, F.get("_p", F.lit(1))).otherwise(F.substr(top, F.lit(len(benchmark) + 2)))
+    trial = F.split_part(F.when(F.col("_layout") == 0, F.get("_p", F.lit(2))).otherwise(F.get("_p", F.lit(1))), F.lit("-"), F.lit(2))
+    return rows.join(F.broadcast(best), F.expr("_layout = _least")).select(F.lit(benchmark).alias("benchmark"), fuzzer.alias("fuzzer"), trial.alias("trial"), "path")
 
 
 def only_prefix(names: DataFrame, default: str) -> DataFrame:

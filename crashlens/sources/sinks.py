@@ -93,11 +93,16 @@ def changed(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Dat
 
 
 def dispatch_bits(bugs: DataFrame, order: list, gated: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """bit and, for the first 63, its value; null bits for bugs without a gate (WIN-10). by: the project, if there are several."""
-    numbered = bugs.where(gated).withColumn("bit", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
-    numbered = numbered.withColumn("dispatch_value", F.when(F.col("bit") <= 62, F.expr("shiftleft(1L, bit)")))
-    rest = bugs.where(~F.expr(gated)).withColumn("bit", F.lit(None).cast("int")).withColumn("dispatch_value", F.lit(0).cast("long"))
-    return numbered.unionByName(rest)
+    """bit, dispatch_mask and dispatch_value for each bug (WIN-10). by: the project, if there are several.
+
+    dispatch_mask is the bit as bytes, least first, as many as a project's bits need; without a gate the bit is null and the mask
+    empty of bits. dispatch_value is the mask as a number, for the first 63 bits; null for a bit beyond.
+    """
+    mine = Window.partitionBy(*by)
+    out = bugs.withColumn("_gated", F.coalesce(F.expr(gated), F.lit(False)))
+    out = out.withColumn("bit", F.when(F.col("_gated"), F.row_number().over(Window.partitionBy(*by, "_gated").orderBy(*order)) - 1))
+    out = out.withColumn("dispatch_value", F.when(~F.col("_gated"), F.lit(0).cast("long")).when(F.col("bit") <= 62, F.expr("shiftleft(1L, bit)")))
+    return out.withColumn("dispatch_mask", bits.mask(F.col("bit"), bits.byte_width(F.count("bit").over(mine)))).drop("_gated")
 
 
 def dispatch_state(numbered: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

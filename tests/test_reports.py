@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crashlens.functions import text
-from crashlens.operators import grouping, matching, patches, sequences, trials
+from crashlens.operators import graphs, grouping, matching, patches, sequences, trials
 from crashlens.sources import readers, sinks
 from crashlens.streaming import watch
 
@@ -153,10 +153,12 @@ def test_renamed_prefix_and_sources(spark):
     pairs = frame(spark, [("new", "old")], "old string, new string")
     assert sequences.common_prefix(a, b, ["g"], "pos", "v").count() == 2
     assert sequences.common_prefix(a, b, ["g"], "pos", "v", pairs).count() == 3
-    rows = frame(spark, [("x", "aaa1", "1|1", 2, 1), ("x", "bbb2", "1|0", 2, 2), ("x", "ttt3", "0|0", 0, 3), ("y", "ttt3", "0.5|0", 0, 3), ("z", "aaa1", "0|1", 0, 1), ("z", "ttt3", "0|0", 0, 3), ("w", "bbb2", "0.5|1", 1, 2), ("w", "ttt3", None, 0, 3)], "bug string, commit string, status string, rank int, topo int")
-    assert {r.bug: r.commit for r in sequences.best_sources(rows).collect()} == {"x": "bbb2", "w": "bbb2"}
+    rows = frame(spark, [("x", "aaa1", "1|1", 2, 1), ("x", "bbb2", "1|0", 2, 2), ("x", "ttt3", "0|0", 0, 3), ("y", "ttt3", "0.5|0", 0, 3), ("z", "aaa1", "0|1", 0, 1), ("z", "ttt3", "0|0", 0, 3), ("w", "bbb2", "0.5|1", 1, 2), ("w", "ttt3", None, 0, 3)], "bug string, commit string, status string, rank int, row int")
+    line = frame(spark, [("bbb2", "aaa1"), ("ttt3", "bbb2")], "child string, parent string")
+    assert {r.bug: r.commit for r in graphs.best_sources(rows).collect()} == {"x": "aaa1", "w": "bbb2"}
+    assert {r.bug: r.commit for r in graphs.best_sources(rows, line).collect()} == {"x": "bbb2", "w": "bbb2"}
     known = frame(spark, [("x", "aaa"), ("w", "")], "bug string, introduced string")
-    got = {r.bug: (r.state, r.source) for r in sequences.transplant_plan(rows, "ttt3", known).collect()}
+    got = {r.bug: (r.state, r.source) for r in sequences.transplant_plan(rows, "ttt3", known, line).collect()}
     assert got == {"x": ("needed", "aaa1"), "y": ("triggered", None), "z": ("unusable", None), "w": ("needed", "bbb2")}
 
 
@@ -175,8 +177,28 @@ def test_bug_lists(spark, tmp_path):
 def test_folders_and_markdown(spark, tmp_path):
     paths = frame(spark, [("/r/p_transplant_x/bug_metadata.json",), ("/r/p_transplant_y/other.json",), ("/r/z/bug_metadata.json",)], "path string")
     assert [r.benchmark for r in readers.benchmark_dirs(paths).collect()] == ["p_transplant_x"]
-    (tmp_path / "r.md").write_text("| total crash occurrences | 12 |\n")
-    assert [(r.occurrences, r["keys"]) for r in readers.markdown_report(spark, str(tmp_path / "r.md")).collect()] == [(12, None)]
+    report = """# Duplication
+## Level 1 — duplication inside the merge bug set
+| raw OSV ids | (function, file) | (function, file, line) |
+| ---: | ---: | ---: |
+| 21 | 14 | 17 |
+### Bugs that share a top-3 `(function, file)` fingerprint
+
+| top-3 chain | ids | n |
+| --- | --- | ---: |
+| `f > g > h` | OSV-1, OSV-2 | 2 |
+## Crashes
+| unique FuzzBench `crash_key`s | a | b | c |
+| ---: | ---: | ---: | ---: |
+| 300 | 40 | 50 | 6 |
+These represent **4,316 total crash occurrences** in 3 trials.
+"""
+    texts = {"a": report, "b": report.replace("**4,316 total crash", "**12 total unmatched crash").split("### Bugs")[0] + "**12 total unmatched crash occurrences**", "c": "## Crashes\n**5 total crash occurrences**"}
+    for name, value in texts.items():
+        (tmp_path / f"{name}.md").write_text(value)
+    got = {r.path[-4]: tuple(r)[1:] for r in readers.markdown_report(spark, str(tmp_path / "*.md")).collect()}
+    assert got["a"] == (21, 14, 17, 300, 40, 50, 6, 4316, ("f > g > h", "OSV-1, OSV-2", 2))
+    assert got["b"] == (21, 14, 17, None, None, None, None, 12, None) and got["c"] == (None,) * 9
     rows = frame(spark, [("/src/p/a.c:1",), ("/x/a.c",)], "p string").select(text.relative_location(F.col("p"), "/src/p/").alias("p"))
     assert [r.p for r in rows.collect()] == ["a.c:1", "/x/a.c"]
     assert sinks.markdown(frame(spark, [(1, None)], "a int, b int")) == "| a | b |\n|---|---|\n| 1 |  |\n"

@@ -80,15 +80,23 @@ def test_small_readers(spark, tmp_path):
     assert readers.only_prefix(spark.createDataFrame([("b-1",), ("c-2",)], "name string"), "d").first().benchmark == "d"
     (tmp_path / "ids.json").write_text('{"p": ["i1", "i2"], "q": []}')
     assert sorted(map(tuple, readers.saved_ids(spark, str(tmp_path / "ids.json")).collect())) == [("p", "i1"), ("p", "i2")]
-    files = spark.createDataFrame([("/r/b/f/trial-3/x",), ("/r/b-g/x",)], "path string")
-    assert [tuple(r)[:3] for r in readers.fuzzer_dirs(files).collect()] == [("b", "f", "3")]
+
+
+def test_experiment_folders(spark):
+    dirs = lambda paths, b: sorted(tuple(r)[1:3] for r in readers.fuzzer_dirs(spark.createDataFrame([(p,) for p in paths], "path string"), b).collect())
+    flat = ["/x/experiment-folders/bench-x-afl-plus/trial-3/c", "/x/experiment-folders/bench-x-lib/trial-12/c/d", "/x/experiment-folders/bench-xy/trial-1/c", "/x/experiment-folders/bench-x-/trial-1/c"]
+    assert dirs(flat, "bench-x") == [("afl-plus", "3"), ("lib", "12")]
+    assert dirs([*flat, "/x/experiment-folders/bench-x/afl/trial-7/c", "/trial-9/x/bench-x/afl/trial-2/c"], "bench-x") == [("afl", "7")]
+    assert dirs(flat, "none") == []
 
 
 def test_commit_range(spark):
     edges = spark.createDataFrame([("c2", "c1"), ("c3", "c2"), ("y", "c1")], "child string, parent string")
     commits = spark.createDataFrame([("c1", 1), ("c2", 2), ("c3", 3), ("y", 2)], "commit string, ts int")
     assert sorted(r.commit for r in readers.commit_range(edges, commits, "c1", "c3").collect()) == ["c1", "c2", "c3"]
-    assert sorted(r.commit for r in readers.commit_range(edges, commits, "y", "c3").collect()) == ["c2", "c3", "y"]
+    assert sorted(r.commit for r in readers.commit_range(edges, commits, "c2", "y").collect()) == []  # times strictly between
+    late = commits.unionByName(spark.createDataFrame([("z", 9)], "commit string, ts int"))
+    assert sorted(r.commit for r in readers.commit_range(edges, late, "y", "z").collect()) == ["c3"]
 
 
 def test_sinks(spark, tmp_path):
