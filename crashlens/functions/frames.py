@@ -29,8 +29,9 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def _frames(text: Column, pattern: str) -> Column:
-    zipped = F.arrays_zip(*(_all(text, pattern, g) for g in (1, 2, 3)))
-    return F.transform(zipped, lambda x: F.struct(F.trim(x["0"]).alias("func"), F.trim(x["1"]).alias("file"), F.nullif(x["2"], F.lit("")).try_cast("int").alias("line")))
+    """Each frame is found once, then taken apart on its own; no group of a frame has a line break."""
+    parts = F.transform(_all(text, pattern, 0), lambda x: F.split(F.regexp_replace(x, pattern, "$1\n$2\n$3"), "\n"))
+    return F.transform(parts, lambda x: F.struct(F.trim(x[0]).alias("func"), F.trim(x[1]).alias("file"), F.nullif(x[2], F.lit("")).try_cast("int").alias("line")))
 
 
 def below_project(path: Column) -> Column:

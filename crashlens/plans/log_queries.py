@@ -9,6 +9,7 @@ from crashlens.functions import sanitizer as sn
 from crashlens.functions import text
 from crashlens.operators import matching
 from crashlens.plans.base import LG, Query, logs, table, timed_logs
+from crashlens.sources import shared
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -77,15 +78,14 @@ add(
     f"""WITH {LG}, q AS (SELECT *, {_parsed(LOOSE)} FROM lg), r AS (SELECT event_type, k, array_to_string(list_transform(range(1, len(f1) + 1), lambda i: f1[i] || '@' || f2[i] || '@' || f3[i]), '|') AS p FROM q)
     SELECT count(*) AS a_total, count(DISTINCT p) AS b_stacks, count(DISTINCT (event_type, k % 5)) AS c_keys, count(DISTINCT p) FILTER (WHERE k % 5 = 0) AS b_matched FROM r""",
 )
-def _located(s, d):
-    """All logs as targets, one per first project frame with the least event_id of its logs."""
-    rows = logs(s, d).withColumn("f", fr.strict_frames(F.col("log"))).withColumn("x", F.get(F.filter("f", lambda x: ~x["file"].rlike("llvm-project")), F.lit(0))).where("x is not null")
-    first = rows.groupBy("x").agg(F.min(F.struct("event_id", "f", sn.signature(F.col("log")).alias("s"))).alias("r"))
-    return first.select(F.col("r.event_id").alias("bug_id"), text.right_cut(F.col("x.file"), 99).alias("crash_file"), F.col("x.line").alias("crash_line"), F.expr("if(r.event_id % 3 = 0, null, x.func)").alias("crash_function"), F.col("r.f").alias("reference_frames"), F.col("r.s").alias("reference_signature"))
 
 
-def _all_crashes(s, d):
-    return logs(s, d).select("event_id", fr.strict_frames(F.col("log")).alias("frames"), sn.signature(F.col("log")).alias("signature"))
+def _sides(s, d):
+    """All logs, parsed once, as crashes; and as targets, one per first project frame with the least event_id of its logs."""
+    crashes = shared.stored(logs(s, d).select("event_id", fr.strict_frames(F.col("log")).alias("frames"), sn.signature(F.col("log")).alias("signature")), "parsed")
+    rows = crashes.withColumn("x", F.get(F.filter("frames", lambda x: ~x["file"].rlike("llvm-project")), F.lit(0))).where("x is not null")
+    first = rows.groupBy("x").agg(F.min("event_id").alias("event_id")).join(crashes, "event_id")
+    return crashes, first.select(F.col("event_id").alias("bug_id"), text.right_cut(F.col("x.file"), 99).alias("crash_file"), F.col("x.line").alias("crash_line"), F.expr("if(event_id % 3 = 0, null, x.func)").alias("crash_function"), F.col("frames").alias("reference_frames"), F.col("signature").alias("reference_signature"))
 
 
 WHOLE = f"""WITH {LG}, q AS (SELECT *, {_parsed(STRICT)} FROM lg), r AS (SELECT event_id, event_type, k, list_transform(range(1, len(f1) + 1), lambda i: {{'func': f1[i], 'file': f2[i], 'line': f3[i]}}) AS f FROM q),
@@ -93,10 +93,10 @@ l AS (SELECT *, list_filter(f, lambda x: NOT contains(x.file, 'llvm-project'))[1
 b AS (SELECT bug_id, event_type, k, f, x FROM m JOIN l ON event_id = bug_id),
 c AS (SELECT a.event_id, b.bug_id, a.event_type AS aty, a.k AS ak, a.f AS af, b.event_type AS bt, b.k AS bk, b.f AS bf, b.x FROM r a JOIN b
       ON len(list_filter(a.f, lambda y: y.line = b.x.line AND (suffix(y.file, b.x.file) OR suffix(b.x.file, y.file)) AND (b.bug_id % 3 = 0 OR y.func = b.x.func))) > 0)"""
-add("suffix_path_match", lambda s, d: matching.candidates(_all_crashes(s, d), _located(s, d), "event_id"), WHOLE + " SELECT event_id, bug_id FROM c")
+add("suffix_path_match", lambda s, d: matching.candidates(*_sides(s, d), "event_id"), WHOLE + " SELECT event_id, bug_id FROM c")
 add(
     "matcher_scored",
-    lambda s, d: matching.match(_all_crashes(s, d), _located(s, d), "event_id"),
+    lambda s, d: matching.match(*_sides(s, d), "event_id"),
     WHOLE + """, n AS (SELECT *, count(*) OVER (PARTITION BY event_id) AS n, CAST(aty <> bt AS INTEGER) + CAST(ak % 2 <> bk % 2 AS INTEGER) + CAST(ak % 8 <> bk % 8 AS INTEGER) + CAST(ak % 3 <> bk % 3 AS INTEGER) AS off FROM c),
     z AS (SELECT *, CASE WHEN off > 0 THEN -off ELSE 7 END AS score, len(list_filter(bf, lambda r: NOT (r.line = x.line AND (suffix(r.file, x.file) OR suffix(x.file, r.file)) AND (bug_id % 3 = 0 OR r.func = x.func))
           AND len(list_filter(af, lambda y: y.line = r.line AND y.func = r.func AND (suffix(y.file, r.file) OR suffix(r.file, y.file)))) > 0)) AS stack FROM n),
