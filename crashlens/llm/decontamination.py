@@ -65,13 +65,8 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return parts.groupBy("words").agg(F.min("item").alias("sequence"), F.sort_array(F.collect_set("item")).alias("items")).withColumn("n", F.size("words"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, for documents with a doc_id.
-
-    docs: doc_id, text; benchmark: item_id, text. A row per row of docs, also where rows repeat a doc_id or are wholly equal.
-    Null texts have no words. Items with the same words count each, rows with the same item_id once. An empty benchmark hits
-    nothing.
-    """
+def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """decontaminate() with row, the xxhash64 of the text: it tells rows that share a doc_id apart."""
     spark = docs.sparkSession
     items = scratch.stored(_items(benchmark), "items")
     weight, lengths = items.agg(F.sum(F.expr("aggregate(words, 0L, (a, x) -> a + octet_length(x) + 1)")), F.collect_set(F.expr(f"if(n < {window}, n, null)"))).first()
@@ -107,16 +102,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     spans = hits.groupBy("doc_id", "row", "n").agg(copies, F.collect_set(F.when(F.col("at") >= 0, F.struct("a", "b"))).alias("spans"), F.collect_set("sequence").alias("sequences"))
     covered = "aggregate(array_sort(spans), struct(0L as hit, 0 as done), (s, x) -> struct(s.hit + greatest(x.b - greatest(x.a, s.done), 0) as hit, greatest(s.done, x.b) as done), s -> s.hit)"
     counted = spans.select("doc_id", "row", "copies", F.col("n").cast("long").alias("n_words"), F.expr(covered).alias("n_hit"), "sequences")
-    clean = counted.where("size(sequences) = 0").select("doc_id", "copies", "n_words", "n_hit", F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"))
+    clean = counted.where("size(sequences) = 0").select("doc_id", "row", "copies", "n_words", "n_hit", F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"))
     members = items.select("sequence", "items")
     hit = counted.where("size(sequences) > 0").select("doc_id", "row", "copies", "n_words", "n_hit", F.explode("sequences").alias("sequence"))
     hit = hit.join(F.broadcast(members) if small else members, "sequence").groupBy("doc_id", "row", "copies", "n_words", "n_hit").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
-    hit = hit.select("doc_id", "copies", "n_words", "n_hit", F.size("i").cast("long").alias("n_items"), F.sha2(F.array_join("i", ","), 256).alias("items_sha256"))
+    hit = hit.select("doc_id", "row", "copies", "n_words", "n_hit", F.size("i").cast("long").alias("n_items"), F.sha2(F.array_join("i", ","), 256).alias("items_sha256"))
     out = clean.unionByName(hit).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
     return out.withColumn("copies", F.explode(F.expr("sequence(1L, copies)"))).drop("copies")
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, for documents with a doc_id.
+
+    docs: doc_id, text; benchmark: item_id, text. A row per row of docs, also where rows repeat a doc_id or are wholly equal.
+    Null texts have no words. Items with the same words count each, rows with the same item_id once. An empty benchmark hits
+    nothing.
+    """
+    return judged(docs, benchmark, window, gram).drop("row")
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` against all `benchmark` items, windows of 13 words. Nulls, repeats and empty tables as in decontaminate()."""
     return decontaminate(scratch.table(spark, sf_dir, "documents"), scratch.table(spark, sf_dir, "benchmark"))
 
 

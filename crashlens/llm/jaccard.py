@@ -37,6 +37,8 @@ HOT = 1 << 20
 RANGE_BITS = 14
 #: Ids up to which a join with the texts is broadcast: three longs each.
 BROADCAST_ROWS = 200_000
+#: First hashes that different sets may share; such sets go by their second hash.
+MOST_TWICE = 100_000
 #: Longest list of prefixes that a single token's index keeps; tokens with longer ones are indexed in pairs.
 RARE = 32
 
@@ -73,6 +75,31 @@ def _prints(tokens: np.ndarray, edges: np.ndarray, salt: int) -> np.ndarray:
     return scan.mix(sums[edges[1:]] - sums[edges[:-1]] + np.diff(edges).astype(U64)).view(np.int64)
 
 
+def _nodes(tokens: np.ndarray, edges: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """The set's name: its first hash, or the second one where different sets share the first."""
+    out = _prints(tokens, edges, 1)
+    if len(twice):
+        shared = np.isin(out, twice)
+        out[shared] = _prints(tokens, edges, 2)[shared]
+    return out
+
+
+def _twice(rows: DataFrame) -> np.ndarray:
+    """First hashes that sets with different second ones share: of n sets about n * n / 2 ** 65."""
+    own = rows.where("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a < b")
+    found = own.select("node").limit(MOST_TWICE + 1).collect()
+    if len(found) > MOST_TWICE:
+        raise RuntimeError(f"more than {MOST_TWICE} hashes of 64 bits are shared")
+    return np.array([r.node for r in found], np.int64)
+
+
+def _named(rows: DataFrame, twice: np.ndarray) -> DataFrame:
+    """sets() with node as _nodes() gives it."""
+    if not len(twice):
+        return rows
+    return rows.withColumn("node", F.when(F.col("doc_id").isNotNull() & F.col("node").isin(twice.tolist()), F.col("check")).otherwise(F.col("node")))
+
+
 def sets(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, row (a hash of the text), n_shingles, node and check: two hashes of the set; null without words.
 
@@ -93,7 +120,7 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, row long, n_shingles long, node long, check long")
 
 
-def _deal(docs: DataFrame, k: int, buckets: int, hot: frozenset[int]) -> DataFrame:
+def _deal(docs: DataFrame, k: int, buckets: int, hot: frozenset[int], twice: np.ndarray) -> DataFrame:
     """Tokens outside hot ranges with their nodes, dealt to buckets by value: sorted token steps, places in a table of nodes, that table."""
     left_out = np.array(sorted(hot), U64)
 
@@ -136,7 +163,7 @@ def _deal(docs: DataFrame, k: int, buckets: int, hot: frozenset[int]) -> DataFra
                     own = some[i : i + 65000]
                     held.append(tokens[edges[own[0]] : edges[own[-1] + 1]] >> U64(64 - TOKEN_BITS))
                     owners.append(np.repeat(np.arange(have, have + len(own), dtype=np.uint16), np.diff(edges)[own]))
-                    nodes.append(_prints(tokens, edges, 1)[own])
+                    nodes.append(_nodes(tokens, edges, twice)[own])
                     n += len(held[-1])
         if held:
             yield flush()
@@ -147,7 +174,7 @@ def _deal(docs: DataFrame, k: int, buckets: int, hot: frozenset[int]) -> DataFra
 SHARED = "node long, tokens array<long>, holders array<int>"
 
 
-def _frequent(docs: DataFrame, k: int, hot: frozenset[int]) -> DataFrame:
+def _frequent(docs: DataFrame, k: int, hot: frozenset[int], twice: np.ndarray) -> DataFrame:
     """Tokens of hot ranges by node, as if all nodes held them: no list of a frequent token is ever made."""
     ranges = np.array(sorted(hot), U64)
 
@@ -161,7 +188,7 @@ def _frequent(docs: DataFrame, k: int, hot: frozenset[int]) -> DataFrame:
                 offsets = pa.array(np.append(at[some], at[-1]).astype(np.int32))
                 own = (tokens[keep] >> U64(64 - TOKEN_BITS)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_prints(tokens, edges, 1)[some]), pa.ListArray.from_arrays(offsets, pa.array(own)), pa.ListArray.from_arrays(offsets, pa.array(np.full(len(own), 2**31 - 1, np.int32)))],
+                    [pa.array(_nodes(tokens, edges, twice)[some]), pa.ListArray.from_arrays(offsets, pa.array(own)), pa.ListArray.from_arrays(offsets, pa.array(np.full(len(own), 2**31 - 1, np.int32)))],
                     ["node", "tokens", "holders"],
                 )
 
@@ -241,18 +268,18 @@ def _confirmed(links: DataFrame, names: DataFrame, docs: DataFrame, k: int, perc
     return out
 
 
-def _indexed(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _indexed(docs: DataFrame, rows: DataFrame, k: int, percent: int, twice: np.ndarray) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of the nodes that may link: names (node, n, least, row: its smallest doc_id, and the hash of a text), tokens (held), and prefixes."""
     total, hot = rows.where("doc_id is not null").agg(F.sum("n_shingles")).first()[0] or 0, rows.where("doc_id is null").groupBy("node").agg(F.sum("n_shingles").alias("n"))
     hot = frozenset(r.node for r in hot.where(F.col("n") > HOT).collect())  # at most 2 ** RANGE_BITS
     buckets = max(64, total // BUCKET)
     names = rows.where("doc_id is not null and n_shingles > 0").groupBy("node", "check").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.max("n_shingles").alias("n"))
     if not names.groupBy("node").count().where("count > 1").isEmpty():
-        raise RuntimeError("two sets share a 64-bit hash; change the salts of _prints")
+        raise RuntimeError("two sets share 128 bits of hash")
     names = names.select("node", "n", F.col("least.doc_id").alias("least"), F.col("least.row").alias("row"))
-    held = _deal(docs, k, buckets, hot).groupBy("bucket").applyInArrow(_shared, SHARED)
+    held = _deal(docs, k, buckets, hot, twice).groupBy("bucket").applyInArrow(_shared, SHARED)
     if hot:
-        held = held.unionByName(_frequent(docs, k, hot))
+        held = held.unionByName(_frequent(docs, k, hot, twice))
     held = held.groupBy("node").agg(F.collect_list(F.struct("tokens", "holders")).alias("x")).select("node", F.flatten("x.tokens").alias("tokens"), F.flatten("x.holders").alias("holders"))
     held = held.join(names.select("node", "n"), "node").withColumn("alone", F.col("n") - F.size("tokens"))
     # ceil(n percent / 100) tokens of n must be common at least
@@ -305,22 +332,24 @@ def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     As many rows as there are links, so a group of near copies gives its square; the components need no such thing.
     """
     rows = scratch.stored(sets(docs, k), "sets")
-    names, held, prefix = _indexed(docs, rows, k, percent)
+    twice = _twice(rows)
+    rows = _named(rows, twice)
+    names, held, prefix = _indexed(docs, rows, k, percent, twice)
     found = scratch.stored(_verified(_pairs(prefix.withColumn("component", F.col("node")), percent), held, percent), "links")
     links = _confirmed(found, names.select("node", "least", "row"), docs, k, percent)
     a, b = (names.select(F.col("node").alias(x), F.col("least").alias(f"{x}_id")) for x in "ab")
     return links.join(a, "a").join(b, "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest doc_id that links lead to.
+def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """jaccard_components() with row, the xxhash64 of the text, and component, a name of the group (null: it links with nothing).
 
-    docs: doc_id and text; other columns are ignored. A null or blank text has no shingles and links with nothing; rows
-    without doc_id are left out; rows that repeat a doc_id with different texts are documents of their own, so that links of
-    either lead to its id. Links: 100 * intersection >= percent * union. Equal sets are told by 128 bits of hash.
+    doc_id and row tell a row of docs from others with its id; rows that are wholly equal have a row each.
     """
     rows = scratch.stored(sets(docs, k), "sets")
-    names, held, prefix = _indexed(docs, rows, k, percent)
+    twice = _twice(rows)
+    rows = _named(rows, twice)
+    names, held, prefix = _indexed(docs, rows, k, percent, twice)
     pivots = prefix.groupBy("token").agg(F.min(F.struct("alone", "node", "n", *SIGNS)).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
     own = ("n", "alone", *SIGNS)
     stars = prefix.join(pivots, "token").select(F.col("p.node").alias("a"), *_side("a", own, "p."), F.col("node").alias("b"), *_side("b", own))
@@ -338,13 +367,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     nodes = names.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = nodes.join(ids, "component").select("node", "component_id")
+    named = nodes.join(ids, "component").select("node", "component_id", "component")
     rows = rows.where("doc_id is not null")
-    some = rows.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", "component_id")
-    return some.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    some = rows.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", "component_id", "row", "component")
+    return some.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row", F.lit(None).cast("long").alias("component")))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest doc_id that links lead to.
+
+    docs: doc_id and text; other columns are ignored. A null or blank text has no shingles and links with nothing; rows
+    without doc_id are left out; rows that repeat a doc_id with different texts are documents of their own, so that links of
+    either lead to its id. Links: 100 * intersection >= percent * union. Equal sets are told by 128 bits of hash.
+    """
+    return jaccard_groups(docs, k, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all `documents`, shingles of five words, 0.8 or more. Nulls, repeats and empty tables as in jaccard_components()."""
     return jaccard_components(scratch.table(spark, sf_dir, "documents"))
 
 

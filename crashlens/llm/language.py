@@ -171,13 +171,16 @@ class Model:
 def sample(docs: DataFrame) -> dict[str, list[str]]:
     """Texts of each language from its SAMPLE_DOCS documents with the least hashes: SAMPLE_TEXT characters of each at most.
 
-    Only ids meet the window; Spark limits groups before the shuffle, so a language that most rows have stays small.
+    Only ids and hashes of texts meet the window; Spark limits groups before the shuffle, so a language that most rows have stays small.
+    Rows that are wholly equal are collected once.
     """
-    fit = docs.where("text is not null and lang is not null and trim(text) <> ''")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = fit.select("doc_id", "lang").withColumn("i", F.row_number().over(first)).where(f"i <= {SAMPLE_DOCS}").select("doc_id").distinct()
+    fit = docs.where("text is not null and lang is not null and trim(text) <> ''").select("doc_id", "lang", "text", F.xxhash64("text").alias("row"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "row")
+    ids = fit.select("doc_id", "lang", "row").withColumn("i", F.row_number().over(first)).where(f"i <= {SAMPLE_DOCS}").select("doc_id", "row").distinct()
     part = F.expr(rf"substring(text, greatest(regexp_instr(text, '\\p{{L}}'), 1), {SAMPLE_TEXT})").alias("text")
-    rows = fit.where(F.col("doc_id").isin([r[0] for r in ids.collect()])).select("doc_id", "lang", part).collect()
+    chosen = {tuple(r) for r in ids.collect()}  # SAMPLE_DOCS for each language at most
+    some = fit.where(F.col("doc_id").isin([i for i, _ in chosen]) & F.col("row").isin([h for _, h in chosen]))
+    rows = [r for r in some.groupBy("doc_id", "lang", "row").agg(F.first(part).alias("text")).collect() if (r.doc_id, r.row) in chosen]
     out: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r.doc_id, r.text)):
         out.setdefault(row.lang, []).append(APART.sub(" ", row.text))
@@ -216,6 +219,7 @@ def fit(docs: DataFrame) -> Model:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each row of `documents`, repeats of a doc_id too; fitted on those whose remainder isn't 2. Nulls and empty tables as in identify()."""
     docs = scratch.table(spark, sf_dir, "documents")
     found = identify(docs.select("doc_id", "text"), fit(docs))
     return found.select("doc_id", (remainder() == 2).alias("held_out"), "lang_pred", "score")

@@ -119,24 +119,27 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     state = classes.select("id", "key", F.struct("doc_id", "row", "number").alias("first")).join(gone.withColumn("gone", F.lit(True)), "id", "left").select("key", "first", "gone")
     out = lines.select("key", "doc_id", "row", "number").join(state, "key").where("gone or first <> struct(doc_id, row, number)")
-    return out.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list("number")).alias("gone"))
+    return out.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("number")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Every row of docs with its text's remaining lines, n_lines and n_removed, which replace columns of these names.
 
-    Null texts stay null with no lines; rows without doc_id stay as they are. Rows that are wholly equal in doc_id and text keep
-    the same lines.
+    Null texts stay null with no lines, an empty one has one line; texts may be of any length. Rows without doc_id stay as they are.
+    Rows that are wholly equal in doc_id and text keep the same lines. No rows give no rows.
     """
+    mark = "_gone"
+    while mark in map(str.lower, docs.columns):
+        mark = f"_{mark}"
     gone = similar_lines(docs, percent).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("gone").alias("_gone"))
     match = (docs["doc_id"].cast("long") == gone["_doc"]) & (F.xxhash64(docs["text"]) == gone["_row"])
-    joined = docs.join(gone, match, "left").select(*(docs[f"`{c}`"] for c in docs.columns), "_gone")
-    kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(_gone, i)), '\\n')")
+    joined = docs.join(gone, match, "left").select(*(docs[f"`{c}`"] for c in docs.columns), gone["_gone"].alias(mark))
+    kept = F.expr(f"array_join(filter(split(text, '\\n'), (x, i) -> not array_contains({mark}, i)), '\\n')")
     return joined.withColumns({
         "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"),
-        "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-        "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept),
-    }).drop("_gone")
+        "n_removed": F.coalesce(F.size(mark), F.lit(0)).cast("long"),
+        "text": F.when(F.col(mark).isNull(), F.col("text")).otherwise(kept),
+    }).drop(mark)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,20 +18,33 @@ from crashlens.llm import scratch
 from crashlens.llm.tokens import crc32, encoder, public
 
 
+#: Different lengths up to which all their pairs are indexed.
+LENGTHS = 4096
+
+
 class Sums:
     """Sums of available lengths: single ones, pairs by their sum, and triples as a length and a pair of the rest.
 
-    Availability only falls, so an entry that is used up never comes back and each is passed over once.
+    Availability only falls, so an entry that is used up never comes back and each is passed over once. With more than LENGTHS
+    different lengths, whose pairs would take too much memory, a sum's pairs are found among the lengths when they are asked
+    for, in the same order.
     """
 
     def __init__(self, left: np.ndarray, capacity: int):
         self.left = left
         v = np.flatnonzero(left[:capacity])
-        firsts, seconds = [np.zeros(0, np.uint16)], [np.zeros(0, np.uint16)]
+        self.begin = None
+        if len(v) > LENGTHS:
+            have = (left[: capacity + 1] > 0).astype(float)
+            have[capacity] = 0
+            sums = np.fft.irfft(np.fft.rfft(have, 4 * capacity) ** 2, 4 * capacity)[: capacity + 1]
+            self.some = sums > 0.5  # pairs of a sum that there were at first
+            return
+        firsts, seconds = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         for a in v.tolist():
             fits = v[(v >= a) & (v < capacity - a)]
-            firsts.append(np.full(len(fits), a, np.uint16))
-            seconds.append(fits.astype(np.uint16))
+            firsts.append(np.full(len(fits), a, np.int32))
+            seconds.append(fits.astype(np.int32))
         a, b = np.concatenate(firsts), np.concatenate(seconds)
         sums = a.astype(np.int32) + b
         order = np.argsort(sums, kind="stable")
@@ -44,7 +57,12 @@ class Sums:
         return int(self.left[length]) - used.count(length)
 
     def pair(self, total: int, used: tuple[int, ...]) -> tuple[int, int] | None:
-        """Two available lengths with that sum, besides those that are used already."""
+        """Two available lengths with that sum, besides those that are used already; the most even ones first."""
+        if self.begin is None:
+            a = np.arange(total // 2, 0, -1)
+            fit = a[(self.left[a] > 0) & (self.left[total - a] > (2 * a == total))] if self.some[total] else a[:0]
+            self.some[total] = len(fit) > 0
+            return next(((total - x, x) for x in fit.tolist() if self.free(x, used) > 0 and self.free(total - x, (*used, x)) > 0), None)
         while self.some[total]:
             i = int(self.end[total]) - 1
             a, b = int(self.a[i]), int(self.b[i])
@@ -208,11 +226,12 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, path: str | None = Non
     """A row per piece of each row's text (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is one piece with the end id alone. Rows with a null or repeated doc_id are packed like others; no rows
-    give no pieces. A text of any length is cut into as many pieces as it needs.
+    give no pieces. A text of any length is cut into as many pieces as it needs. The plan is made on the driver, from at most `capacity` counters.
     """
     pieces = scratch.stored(cut(docs, path or public("word_bpe_49k.json"), end_id, capacity), "pieces")
     return pack(pieces, capacity).withColumns({"length": F.col("length").cast("long")})
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all `documents` in sequences of 4096. Nulls, repeats and empty tables as in pack_documents()."""
     return pack_documents(scratch.table(spark, sf_dir, "documents"))

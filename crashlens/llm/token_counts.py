@@ -26,7 +26,13 @@ FILE = 1 << 22
 
 
 def write_flat(docs: DataFrame, path: str, end_id: int, out: str, width: int = 2) -> DataFrame:
-    """Writes documents as flat files; a row per file: path, n_bytes, doc_ids in file order."""
+    """Writes documents as flat files; a row per file: path, n_bytes, doc_ids in file order.
+
+    Ids have `width` bytes each; one that doesn't fit raises an error. Null and empty texts are an end id alone. Rows with a null or
+    repeated doc_id are documents like others; a text of any length stays in one file. No rows give no files.
+    """
+    if end_id >> 8 * width:
+        raise ValueError(f"an id of {end_id} doesn't fit {width} bytes")
     kind = f"<u{width}"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,6 +45,8 @@ def write_flat(docs: DataFrame, path: str, end_id: int, out: str, width: int = 2
 
         for batch in batches:
             flat, offsets = coder.encode(batch.column("text").to_pylist())
+            if len(flat) and int(flat.max()) >> 8 * width:
+                raise ValueError(f"an id of {int(flat.max())} doesn't fit {width} bytes")
             flat = np.insert(flat, offsets[1:], end_id).astype(kind)
             offsets = offsets + np.arange(len(offsets))
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):
