@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crashlens.operators import blocks as blocked
+
 
 def _merged(probes: DataFrame, times: DataFrame, at: str, by: list[str], value: str) -> DataFrame:
     """Probes and lookup rows in one frame: a window replaces the range join."""
@@ -13,13 +15,18 @@ def _merged(probes: DataFrame, times: DataFrame, at: str, by: list[str], value:
     return left.unionByName(right, allowMissingColumns=True)
 
 
-def asof(probes: DataFrame, times: DataFrame, at: str, by: list[str], value: str, out: str) -> DataFrame:
+def asof(probes: DataFrame, times: DataFrame, at: str, by: list[str], value: str, out: str, blocks: int | None = None) -> DataFrame:
     """The value after a probe's time, else the latest up to it; null only where a group has none (JOI-10).
 
-    One sort by group and time in either direction, with frames that only grow: linear in a group's rows. Groups must be
-    given, so that no task takes all rows.
+    One sort by group and time in either direction, with frames that only grow: linear in a group's rows. Without groups, and
+    where `blocks` is given, ranges of times are dealt to that many tasks, so that no group is sorted in one.
     """
     rows = _merged(probes, times, at, by, value)
+    if blocks or not by:
+        rows = blocked.dealt(rows, [*by, "_t", "_probe", "_v"], blocks)
+        # a value at a probe's own time stands before it
+        rows = blocked.nearest(blocked.nearest(rows, by, "_v", "_before"), by, "_v", "_after", ahead=True)
+        return rows.where("_probe").withColumn(out, F.coalesce("_after", "_before")).drop("_t", "_v", "_probe", "_before", "_after", "_at", "_block")
     group = Window.partitionBy(*by)
     before = F.last("_v", ignorenulls=True).over(group.orderBy("_t", "_probe", "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     after = F.last("_v", ignorenulls=True).over(group.orderBy(F.desc("_t"), F.desc("_probe"), F.desc("_v")).rowsBetween(Window.unboundedPreceding, -1))
@@ -44,15 +51,20 @@ def live(intervals: DataFrame, start: str, end: str, a: str, b: str) -> DataFram
     return intervals.where(F.col(start).cast("timestamp_ntz").isNotNull() & (F.col(start) <= F.lit(b).cast("timestamp_ntz")) & (F.col(end) >= F.lit(a).cast("timestamp_ntz")))
 
 
-def busiest(intervals: DataFrame, start: str, end: str, by: list[str]) -> DataFrame:
+def busiest(intervals: DataFrame, start: str, end: str, by: list[str], blocks: int | None = None) -> DataFrame:
     """Per group the first stretch with most intervals at once (WIN-04). An end comes before a start at the same time.
 
-    Events at a time are counted first, so a group's window has a row per distinct time and kind.
+    Events at a time are counted first, so a group's window has a row per distinct time and kind. Without groups, and where
+    `blocks` is given, ranges of times are dealt to that many tasks.
     """
     ups = intervals.groupBy(*by, F.col(start).alias("t")).agg(F.count(F.lit(1)).alias("d")).withColumn("k", F.lit(1))
     downs = intervals.groupBy(*by, F.col(end).alias("t")).agg((-F.count(F.lit(1))).alias("d")).withColumn("k", F.lit(0))
     order = Window.partitionBy(*by).orderBy("t", "k")
-    level = ups.unionByName(downs).withColumn("level", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("until", F.lead("t").over(order))
+    if blocks or not by:
+        rows = blocked.dealt(ups.unionByName(downs), [*by, "t", "k"], blocks)
+        level = blocked.nearest(blocked.running(rows, by, "d", "level"), by, "t", "until", ahead=True)
+    else:
+        level = ups.unionByName(downs).withColumn("level", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("until", F.lead("t").over(order))
     best = level.groupBy(*by).agg(F.max(F.struct("level", F.expr("-unix_micros(cast(t as timestamp))").alias("early"), "t", "until")).alias("m"))
     return best.select(*by, F.col("m.level").alias("level"), F.col("m.t").alias("start"), F.col("m.until").alias("end"))
 

@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crashlens.operators import blocks as blocked
 
-def collapse_runs(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
-    """Rows whose value differs from the one before (WIN-02, SRC-25); positions stay."""
+
+def collapse_runs(rows: DataFrame, by: list[str], order: list[str], value: str, blocks: int | None = None) -> DataFrame:
+    """Rows whose value differs from the one before (WIN-02, SRC-25); positions stay.
+
+    Without groups, and where `blocks` is given, ranges of the order are dealt to that many tasks.
+    """
+    if blocks or not by:
+        dealt = blocked.dealt(rows.withColumn("_v", F.struct(value)), [*by, *order], blocks)
+        dealt = blocked.nearest(dealt, by, "_v", "_b")
+        return dealt.where(F.col("_b").isNull() | F.col(value).isNull() | ~F.col(f"_b.{value}").eqNullSafe(F.col(value))).drop("_v", "_b", "_at", "_block")
     before = F.lag(value).over(Window.partitionBy(*by).orderBy(*order))
     return rows.withColumn("_b", before).where(~F.col("_b").eqNullSafe(F.col(value)) | F.col("_b").isNull()).drop("_b")
 

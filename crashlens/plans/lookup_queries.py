@@ -67,6 +67,32 @@ add(
     """WITH o AS (SELECT o_orderkey, o_orderdate, o_custkey % 5 AS g FROM orders), i AS (SELECT g, o_orderdate, min(o_orderkey) AS image FROM o WHERE o_orderkey % 50 = 0 GROUP BY ALL)
     SELECT o_orderkey, coalesce((SELECT arg_min(image, i.o_orderdate) FROM i WHERE i.g = o.g AND i.o_orderdate > o.o_orderdate), (SELECT arg_max(image, i.o_orderdate) FROM i WHERE i.g = o.g AND i.o_orderdate <= o.o_orderdate)) AS found FROM o WHERE o_orderkey % 50 <> 0""",
 )
+
+
+def _asof_whole(s, d):
+    """The same without groups: all orders are one."""
+    orders = table(s, d, "orders").select("o_orderkey", "o_orderdate")
+    images = orders.where("o_orderkey % 50 = 0").groupBy("o_orderdate").agg(F.min("o_orderkey").alias("image"))
+    return lookup.asof(orders.where("o_orderkey % 50 <> 0"), images, "o_orderdate", [], "image", "found").select("o_orderkey", "found")
+
+
+add(
+    "asof_whole_table",
+    _asof_whole,
+    """WITH i AS (SELECT o_orderdate, min(o_orderkey) AS image FROM orders WHERE o_orderkey % 50 = 0 GROUP BY ALL)
+    SELECT o_orderkey, coalesce((SELECT arg_min(image, i.o_orderdate) FROM i WHERE i.o_orderdate > o.o_orderdate), (SELECT arg_max(image, i.o_orderdate) FROM i WHERE i.o_orderdate <= o.o_orderdate)) AS found FROM orders o WHERE o_orderkey % 50 <> 0""",
+)
+add(
+    "busiest_whole_table",
+    lambda s, d: lookup.busiest(_windows(s, d), "introduced", "fixed", []),
+    f"""WITH {WINDOWS}, e AS (SELECT introduced AS t, 1 AS k, count(*) AS d FROM w GROUP BY ALL UNION ALL SELECT fixed, 0, -count(*) FROM w GROUP BY ALL),
+    l AS (SELECT t, CAST(sum(d) OVER o AS BIGINT) AS level, lead(t) OVER o AS until FROM e WINDOW o AS (ORDER BY t, k)) SELECT level, t AS start, until AS "end" FROM l ORDER BY level DESC, t LIMIT 1""",
+)
+add(
+    "collapse_whole_table",
+    lambda s, d: sequences.collapse_runs(table(s, d, "events"), [], ["ts", "event_id"], "event_type").select("event_id", "event_type"),
+    "SELECT event_id, event_type FROM (SELECT *, lag(event_type) OVER (ORDER BY ts, event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type",
+)
 add(
     "asof_before_cutoff",
     lambda s, d: lookup.latest_before(table(s, d, "orders"), ["o_custkey"], "o_orderdate", "o_orderkey", "1997-01-01"),

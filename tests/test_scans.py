@@ -97,8 +97,7 @@ def dag(seed, n):
     return [(names[c], names[p]) for c, p in edges]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_history(spark, seed):
+def test_history(spark, seed=1):
     edges = dag(seed, 40)
     up = brute(edges)
     graph = graphs.history(spark.createDataFrame(edges + edges[:3] + [(None, 1)], "child long, parent long"))
@@ -177,3 +176,42 @@ def test_match_reads_each_side_once(spark):
     targets = spark.createDataFrame([("x", "a.c", 3, "f", None, one), ("y", "dir/b.c", 4, "", [("f", "/src/p/a.c", 3)], one), ("z", "c.c", 3, "f", None, one), ("n", None, 3, "f", None, one)], f"bug_id string, crash_file string, crash_line int, crash_function string, reference_frames {frame}, reference_signature {sign}")
     assert sorted(map(tuple, matching.candidates(crashes, targets, "id").collect())) == sorted((i, b) for i in range(6) for b in "xy")
     assert sorted(map(tuple, matching.match(crashes, targets, "id").collect())) == [(i, "y") for i in range(6)]
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_blocks_carry_over(spark, by):
+    """A hundred blocks give what windows over whole groups give, nulls and ties too."""
+    from crashlens.operators import sequences
+
+    rng = random.Random(4)
+    rows = [(rng.choice([0, 1, None]), rng.choice([*range(40), None]), rng.choice(["a", "b", None]), i) for i in range(150)]
+    frame = spark.createDataFrame(rows, "g int, t int, v string, id int").withColumn("all", F.lit(1))
+    some = lambda df: sorted(map(repr, (tuple(r) for r in df.drop("all").collect())))
+    plain = by or ["all"]
+    assert some(sequences.collapse_runs(frame, by, ["t", "id"], "v", 100)) == some(sequences.collapse_runs(frame, plain, ["t", "id"], "v"))
+    probes, times = frame.where("id % 3 > 0 and t is not null"), frame.where("id % 3 = 0 and t is not null")
+    assert some(lookup.asof(probes, times, "t", by, "id", "found", 100)) == some(lookup.asof(probes, times, "t", plain, "id", "found"))
+    spans = frame.where("t is not null").select("g", "all", F.timestamp_seconds("t").alias("a"), F.timestamp_seconds(F.col("t") + F.col("id") % 7).alias("b"))
+    assert some(lookup.busiest(spans, "a", "b", by, 100)) == some(lookup.busiest(spans, "a", "b", plain))
+
+
+def test_watcher_goes_on(spark, tmp_path, monkeypatch):
+    """Files that were counted aren't counted again after a restart; a batch that is run again changes nothing."""
+    from crashlens.streaming import watch
+
+    monkeypatch.setattr(watch, "MERGE_EVERY", 2)
+    files, store = f"{tmp_path}/in", f"file://{tmp_path}/store"
+    make = lambda ids: spark.createDataFrame([(i, i % 3, "ab"[i % 2]) for i in ids], "event_id long, user_id long, event_type string").selectExpr("event_id", "timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(event_id) as ts", "user_id", "event_type", "0D as value", "concat('{\"k\": ', event_id % 4, '}') as props")
+    for n, ids in enumerate((range(10), range(10, 13), range(13, 30))):
+        make(ids).coalesce(1).write.mode("append").parquet(files)
+        watch.keep(watch.stream(spark, files, "*.parquet", files=1), store, f"{tmp_path}/checkpoint").awaitTermination()
+        found = watch.state(spark, store)
+        seen = range(ids[-1] + 1)
+        assert watch.totals(found).first().rows == len(seen)
+        assert {r.event_type: (r.n, r.users) for r in watch.by_type(found).collect()} == {x: (len([i for i in seen if "ab"[i % 2] == x]), len({i % 3 for i in seen if "ab"[i % 2] == x})) for x in "ab"}
+    want = sorted(map(tuple, found.collect()))
+    watch.partial(make(range(13, 30))).write.mode("overwrite").parquet(f"{store}/batch=2")  # as a batch that is run again
+    found = watch.state(spark, store)
+    assert sorted(map(tuple, found.collect())) == want and watch._finished(spark, store, "base") == [1]
+    assert [tuple(r) for r in watch.top_states(found, 2).collect()] == [("a|0", 8), ("b|1", 8)]
+    assert watch.state(spark, f"file://{tmp_path}/none").count() == 0
