@@ -45,3 +45,12 @@ def running(rows: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     edges = edges.select("_block", *by, F.coalesce(F.sum("_sum").over(outer), F.lit(0)).alias("_base"))
     inner = Window.partitionBy("_block", *by).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return joined(rows.withColumn(out, F.sum(value).over(inner)), edges, by).withColumn(out, F.col(out) + F.col("_base")).drop("_base")
+
+
+def lowest(rows: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """Adds the least value up to and with each row of its group. rows: as dealt() gives them."""
+    edges = rows.groupBy("_block", *by).agg(F.min(value).alias("_min"))
+    outer = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select("_block", *by, F.min("_min").over(outer).alias("_base"))
+    inner = Window.partitionBy("_block", *by).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return joined(rows.withColumn(out, F.min(value).over(inner)), edges, by).withColumn(out, F.least(out, "_base")).drop("_base")

@@ -69,36 +69,6 @@ def busiest(intervals: DataFrame, start: str, end: str, by: list[str], blocks: i
     return best.select(*by, F.col("m.level").alias("level"), F.col("m.t").alias("start"), F.col("m.until").alias("end"))
 
 
-def pair_overlaps(items: DataFrame, key: str, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of keys with how many values they share (JOI-13), within a project where `by` names one.
-
-    Values make the pairs; callers bound how many keys share one, as a project does.
-    """
-    one = items.select(*by, key, value).distinct()
-    a, b = one.withColumnRenamed(key, "a"), one.withColumnRenamed(key, "b")
-    return a.join(b, [*by, value]).where("a < b").groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("shared"))
-
-
-def merge_order(items: DataFrame, key: str, value: str, by: tuple[str, ...]) -> DataFrame:
-    """A project's keys in the order of merging (WIN-11): by how many others they overlap, then by size, then by key; rank from 1.
-
-    by: the project; no task takes the keys of all projects.
-    """
-    pairs = pair_overlaps(items, key, value, by)
-    degree = pairs.select(*by, F.explode(F.array("a", "b")).alias(key)).groupBy(*by, key).agg(F.count(F.lit(1)).alias("degree"))
-    sizes = items.select(*by, key, value).distinct().groupBy(*by, key).agg(F.count(value).alias("n"))
-    out = sizes.join(degree, [*by, key], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("degree", "n", key)))
-
-
-def overlapping(items: DataFrame, applied: DataFrame, key: str, value: str) -> DataFrame:
-    """Keys that share a value with applied ones, themselves apart, and those, sorted (JOI-14). items: key, value; applied: key."""
-    one = items.select(key, value).distinct()
-    held = one.join(applied.select(key).distinct(), key, "left_semi").groupBy(value).agg(F.collect_set(key).alias("_with"))
-    met = one.join(held, value).select(key, F.explode("_with").alias("_with")).where(F.col(key) != F.col("_with"))
-    return met.groupBy(key).agg(F.array_sort(F.collect_set("_with")).alias("applied"))
-
-
 def positional(left: DataFrame, right: DataFrame, by: str, order_left: list[str], order_right: list[str], fallback: str, time: str) -> DataFrame:
     """The i-th rows of either side of a group belong together, if the sides are equally long; else the left's own time (JOI-09)."""
     number = lambda df, o: df.withColumn("i", F.row_number().over(Window.partitionBy(by).orderBy(*o))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(by)))

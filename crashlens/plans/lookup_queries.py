@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crashlens.functions import bits, frames, sanitizer, text
-from crashlens.operators import choices, lookup, sequences
+from crashlens.operators import choices, lookup, overlaps, sequences
 from crashlens.plans.base import Query, table
 from crashlens.sources import readers, sinks
 
@@ -121,19 +121,43 @@ add(
 )
 add(
     "pair_conflicts",
-    lambda s, d: lookup.pair_overlaps(table(s, d, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey").where("shared > 1"),
+    lambda s, d: overlaps.pair_overlaps(table(s, d, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey").where("shared > 1"),
     "WITH o AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT a.l_orderkey AS a, b.l_orderkey AS b, count(*) AS shared FROM o a JOIN o b USING (l_partkey) WHERE a.l_orderkey < b.l_orderkey GROUP BY 1, 2 HAVING count(*) > 1",
 )
 add(
     "merge_order",
-    lambda s, d: lookup.merge_order(_by_customer(s, d), "l_orderkey", "l_suppkey", ("o_custkey",)),
+    lambda s, d: overlaps.merge_order(_by_customer(s, d), "l_orderkey", "l_suppkey", ("o_custkey",)),
     """WITH o AS (SELECT DISTINCT o_custkey, l_orderkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey), p AS (SELECT a.l_orderkey, count(DISTINCT b.l_orderkey) AS degree FROM o a JOIN o b USING (o_custkey, l_suppkey) WHERE a.l_orderkey <> b.l_orderkey GROUP BY 1),
     x AS (SELECT o_custkey, l_orderkey, count(*) AS n, coalesce(any_value(degree), 0) AS degree FROM o LEFT JOIN p USING (l_orderkey) GROUP BY 1, 2)
     SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY degree, n, l_orderkey) AS INTEGER) AS rank FROM x""",
 )
+
+
+
+def _held(s, d):
+    """Line items as what their orders hold: a part, and a flag that a good part of all orders share."""
+    rows = table(s, d, "lineitem")
+    return rows.select("l_orderkey", F.col("l_partkey").cast("string").alias("v")).unionByName(rows.select("l_orderkey", F.col("l_returnflag").alias("v")))
+
+
+HELD = """o AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), m AS (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag)) AS x FROM lineitem GROUP BY 1), c AS (SELECT x, count(*) AS n FROM m GROUP BY 1),
+    h AS (SELECT a.x, sum(b.n) - 1 AS n FROM c a JOIN c b ON list_has_any(a.x, b.x) GROUP BY 1),
+    p AS (SELECT DISTINCT a.l_orderkey, b.l_orderkey AS other FROM o a JOIN o b USING (l_partkey) WHERE a.l_orderkey <> b.l_orderkey),
+    r AS (SELECT p.l_orderkey, count(*) AS n FROM p JOIN m a USING (l_orderkey) JOIN m b ON b.l_orderkey = p.other WHERE NOT list_has_any(a.x, b.x) GROUP BY 1)"""
+add(
+    "overlap_degrees",
+    lambda s, d: overlaps.degrees(_held(s, d), "l_orderkey", "v"),
+    f"WITH {HELD} SELECT l_orderkey, CAST(h.n + coalesce(r.n, 0) AS BIGINT) AS degree FROM m JOIN h USING (x) LEFT JOIN r USING (l_orderkey)",
+)
+add(
+    "merge_order_whole_table",
+    lambda s, d: overlaps.merge_order(_held(s, d), "l_orderkey", "v"),
+    f"""WITH {HELD}, z AS (SELECT l_orderkey, count(DISTINCT l_partkey) + count(DISTINCT l_returnflag) AS n FROM lineitem GROUP BY 1), g AS (SELECT l_orderkey, CAST(h.n + coalesce(r.n, 0) AS BIGINT) AS degree FROM m JOIN h USING (x) LEFT JOIN r USING (l_orderkey))
+    SELECT l_orderkey, z.n, degree, row_number() OVER (ORDER BY degree, z.n, l_orderkey) AS rank FROM g JOIN z USING (l_orderkey)""",
+)
 add(
     "applied_overlaps",
-    lambda s, d: lookup.overlapping(table(s, d, "lineitem").select("l_orderkey", "l_partkey"), table(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "l_partkey").select("l_orderkey", F.array_join(F.transform("applied", lambda x: x.cast("string")), ",").alias("applied")),
+    lambda s, d: overlaps.overlapping(table(s, d, "lineitem").select("l_orderkey", "l_partkey"), table(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "l_partkey").select("l_orderkey", F.array_join(F.transform("applied", lambda x: x.cast("string")), ",").alias("applied")),
     """WITH o AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), h AS (SELECT * FROM o WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'))
     SELECT o.l_orderkey, array_to_string(list_sort(list(DISTINCT h.l_orderkey)), ',') AS applied FROM o JOIN h USING (l_partkey) WHERE o.l_orderkey <> h.l_orderkey GROUP BY 1""",
 )
@@ -156,6 +180,12 @@ add(
     f"""WITH {PARTS} SELECT p_partkey, CAST(bit AS INTEGER) AS bit, md5(CASE WHEN bit IS NULL THEN repeat('00', w) ELSE repeat('00', bit // 8) || printf('%02X', 1 << CAST(bit % 8 AS INTEGER)) || repeat('00', w - 1 - bit // 8) END) AS mask,
     CAST(bit AS INTEGER) AS lone, coalesce(bit = 70, false) AS seventy FROM g JOIN w USING (project)""",
 )
+add(
+    "dispatch_bits_whole_table",
+    lambda s, d: sinks.dispatch_bits(table(s, d, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority"), ["o_orderdate", "o_orderkey"], "o_orderpriority <> '5-LOW'").select("o_orderkey", "bit", "dispatch_value", F.octet_length("dispatch_mask").alias("bytes")),
+    """WITH g AS (SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' THEN row_number() OVER (PARTITION BY o_orderpriority <> '5-LOW' ORDER BY o_orderdate, o_orderkey) - 1 END AS bit FROM orders)
+    SELECT o_orderkey, CAST(bit AS INTEGER) AS bit, CASE WHEN bit IS NULL THEN 0 WHEN bit <= 62 THEN CAST(1 AS BIGINT) << bit END AS dispatch_value, CAST((SELECT (count(bit) + 7) // 8 FROM g) AS INTEGER) AS bytes FROM g""",
+)
 
 
 def _mask_sets(s, d):

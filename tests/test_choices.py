@@ -1,10 +1,12 @@
 """Pending bugs, categories, orders of merging, costs, dense strata and report documents."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from crashlens.functions import text
-from crashlens.operators import choices, lookup, rollups
+from crashlens.operators import choices, lookup, overlaps, rollups
 from crashlens.sources import readers, sinks
 
 
@@ -35,10 +37,45 @@ def test_categories(spark):
 def test_merge_order_and_overlaps(spark):
     rows = [("p", "a", "x"), ("p", "b", "x"), ("p", "b", "y"), ("p", "c", "z"), ("p", "c", "w"), ("p", "d", None), ("q", "e", "x"), ("p", "b", "y")]
     items = spark.createDataFrame(rows, "project string, bug string, file string")
-    got = {(r.project, r.bug): (r.degree, r.n, r["rank"]) for r in lookup.merge_order(items, "bug", "file", ("project",)).collect()}
+    got = {(r.project, r.bug): (r.degree, r.n, r["rank"]) for r in overlaps.merge_order(items, "bug", "file", ("project",)).collect()}
     assert got == {("p", "d"): (0, 0, 1), ("p", "c"): (0, 2, 2), ("p", "a"): (1, 1, 3), ("p", "b"): (1, 2, 4), ("q", "e"): (0, 1, 1)}
     applied = spark.createDataFrame([("a",), ("e",), ("gone",)], "bug string")
-    assert {r.bug: r.applied for r in lookup.overlapping(items, applied, "bug", "file").collect()} == {"b": ["a", "e"], "a": ["e"], "e": ["a"]}
+    assert {r.bug: r.applied for r in overlaps.overlapping(items, applied, "bug", "file").collect()} == {"b": ["a", "e"], "a": ["e"], "e": ["a"]}
+
+
+@pytest.mark.parametrize("hot", [1, 3, 10_000])
+def test_overlaps_of_hot_values(spark, hot):
+    rng = random.Random(7)
+    sets = {k: {"all"} | {f"v{rng.randrange(40)}" for _ in range(rng.randrange(3))} | ({"half"} if k % 2 else set()) for k in range(60)}
+    sets |= {90 + k: {f"w{k // 2}"} for k in range(6)} | {99: {"alone"}}
+    rows = [(k, v) for k, s in sets.items() for v in s] * 2
+    items = spark.createDataFrame([*rows, (None, "all"), (5, None)], "k long, v string")
+    pairs = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    assert {(r.a, r.b): r.shared for r in overlaps.pair_overlaps(items, "k", "v", hot=hot).collect()} == pairs
+    degree = {k: sum(k in p for p in pairs) for k in sets}
+    assert {r.k: r.degree for r in overlaps.degrees(items, "k", "v", hot=hot).collect()} == {k: n for k, n in degree.items() if n}
+    want = [k for _, _, k in sorted((degree[k], len(sets[k]), k) for k in sets)]
+    known = items.where("k is not null")
+    assert [r.k for r in overlaps.merge_order(known, "k", "v", hot=hot).orderBy("rank").collect()] == want
+    assert [r.k for r in overlaps.merge_order(known.withColumn("p", F.lit(1)), "k", "v", ("p",), hot=hot).orderBy("rank").collect()] == want
+    applied = {0, 1, 7, 90, 95}
+    got = overlaps.overlapping(items, spark.createDataFrame([(k,) for k in applied], "k long"), "k", "v", hot=hot)
+    meets = {k: sorted(x for x in applied if x != k and sets[k] & sets[x]) for k in sets}
+    assert {r.k: r.applied for r in got.collect()} == {k: x for k, x in meets.items() if x}
+
+
+def test_a_value_in_all_keys_makes_no_pairs(spark):
+    items = spark.range(20_000).select(F.col("id").alias("k"), F.explode(F.array(F.lit("all"), F.concat(F.lit("own"), F.col("id").cast("string")))).alias("v"))
+    found = overlaps.degrees(items, "k", "v").agg(F.count("k").alias("n"), F.min("degree").alias("a"), F.max("degree").alias("b")).first()
+    assert tuple(found) == (20_000, 19_999, 19_999)
+
+
+def test_bits_over_blocks(spark):
+    bugs = spark.range(500).select(F.col("id").alias("bug"), (F.col("id") % 3).alias("p"), (F.col("id") % 5 > 0).alias("gate"))
+    for by in ((), ("p",)):
+        many = sinks.dispatch_bits(bugs, ["bug"], "gate", by, blocks=9).orderBy("bug").collect()
+        one = sinks.dispatch_bits(bugs.withColumn("_", F.lit(0)), ["bug"], "gate", by or ("_",)).drop("_").orderBy("bug").collect()
+        assert [r.asDict() for r in many] == [r.asDict() for r in one]
 
 
 def test_costs(spark):
