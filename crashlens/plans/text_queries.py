@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from crashlens.functions import text
 from crashlens.operators import choices, rollups, sequences
 from crashlens.plans.base import Query, table
+from crashlens.sources import fragments, shared
 
 
 def _usage(s, d):
@@ -111,3 +112,23 @@ add(
     lambda s, d: table(s, d, "part").select("p_partkey", F.expr(DIFF.replace("\n", "\\n")).alias("diff")).select("p_partkey", F.char_length(text.without_artifacts(F.col("diff"))).cast("long").alias("kept"), F.array_join(text.diff_files(F.col("diff")), ",").alias("files"), F.array_join(text.diff_functions(F.col("diff")), ",").alias("functions")),
     "SELECT p_partkey, CAST(89 + 4 * length(CAST(p_size AS VARCHAR)) AS BIGINT) AS kept, 'src/' || CAST(p_size AS VARCHAR) || '.c,zlib/x.c' AS files, 'f,g' AS functions FROM part",
 )
+
+
+def _appended(s, d):
+    """Pages as records of source code, appended twice: some first, then all."""
+    rows = table(s, d, "pages").select(
+        (F.col("page_id") % 5).cast("string").alias("kind"), F.col("html").alias("spelling"), F.struct(F.col("url").alias("file"), (F.col("page_id") % 3).alias("line"), F.char_length("html").cast("long").alias("column")).alias("location"), "page_id"
+    )
+    folder = shared.folder(s, "array")
+    for batch, part in enumerate((rows.where("kind < '3'"), rows)):
+        fragments.append(part.withColumn("batch", F.lit(batch)), folder, batch, ["page_id"])
+    kept = fragments.located(fragments.repaired(s, folder))
+    return kept.select(F.get_json_object("text", "$.page_id").cast("long").alias("page_id"), F.get_json_object("text", "$.batch").cast("int").alias("batch"), "kind", F.md5("spelling").alias("spelling"), "line")
+
+
+add(
+    "appended_arrays",
+    _appended,
+    """WITH r AS (SELECT page_id, CASE WHEN page_id % 5 < 3 THEN 0 ELSE 1 END AS batch, CAST(page_id % 5 AS VARCHAR) AS kind, coalesce(html, '') AS spelling, page_id % 3 AS line, coalesce(url, '') AS url FROM pages)
+    SELECT page_id, batch, kind, md5(spelling) AS spelling, line FROM r QUALIFY row_number() OVER (PARTITION BY kind, spelling, line, url ORDER BY batch, page_id) = 1""",
+)
