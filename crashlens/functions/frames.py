@@ -129,3 +129,13 @@ def is_dispatch(frame: Column) -> Column:
 def joined(frames: Column) -> Column:
     """Frames or pairs as one text, for keys and output."""
     return F.array_join(F.transform(frames, lambda x: F.concat_ws("@", x["func"], x["file"])), "|")
+
+
+def function_set(frames: Column) -> Column:
+    """Different functions of frames, sorted (AGG-18)."""
+    return F.array_sort(F.array_distinct(F.transform(F.coalesce(frames, F.array().cast("array<struct<func: string, file: string, line: int>>")), lambda x: x["func"])))
+
+
+def shared_count(a: Column, b: Column) -> Column:
+    """How many different values two arrays have in common; a missing array has none (AGG-18)."""
+    return F.when(a.isNull() | b.isNull(), 0).otherwise(F.size(F.array_intersect(a, b))).cast("long")

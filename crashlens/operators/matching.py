@@ -102,11 +102,19 @@ def strict_match(verdict: Column, loose: Column) -> Column:
     return F.when(verdict == "no_data", loose).otherwise(verdict.isin("exact", "partial"))
 
 
-def clusters(crashes: DataFrame, print_: str, kind: str, fuzzer: str, occurrences: str) -> DataFrame:
-    """By fingerprint: signatures, occurrences, fuzzers and the commonest crash type, ties to the least name (AGG-07)."""
-    kinds = crashes.groupBy(print_, kind).agg(F.sum(occurrences).alias("o")).groupBy(print_).agg(F.min(F.struct((-F.col("o")).alias("o"), kind)).alias("m"))
-    all_ = crashes.groupBy(print_).agg(F.count(F.lit(1)).alias("n_signatures"), F.sum(occurrences).alias("occurrences"), F.countDistinct(fuzzer).alias("n_fuzzers"))
-    return all_.join(kinds, all_[print_].eqNullSafe(kinds[print_])).select(all_[print_], "n_signatures", "occurrences", "n_fuzzers", F.col(f"m.{kind}").alias("common_type"))
+def clusters(crashes: DataFrame, print_: str, kind: str, fuzzer: str, occurrences: str, state: str | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+    """By fingerprint: signatures, occurrences, fuzzers and the crash type that most signatures have, ties to the least name (AGG-07).
+
+    state: also example, the first 120 characters of the first one in order that isn't empty, or an empty text.
+    """
+    kinds = crashes.groupBy(print_, kind).agg(F.count(F.lit(1)).alias("o")).groupBy(print_).agg(F.min(F.struct((-F.col("o")).alias("o"), kind)).alias("m"))
+    sums = [F.count(F.lit(1)).alias("n_signatures"), F.sum(occurrences).alias("occurrences"), F.countDistinct(fuzzer).alias("n_fuzzers")]
+    if state is not None:
+        first = F.min(F.when(F.col(state) != "", F.struct(*order, F.substring(state, 1, 120).alias("_example"))))
+        sums.append(F.coalesce(first["_example"], F.lit("")).alias("example"))
+    all_ = crashes.groupBy(print_).agg(*sums)
+    own = [F.col(c) for c in all_.columns if c != print_]
+    return all_.join(kinds, all_[print_].eqNullSafe(kinds[print_])).select(all_[print_], *own, F.col(f"m.{kind}").alias("common_type"))
 
 
 def representatives(crashes: DataFrame, keys: list[str], order: list[str], carry: str) -> DataFrame:

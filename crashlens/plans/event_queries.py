@@ -21,7 +21,7 @@ def _first(s, d, kind=None):
     return survival.first_events(rows if kind is None else rows.where(F.col("event_type") == kind), ["user_id", "event_type"], "t")
 
 
-def _matrix(s, d):
+def matrix(s, d):
     rows = events(s, d)
     return survival.dense(rows.select("user_id").distinct(), rows.select("event_type").distinct(), _first(s, d), rows.agg(F.max("t").alias("censor")), ["user_id", "event_type"])
 
@@ -36,13 +36,13 @@ i AS (SELECT *, product(1 - d / risk) OVER (PARTITION BY stratum ORDER BY time)
 
 add(
     "km_median_by_type",
-    lambda s, d: survival.km_median(_matrix(s, d), ["event_type"]),
+    lambda s, d: survival.km_median(matrix(s, d), ["event_type"]),
     MATRIX + KM.format("event_type") + """ SELECT stratum AS event_type, CAST(sum(n) AS BIGINT) AS n_pairs, CAST(sum(d) AS BIGINT) AS n_events,
     CAST(min(CASE WHEN d > 0 AND alive <= 0.5 + 1e-12 THEN time END) AS BIGINT) AS km_median FROM i GROUP BY ALL""",
 )
 add(
     "km_running_window",
-    lambda s, d: survival.km_curve(_matrix(s, d), ["event_type"]).select("event_type", F.col("t").alias("time"), F.col("risk").cast("long").alias("risk"), F.round("alive", 6).alias("alive")),
+    lambda s, d: survival.km_curve(matrix(s, d), ["event_type"]).select("event_type", F.col("t").alias("time"), F.col("risk").cast("long").alias("risk"), F.round("alive", 6).alias("alive")),
     MATRIX + KM.format("event_type") + " SELECT stratum AS event_type, time, CAST(risk AS BIGINT) AS risk, round(alive, 6) AS alive FROM i",
 )
 add("first_seen_min", lambda s, d: _first(s, d), f"WITH {EV} SELECT user_id, event_type, min(t) AS first_time FROM ev GROUP BY ALL")
@@ -75,11 +75,6 @@ add(
     f"""WITH {EV}, r AS (SELECT user_id, k, min(t) AS r FROM ev WHERE event_type = 'view' GROUP BY ALL), g AS (SELECT user_id, k, min(t) AS g FROM ev WHERE event_type = 'error' GROUP BY ALL)
     SELECT coalesce(r.user_id, g.user_id) AS user_id, coalesce(r.k, g.k) AS k, coalesce(r, g) AS time_first_reached, g AS time_first_triggered FROM r FULL JOIN g ON r.user_id = g.user_id AND r.k = g.k""",
 )
-add(
-    "trial_inventory",
-    lambda s, d: events(s, d).groupBy(F.concat(F.lit("f"), (F.col("user_id") % 4).cast("string")).alias("fuzzer")).agg(F.array_join(F.array_sort(F.collect_set(F.lpad(F.col("user_id").cast("string"), 6, "0"))), ",").alias("trials"), F.countDistinct("user_id").alias("n")),
-    f"WITH {EV} SELECT 'f' || CAST(user_id % 4 AS VARCHAR) AS fuzzer, string_agg(DISTINCT lpad(CAST(user_id AS VARCHAR), 6, '0'), ',' ORDER BY lpad(CAST(user_id AS VARCHAR), 6, '0')) AS trials, count(DISTINCT user_id) AS n FROM ev GROUP BY 1",
-)
 add(
     "snapshot_times",
     lambda s, d: events(s, d).where("event_type = 'signup'").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda x: x.cast("string")), ",").alias("times")),
@@ -87,31 +82,21 @@ add(
 )
 add(
     "stratum_summary",
-    lambda s, d: rollups.ratio_by(_matrix(s, d).withColumn("stratum", bits.stratum(F.col("user_id") % 3)), ["event_type", "stratum"], "event").withColumn("share", F.round("share", 6)),
+    lambda s, d: rollups.ratio_by(matrix(s, d).withColumn("stratum", bits.stratum(F.col("user_id") % 3)), ["event_type", "stratum"], "event").withColumn("share", F.round("share", 6)),
     MATRIX + " SELECT event_type, CASE WHEN user_id % 3 = 0 THEN 'always' ELSE 'gated' END AS stratum, count(*) AS n, CAST(sum(event) AS BIGINT) AS hits, round(sum(event) / count(*), 6) AS share FROM m GROUP BY ALL",
 )
 add(
     "stratum_zeros",
-    lambda s, d: rollups.strata(_matrix(s, d).where("event_type <> 'error' or user_id % 3 = 0").select(F.col("event_type").alias("fuzzer"), bits.stratum(F.col("user_id") % 3).alias("stratum"), "event"), table(s, d, "events").select(F.col("event_type").alias("fuzzer")), "event"),
+    lambda s, d: rollups.strata(matrix(s, d).where("event_type <> 'error' or user_id % 3 = 0").select(F.col("event_type").alias("fuzzer"), bits.stratum(F.col("user_id") % 3).alias("stratum"), "event"), table(s, d, "events").select(F.col("event_type").alias("fuzzer")), "event"),
     MATRIX + """, z AS (SELECT event_type AS fuzzer, CASE WHEN user_id % 3 = 0 THEN 'always' ELSE 'gated' END AS stratum, event FROM m WHERE event_type <> 'error' OR user_id % 3 = 0),
     g AS (SELECT event_type AS fuzzer, unnest(['gated', 'always']) AS stratum FROM e)
     SELECT g.fuzzer, g.stratum, count(event) AS n, CAST(coalesce(sum(event), 0) AS BIGINT) AS hits, round(sum(event) / count(event), 4) AS share FROM g LEFT JOIN z USING (fuzzer, stratum) GROUP BY 1, 2""",
 )
 add(
     "stratum_km",
-    lambda s, d: survival.km_median(_matrix(s, d).withColumn("stratum", bits.stratum(F.col("user_id") % 3)), ["stratum"]),
+    lambda s, d: survival.km_median(matrix(s, d).withColumn("stratum", bits.stratum(F.col("user_id") % 3)), ["stratum"]),
     MATRIX + KM.format("CASE WHEN user_id % 3 = 0 THEN 'always' ELSE 'gated' END") + " SELECT stratum, CAST(sum(n) AS BIGINT) AS n_pairs, CAST(sum(d) AS BIGINT) AS n_events, CAST(min(CASE WHEN d > 0 AND alive <= 0.5 + 1e-12 THEN time END) AS BIGINT) AS km_median FROM i GROUP BY ALL",
 )
-add(
-    "per_target_rollup",
-    lambda s, d: _matrix(s, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n_trials"), F.sum("event").alias("triggered")),
-    MATRIX + " SELECT event_type, count(*) AS n_trials, CAST(sum(event) AS BIGINT) AS triggered FROM m GROUP BY 1",
-)
-add(
-    "crosstab_target_kind",
-    lambda s, d: events(s, d).groupBy((F.col("user_id") % 4).alias("fuzzer"), bits.stratum(F.col("k") % 4).alias("stratum"), "event_type", (F.col("k") % 4).alias("dv")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("value") > 5).cast("int")).alias("hits")),
-    f"WITH {EV} SELECT user_id % 4 AS fuzzer, CASE WHEN k % 4 = 0 THEN 'always' ELSE 'gated' END AS stratum, event_type, k % 4 AS dv, count(*) AS n, CAST(sum(CAST(value > 5 AS INTEGER)) AS BIGINT) AS hits FROM ev GROUP BY ALL",
-)
 add(
     "classify_precedence",
     lambda s, d: events(s, d).groupBy("user_id", "event_type").agg(F.max((F.col("k") > 90)).alias("g"), F.max((F.col("k") < 20)).alias("a")).withColumn("kind", rollups.precedence(F.col("g"), F.col("a"))).groupBy("event_type", "kind").agg(F.count(F.lit(1)).alias("n")),
@@ -140,16 +125,11 @@ add(
 )
 add(
     "fuzzer_summary_zero_filled",
-    lambda s, d: survival.zero_filled_means(_matrix(s, d).withColumn("fuzzer", F.col("user_id") % 4), "fuzzer", "user_id", "event_type").withColumn("mean", F.round(F.col("total_hits") / F.col("n_trials"), 6)),
+    lambda s, d: survival.zero_filled_means(matrix(s, d).withColumn("fuzzer", F.col("user_id") % 4), "fuzzer", "user_id", "event_type").withColumn("mean", F.round(F.col("total_hits") / F.col("n_trials"), 6)),
     MATRIX + """, t AS (SELECT user_id % 4 AS fuzzer, user_id, sum(event) AS hits, min(CASE WHEN event = 1 THEN time END) AS first FROM m GROUP BY ALL),
     a AS (SELECT fuzzer, CAST(sum(x) AS BIGINT) AS hit_in_all FROM (SELECT user_id % 4 AS fuzzer, event_type, min(event) AS x FROM m GROUP BY ALL) GROUP BY 1)
     SELECT t.fuzzer, count(*) AS n_trials, CAST(sum(hits) AS BIGINT) AS total_hits, CAST(max(hits) AS BIGINT) AS max_hits, min(first) AS earliest, any_value(hit_in_all) AS hit_in_all, round(sum(hits) / count(*), 6) AS mean FROM t JOIN a USING (fuzzer) GROUP BY 1""",
 )
-add(
-    "mean_over_hits",
-    lambda s, d: events(s, d).where("k > 95").groupBy((F.col("user_id") % 4).alias("fuzzer"), "user_id").agg(F.countDistinct("event_type").alias("n")).groupBy("fuzzer").agg(F.round(F.avg("n"), 6).alias("mean"), F.count(F.lit(1)).alias("trials_with_hits")),
-    f"WITH {EV}, x AS (SELECT user_id % 4 AS fuzzer, user_id, count(DISTINCT event_type) AS n FROM ev WHERE k > 95 GROUP BY ALL) SELECT fuzzer, round(avg(n), 6) AS mean, count(*) AS trials_with_hits FROM x GROUP BY 1",
-)
 add(
     "missing_lists",
     lambda s, d: survival.missing(_late(s, d), "user_id", "event_type"),
@@ -241,10 +221,17 @@ add(
     lambda s, d: sequences.adjacency(sequences.neighbours(events(s, d), ["user_id"], ["ts", "event_id"], "event_type").where("next is not null"), "event_type", "next").select("event_type", F.array_join("targets", ",").alias("targets")),
     f"WITH {EV}, x AS (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM ev) SELECT event_type, string_agg(DISTINCT n, ',' ORDER BY n) AS targets FROM x WHERE n IS NOT NULL GROUP BY 1",
 )
+def _modes(s, d):
+    """Events of three experiments, k modulo 3: times since the start, late ones too, and epochs, for some users without a start."""
+    rows = events(s, d).select("event_id", "user_id", (F.col("k") % 3).alias("x"), (F.col("t") + F.col("k") % 3 * 800000000).alias("time"))
+    latest = rows.groupBy("x").agg(survival.time_is_relative(F.max("time")).alias("relative"))
+    return rows.join(F.broadcast(latest), "x").select("event_id", text.relative_seconds(F.col("time"), F.expr("if(user_id % 7 = 0, null, 1599999950)"), F.col("relative")).alias("seconds"))
+
+
 add(
     "time_mode_convert",
-    lambda s, d: events(s, d).crossJoin(F.broadcast(events(s, d).agg(F.max("t").alias("latest")))).select("event_id", text.relative_seconds(F.col("t"), F.lit(100), survival.time_is_relative(F.col("latest"))).alias("seconds")),
-    f"WITH {EV} SELECT event_id, t AS seconds FROM ev",
+    _modes,
+    f"WITH {EV} SELECT event_id, CASE WHEN k % 3 < 2 THEN t + k % 3 * 800000000 WHEN user_id % 7 > 0 THEN t + 50 END AS seconds FROM ev",
 )
 add("hours_format", lambda s, d: events(s, d).select("event_id", text.hours(F.col("k") * 100).alias("hours")), f"WITH {EV} SELECT event_id, printf('%.2f', k * 100 / 3600.0) AS hours FROM ev")
 add(
@@ -257,11 +244,6 @@ add(
     lambda s, d: table(s, d, "events").select("event_id", text.json_pick("props", ["$.missing", "$.k"], "-").alias("picked")),
     "SELECT event_id, coalesce(json_extract_string(props, '$.missing'), json_extract_string(props, '$.k'), '-') AS picked FROM events",
 )
-add(
-    "global_ratio",
-    lambda s, d: events(s, d).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.when(F.col("k") % 7 != 0, F.col("k")), F.lit(0))).alias("total"), F.round(F.try_divide(F.count_if(F.col("event_type") == "error"), F.count(F.lit(1))), 6).alias("error_share")),
-    f"WITH {EV} SELECT count(*) AS n, CAST(sum(CASE WHEN k % 7 <> 0 THEN k ELSE 0 END) AS BIGINT) AS total, round(count(*) FILTER (WHERE event_type = 'error') / count(*), 6) AS error_share FROM ev",
-)
 add(
     "live_stats_top_states",
     lambda s, d: sequences.top(events(s, d).groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n")), [F.desc("n"), F.col("event_type"), F.col("k")], 5),

@@ -69,15 +69,6 @@ def _cluster_sql(with_line):
 
 add("fp_cluster_loose", _clustered(False), _cluster_sql(False))
 add("fp_cluster_strict", _clustered(True), _cluster_sql(True))
-add(
-    "abc_headline",
-    lambda s, d: logs(s, d).withColumn("f", fr.loose_frames(F.col("log"))).agg(
-        F.count(F.lit(1)).alias("a_total"), F.countDistinct(F.xxhash64("f")).alias("b_stacks"), F.countDistinct(text.normal_key(F.concat_ws("|", "event_type", F.col("k") % 5))).alias("c_keys"),
-        F.countDistinct(F.when(F.col("k") % 5 == 0, F.xxhash64("f"))).alias("b_matched"),
-    ),
-    f"""WITH {LG}, q AS (SELECT *, {_parsed(LOOSE)} FROM lg), r AS (SELECT event_type, k, array_to_string(list_transform(range(1, len(f1) + 1), lambda i: f1[i] || '@' || f2[i] || '@' || f3[i]), '|') AS p FROM q)
-    SELECT count(*) AS a_total, count(DISTINCT p) AS b_stacks, count(DISTINCT (event_type, k % 5)) AS c_keys, count(DISTINCT p) FILTER (WHERE k % 5 = 0) AS b_matched FROM r""",
-)
 
 
 def _sides(s, d):
@@ -178,9 +169,9 @@ add(
 )
 add(
     "regex_bucket_first_match",
-    lambda s, d: logs(s, d).groupBy(sn.crash_type(F.concat_ws(" ", sn.error_class(F.col("log")), F.when(F.col("k") % 11 == 0, "timeout"))).alias("bucket"), fr.is_dispatch(F.concat(F.lit("x__bug_dispatch"), F.col("k") % 2)).alias("dispatch")).agg(F.count(F.lit(1)).alias("n")),
+    lambda s, d: logs(s, d).groupBy(sn.crash_type(F.concat_ws(" ", sn.error_class(F.col("log")), F.when(F.col("k") % 11 == 0, "timeout"))).alias("bucket"), fr.is_dispatch(F.expr("concat(if(k % 3 = 0, 'x__bug_dispatch', 'fn_'), k % 2)")).alias("dispatch")).agg(F.count(F.lit(1)).alias("n")),
     f"""WITH {LG} SELECT CASE WHEN k % 11 = 0 THEN 'resource/timeout' WHEN event_type = 'signup' THEN 'stack-overflow' WHEN event_type = 'error' THEN 'heap-overflow' WHEN event_type = 'click' THEN 'heap-use-after-free' WHEN event_type = 'purchase' THEN 'double-free'
-    WHEN event_type = 'view' THEN 'segv/unknown' ELSE 'other' END AS bucket, true AS dispatch, count(*) AS n FROM lg GROUP BY ALL""",
+    WHEN event_type = 'view' THEN 'segv/unknown' ELSE 'other' END AS bucket, k % 3 = 0 AS dispatch, count(*) AS n FROM lg GROUP BY ALL""",
 )
 add(
     "representative_stack",

@@ -37,11 +37,6 @@ def _by_customer(s, d):
 
 
 WINDOWS = "w AS (SELECT l_orderkey, min(l_shipdate) AS introduced, max(l_shipdate) AS fixed FROM lineitem GROUP BY 1)"
-add(
-    "filtered_equi_join",
-    lambda s, d: table(s, d, "orders").where("o_orderstatus = 'F' and o_orderpriority <> '5-LOW'").join(table(s, d, "customer").where("c_mktsegment <> 'BUILDING'"), F.expr("o_custkey = c_custkey")).select("o_orderkey", "c_name"),
-    "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW' AND c_mktsegment <> 'BUILDING'",
-)
 add(
     "interval_overlap",
     lambda s, d: lookup.live(_windows(s, d), "introduced", "fixed", "1997-01-01", "1997-06-30").select("l_orderkey"),
@@ -273,11 +268,6 @@ add(
     lambda s, d: sequences.top(table(s, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n")), [F.desc("n"), F.col("o_orderpriority"), F.col("o_orderstatus")], 10),
     "SELECT o_orderpriority, o_orderstatus, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, o_orderpriority, o_orderstatus) AS INTEGER) AS rank FROM orders GROUP BY 1, 2 ORDER BY rank LIMIT 10",
 )
-add(
-    "multikey_order_nulls_last",
-    lambda s, d: table(s, d, "orders").withColumn("v", F.expr("if(o_orderkey % 3 = 0, null, o_orderkey % 11)")).select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderstatus"), F.col("v").asc_nulls_last(), F.col("o_orderkey"))).alias("rank")),
-    "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus DESC, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 11 END ASC NULLS LAST, o_orderkey) AS INTEGER) AS rank FROM orders",
-)
 add(
     "numeric_id_order",
     lambda s, d: table(s, d, "orders").withColumn("id", F.expr("if(o_orderkey % 10 = 0, 'X' || o_orderkey, 'OSV-' || (2000 + o_orderkey % 7) || '-' || o_orderkey)")).select(
@@ -291,23 +281,11 @@ add(
     lambda s, d: sequences.trimmed_mean(table(s, d, "lineitem"), ["l_orderkey"], "l_quantity").withColumn("trimmed_mean", F.round("trimmed_mean", 6)),
     "SELECT l_orderkey, round(CASE WHEN count(*) > 2 THEN (sum(l_quantity) - min(l_quantity) - max(l_quantity)) / (count(*) - 2) ELSE avg(l_quantity) END, 6) AS trimmed_mean FROM lineitem GROUP BY 1",
 )
-add(
-    "distinct_count_by_triple",
-    lambda s, d: table(s, d, "orders").join(table(s, d, "customer"), F.expr("o_custkey = c_custkey")).groupBy("c_mktsegment", "o_orderpriority", sanitizer.architecture(F.expr("if(o_orderkey % 4 = 0, 'libfuzzer_asan_i386_p', 'libfuzzer_asan_p')")).alias("arch")).agg(F.countDistinct("o_custkey").alias("bug_count")),
-    "SELECT c_mktsegment, o_orderpriority, CASE WHEN o_orderkey % 4 = 0 THEN 'i386' ELSE 'x86_64' END AS arch, count(DISTINCT o_custkey) AS bug_count FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL",
-)
 add(
     "sanitizer_of_job",
     lambda s, d: table(s, d, "part").select("p_partkey", sanitizer.sanitizer(F.expr("'libfuzzer_' || element_at(array('asan', 'msan', 'ubsan'), cast(p_partkey % 3 as int) + 1) || '_p'")).alias("sanitizer")),
     "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'address (ASAN)' WHEN 1 THEN 'memory (MSAN)' ELSE 'undefined (UBSAN)' END AS sanitizer FROM part",
 )
-add(
-    "priority_upsert",
-    lambda s, d: sequences.first_wins(
-        table(s, d, "orders").select(F.col("o_custkey").alias("bug"), F.expr("case when o_orderpriority = '1-URGENT' then 0 when o_orderstatus = 'F' then 1 else 2 end").alias("source"), F.col("o_orderkey").alias("id")), ["bug"], ["source", "id"]
-    ),
-    "SELECT bug, source, id FROM (SELECT *, row_number() OVER (PARTITION BY bug ORDER BY source, id) AS i FROM (SELECT o_custkey AS bug, CASE WHEN o_orderpriority = '1-URGENT' THEN 0 WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS source, o_orderkey AS id FROM orders)) WHERE i = 1",
-)
 add(
     "categorize_with_flags",
     lambda s, d: choices.categorised(_bugs(s, d), table(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("bug_id"))),
@@ -316,16 +294,6 @@ add(
     c AS (SELECT o_orderkey AS bug_id, CASE WHEN o_orderstatus = 'P' THEN 'local' WHEN fit AND r > 0 THEN 'diff' WHEN fit AND n > 0 THEN 'testcase_only' END AS category FROM b)
     SELECT * FROM c WHERE category IS NOT NULL""",
 )
-add(
-    "chrono_distinct_union",
-    lambda s, d: (lambda u: u.select("day", F.dense_rank().over(Window.partitionBy(F.year("day")).orderBy(F.desc("day"))).alias("rank")))(table(s, d, "orders").select(F.to_date("o_orderdate").alias("day")).union(table(s, d, "lineitem").select(F.to_date("l_shipdate"))).distinct()),
-    "WITH u AS (SELECT CAST(o_orderdate AS DATE) AS day FROM orders UNION SELECT CAST(l_shipdate AS DATE) FROM lineitem) SELECT day, CAST(dense_rank() OVER (PARTITION BY year(day) ORDER BY day DESC) AS INTEGER) AS rank FROM u",
-)
-add(
-    "date_math",
-    lambda s, d: table(s, d, "orders").select("o_orderkey", F.date_add(F.to_date("o_orderdate"), 1).alias("next_midnight"), (F.col("o_orderdate") + F.make_dt_interval(F.lit(60))).alias("two_months")),
-    "SELECT o_orderkey, CAST(o_orderdate AS DATE) + 1 AS next_midnight, o_orderdate + INTERVAL 60 DAY AS two_months FROM orders",
-)
 add(
     "status_counts",
     lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.count_if(F.col("o_orderstatus") != "F").alias("pending"), F.try_divide(F.sum(F.when(F.col("o_orderstatus") == "F", F.lit(1)).otherwise(0)), F.count(F.lit(1)) - F.count_if(F.col("o_orderstatus") == "P")).alias("ratio")).withColumn("ratio", F.round("ratio", 6)),

@@ -38,8 +38,14 @@ add(
     lambda s, d: trials.snapshot_times(events(s, d).where("event_type = 'view'").select(F.col("user_id").alias("trial_id"), F.col("t").alias("time"))).select("trial", F.array_join(F.transform("times", lambda x: x.cast("string")), ",").alias("times")),
     f"WITH {EV} SELECT user_id AS trial, array_to_string(list_sort(list(t)), ',') AS times FROM ev WHERE event_type = 'view' GROUP BY 1",
 )
+TIMES = "CASE WHEN o_orderkey % 3 > 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || CASE WHEN o_orderkey % 2 = 0 THEN '+02:00' ELSE '' END END"
 add(
     "experiment_start",
+    lambda s, d: trials.experiment_start(table(s, d, "orders").where("o_orderkey % 3 > 0").select(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("o_orderkey") % 2 == 0, "+02:00").otherwise("")).alias("time_created"))),
+    f"SELECT CAST(epoch(arg_min(o_orderdate, {TIMES})) - CASE WHEN min({TIMES}) LIKE '%+02:00' THEN 7200 ELSE 0 END AS DOUBLE) AS start FROM orders",
+)
+add(
+    "epoch_of_text",
     lambda s, d: table(s, d, "orders").select("o_orderkey", trials.epoch_seconds(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("o_orderkey") % 2 == 0, "+02:00").otherwise(""))).alias("start")),
     "SELECT o_orderkey, CAST(epoch(o_orderdate) - CASE WHEN o_orderkey % 2 = 0 THEN 7200 ELSE 0 END AS DOUBLE) AS start FROM orders",
 )
@@ -163,6 +169,16 @@ add(
 )
 
 
+add(
+    "blockers_by_function",
+    lambda s, d: trials.blockers(
+        table(s, d, "part").where("p_size < 3").select(F.col("p_brand").alias("func")), table(s, d, "part").where("p_size < 5").select(F.concat(F.lit("f"), "p_size").alias("file")),
+        table(s, d, "lineitem").join(table(s, d, "part"), F.expr("l_partkey = p_partkey")).groupBy(F.col("l_orderkey").alias("bug_id")).agg(F.collect_list("p_brand").alias("functions"), F.collect_set(F.concat(F.lit("f"), "p_size")).alias("files")),
+    ).select("bug_id", "kind", F.array_join("items", ",").alias("items")),
+    """SELECT l_orderkey AS bug_id, 'functions' AS kind, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS items FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size < 3) GROUP BY 1""",
+)
+
+
 def _sources(s, d):
     """Events as cells of a matrix: bugs by k, commits by user, in an order of rows that no history has."""
     u = F.col("user_id")
@@ -204,7 +220,7 @@ add(
 )
 add(
     "report_blocks",
-    lambda s, d: table(s, d, "part").select("p_partkey", text.report_block(F.concat(F.lit("Detailed Report: https://x/"), "p_partkey", F.lit("\nnote one\nJob Type: asan_"), "p_size", F.lit("\n\nCrash State:\n  fn_"), "p_size", F.lit("\nKey: v\n  main\n\nafter: all"))).alias("r")).select(
+    lambda s, d: table(s, d, "part").select("p_partkey", text.report_block(F.concat(F.lit("Detailed Report: https://x/"), "p_partkey", F.expr("if(p_partkey % 2 = 0, '\nnote one', '')"), F.lit("\nJob Type: asan_"), "p_size", F.expr("if(p_size % 3 > 0, concat('\n\nCrash State:\n  fn_', p_size, '\nKey: v\n  main'), '')"), F.lit("\n\nafter: all"))).alias("r")).select(
         "p_partkey", F.array_join("r.crash_state", "|").alias("state"), F.col("r.extra").alias("extra"), F.col("r.fields")["Job Type"].alias("job"), F.size("r.fields").cast("long").alias("n")),
-    "SELECT p_partkey, 'fn_' || CAST(p_size AS VARCHAR) || '|main' AS state, 'note one' AS extra, 'asan_' || CAST(p_size AS VARCHAR) AS job, CAST(3 AS BIGINT) AS n FROM part",
+    """SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN 'fn_' || CAST(p_size AS VARCHAR) || '|main' END AS state, CASE WHEN p_partkey % 2 = 0 THEN 'note one' END AS extra, 'asan_' || CAST(p_size AS VARCHAR) AS job, CAST(3 AS BIGINT) AS n FROM part""",
 )

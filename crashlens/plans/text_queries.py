@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crashlens.functions import text
+from crashlens.functions import frames, text
 from crashlens.operators import choices, rollups, sequences
 from crashlens.plans.base import Query, table
 from crashlens.sources import fragments, shared
@@ -34,10 +34,19 @@ add(
     lambda s, d: table(s, d, "documents").select("doc_id", F.md5(text.tail(F.col("text"), 5, 300)).alias("tail")),
     "SELECT doc_id, md5(right(array_to_string(list_slice(string_split(coalesce(text, ''), chr(10)), -5, -1), chr(10)), 300)) AS tail FROM documents",
 )
+def _usages(s, d):
+    """Parts as usage summaries in three forms, or in none."""
+    n, m, k = (F.format_number(c, 0) for c in (F.col("p_partkey") * 1000 + 1, F.col("p_size") * 1001, F.col("p_partkey") * 7 + 1))
+    line = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("Tokens: "), n, F.lit(" input, "), m, F.lit(" cached input, "), k, F.lit(" output"))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("input: "), n, F.lit(" and output: "), k))
+    line = F.coalesce(line.when(F.col("p_partkey") % 4 == 2, F.concat(n, F.lit(" input, "), k, F.lit(" output"))), F.lit("none"))
+    return table(s, d, "part").withColumn("u", text.usage(F.concat(F.lit("x\n"), line, F.when(F.col("p_size") % 3 > 0, F.concat(F.lit("\nCost: $"), "p_size", F.lit(".25"))).otherwise(""))))
+
+
 add(
     "number_parse",
-    lambda s, d: table(s, d, "part").select("p_partkey", text.number(F.format_number(F.col("p_partkey") * 12345, 0)).alias("n"), text.usage(F.concat(F.lit("x\nTokens: "), F.format_number(F.col("p_partkey") * 1000 + 1, 0), F.lit(" input, 6,789 cached input, 4,567 output\nCost: $0.1234"))).alias("u")).select("p_partkey", "n", "u.*"),
-    "SELECT p_partkey, p_partkey * 12345 AS n, p_partkey * 1000 + 1 AS input, CAST(6789 AS BIGINT) AS cached, CAST(4567 AS BIGINT) AS output, CAST(0.1234 AS DOUBLE) AS cost FROM part",
+    lambda s, d: _usages(s, d).select("p_partkey", text.number(F.format_number(F.col("p_partkey") * 12345, 0)).alias("n"), "u.*"),
+    """SELECT p_partkey, p_partkey * 12345 AS n, CASE WHEN p_partkey % 4 < 3 THEN p_partkey * 1000 + 1 ELSE 0 END AS input, CASE WHEN p_partkey % 4 = 0 THEN CAST(p_size AS BIGINT) * 1001 ELSE 0 END AS cached,
+    CASE WHEN p_partkey % 4 < 3 THEN p_partkey * 7 + 1 ELSE 0 END AS output, CASE WHEN p_size % 3 > 0 THEN p_size + 0.25::DOUBLE ELSE 0 END AS cost FROM part""",
 )
 add(
     "html_to_text",
@@ -48,8 +57,8 @@ add(
 )
 add(
     "keyval_parse",
-    lambda s, d: table(s, d, "part").select("p_partkey", text.key_values(F.concat_ws("\n", F.lit("Detailed Report: http://x"), F.concat(F.lit("Crash Type: "), "p_type"), F.concat(F.lit("  Brand: "), "p_brand"), F.lit("no pair"), F.concat(F.lit("Brand: "), "p_name"))).alias("m")).select("p_partkey", F.expr("m['Crash Type']").alias("crash_type"), F.expr("m['Brand']").alias("brand"), F.size("m").cast("long").alias("n")),
-    "SELECT p_partkey, p_type AS crash_type, p_name AS brand, CAST(3 AS BIGINT) AS n FROM part",
+    lambda s, d: table(s, d, "part").select("p_partkey", text.key_values(F.concat_ws("\n", F.when(F.col("p_size") % 4 > 0, "Detailed Report: http://x"), F.when(F.col("p_size") % 5 > 0, F.concat(F.lit("Crash Type: "), "p_type")), F.concat(F.lit("  Brand: "), "p_brand"), F.lit("no pair"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Brand: "), "p_name")))).alias("m")).select("p_partkey", F.expr("m['Crash Type']").alias("crash_type"), F.expr("m['Brand']").alias("brand"), F.size("m").cast("long").alias("n")),
+    "SELECT p_partkey, CASE WHEN p_size % 5 > 0 THEN p_type END AS crash_type, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand END AS brand, CAST(1 + CAST(p_size % 4 > 0 AS INTEGER) + CAST(p_size % 5 > 0 AS INTEGER) AS BIGINT) AS n FROM part",
 )
 add(
     "link_dedupe",
@@ -57,10 +66,12 @@ add(
     """WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS x FROM pages), u AS (SELECT page_id, x[i] AS l, min(i) AS i FROM l, unnest(range(1, len(x) + 1)) AS t(i) GROUP BY ALL)
     SELECT page_id, coalesce((SELECT string_agg(l, ' ' ORDER BY i) FROM u WHERE u.page_id = l.page_id), '') AS links FROM l""",
 )
+#: SQL that both engines run: a script with quoted strings, of which not all hold the needle.
+SCRIPT = """'var x = "a' || p_size || '"; y = "' || CASE WHEN p_partkey % 3 > 0 THEN 'Detailed Report: ' ELSE 'report ' END || chr(92) || '"' || p_name || chr(92) || '" end' || chr(92) || chr(92) || '"; "b"'"""
 add(
     "quoted_block",
-    lambda s, d: table(s, d, "part").select("p_partkey", text.quoted_block(F.concat(F.lit('var x = "a"; y = "Detailed Report: \\"'), "p_name", F.lit('\\" end"; "b"')), "Detailed Report:").alias("block")),
-    r"""SELECT p_partkey, 'Detailed Report: \"' || p_name || '\" end' AS block FROM part""",
+    lambda s, d: table(s, d, "part").select("p_partkey", text.quoted_block(F.expr(SCRIPT), "Detailed Report:").alias("block")),
+    rf"""SELECT p_partkey, nullif(regexp_extract({SCRIPT}, '"((?:\\.|[^"\\])*Detailed Report:(?:\\.|[^"\\])*)"', 1), '') AS block FROM part""",
 )
 add(
     "dedupe_first_wins",
@@ -74,7 +85,7 @@ add(
 )
 add(
     "shared_set_sizes",
-    lambda s, d: table(s, d, "documents").withColumn("w", F.array_distinct(F.split(F.coalesce("text", F.lit("")), " "))).select("doc_id", F.size(F.array_intersect("w", F.array(*(F.lit(x) for x in ("the", "of", "de", "la", "und", "and"))))).cast("long").alias("shared")),
+    lambda s, d: table(s, d, "documents").select("doc_id", frames.shared_count(F.split("text", " "), F.array(*(F.lit(x) for x in ("the", "of", "de", "la", "und", "and")))).alias("shared")),
     "SELECT doc_id, len(list_intersect(list_distinct(string_split(coalesce(text, ''), ' ')), ['the', 'of', 'de', 'la', 'und', 'and'])) AS shared FROM documents",
 )
 add(

@@ -65,17 +65,62 @@ def allow_list(functions: DataFrame) -> DataFrame:
 
 
 def upsert(earlier: DataFrame, folders: DataFrame, current: DataFrame, key: str) -> DataFrame:
-    """This run before the folders before earlier entries; `impossible` stays once it is set (SNK-07, DOM-08)."""
-    rows = earlier.withColumn("_p", F.lit(2)).unionByName(folders.withColumn("_p", F.lit(1)), True).unionByName(current.withColumn("_p", F.lit(0)), True)
-    stuck = rows.withColumn("_p", F.when(F.col("status") == "impossible", -1).otherwise(F.col("_p")))
-    return sequences.first_wins(stuck, [key], ["_p", "status"]).drop("_p")
+    """This run before the folders before earlier entries (SNK-07, DOM-08).
+
+    A bug that its folder, or without one its earlier entry, says is impossible stays so. Rows of this run that were skipped or have no status
+    change nothing. All three: key, status and any more columns, a row per key; of several the one with the least status counts.
+    """
+    rows = earlier.withColumn("_p", F.lit(2)).unionByName(folders.withColumn("_p", F.lit(1)), True)
+    rows = rows.unionByName(current.where("status <> 'skipped'").withColumn("_p", F.lit(0)), True)
+    known = F.min(F.when(F.col("_p") > 0, F.struct("_p", "status"))).over(Window.partitionBy(key))["status"]
+    ranked = rows.withColumn("_p", F.when((F.col("_p") == 0) & (known == "impossible"), 3).otherwise(F.col("_p")))
+    return sequences.first_wins(ranked, [key], ["_p", "status"]).drop("_p")
+
+
+# Files that a bug's folder may hold, and reasons that are given for what it lacks.
+IMPOSSIBLE = "bug_transplant.impossible"
+CRASH = "transplant_crash.txt"
+DIFFS = ("bug_transplant.diff", "git_diff.diff")
+TESTCASE = "testcase-"
+DONE = ("success", "impossible")
+
+
+def folder_result(files: DataFrame, key: str) -> DataFrame:
+    """key, status and reason of a bug from the files that its folder has (DOM-08). files: key, name and, if there is any, text (only that of IMPOSSIBLE is read), a row with null for a folder without any.
+
+    A mark of being impossible comes before a crash, which is success; all else failed, for want of a crash or of anything at all.
+    """
+    has = lambda c: F.max(F.coalesce(c, F.lit(False)))
+    name = F.col("name")
+    written = F.regexp_replace("text", r"^\s+|\s+$", "") if "text" in files.columns else F.lit(None).cast("string")
+    found = files.groupBy(key).agg(
+        has(name == IMPOSSIBLE).alias("i"), has(name == CRASH).alias("c"), has(name.isin(*DIFFS)).alias("d"), has(name.startswith(TESTCASE)).alias("t"),
+        F.min(F.when(name == IMPOSSIBLE, written)).alias("why"),
+    )
+    held = F.concat_ws(" and ", F.when(F.col("d"), "diff"), F.when(F.col("t"), "testcase"))
+    reason = F.when(F.col("i"), F.col("why")).when(F.col("c"), F.lit(None)).when(held == "", "no artifacts").otherwise(F.concat(held, F.lit(" but no verified crash")))
+    return found.select(key, F.when(F.col("i"), "impossible").when(F.col("c"), "success").otherwise("failed").alias("status"), reason.alias("reason"))
+
+
+def resumed(folders: DataFrame, earlier: DataFrame, key: str) -> DataFrame:
+    """Results of bugs that a resumed batch skips (DOM-08): an earlier one that was done as it was, another with the folder's status, and its reason if
+    it has one, without an exit code or error once the folder says it is done; the folder's alone without an earlier one.
+
+    folders: as folder_result() gives them; earlier: key, status, reason, exit_code, error_message, a row per key.
+    """
+    old = earlier.select(key, F.struct("status", "reason", "exit_code", "error_message").alias("_old"))
+    done = lambda c: F.coalesce(c.isin(*DONE), F.lit(False))
+    kept, now = done(F.col("_old.status")), done(F.col("status"))
+    return folders.join(old, key, "left").select(
+        key, F.when(kept, F.col("_old.status")).otherwise(F.col("status")).alias("status"), F.when(kept, F.col("_old.reason")).otherwise(F.coalesce("reason", "_old.reason")).alias("reason"),
+        F.when(kept | ~now, F.col("_old.exit_code")).when(F.col("_old").isNotNull(), 0).alias("exit_code"), F.when(kept | ~now, F.col("_old.error_message")).alias("error_message"),
+    )
 
 
-def folder_result(flags: DataFrame, key: str) -> DataFrame:
-    """A bug's status from the files it has (DOM-08). flags: key, name."""
-    has = lambda n: F.max(F.coalesce(F.col("name") == n, F.lit(False)))
-    status = F.when(has("impossible"), "impossible").when(has("bug.diff"), "success").when(has("testcase"), "testcase_only").otherwise("failed")
-    return flags.groupBy(key).agg(status.alias("status"))
+def batch_summary(results: DataFrame) -> DataFrame:
+    """One row: attempted, succeeded and failed bugs of a batch; impossible ones failed too, skipped ones weren't attempted (SNK-07)."""
+    status = F.coalesce("status", F.lit(""))
+    return results.agg(F.count_if(status != "skipped").alias("attempted"), F.count_if(status == "success").alias("succeeded"), F.count_if(status.isin("failed", "error", "impossible")).alias("failed"))
 
 
 def metadata(results: DataFrame, lines: DataFrame, bug: str = "bug_id") -> DataFrame:

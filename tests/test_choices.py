@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crashlens.functions import text
-from crashlens.operators import choices, lookup, overlaps, rollups
+from crashlens.operators import choices, overlaps, rollups
 from crashlens.sources import readers, sinks
 
 
