@@ -5,14 +5,17 @@ shard's tree is built once: it splits at medians and keeps a tight bounding box
 whose box allows the largest inner product. Its k-th score is passed on: the query then goes to those regions only whose boxes
 can reach that score, and in a tree down those nodes only; leaves are taken best first until no box can reach the k-th score any more.
 
+Trees are kept in files of the scratch space; a task reads those alone that one of its queries goes to, once for the blocks of queries that it has.
 Queries are searched in blocks, many at once. Vectors whose scores pass what floats hold exactly are searched one by one, in longs or,
 beyond 63 bits, in Python integers.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crashlens.llm import scratch
+from crashlens.llm.token_files import get, put
 
 #: Vectors of a shard, of a leaf, and queries of a block, about.
 SHARD = 4096
@@ -207,10 +211,16 @@ def _far(score: int) -> tuple[int, int | None, str | None]:
 FOUND = "query_id long, vec_id long, zone int, score long, far string"
 
 
-def _searched(trees: DataFrame, asked: DataFrame, blocks: int, k: int, scale: int) -> DataFrame:
-    """What each (region, part) has for the queries asked of it in a block. asked: region, part, block, vec_id, v, w, floor."""
+@functools.lru_cache(maxsize=1)
+def _kept(path: str) -> dict:
+    """A shard's trees by kind and dimension. The last one stays, for the next block of queries."""
+    return pickle.loads(get(path))  # noqa: S301  written by build() below
 
-    def search(key: tuple, some: pa.Table, queries: pa.Table) -> pa.Table:
+
+def _searched(trees: DataFrame, asked: DataFrame, k: int, scale: int) -> DataFrame:
+    """What each (region, part) has for the queries asked of it in a block. trees: region, part, path; asked: region, part, block, vec_id, v, w, floor."""
+
+    def search(queries: pa.Table) -> pa.Table:
         rows: dict[str, list] = {"query_id": [], "vec_id": [], "zone": [], "score": [], "far": []}
 
         def add(own: int, found: list[tuple[int, int]]) -> None:
@@ -218,33 +228,31 @@ def _searched(trees: DataFrame, asked: DataFrame, blocks: int, k: int, scale: in
                 for x, y in zip(rows.values(), (own, -i, *_far(s)), strict=True):
                     x.append(y)
 
-        if len(some) and len(queries):
-            ids = np.asarray(queries.column("vec_id"))
-            floors = np.asarray(queries.column("floor").fill_null(-LONG)).astype(np.int64)
-            have = pickle.loads(some.column("tree")[0].as_py())  # noqa: S301  written by build() below
-            narrow, wide = _narrow(queries), _wide(queries, scale)
-            for (is_wide, d), tree in have.items():
-                for asks, far in ((narrow, False), (wide, True)):
-                    if d not in asks:
-                        continue
-                    numbers, vectors = asks[d]
-                    if not (is_wide or far) and d * tree.largest * max(1, int(abs(vectors).max())) < EXACT:
-                        at, found, scores = tree.search_many(vectors, ids[numbers], k, floors[numbers].astype(float))
-                        rows["query_id"] += ids[numbers[at]].tolist()
-                        rows["vec_id"] += found.tolist()
-                        rows["score"] += scores.tolist()
-                        rows["zone"] += [0] * len(at)
-                        rows["far"] += [None] * len(at)
-                        continue
-                    if is_wide != far:  # one side is made of Python integers
-                        vectors = vectors.astype(object)
-                    for i, query in zip(numbers.tolist(), vectors, strict=True):
-                        floor = int(floors[i])
-                        add(int(ids[i]), tree.search(query, int(ids[i]), k, floor if floor > -LONG else None))
+        ids = np.asarray(queries.column("vec_id"))
+        floors = np.asarray(queries.column("floor").fill_null(-LONG)).astype(np.int64)
+        have = _kept(queries.column("path")[0].as_py())
+        narrow, wide = _narrow(queries), _wide(queries, scale)
+        for (is_wide, d), tree in have.items():
+            for asks, far in ((narrow, False), (wide, True)):
+                if d not in asks:
+                    continue
+                numbers, vectors = asks[d]
+                if not (is_wide or far) and d * tree.largest * max(1, int(abs(vectors).max())) < EXACT:
+                    at, found, scores = tree.search_many(vectors, ids[numbers], k, floors[numbers].astype(float))
+                    rows["query_id"] += ids[numbers[at]].tolist()
+                    rows["vec_id"] += found.tolist()
+                    rows["score"] += scores.tolist()
+                    rows["zone"] += [0] * len(at)
+                    rows["far"] += [None] * len(at)
+                    continue
+                if is_wide != far:  # one side is made of Python integers
+                    vectors = vectors.astype(object)
+                for i, query in zip(numbers.tolist(), vectors, strict=True):
+                    floor = int(floors[i])
+                    add(int(ids[i]), tree.search(query, int(ids[i]), k, floor if floor > -LONG else None))
         return pa.table({x: pa.array(y, pa.string() if x == "far" else pa.int32() if x == "zone" else pa.int64()) for x, y in rows.items()})
 
-    keys = ["region", "part", "block"]
-    return trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, FOUND)
+    return asked.join(trees.select("region", "part", "path"), ["region", "part"]).groupBy("region", "part", "block").applyInArrow(search, FOUND)
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256) -> DataFrame:
@@ -276,31 +284,36 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: int = 25
     # parts of each region, the odd ones' first; a region that most vectors have is spread
     spread = F.expr(f"get(array({', '.join(str(-(-sizes.get(i, 1) // SHARD)) for i in range(ODD, regions.count))}), region + 1)")
 
+    out = scratch.folder(candidates.sparkSession, "tree-files")
+
     def build(key: tuple, table: pa.Table) -> pa.Table:
         ids, trees = np.asarray(table.column("vec_id")), {}
         for far, groups in ((False, _narrow(table)), (True, _wide(table, scale))):
             for d, (rows, points) in groups.items():
                 trees[far, d] = Tree(points, ids[rows])
         box = trees.get((False, dim)) if key[0].as_py() != ODD else None
+        path = f"{out}/{uuid.uuid4().hex}.trees"  # a fresh name in each attempt: the table below names those of tasks that ended well
+        put(path, pickle.dumps(trees))
         return pa.table({
-            "region": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "tree": pa.array([pickle.dumps(trees)], pa.binary()),
+            "region": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "path": pa.array([path]),
             "box": pa.array([list(zip(box.low[0].tolist(), box.high[0].tolist(), strict=True)) if box else []], pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))),
         })
 
     dealt = placed.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), spread).cast("int"))
-    trees = scratch.stored(dealt.groupBy("region", "part").applyInArrow(build, "region int, part int, tree binary, box array<struct<low: bigint, high: bigint>>"), "trees")
+    trees = scratch.stored(dealt.groupBy("region", "part").applyInArrow(build, "region int, part int, path string, box array<struct<low: bigint, high: bigint>>"), "trees")
     boxes = trees.select("region", F.posexplode("box").alias("i", "x")).groupBy("region", "i").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
     low, high = np.full((regions.count, dim), np.inf), np.full((regions.count, dim), -np.inf)
     for r in boxes.collect():  # MOST rows for each dimension
         low[r.region, r.i], high[r.region, r.i] = r.low, r.high
     full = np.isfinite(low).all(1) if dim else np.zeros(0, bool)
+    odd = [ODD] if ODD in sizes else []
 
     def route(first: bool):
         """Regions that a query is held against: the one with the greatest bound at first, then all others that can reach its floor."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                goes: list[list[int]] = [[] if first else [ODD] for _ in range(len(batch))]
+                goes: list[list[int]] = [[] if first else odd for _ in range(len(batch))]
                 floors = np.asarray(batch.column("floor").fill_null(-LONG)).astype(float)
                 for rows, points in _narrow(batch, dim).values() if full.any() else ():
                     q = points.astype(float)
@@ -321,9 +334,9 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: int = 25
 
     best = Window.partitionBy("query_id").orderBy(F.desc("zone"), F.desc("score"), F.desc("far"), "vec_id")
     rank = lambda found: found.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}")
-    one = scratch.stored(rank(_searched(trees, asked(queries.withColumn("floor", F.lit(None).cast("long")), True), blocks, k, scale)), "first")
+    one = scratch.stored(rank(_searched(trees, asked(queries.withColumn("floor", F.lit(None).cast("long")), True), k, scale)), "first")
     floors = one.where(f"rank = {k} and zone = 0").select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
-    two = _searched(trees, asked(queries.join(floors, "vec_id", "left"), False), blocks, k, scale)
+    two = _searched(trees, asked(queries.join(floors, "vec_id", "left"), False), k, scale)
     return rank(one.drop("rank").unionByName(two)).select("query_id", "rank", "vec_id", "score")
 
 
