@@ -98,8 +98,8 @@ def starts(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-def read(manifest: DataFrame, end_id: int) -> DataFrame:
-    """A row per document, decoded from the files: doc_id, start, n_tokens, ids_crc32.
+def read(manifest: DataFrame, end_id: int, tasks: int = 12) -> DataFrame:
+    """A row per document, decoded from the files by that many tasks or more: doc_id, start, n_tokens, ids_crc32.
 
     Each document must end where the file's tokens have an end id, as an occurrence lookup gives; else the file is damaged.
     """
@@ -118,10 +118,11 @@ def read(manifest: DataFrame, end_id: int) -> DataFrame:
                 })
 
     spark = manifest.sparkSession
-    return starts(manifest).repartition(max(scratch.partitions(spark), 12), F.xxhash64("path")).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return starts(manifest).repartition(max(scratch.partitions(spark), tasks), F.xxhash64("path")).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = scratch.table(spark, sf_dir, "documents")
-    manifest = write(docs, public("byte_bpe_50k.json"), 2, scratch.folder(spark, "token-files"), scratch.partitions(spark))
-    return read(manifest, 2)
+    docs = scratch.table(spark, sf_dir, "documents").select("doc_id", "text")
+    shards = scratch.ranges(docs)
+    manifest = write(docs, public("byte_bpe_50k.json"), 2, scratch.folder(spark, "token-files"), shards)
+    return read(manifest, 2, max(shards, 12))

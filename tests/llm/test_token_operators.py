@@ -138,3 +138,12 @@ def test_plan_tries_every_exact_fill():
         for length in pattern:
             used[length] += times
     assert (used == counts).all() and sum(t for _, t in patterns) <= 161 and sum(t for p, t in patterns if sum(p) == 1024) >= 112
+
+
+def test_ranges_grow_with_the_table(spark, docs, corpus, monkeypatch):
+    from crashlens.llm import scratch
+
+    table = scratch.stored(docs(corpus(3, 40)).select("doc_id", "text"), "documents")
+    assert scratch.ranges(table) == scratch.partitions(spark)
+    monkeypatch.setattr(scratch, "RANGE", 100)
+    assert scratch.ranges(table) > scratch.partitions(spark)
