@@ -64,7 +64,7 @@ RANGE = 1 << 27
 
 def ranges(df: DataFrame) -> int:
     """Ranges to deal a frame's rows to: as many as the session's shuffle partitions, and more where the frame is too big for those."""
-    return max(partitions(df.sparkSession), int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) // RANGE)
+    return max(partitions(df.sparkSession), int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // RANGE)
 
 
 #: Rows of an Arrow batch where the session has Spark's default: texts are long, and workers hold a few batches each.
