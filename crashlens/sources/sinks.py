@@ -139,10 +139,10 @@ def changed(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Dat
 
 
 def dispatch_bits(bugs: DataFrame, order: list, gated: str, by: tuple[str, ...] = (), blocks: int | None = None) -> DataFrame:
-    """bit, dispatch_mask and dispatch_value for each bug (WIN-10). by: the project, if there are several.
+    """bit, dispatch_mask, its width mask_bytes, and dispatch_value for each bug (WIN-10). by: the project, if there are several.
 
     dispatch_mask is the bit as bytes, least first, as many as a project's bits need; without a gate the bit is null and the mask
-    empty of bits. dispatch_value is the mask as a number, for the first 63 bits; null for a bit beyond. Without a project, and where
+    empty of bits. Masks of n bugs are n * n / 8 bytes: who needs only their width takes mask_bytes, and they aren't made. dispatch_value is the mask as a number, for the first 63 bits; null for a bit beyond. Without a project, and where
     `blocks` is given, bugs are numbered by ranges of the order in that many tasks; order must then tell all bugs apart.
     """
     out = bugs.withColumn("_gated", F.coalesce(F.expr(gated), F.lit(False)))
@@ -151,11 +151,14 @@ def dispatch_bits(bugs: DataFrame, order: list, gated: str, by: tuple[str, ...]
         out = blocked.running(rows, list(by), "_one", "_n").withColumn("bit", F.when(F.col("_gated"), (F.col("_n") - 1).cast("int")))
         counts = rows.groupBy("_block", *by).agg(F.sum("_one").alias("_here")).select("_block", *by, F.sum("_here").over(Window.partitionBy(*by)).alias("_bits"))
         out = blocked.joined(out, counts, list(by)).drop("_at", "_block", "_one", "_n")
+        # masks are far wider than the rows they are made of
+        out = out.repartition(blocks or int(bugs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
     else:
         out = out.withColumn("bit", F.when(F.col("_gated"), F.row_number().over(Window.partitionBy(*by, "_gated").orderBy(*order)) - 1))
         out = out.withColumn("_bits", F.count("bit").over(Window.partitionBy(*by)))
     out = out.withColumn("dispatch_value", F.when(~F.col("_gated"), F.lit(0).cast("long")).when(F.col("bit") <= 62, F.expr("shiftleft(1L, bit)")))
-    return out.withColumn("dispatch_mask", bits.mask(F.col("bit"), bits.byte_width(F.col("_bits")))).drop("_gated", "_bits")
+    out = out.withColumn("mask_bytes", bits.byte_width(F.col("_bits")).cast("int"))
+    return out.withColumn("dispatch_mask", bits.mask(F.col("bit"), F.col("mask_bytes"))).drop("_gated", "_bits")
 
 
 def dispatch_state(numbered: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

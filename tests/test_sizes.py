@@ -31,3 +31,10 @@ def test_grams_are_not_broadcast(spark):
     out = readers.build_commits(builds, wanted)
     assert {tuple(r) for r in out.collect()} == {("p", "bcde", "x", True), ("p", "none", "y", False)}
     assert plan(out).count("BroadcastHashJoin") <= 1  # each project's last row
+
+
+def test_width_makes_no_masks(spark):
+    out = catalogue.QUERIES["dispatch_bits_whole_table"](spark, SF)
+    assert "unhex" not in plan(out)
+    rows = sinks.dispatch_bits(spark.range(20), ["id"], "id < 17").collect()
+    assert all(r.mask_bytes == len(r.dispatch_mask) == 3 for r in rows)
