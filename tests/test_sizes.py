@@ -33,6 +33,16 @@ def test_grams_are_not_broadcast(spark):
     assert plan(out).count("BroadcastHashJoin") <= 1  # each project's last row
 
 
+def test_wide_masks(spark):
+    width = 20000
+    df = spark.createDataFrame([(b,) for b in (0, 7, 70, 8 * width - 1, None)], "bit int").select("bit", bits.mask(F.col("bit"), F.lit(width)).alias("m"))
+    rows, seconds = took(df.select("bit", bits.lone_bit(F.col("m")).alias("lone"), bits.places(F.col("m")).alias("places")))
+    assert all(r.lone == r.bit and r.places == ([] if r.bit is None else [r.bit]) for r in rows) and len(rows) == 5
+    assert seconds < 30
+    both = spark.createDataFrame([(bytes([3]),), (b"",), (bytes([0, 128]),), (None,)], "m binary").select(bits.lone_bit(F.col("m")).alias("x"))
+    assert [r.x for r in both.collect()] == [None, None, 15, None]
+
+
 def test_width_makes_no_masks(spark):
     out = catalogue.QUERIES["dispatch_bits_whole_table"](spark, SF)
     assert "unhex" not in plan(out)
