@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from crashlens.functions import bits
+
 # Formats of usage summaries, issue pages and diffs.
 NUMBER = r"\d[\d\s,]*"
 USAGE = (
@@ -157,28 +159,47 @@ def key_values(block: Column) -> Column:
     """Map of a report's key lines; the last of equal keys counts (SCL-24)."""
     pairs = F.filter(F.transform(F.split(block, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(KEY_VALUE))
     parsed = F.transform(pairs, lambda x: F.struct(F.trim(F.regexp_extract(x, KEY_VALUE, 1)).alias("k"), F.trim(F.regexp_extract(x, KEY_VALUE, 2)).alias("v")))
-    keys = F.array_distinct(F.transform(parsed, lambda x: x["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(parsed, lambda x: x["k"] == k), -1)["v"]))
+
+    def last(rows: Column) -> Column:
+        keys = F.array_distinct(F.transform(rows, lambda x: x["k"]))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(rows, lambda x: x["k"] == k), -1)["v"]))
+
+    return bits.once(parsed, last)
 
 
 def report_block(block: Column) -> Column:
     """A report's key lines, crash state and other lines, as struct (fields, crash_state, extra) (SCL-24).
 
     The lines after `Crash State:` that are no key lines are its frames, null if there are none; the first blank line after it
-    ends the block. extra holds the lines before it that are no key lines.
+    ends the block. extra holds the lines before it that are no key lines. Each step's lines are computed once a row.
     """
     lines = F.transform(F.split(F.coalesce(block, F.lit("")), r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    head = lines_until = F.array_position(F.transform(lines, lambda x: x.rlike(r"^Crash State:")), F.lit(True)).cast("int")
-    end = F.array_position(F.transform(lines, lambda x, i: (x == "") & (i >= head) & (head > 0)), F.lit(True)).cast("int")
-    lines = F.when(end > 0, F.slice(lines, F.lit(1), F.greatest(end - 1, F.lit(0)))).otherwise(lines)
-    lines = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"), x.rlike(KEY_VALUE).alias("k")))
-    # a second heading starts the frames anew
-    last = F.coalesce(F.array_max(F.transform(F.filter(lines, lambda x: x["x"].rlike(r"^Crash State:")), lambda x: x["i"])), F.lit(-1))
-    other = F.filter(lines, lambda x: (x["x"] != "") & ~x["k"])
-    state = F.transform(F.filter(other, lambda x: (last >= 0) & (x["i"] > last)), lambda x: x["x"])
-    extra = F.transform(F.filter(other, lambda x: (lines_until <= 0) | (x["i"] < lines_until)), lambda x: x["x"])
-    fields = key_values(F.array_join(F.transform(F.filter(lines, lambda x: x["k"] & ~x["x"].rlike(r"^Crash State:")), lambda x: x["x"]), "\n"))
-    return F.struct(fields.alias("fields"), F.when(F.size(state) > 0, state).alias("crash_state"), F.nullif(F.array_join(extra, "\n"), F.lit("")).alias("extra"))
+    lines = F.transform(lines, lambda x: F.struct(x.alias("x"), x.rlike(r"^Crash State:").alias("h"), x.rlike(KEY_VALUE).alias("k")))
+
+    def kept(lines: Column) -> Column:
+        """The lines up to the end of the block, and the place of the first heading, from 1."""
+        head = F.array_position(F.transform(lines, lambda x: x["h"]), F.lit(True)).cast("int")
+        return bits.once(F.struct(lines.alias("lines"), head.alias("head")), ended)
+
+    def ended(s: Column) -> Column:
+        end = F.array_position(F.transform(s["lines"], lambda x, i: (x["x"] == "") & (i >= s["head"]) & (s["head"] > 0)), F.lit(True)).cast("int")
+        lines = F.when(end > 0, F.slice(s["lines"], F.lit(1), F.greatest(end - 1, F.lit(0)))).otherwise(s["lines"])
+        lines = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x["x"].alias("x"), x["h"].alias("h"), x["k"].alias("k")))
+        return bits.once(F.struct(lines.alias("lines"), s["head"].alias("head")), headed)
+
+    def headed(s: Column) -> Column:
+        # a second heading starts the frames anew
+        last = F.coalesce(F.array_max(F.transform(F.filter(s["lines"], lambda x: x["h"]), lambda x: x["i"])), F.lit(-1))
+        other = F.filter(s["lines"], lambda x: (x["x"] != "") & ~x["k"])
+        return bits.once(F.struct(s["lines"].alias("lines"), s["head"].alias("head"), last.alias("last"), other.alias("other")), parts)
+
+    def parts(s: Column) -> Column:
+        state = F.transform(F.filter(s["other"], lambda x: (s["last"] >= 0) & (x["i"] > s["last"])), lambda x: x["x"])
+        extra = F.transform(F.filter(s["other"], lambda x: (s["head"] <= 0) | (x["i"] < s["head"])), lambda x: x["x"])
+        fields = key_values(F.array_join(F.transform(F.filter(s["lines"], lambda x: x["k"] & ~x["h"]), lambda x: x["x"]), "\n"))
+        return F.struct(fields.alias("fields"), F.when(F.size(state) > 0, state).alias("crash_state"), F.nullif(F.array_join(extra, "\n"), F.lit("")).alias("extra"))
+
+    return bits.once(lines, kept)
 
 
 def json_pick(json: Column | str, paths: list[str], default: str) -> Column:

@@ -220,7 +220,8 @@ add(
 )
 add(
     "report_blocks",
-    lambda s, d: table(s, d, "part").select("p_partkey", text.report_block(F.concat(F.lit("Detailed Report: https://x/"), "p_partkey", F.expr("if(p_partkey % 2 = 0, '\nnote one', '')"), F.lit("\nJob Type: asan_"), "p_size", F.expr("if(p_size % 3 > 0, concat('\n\nCrash State:\n  fn_', p_size, '\nKey: v\n  main'), '')"), F.lit("\n\nafter: all"))).alias("r")).select(
+    # a table of few files is dealt out before its reports are parsed
+    lambda s, d: table(s, d, "part").repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "p_partkey").select("p_partkey", text.report_block(F.concat(F.lit("Detailed Report: https://x/"), "p_partkey", F.expr("if(p_partkey % 2 = 0, '\nnote one', '')"), F.lit("\nJob Type: asan_"), "p_size", F.expr("if(p_size % 3 > 0, concat('\n\nCrash State:\n  fn_', p_size, '\nKey: v\n  main'), '')"), F.lit("\n\nafter: all"))).alias("r")).select(
         "p_partkey", F.array_join("r.crash_state", "|").alias("state"), F.col("r.extra").alias("extra"), F.col("r.fields")["Job Type"].alias("job"), F.size("r.fields").cast("long").alias("n")),
     """SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN 'fn_' || CAST(p_size AS VARCHAR) || '|main' END AS state, CASE WHEN p_partkey % 2 = 0 THEN 'note one' END AS extra, 'asan_' || CAST(p_size AS VARCHAR) AS job, CAST(3 AS BIGINT) AS n FROM part""",
 )

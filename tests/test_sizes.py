@@ -33,6 +33,14 @@ def test_grams_are_not_broadcast(spark):
     assert plan(out).count("BroadcastHashJoin") <= 1  # each project's last row
 
 
+def test_report_block_computes_lines_once(spark):
+    body = "\n".join(f"Key{i}: {i}\nfree {i}" for i in range(60)) + "\nCrash State:\n" + "\n".join(f" f{i}" for i in range(60))
+    df = spark.range(400, numPartitions=1).select(text.report_block(F.concat(F.lit(body), F.lit("\n\nend "), "id")).alias("r"))
+    rows, seconds = took(df)
+    assert all(len(r.r.fields) == 60 and r.r.crash_state == [f"f{i}" for i in range(60)] and r.r.extra.count("\n") == 59 for r in rows)
+    assert seconds < 30
+
+
 def test_wide_masks(spark):
     width = 20000
     df = spark.createDataFrame([(b,) for b in (0, 7, 70, 8 * width - 1, None)], "bit int").select("bit", bits.mask(F.col("bit"), F.lit(width)).alias("m"))
