@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crashlens.operators import blocks as blocked
+from crashlens.sources import shared
 
 
 def _merged(probes: DataFrame, times: DataFrame, at: str, by: list[str], value: str) -> DataFrame:
@@ -88,6 +89,15 @@ def affix_pairs(left: DataFrame, right: DataFrame, a: str, b: str, ends: bool =
     An index by length: each text gives a key for every length that the other side has and that isn't over its own, so both
     directions are equi-joins. Lengths are a bounded dimension, of ids and paths; their distinct values go through the driver.
     """
+    longer, shorter = _affixes(left, right, a, b, ends)
+    return longer.unionByName(shorter)
+
+
+def _affixes(left: DataFrame, right: DataFrame, a: str, b: str, ends: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b) of which b is a prefix of a, and those of which a is one of a longer b.
+
+    Spark takes rows that are exploded for no larger than their source, so they are merged and never broadcast.
+    """
     x, y = left.select(a).where(F.col(a).isNotNull()).distinct(), right.select(b).where(F.col(b).isNotNull()).distinct()
     cut = F.right if ends else F.left
 
@@ -96,14 +106,35 @@ def affix_pairs(left: DataFrame, right: DataFrame, a: str, b: str, ends: bool =
         some = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= upto)
         return df.select(own, F.explode(F.transform(some, lambda n: cut(F.col(own), n))).alias(name))
 
-    longer = index(x, a, y, b, F.char_length(a)).join(y, b)
-    shorter = index(y, b, x, a, F.char_length(b) - 1).join(x, a)
-    return longer.select(a, b).unionByName(shorter.select(a, b))
+    longer = index(x, a, y, b, F.char_length(a)).hint("merge").join(y, b)
+    shorter = index(y, b, x, a, F.char_length(b) - 1).hint("merge").join(x, a)
+    return longer.select(a, b), shorter.select(a, b)
 
 
-def prefixes(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows of both sides whose ids a and b are such that either is a prefix of the other, of any lengths (JOI-15)."""
-    return left.join(affix_pairs(left, right, a, b), a).join(right, b)
+#: Pairs of rows that a task makes of one short id at most, about; beyond it the id's rows are dealt to several tasks.
+PAIRS = 4_000_000
+
+
+def prefixes(left: DataFrame, right: DataFrame, a: str, b: str, pairs: int = PAIRS) -> DataFrame:
+    """Rows of both sides whose ids a and b are such that either is a prefix of the other, of any lengths (JOI-15).
+
+    Rows with the longer id find their prefixes first, some per row; all pairs are made in the last join, by the shorter id. There
+    the longer rows of an id with many pairs are dealt to parts, each of which has all its shorter rows. Nothing is broadcast.
+    """
+    columns = [a, *(c for c in left.columns if c != a), *(c for c in right.columns if c != a)]
+
+    def paired(long: DataFrame, short: DataFrame, met: DataFrame, own: str, other: str) -> DataFrame:
+        found = shared.stored(long.hint("merge").join(met, own).withColumn("_at", F.monotonically_increasing_id()), "prefixes")
+        counts = found.groupBy(other).agg(F.count(F.lit(1)).alias("_n")).hint("merge").join(short.groupBy(other).agg(F.count(F.lit(1)).alias("_m")), other)
+        hot = counts.where(F.col("_n") * F.col("_m") > pairs).select(other, F.ceil(F.col("_n") * F.col("_m") / pairs).cast("int").alias("_parts"))
+        hot = shared.stored(hot, "hot")
+        n = F.coalesce("_parts", F.lit(1))
+        one = found.join(hot, other, "left").withColumn("_part", F.pmod("_at", n).cast("int")).drop("_parts")
+        all_ = short.join(hot, other, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
+        return one.hint("merge").join(all_, [other, "_part"]).select(*columns)
+
+    longer, shorter = _affixes(left, right, a, b)
+    return paired(left, right, longer, a, b).unionByName(paired(right, left, shorter, b, a))
 
 
 def first_projects(files: DataFrame, projects: DataFrame) -> DataFrame:

@@ -33,6 +33,18 @@ def test_grams_are_not_broadcast(spark):
     assert plan(out).count("BroadcastHashJoin") <= 1  # each project's last row
 
 
+def test_prefixes_are_not_broadcast(spark):
+    rng = random.Random(3)
+    ids = lambda n: ["".join(rng.choice("ab") for _ in range(rng.choice((1, 2, 3, 9)))) for _ in range(n)]
+    x, y = ids(80), ids(90)
+    left, right = spark.createDataFrame(list(enumerate(x)), "i int, a string"), spark.createDataFrame(list(enumerate(y)), "j int, b string")
+    wanted = sorted((i, j) for i, p in enumerate(x) for j, q in enumerate(y) if p.startswith(q) or q.startswith(p))
+    for pairs in (lookup.PAIRS, 50):
+        out = lookup.prefixes(left, right, "a", "b", pairs)
+        assert sorted((r.i, r.j) for r in out.collect()) == wanted and out.columns == ["a", "i", "j", "b"]
+        assert plan(lookup.affix_pairs(left, right, "a", "b")).count("BroadcastHashJoin") == 0
+
+
 def test_report_block_computes_lines_once(spark):
     body = "\n".join(f"Key{i}: {i}\nfree {i}" for i in range(60)) + "\nCrash State:\n" + "\n".join(f" f{i}" for i in range(60))
     df = spark.range(400, numPartitions=1).select(text.report_block(F.concat(F.lit(body), F.lit("\n\nend "), "id")).alias("r"))
