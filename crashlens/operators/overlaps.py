@@ -54,7 +54,8 @@ def pair_overlaps(items: DataFrame, key: str, value: str, by: tuple[str, ...] =
 def degrees(items: DataFrame, key: str, value: str, by: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
     """How many others each key shares a value with; keys that share none have no row. No pair of a hot value is made.
 
-    Keys are numbered. A hot value has a bitmap for each 32,768 numbers; a class takes them together by or and counts.
+    Keys are numbered. A hot value has a bitmap for each 32,768 numbers; a class takes them together by or and counts. The other
+    values' keys come as a list for each class, so a key is sent lists, of `hot` keys at most a value, and no pair of keys is a row.
     """
     by = list(by)
     light, masks = _split(items, key, value, by, hot)
@@ -63,11 +64,13 @@ def degrees(items: DataFrame, key: str, value: str, by: tuple[str, ...] = (), ho
     bitmaps = numbered.groupBy(*by, "_v", "_bucket").agg(F.bitmap_construct_agg("_place").alias("_bits"))
     met = _classes(masks, by).join(bitmaps, [*by, "_v"]).groupBy(*by, "_mask", "_bucket").agg(F.bitmap_count(F.bitmap_or_agg("_bits")).alias("_n"))
     met = masks.join(met.groupBy(*by, "_mask").agg((F.sum("_n") - 1).alias("degree")), [*by, "_mask"]).select(*by, key, "degree")
-    pairs = _light_pairs(light, key, value, by)
-    for c in ("a", "b"):
-        pairs = pairs.join(masks.select(*by, F.col(key).alias(c), F.col("_mask").alias(f"_{c}")), [*by, c], "left")
-    # pairs that share a hot value too are in the bitmaps
-    rest = pairs.where(~F.coalesce(F.arrays_overlap("_a", "_b"), F.lit(False))).select(*by, F.explode(F.array("a", "b")).alias(key)).groupBy(*by, key).agg(F.count(F.lit(1)).alias("degree"))
+    # keys that share a hot value too are in the bitmaps, so a class takes the holders of its other values only from classes that share none
+    held = light.join(masks, [*by, key], "left")
+    holders = held.groupBy(*by, value, F.col("_mask").alias("_theirs")).agg(F.collect_list(key).alias("_keys"))
+    others = held.join(holders, [*by, value]).where(~F.coalesce(F.arrays_overlap("_mask", "_theirs"), F.lit(False))).select(*by, key, "_keys")
+    others = others.where(F.size("_keys") > F.array_contains("_keys", F.col(key)).cast("int"))
+    rest = others.groupBy(*by, key).agg(F.array_distinct(F.flatten(F.collect_list("_keys"))).alias("_keys"))
+    rest = rest.select(*by, key, (F.size("_keys") - F.array_contains("_keys", F.col(key)).cast("int")).cast("long").alias("degree"))
     return met.unionByName(rest).groupBy(*by, key).agg(F.sum("degree").alias("degree")).where("degree > 0")
 
 

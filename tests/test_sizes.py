@@ -84,6 +84,20 @@ def test_width_makes_no_masks(spark):
     assert all(r.mask_bytes == len(r.dispatch_mask) == 3 for r in rows)
 
 
+def test_degrees_make_no_pairs(spark):
+    rng = random.Random(2)
+    items = [(k, v) for k in range(300) for v in {rng.choice(("hot", "warm")) if k % 3 else "", f"v{rng.randrange(60)}", f"v{rng.randrange(60)}"} if v]
+    frame = spark.createDataFrame(items, "k int, v string")
+    sets = {}
+    for k, v in items:
+        sets.setdefault(k, set()).add(v)
+    wanted = {k: n for k in sets if (n := sum(1 for o in sets if o != k and sets[o] & sets[k]))}
+    for hot in (5, 50, 1000):
+        out = overlaps.degrees(frame, "k", "v", hot=hot)
+        assert {r.k: r.degree for r in out.collect()} == wanted
+        assert "shared" not in plan(out)
+
+
 def test_inventory_has_all_trials(spark):
     users = spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct().count()
     assert sum(r.n for r in catalogue.QUERIES["trial_inventory"](spark, SF).collect()) == users
