@@ -7,7 +7,9 @@ its bitmap and not the square of its keys. Rows with a null in the project, key
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crashlens.operators import blocks as blocked
@@ -17,9 +19,13 @@ from crashlens.sources import shared
 HOT = 256
 
 
-def _split(items: DataFrame, key: str, value: str, by: list[str], hot: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct items of values that aren't hot, and each key's hot values, sorted, as _mask; keys without one have no row."""
-    one = shared.stored(items.select(*by, key, value).dropna().distinct(), "sets")
+def _sets(items: DataFrame, key: str, value: str, by: list[str]) -> DataFrame:
+    """Distinct items without a null."""
+    return shared.stored(items.select(*by, key, value).dropna().distinct(), "sets")
+
+
+def _split(one: DataFrame, key: str, value: str, by: list[str], hot: int) -> tuple[DataFrame, DataFrame]:
+    """Items of _sets() of values that aren't hot, and each key's hot values, sorted, as _mask; keys without one have no row."""
     often = one.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select(*by, value)
     masks = one.join(often, [*by, value], "left_semi").groupBy(*by, key).agg(F.array_sort(F.collect_set(value)).alias("_mask"))
     return one.join(often, [*by, value], "left_anti"), shared.stored(masks, "masks")
@@ -41,7 +47,7 @@ def pair_overlaps(items: DataFrame, key: str, value: str, by: tuple[str, ...] =
     All pairs are listed, so there are as many rows as pairs. Those of hot values are made once a pair of classes and not once a value.
     """
     by = list(by)
-    light, masks = _split(items, key, value, by, hot)
+    light, masks = _split(_sets(items, key, value, by), key, value, by, hot)
     held = _classes(masks, by)
     a, b = held.withColumnRenamed("_mask", "_a"), held.withColumnRenamed("_mask", "_b")
     met = a.join(b, [*by, "_v"]).where("_a <= _b").groupBy(*by, "_a", "_b").agg(F.count(F.lit(1)).alias("shared"))
@@ -57,8 +63,12 @@ def degrees(items: DataFrame, key: str, value: str, by: tuple[str, ...] = (), ho
     Keys are numbered. A hot value has a bitmap for each 32,768 numbers; a class takes them together by or and counts. The other
     values' keys come as a list for each class, so a key is sent lists, of `hot` keys at most a value, and no pair of keys is a row.
     """
-    by = list(by)
-    light, masks = _split(items, key, value, by, hot)
+    return _degrees(_sets(items, key, value, list(by)), key, value, list(by), hot)
+
+
+def _degrees(one: DataFrame, key: str, value: str, by: list[str], hot: int) -> DataFrame:
+    """degrees() of items of _sets()."""
+    light, masks = _split(one, key, value, by, hot)
     at = F.col("_at")
     numbered = blocked.dealt(masks, [*by, key]).select(*by, F.explode("_mask").alias("_v"), F.bitmap_bucket_number(at).alias("_bucket"), F.bitmap_bit_position(at).alias("_place"))
     bitmaps = numbered.groupBy(*by, "_v", "_bucket").agg(F.bitmap_construct_agg("_place").alias("_bits"))
@@ -77,11 +87,13 @@ def degrees(items: DataFrame, key: str, value: str, by: tuple[str, ...] = (), ho
 def merge_order(items: DataFrame, key: str, value: str, by: tuple[str, ...] = (), blocks: int | None = None, hot: int = HOT) -> DataFrame:
     """A project's keys in the order of merging (WIN-11): by how many others they overlap, then by size, then by key; rank from 1.
 
-    by: the project. Without one, and where `blocks` is given, keys are ranked by ranges of the order in that many tasks.
+    Sizes and degrees come from the same distinct items, which are made once. by: the project. Without one, and where `blocks` is given, keys are ranked by ranges of the order in that many tasks.
     """
     by = list(by)
-    sizes = items.select(*by, key, value).distinct().groupBy(*by, key).agg(F.count(value).alias("n"))
-    out = sizes.join(degrees(items, key, value, tuple(by), hot), [*by, key], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    one = _sets(items, key, value, by)
+    nulls = items.select(*by, key, value).where(reduce(Column.__or__, (F.col(c).isNull() for c in (*by, key, value)))).distinct()
+    sizes = one.unionByName(nulls).groupBy(*by, key).agg(F.count(value).alias("n"))
+    out = sizes.join(_degrees(one, key, value, by, hot), [*by, key], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     if blocks or not by:
         rows = blocked.dealt(out.withColumn("_one", F.lit(1)), [*by, "degree", "n", key], blocks)
         return blocked.running(rows, by, "_one", "rank").drop("_one", "_at", "_block")
@@ -93,7 +105,7 @@ def overlapping(items: DataFrame, applied: DataFrame, key: str, value: str, hot:
 
     A hot value's applied keys are listed once for each class.
     """
-    light, masks = _split(items, key, value, [], hot)
+    light, masks = _split(_sets(items, key, value, []), key, value, [], hot)
     chosen = applied.select(key).distinct()
     held = light.join(chosen, key, "left_semi").groupBy(value).agg(F.collect_set(key).alias("_with"))
     few = light.join(held, value).select(key, F.explode("_with").alias("_w")).groupBy(key).agg(F.collect_set("_w").alias("_few"))

@@ -101,3 +101,15 @@ def test_degrees_make_no_pairs(spark):
 def test_inventory_has_all_trials(spark):
     users = spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct().count()
     assert sum(r.n for r in catalogue.QUERIES["trial_inventory"](spark, SF).collect()) == users
+
+
+def test_merge_order_makes_its_sets_once(spark, monkeypatch):
+    made = []
+    stored = overlaps.shared.stored
+    monkeypatch.setattr(overlaps.shared, "stored", lambda df, name: made.append(name) or stored(df, name))
+    items = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("b", None), ("c", None), (None, 4), ("d", 5)], "k string, v int")
+    out = overlaps.merge_order(items, "k", "v")
+    assert {r.k: (r.n, r.degree) for r in out.collect()} == {"a": (1, 1), "b": (1, 1), "c": (0, 0), "d": (1, 0), None: (1, 0)}
+    assert sorted(r["rank"] for r in out.collect()) == [1, 2, 3, 4, 5] and made.count("sets") == 1
+    # the sizes' key, and the distinct rows with a null, are all that the table itself is still shuffled for
+    assert overlaps._sets(items, "k", "v", []).count() == 3
