@@ -6,7 +6,8 @@ n - ceil(t n) + 2 of either. A rare token is indexed alone; tokens that many pre
 one node only take up places of a prefix and are never sent on, and a node whose prefix has no others can't link.
 
 Before lists are searched for pairs, each list's members are held against one pivot, and what that links is joined. Lists
-of the same members count once, however many tokens two nodes share. Pairs are then made only between different components, and
+of the same members count once. In a list a node meets the larger components as wholes, a row each: bounds over a component's members
+say whether one may link. Only then, once for a node and a component however many tokens they share, pairs with the members are made, and
 only where sizes and a 256-bit parity of the tokens leave room. They are verified on hashes of shingles, and what passes on
 the shingles' words.
 """
@@ -292,7 +293,7 @@ def _indexed(docs: DataFrame, rows: DataFrame, k: int, percent: int, twice: np.n
 
 
 SIGNS = ("s0", "s1", "s2", "s3")
-ENTRY = ("node", "n", "alone", *SIGNS, "component")
+ENTRY = ("node", "n", "alone", *SIGNS, "component", "members")
 
 
 def _fits(percent: int) -> str:
@@ -301,6 +302,12 @@ def _fits(percent: int) -> str:
     return f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) and (100 + {percent}) * (a_n + b_n - ({apart})) >= {2 * percent} * (a_n + b_n)"
 
 
+def _may_fit(percent: int) -> str:
+    """SQL: _fits() for a node b and any member of a part of a component, of which least and most values and bits are known; for one member the same."""
+    apart = "a_alone + b_alone + " + " + ".join(f"bit_count(b_{x} & ~a_or_{x}) + bit_count(a_and_{x} & ~b_{x})" for x in SIGNS)
+    return f"100 * a_most >= {percent} * b_n and 100 * b_n >= {percent} * a_least and (100 + {percent}) * ({apart}) <= (100 - {percent}) * (a_most + b_n)"
+
+
 def _side(x: str, names: tuple[str, ...], of: str = "") -> list:
     return [F.col(f"{of}{c}").alias(f"{x}_{c}") for c in names]
 
@@ -313,17 +320,21 @@ def _lists(entries: DataFrame) -> DataFrame:
 
 
 def _pairs(index: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that share two tokens of their prefixes and have room for a link."""
+    """Pairs (a < b) of nodes of different components that have room for a link, once each: one shares two tokens of its prefix with the other or its component."""
     rare = _lists(index).where(f"size <= {RARE}")
     often = index.join(index.groupBy("token").count().where(f"count > {RARE}").select("token"), "token", "left_semi")
     often = often.groupBy(*ENTRY).agg(F.array_sort(F.collect_list("token")).alias("t"))
     often = often.select(*ENTRY, F.explode(F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> xxhash64(x, y))))")).alias("token"))
 
     def meet(entries: DataFrame) -> DataFrame:
-        a, b = (entries.select("token", F.col("node").alias(x), *_side(x, ENTRY[1:])) for x in "ab")
-        return a.join(b, "token").where(f"a < b and a_component <> b_component and {_fits(percent)}").select("a", "b").distinct()
+        bits = (F.expr(f"bit_{f}({x}) as a_{f}_{x}") for x in SIGNS for f in ("and", "or"))
+        parts = entries.groupBy("token", F.col("component").alias("a_component")).agg(F.max("members").alias("a_members"), F.min("n").alias("a_least"), F.max("n").alias("a_most"), F.min("alone").alias("a_alone"), *bits)
+        b = entries.select("token", *_side("b", ENTRY))
+        return b.join(parts, "token").where(f"(b_members, b_component) < (a_members, a_component) and {_may_fit(percent)}").select(*(f"b_{c}" for c in ENTRY[:-2]), "a_component").distinct()
 
-    return meet(rare).unionByName(meet(_lists(often))).distinct()
+    met = meet(rare).unionByName(meet(_lists(often))).distinct()
+    members = index.select(*_side("a", ENTRY[:-1])).distinct()
+    return met.join(members, "a_component").where(_fits(percent)).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
 
 
 def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -335,7 +346,7 @@ def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     twice = _twice(rows)
     rows = _named(rows, twice)
     names, held, prefix = _indexed(docs, rows, k, percent, twice)
-    found = scratch.stored(_verified(_pairs(prefix.withColumn("component", F.col("node")), percent), held, percent), "links")
+    found = scratch.stored(_verified(_pairs(prefix.withColumn("component", F.col("node")).withColumn("members", F.lit(1)), percent), held, percent), "links")
     links = _confirmed(found, names.select("node", "least", "row"), docs, k, percent)
     a, b = (names.select(F.col("node").alias(x), F.col("least").alias(f"{x}_id")) for x in "ab")
     return links.join(a, "a").join(b, "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
@@ -356,7 +367,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     links = scratch.stored(_verified(stars.where(f"a <> b and {_fits(percent)}").select("a", "b").distinct(), held, percent), "stars")
     while True:  # once, unless hashes of different shingles are equal
         joined = components(links)
-        index = scratch.stored(prefix.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")).select("token", *ENTRY), "index")
+        known = joined.join(joined.groupBy("component").agg(F.count(F.lit(1)).cast("int").alias("members")), "component")
+        index = scratch.stored(prefix.join(known, "node", "left").withColumns({"component": F.coalesce("component", "node"), "members": F.coalesce("members", F.lit(1))}).select("token", *ENTRY), "index")
         found = scratch.stored(links.unionByName(_verified(_pairs(index, percent), held, percent)).distinct(), "found")
         scratch.forget(index)
         links = _confirmed(found, names.select("node", "least", "row"), docs, k, percent)

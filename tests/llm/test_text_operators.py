@@ -1,5 +1,7 @@
 """Operators 1, 2, 4 and 6 against their plain versions."""
 
+import itertools
+
 import brute
 import pytest
 
@@ -85,6 +87,38 @@ def test_jaccard_of_repeated_ids(docs, corpus):
     assert got == {(5, 5), (9, 5), (7, 5), (8, 8)}
 
 
+def joined_rows(plan, of):
+    """Rows made by a plan's joins that name a column, after it ran."""
+    if "AdaptiveSparkPlan" in plan.nodeName():
+        return joined_rows(plan.executedPlan(), of)
+    if "QueryStage" in plan.nodeName():
+        return joined_rows(plan.plan(), of)
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() and of in plan.simpleString(100) else 0
+    return own + sum(joined_rows(plan.children().apply(i), of) for i in range(plan.children().size()))
+
+
+@pytest.mark.parametrize("rare", [32, 1])
+def test_jaccard_meets_components_as_wholes(docs, monkeypatch, rare):
+    """Documents just too far from a group meet it once a shared token, not once a token and member."""
+    monkeypatch.setattr(jaccard, "RARE", rare)
+    verified, seen = jaccard._verified, []
+
+    def spied(pairs, held, percent):
+        rows = pairs.collect()
+        seen.append((len(rows), joined_rows(pairs._jdf.queryExecution().executedPlan(), "_component")))
+        return verified(pairs, held, percent)
+
+    monkeypatch.setattr(jaccard, "_verified", spied)
+    base = [f"x{i}" for i in range(300)]
+    rows = [(i, " ".join(f"y{i}" if k == 7 * i + 3 else x for k, x in enumerate(base))) for i in range(40)]
+    spots = {10 * e + 4: ij for e, ij in enumerate(itertools.combinations(range(8), 2))}  # two of the others change each
+    rows += [(50 + i, " ".join(f"z{k}" if i in spots.get(k, ()) else x for k, x in enumerate(base))) for i in range(8)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(rows)).collect()}
+    assert got == brute.jaccard(rows) and len({c for _, c in got.values()}) == 9
+    pairs, made = seen[-1]
+    assert pairs > 100 and made < 10 * pairs
+
+
 def test_jaccard_edges(docs):
     assert jaccard.jaccard_components(docs([])).count() == 0
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (3, None), (4, "")]
