@@ -1,6 +1,7 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line is the set of its lower-cased words; lines with equal sets are one class, known by the MD5 of its sorted words. Words
+A line is the set of its lower-cased words; lines that are alike in lower case are one class, known by their MD5. Lines of the same
+words in another order are classes of their own, and match like others; only very short ones, which have no index, go by their sorted words. Words
 are ordered by rarity: the counts of their hash classes over all lines. Two classes that are similar enough share a
 word among the first n - ceil(t n) + 1 of the larger and the first n - ceil(2t / (1 + t) n) + 1 of the smaller. Classes are indexed by
 those words; sizes, places and a 128-bit parity of the words bound what two can have in common, and pairs that pass are verified
@@ -80,8 +81,8 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     # with fewer words only equal sets match
     small = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
     lines = texts.select("doc_id", "row", F.expr(f"posexplode(split({PLAIN}, '\\n')) as (number, line)")).where("trim(line) <> ''")
-    lines = lines.select("doc_id", "row", "number", F.expr(WORDS.format("line")).alias("words"))
-    lines = lines.select("doc_id", "row", "number", F.expr("unhex(md5(array_join(sort_array(words), ' ')))").alias("key"), F.expr(_tokens("words", word_ranks(texts))).alias("tokens")).withColumn("n", F.size("tokens"))
+    lines = lines.select("doc_id", "row", "number", "line", F.expr(WORDS.format("line")).alias("words"))
+    lines = lines.select("doc_id", "row", "number", F.expr(f"unhex(md5(if(size(words) < {small}, array_join(sort_array(words), ' '), line)))").alias("key"), F.expr(_tokens("words", word_ranks(texts))).alias("tokens")).withColumn("n", F.size("tokens"))
     prefix = f"if(n < {small}, cast(array() as array<bigint>), slice(tokens, 1, n - {least(f'n * {percent} / 100D')} + 1))"
     lines = lines.select("doc_id", "row", "number", "key", "n", F.expr(_parity("t & 64 = 0")).alias("p"), F.expr(_parity("t & 64 <> 0")).alias("q"), F.expr(f"transform({prefix}, t -> cast(t & {2**31 - 1} as int))").alias("prefix"))
     lines = scratch.stored(lines, "lines")

@@ -150,6 +150,14 @@ def test_lines_thresholds(docs, corpus, percent):
     assert got == brute.lines(rows, percent)
 
 
+@pytest.mark.parametrize("percent", [80, 100])
+def test_lines_of_the_same_words(docs, percent):
+    """Other orders, blanks, cases and repeats of a line's words, short or long, are that line."""
+    rows = [(1, "a b c d e f\none two\nq r s t"), (2, "F  e d\tc b a a\ntwo ONE one\nq r s t u v"), (3, "f e d c b a \ntwo\nt q r s"), (4, "one two \n a b c d e f")]
+    got = {r.doc_id: (r.n_lines, r.n_removed, brute.sha(r.text or "")) for r in lines.dedup_lines(docs(rows), percent).collect()}
+    assert got == brute.lines(rows, percent) and got[4][1] == 2
+
+
 def test_lines_of_one_group(docs):
     """Many near copies of one line, some near to the first, some only to each other."""
     import random
