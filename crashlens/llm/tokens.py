@@ -19,9 +19,9 @@ U64 = np.uint64
 #: Characters below this are classified by table.
 TOP = 0x250
 #: Pieces kept by a worker.
-CACHE = 1_500_000
+CACHE = 400_000
 #: Characters tokenized at a time.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 LETTER, NUMBER, OTHER, BLANK, UNKNOWN = range(5)
 _KIND = np.full(TOP + 1, UNKNOWN, np.uint8)
@@ -72,25 +72,24 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.begin, self.size, self.flat = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys, self.begin, self.size, self.flat = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _plain(self, text: str) -> bool:
         return not any(x in text for x in self.added)
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        """Adds the ids of new pieces to the sorted table."""
+        """Adds the ids of new pieces, in ascending order of their keys, to the sorted table."""
         joined = "\0".join(pieces)
         if self.style == "words":
             joined = joined.lower()
         tokenize = self.library.model.tokenize
         found = [[x.id for x in tokenize(p)] for p in joined.encode().decode("latin-1").translate(self.shown).split("\0")]
-        size = np.fromiter(map(len, found), np.int64, len(found))
+        size = np.fromiter(map(len, found), np.int32, len(found))
         flat = np.fromiter((i for x in found for i in x), np.int32, int(size.sum()))
-        keys = np.append(self.keys, keys)
-        order = np.argsort(keys)
-        self.begin = np.append(self.begin, len(self.flat) + np.cumsum(size) - size)[order]
-        self.size = np.append(self.size, size)[order]
-        self.keys, self.flat = keys[order], np.append(self.flat, flat)
+        at = np.searchsorted(self.keys, keys)
+        self.begin = np.insert(self.begin, at, len(self.flat) + np.cumsum(size) - size)
+        self.size = np.insert(self.size, at, size)
+        self.keys, self.flat = np.insert(self.keys, at, keys), np.append(self.flat, flat)
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.keys, keys)

@@ -30,6 +30,23 @@ def test_cache_is_bounded(monkeypatch):
         assert coder.encode([text])[0].tolist() == coder.library.encode(text, add_special_tokens=False).ids
 
 
+def test_memory_of_an_encoder_is_bounded():
+    import tracemalloc
+
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(350)) for _ in range(1500)]
+    coder = Encoder(public("word_bpe_49k.json"))
+    tracemalloc.start()
+    try:
+        ids, offsets = coder.encode(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 70e6
+    for i in (0, 777, 1499):
+        assert coder.library.encode(texts[i], add_special_tokens=False).ids == ids[offsets[i] : offsets[i + 1]].tolist()
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000])
 def test_wavelet_matrix(n):
     v = np.random.default_rng(n).integers(0, 50, n)
