@@ -4,8 +4,9 @@ A line is the set of its lower-cased words; lines that are alike in lower case a
 words in another order are classes of their own, and match like others; only very short ones, which have no index, go by their sorted words. Words
 are ordered by rarity: the counts of their hash classes over all lines. Two classes that are similar enough share a
 word among the first n - ceil(t n) + 1 of the larger and the first n - ceil(2t / (1 + t) n) + 1 of the smaller. Classes are indexed by
-those words; sizes, places and a 128-bit parity of the words bound what two can have in common, and pairs that pass are verified
-on the words themselves, read again from the texts. The later line goes.
+those words; sizes, places and a parity of the words, of 64 bits or 128 for long lines, bound what two can have in common, and pairs that
+pass are verified on the words themselves, read again from the texts. The later line goes. Texts are split into words once; distinct
+words are told by 64 bits of their hashes, of which 31 are kept.
 
 Only whether an earlier match exists matters. So the first class of each word's list stands for those of the list that may be
 similar to it: these aren't paired with each other, unless no match for them is found elsewhere.
@@ -24,30 +25,33 @@ from crashlens.llm import scratch
 #: Counters of the words' hash classes.
 COUNTERS = 1 << 17
 #: SQL: lower-cased text in which the blanks from tab to carriage return, but line breaks, are spaces; a line's distinct words.
-PLAIN = "lower(replace(replace(replace(replace(text, '\\t', ' '), '\\u000B', ' '), '\\u000C', ' '), '\\r', ' '))"
+PLAIN = r"lower(regexp_replace(text, '[\\t\\x0B\\f\\r]', ' '))"
 WORDS = "array_distinct(array_remove(split({0}, ' '), ''))"
+#: SQL: the 64-bit hashes of a line's distinct words.
+HASHES = "array_remove(array_distinct(transform(split(line, ' '), w -> xxhash64(w))), xxhash64(''))"
+#: Lines of more words have a second parity.
+SHORT = 64
 
 
-def word_ranks(docs: DataFrame) -> list[int]:
-    """By hash class of words, four times the binary logarithm of its count over all words of all documents."""
-    words = docs.select(F.expr(f"explode(split(replace({PLAIN}, '\\n', ' '), ' ')) as w")).where("w <> ''")
-    found = words.select(F.expr(f"hash(w) & {COUNTERS - 1} as c")).groupBy("c").count()
+def word_ranks(lines: DataFrame) -> list[int]:
+    """By hash class of words, four times the binary logarithm of its count over all lines (words: 31 bits of the hash of each)."""
+    found = lines.select(F.explode("words").alias("w")).select(F.expr(f"w & {COUNTERS - 1} as c")).groupBy("c").count()
     ranks = [0] * COUNTERS
     for c, n in found.collect():  # at most COUNTERS rows
         ranks[c] = int(4 * math.log2(n)) + 1
     return ranks
 
 
-def _tokens(words: str, ranks: list[int]) -> str:
-    """SQL for a set of words as ascending longs, rarest first: the rank above 48 bits of the word's hash."""
-    # a folded constant, looked up by place
+def _tokens(ranks: list[int]) -> str:
+    """SQL for a line's words as ascending longs, rarest first: the rank above the 31 bits."""
+    # a folded constant, looked up by place; never null, so that the longs are sorted as such
     table = f"cast(split('{','.join(map(str, ranks))}', ',') as array<bigint>)"
-    return f"sort_array(transform({words}, w -> shiftleft(get({table}, hash(w) & {COUNTERS - 1}), 48) | shiftrightunsigned(xxhash64(w), 16)))"
+    return f"sort_array(transform(words, w -> shiftleft(coalesce(get({table}, w & {COUNTERS - 1}), 0L), 31) | w))"
 
 
-def _parity(kept: str) -> str:
-    """SQL: for the tokens that are kept the xor of one of 64 bits each."""
-    return f"aggregate(tokens, 0L, (a, t) -> if({kept}, a ^ shiftleft(1L, cast(t & 63 as int)), a))"
+#: SQL: the xor of one of 64 bits for each word, by its last six, and that of those words whose seventh is set.
+PARITY = "aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, w))"
+HALF = f"if(n > {SHORT}, aggregate(words, 0L, (a, w) -> a ^ shiftleft(cast(shiftright(w, 6) & 1 as bigint), w)), 0L)"
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -55,18 +59,20 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """id of the classes that an earlier one matches, of pairs (a, b) of class ids; words are read again from the texts."""
+def _held(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """id and words of the classes of pairs (a, b) of class ids, read again from the texts."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "doc_id", "row", "number"), "id")
     wanted = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("number", "id")).alias("wanted"))
     lines = texts.join(wanted, ["doc_id", "row"]).select("wanted", F.expr(f"split({PLAIN}, '\\n')").alias("all"))
     lines = lines.select(F.explode(F.expr("transform(wanted, x -> struct(x.id as id, get(all, x.number) as line))")).alias("x"))
-    held = scratch.stored(lines.select("x.id", F.expr(WORDS.format("x.line")).alias("words")), "held")
+    return scratch.stored(lines.select("x.id", F.expr(WORDS.format("x.line")).alias("words")), "held")
+
+
+def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """id of the classes that an earlier one matches, of pairs (a, b) of class ids whose words are held."""
     a, b = (held.select(F.col("id").alias(x), F.col("words").alias(f"{x}_words")) for x in "ab")
     both = pairs.join(b, "b").join(a, "a").withColumn("common", F.size(F.array_intersect("a_words", "b_words")))
-    out = scratch.stored(both.where(f"100 * common >= {percent} * (size(a_words) + size(b_words) - common)").select(F.col("a").alias("id")).distinct(), "matched")
-    scratch.forget(held)
-    return out
+    return scratch.stored(both.where(f"100 * common >= {percent} * (size(a_words) + size(b_words) - common)").select(F.col("a").alias("id")).distinct(), "matched")
 
 
 def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -81,11 +87,14 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     # with fewer words only equal sets match
     small = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
     lines = texts.select("doc_id", "row", F.expr(f"posexplode(split({PLAIN}, '\\n')) as (number, line)")).where("trim(line) <> ''")
-    lines = lines.select("doc_id", "row", "number", "line", F.expr(WORDS.format("line")).alias("words"))
-    lines = lines.select("doc_id", "row", "number", F.expr(f"unhex(md5(if(size(words) < {small}, array_join(sort_array(words), ' '), line)))").alias("key"), F.expr(_tokens("words", word_ranks(texts))).alias("tokens")).withColumn("n", F.size("tokens"))
+    lines = lines.select("doc_id", "row", "number", "line", F.expr(HASHES).alias("words")).withColumn("n", F.size("words"))
+    key = f"unhex(md5(if(n < {small}, array_join(sort_array({WORDS.format('line')}), ' '), line)))"
+    parsed = scratch.stored(lines.select("doc_id", "row", "number", F.expr(key).alias("key"), "n", F.expr(f"transform(words, w -> cast(w & {2**31 - 1} as int))").alias("words")), "parsed")
     prefix = f"if(n < {small}, cast(array() as array<bigint>), slice(tokens, 1, n - {least(f'n * {percent} / 100D')} + 1))"
-    lines = lines.select("doc_id", "row", "number", "key", "n", F.expr(_parity("t & 64 = 0")).alias("p"), F.expr(_parity("t & 64 <> 0")).alias("q"), F.expr(f"transform({prefix}, t -> cast(t & {2**31 - 1} as int))").alias("prefix"))
+    lines = parsed.select("*", F.expr(PARITY).alias("p"), F.expr(HALF).alias("q"), F.expr(_tokens(word_ranks(parsed))).alias("tokens"))
+    lines = lines.select("doc_id", "row", "number", "key", "n", "p", "q", F.expr(f"transform({prefix}, t -> cast(t & {2**31 - 1} as int))").alias("prefix"))
     lines = scratch.stored(lines, "lines")
+    scratch.forget(parsed)
 
     first = lines.groupBy("key").agg(F.min(F.struct("doc_id", "row", "number", "n", "p", "q", "prefix")).alias("f")).select("key", "f.*")
     # ids follow the order of the lines
@@ -97,7 +106,8 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         """Sizes, and places of the word in common, and the bits that differ, at most as many as words, leave room for a match."""
         sizes = f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)"
         places = f"{100 + percent} * (least({a}.place, {b}.place) + least({a}.n - {a}.place, {b}.n - {b}.place)) >= {percent} * ({a}.n + {b}.n)"
-        bits = f"{100 + percent} * ({a}.n + {b}.n - bit_count({a}.p ^ {b}.p) - bit_count({a}.q ^ {b}.q)) >= {2 * percent} * ({a}.n + {b}.n)"
+        both = f"bit_count({a}.q ^ {b}.q) + bit_count({a}.p ^ {a}.q ^ {b}.p ^ {b}.q)"
+        bits = f"{100 + percent} * ({a}.n + {b}.n - if({a}.n > {SHORT} and {b}.n > {SHORT}, {both}, bit_count({a}.p ^ {b}.p))) >= {2 * percent} * ({a}.n + {b}.n)"
         return f"{sizes} and {places} and {bits}"
 
     heads = Window.partitionBy("token").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -109,14 +119,16 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     met = far.alias("a").join(index.alias("b"), F.expr(f"a.token = b.token and a.id <> b.id and {fits('a', 'b')} and {smaller}"))
     met = met.selectExpr("greatest(a.id, b.id) as a", "least(a.id, b.id) as b")
     pairs = scratch.stored(met.distinct(), "pairs")
-    gone = _verified(pairs, classes, texts, percent)
+    held = _held(pairs, classes, texts)
+    gone = _verified(pairs, held, percent)
     # a class that is near to a list's first one is the later one of a pair
     later = index.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
     rest = later.join(gone, "id", "left_anti").alias("a").join(later.alias("b"), F.expr(f"a.token = b.token and b.id < a.id and {fits('a', 'b')}")).selectExpr("a.id as a", "b.id as b").distinct()
     rest = scratch.stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        gone = gone.unionByName(_verified(rest, classes, texts, percent)).distinct()
-    scratch.forget(pairs, rest)
+        # both are later ones of pairs, whose words are held already
+        gone = gone.unionByName(_verified(rest, held, percent)).distinct()
+    scratch.forget(pairs, rest, held)
 
     state = classes.select("id", "key", F.struct("doc_id", "row", "number").alias("first")).join(gone.withColumn("gone", F.lit(True)), "id", "left").select("key", "first", "gone")
     out = lines.select("key", "doc_id", "row", "number").join(state, "key").where("gone or first <> struct(doc_id, row, number)")

@@ -158,6 +158,34 @@ def test_lines_of_the_same_words(docs, percent):
     assert got == brute.lines(rows, percent) and got[4][1] == 2
 
 
+def test_lines_long_and_short_of_a_second_parity(docs):
+    import random
+
+    rng, rows = random.Random(8), []
+    for i in range(40):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.choice((50, 70, 72, 80, 130)))]
+        near = [f"x{rng.randrange(400)}" if rng.random() < rng.choice((0, 0.1, 0.2)) else w for w in base]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, "\t".join(near[: rng.randrange(48, len(near) + 1)]))]
+    got = {r.doc_id: (r.n_lines, r.n_removed, brute.sha(r.text or "")) for r in lines.dedup_lines(docs(rows)).collect()}
+    assert got == brute.lines(rows)
+
+
+def test_lines_are_split_once(spark, docs):
+    """Texts are read for their lines, for the words of pairs and for what is left: not again for counts, nor for the later pairs."""
+    words = [f"w{i}" for i in range(20)]
+    rows = [(i, " ".join([*words[:i], f"n{i}", *words[i + 1 :]])) for i in range(10)]
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    source = docs(rows)
+    got = {r.doc_id: (r.n_lines, r.n_removed, brute.sha(r.text or "")) for r in lines.dedup_lines(source.mapInArrow(count, source.schema)).collect()}
+    assert got == brute.lines(rows) and read.value <= 3 * len(rows)
+
+
 def test_lines_of_one_group(docs):
     """Many near copies of one line, some near to the first, some only to each other."""
     import random
