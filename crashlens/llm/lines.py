@@ -5,8 +5,8 @@ words in another order are classes of their own, and match like others; only ver
 are ordered by rarity: the counts of their hash classes over all lines. Two classes that are similar enough share a
 word among the first n - ceil(t n) + 1 of the larger and the first n - ceil(2t / (1 + t) n) + 1 of the smaller. Classes are indexed by
 those words; sizes, places and a parity of the words, of 64 bits or 128 for long lines, bound what two can have in common, and pairs that
-pass are verified on the words themselves, read again from the texts. The later line goes. Texts are split into words once; distinct
-words are told by 64 bits of their hashes, of which 31 are kept.
+pass are verified on the words themselves. The later line goes. Texts are read for their lines, which are written, and for what is left;
+only a class's first line gets a set of words. Distinct words are told by 64 bits of their hashes, of which 55 are kept.
 
 Only whether an earlier match exists matters. So the first class of each word's list stands for those of the list that may be
 similar to it: these aren't paired with each other, unless no match for them is found elsewhere.
@@ -23,19 +23,21 @@ from pyspark.sql import functions as F
 from crashlens.llm import scratch
 
 #: Counters of the words' hash classes.
-COUNTERS = 1 << 17
+COUNTERS = 1 << 16
 #: SQL: lower-cased text in which the blanks from tab to carriage return, but line breaks, are spaces; a line's distinct words.
-PLAIN = r"lower(regexp_replace(text, '[\\t\\x0B\\f\\r]', ' '))"
-WORDS = "array_distinct(array_remove(split({0}, ' '), ''))"
+PLAIN = r"lower(if(text rlike '[\\t\\x0B-\\r]', regexp_replace(text, '[\\t\\x0B-\\r]', ' '), text))"
+WORDS = "array_distinct(array_remove(split(line, ' '), ''))"
 #: SQL: the 64-bit hashes of a line's distinct words.
 HASHES = "array_remove(array_distinct(transform(split(line, ' '), w -> xxhash64(w))), xxhash64(''))"
+#: Bits of a word's hash in its token; the rank is above them.
+BITS = 55
 #: Lines of more words have a second parity.
 SHORT = 64
 
 
 def word_ranks(lines: DataFrame) -> list[int]:
-    """By hash class of words, four times the binary logarithm of its count over all lines (words: 31 bits of the hash of each)."""
-    found = lines.select(F.explode("words").alias("w")).select(F.expr(f"w & {COUNTERS - 1} as c")).groupBy("c").count()
+    """By hash class of words, four times the binary logarithm of its count over all lines."""
+    found = lines.select(F.explode(F.split("line", " ")).alias("w")).select(F.expr(f"cast(xxhash64(w) & {COUNTERS - 1} as int) as c")).groupBy("c").count()
     ranks = [0] * COUNTERS
     for c, n in found.collect():  # at most COUNTERS rows
         ranks[c] = int(4 * math.log2(n)) + 1
@@ -43,15 +45,15 @@ def word_ranks(lines: DataFrame) -> list[int]:
 
 
 def _tokens(ranks: list[int]) -> str:
-    """SQL for a line's words as ascending longs, rarest first: the rank above the 31 bits."""
+    """SQL for a line's words as ascending longs, rarest first: the rank above bits of the hash."""
     # a folded constant, looked up by place; never null, so that the longs are sorted as such
     table = f"cast(split('{','.join(map(str, ranks))}', ',') as array<bigint>)"
-    return f"sort_array(transform(words, w -> shiftleft(coalesce(get({table}, w & {COUNTERS - 1}), 0L), 31) | w))"
+    return f"sort_array(transform(words, w -> shiftleft(coalesce(get({table}, cast(w & {COUNTERS - 1} as int)), 0L), {BITS}) | w & {(1 << BITS) - 1}))"
 
 
 #: SQL: the xor of one of 64 bits for each word, by its last six, and that of those words whose seventh is set.
-PARITY = "aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, w))"
-HALF = f"if(n > {SHORT}, aggregate(words, 0L, (a, w) -> a ^ shiftleft(cast(shiftright(w, 6) & 1 as bigint), w)), 0L)"
+PARITY = "aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(w & 63 as int)))"
+HALF = f"if(n > {SHORT}, aggregate(words, 0L, (a, w) -> a ^ shiftleft(shiftright(w, 6) & 1, cast(w & 63 as int))), 0L)"
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -59,20 +61,18 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
 
 
-def _held(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """id and words of the classes of pairs (a, b) of class ids, read again from the texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "doc_id", "row", "number"), "id")
-    wanted = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("number", "id")).alias("wanted"))
-    lines = texts.join(wanted, ["doc_id", "row"]).select("wanted", F.expr(f"split({PLAIN}, '\\n')").alias("all"))
-    lines = lines.select(F.explode(F.expr("transform(wanted, x -> struct(x.id as id, get(all, x.number) as line))")).alias("x"))
-    return scratch.stored(lines.select("x.id", F.expr(WORDS.format("x.line")).alias("words")), "held")
+def _held(pairs: DataFrame, classes: DataFrame, lines: DataFrame) -> DataFrame:
+    """id and words of the classes of pairs (a, b) of class ids."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "at"), "id")
+    return scratch.stored(lines.select("at", "line").join(wanted.hint("shuffle_hash"), "at").select("id", F.expr(WORDS).alias("words")), "held")
 
 
 def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """id of the classes that an earlier one matches, of pairs (a, b) of class ids whose words are held."""
     a, b = (held.select(F.col("id").alias(x), F.col("words").alias(f"{x}_words")) for x in "ab")
-    both = pairs.join(b, "b").join(a, "a").withColumn("common", F.size(F.array_intersect("a_words", "b_words")))
-    return scratch.stored(both.where(f"100 * common >= {percent} * (size(a_words) + size(b_words) - common)").select(F.col("a").alias("id")).distinct(), "matched")
+    # the words in common stand here once, as they are found anew wherever they stand
+    alike = f"{100 + percent} * size(array_intersect(a_words, b_words)) >= {percent} * (size(a_words) + size(b_words))"
+    return scratch.stored(pairs.join(b, "b").join(a, "a").where(alike).select(F.col("a").alias("id")).distinct(), "matched")
 
 
 def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -82,25 +82,22 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     100 * words in common >= percent * words of either, on the input's lines, whether or not the earlier one goes itself.
     Lines without words match nothing. Rows without doc_id or text have no lines; rows that are wholly equal are one.
     """
-    texts = _rows(docs)
     least = lambda share: f"cast(ceil({share}) as int)"
     # with fewer words only equal sets match
     small = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
-    lines = texts.select("doc_id", "row", F.expr(f"posexplode(split({PLAIN}, '\\n')) as (number, line)")).where("trim(line) <> ''")
-    lines = lines.select("doc_id", "row", "number", "line", F.expr(HASHES).alias("words")).withColumn("n", F.size("words"))
-    key = f"unhex(md5(if(n < {small}, array_join(sort_array({WORDS.format('line')}), ' '), line)))"
-    parsed = scratch.stored(lines.select("doc_id", "row", "number", F.expr(key).alias("key"), "n", F.expr(f"transform(words, w -> cast(w & {2**31 - 1} as int))").alias("words")), "parsed")
-    prefix = f"if(n < {small}, cast(array() as array<bigint>), slice(tokens, 1, n - {least(f'n * {percent} / 100D')} + 1))"
-    lines = parsed.select("*", F.expr(PARITY).alias("p"), F.expr(HALF).alias("q"), F.expr(_tokens(word_ranks(parsed))).alias("tokens"))
-    lines = lines.select("doc_id", "row", "number", "key", "n", "p", "q", F.expr(f"transform({prefix}, t -> cast(t & {2**31 - 1} as int))").alias("prefix"))
-    lines = scratch.stored(lines, "lines")
-    scratch.forget(parsed)
-
-    first = lines.groupBy("key").agg(F.min(F.struct("doc_id", "row", "number", "n", "p", "q", "prefix")).alias("f")).select("key", "f.*")
+    lines = _rows(docs).select("doc_id", "row", F.expr(f"posexplode(split({PLAIN}, '\\n')) as (number, line)")).where("trim(line) <> ''")
+    lines = scratch.stored(lines.select("doc_id", "row", "number", F.monotonically_increasing_id().alias("at"), F.expr("unhex(md5(line))").alias("key"), "line"), "lines")
+    first = lines.groupBy("key").agg(F.min(F.struct("doc_id", "row", "number", "at")).alias("f")).select("key", "f.*")
     # ids follow the order of the lines
     classes = scratch.stored(first.orderBy("doc_id", "row", "number").withColumn("id", F.monotonically_increasing_id()), "classes")
+
+    # a class's words are those of its first line; the ids that a task looks up are small beside the lines, which needn't be sorted
+    sets = lines.select("at", "line").join(classes.select("at", "id").hint("shuffle_hash"), "at").select("id", "line", F.expr(HASHES).alias("words")).withColumn("n", F.size("words"))
+    sets = sets.select("id", "n", F.expr(PARITY).alias("p"), F.expr(HALF).alias("q"), F.expr(f"if(n < {small}, md5(array_join(sort_array({WORDS}), ' ')), null)").alias("same"), F.expr(_tokens(word_ranks(lines))).alias("tokens"))
+    prefix = f"if(n < {small}, cast(array() as array<bigint>), slice(tokens, 1, n - {least(f'n * {percent} / 100D')} + 1))"
+    sets = scratch.stored(sets.select("id", "n", "p", "q", "same", F.expr(prefix).alias("prefix")), "sets")
     # none is null; said here so that both sides of the join below have the same filters, and share the exchange
-    index = classes.where("size(prefix) > 0 and id is not null and n is not null and p is not null and q is not null").select("id", "n", "p", "q", F.posexplode("prefix").alias("place", "token")).where("token is not null").repartition("token")
+    index = sets.where("size(prefix) > 0 and id is not null and n is not null and p is not null and q is not null").select("id", "n", "p", "q", F.posexplode("prefix").alias("place", "token")).where("token is not null").repartition("token")
 
     def fits(a: str, b: str) -> str:
         """Sizes, and places of the word in common, and the bits that differ, at most as many as words, leave room for a match."""
@@ -110,16 +107,18 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         bits = f"{100 + percent} * ({a}.n + {b}.n - if({a}.n > {SHORT} and {b}.n > {SHORT}, {both}, bit_count({a}.p ^ {b}.p))) >= {2 * percent} * ({a}.n + {b}.n)"
         return f"{sizes} and {places} and {bits}"
 
+    few = lambda x: f"{x}.place < {x}.n - {least(f'{x}.n * {2 * percent} / {100 + percent}D')} + 1"
+    smaller = lambda a, b: f"if({a}.n < {b}.n or {a}.n = {b}.n and {a}.id < {b}.id, {few(a)}, {few(b)})"
     heads = Window.partitionBy("token").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     listed = index.withColumn("head", F.first(F.struct("id", "n", "place", "p", "q")).over(heads))
-    far = listed.where(f"head.id = id or not ({re.sub(r'\bx[.]', '', fits('x', 'head'))})").drop("head")
-    few = lambda x: f"{x}.place < {x}.n - {least(f'{x}.n * {2 * percent} / {100 + percent}D')} + 1"
-    smaller = f"if(a.n < b.n or a.n = b.n and a.id < b.id, {few('a')}, {few('b')})"
+    # near to the first one: a pair with it below
+    near = re.sub(r"\bx[.]", "", f"{fits('x', 'head')} and {smaller('x', 'head')}")
+    far = listed.where(f"head.id = id or not ({near})").drop("head")
     # pairs with a class that isn't near to the first of the list; both orders, as the other one may be near
-    met = far.alias("a").join(index.alias("b"), F.expr(f"a.token = b.token and a.id <> b.id and {fits('a', 'b')} and {smaller}"))
+    met = far.alias("a").join(index.alias("b"), F.expr(f"a.token = b.token and a.id <> b.id and {fits('a', 'b')} and {smaller('a', 'b')}"))
     met = met.selectExpr("greatest(a.id, b.id) as a", "least(a.id, b.id) as b")
     pairs = scratch.stored(met.distinct(), "pairs")
-    held = _held(pairs, classes, texts)
+    held = _held(pairs, classes, lines)
     gone = _verified(pairs, held, percent)
     # a class that is near to a list's first one is the later one of a pair
     later = index.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
@@ -127,12 +126,16 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     rest = scratch.stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         # both are later ones of pairs, whose words are held already
-        gone = gone.unionByName(_verified(rest, held, percent)).distinct()
+        gone = gone.unionByName(_verified(rest, held, percent))
+    # short lines of the same words
+    short = sets.where("same is not null").select("id", "same")
+    gone = gone.unionByName(short.join(short.groupBy("same").agg(F.min("id").alias("first")), "same").where("id <> first").select("id"))
     scratch.forget(pairs, rest, held)
 
-    state = classes.select("id", "key", F.struct("doc_id", "row", "number").alias("first")).join(gone.withColumn("gone", F.lit(True)), "id", "left").select("key", "first", "gone")
-    out = lines.select("key", "doc_id", "row", "number").join(state, "key").where("gone or first <> struct(doc_id, row, number)")
-    return out.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("number")).alias("gone"))
+    stays = classes.join(gone, "id", "left_anti").groupBy("doc_id", "row").agg(F.collect_set("number").alias("stays"))
+    out = lines.groupBy("doc_id", "row").agg(F.collect_set("number").alias("all")).join(stays, ["doc_id", "row"], "left")
+    out = out.select("doc_id", "row", F.expr("sort_array(array_except(all, coalesce(stays, cast(array() as array<int>))))").alias("gone"))
+    return out.where("size(gone) > 0")
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:

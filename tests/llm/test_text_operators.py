@@ -186,6 +186,36 @@ def test_lines_are_split_once(spark, docs):
     assert got == brute.lines(rows) and read.value <= 3 * len(rows)
 
 
+def test_lines_are_kept_for_pairs(spark, docs):
+    """Texts are read for their lines and for what is left: the words of pairs come from the lines."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, " ".join(f"w{j}" for j in range(20) if j != i)) for i in range(10)]
+    source = docs(rows)
+    got = {r.doc_id: (r.n_lines, r.n_removed, brute.sha(r.text or "")) for r in lines.dedup_lines(source.mapInArrow(count, source.schema)).collect()}
+    assert got == brute.lines(rows) and read.value <= 2 * len(rows)
+
+
+def test_lines_near_to_a_first_one_that_no_pair_has(spark, docs):
+    """Two lines match; both look near to the first of their words' lists, too late in it for a pair with it."""
+    words = [f"v{i}" for i in range(4000)]
+    low = [r.h for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("xxhash64(w) & 63 as h").collect()]
+    h = words[:20]
+    # words that change no parity
+    others = lambda i: [w for w, x in zip(words[20:], low[20:], strict=True) if x == low[i] and low.index(x) == i]
+    rare, often = next((i for i in range(20) if len(others(i)) > 1)), [i for i in range(20) if others(i)][1:3]
+    h = [h[i] for i in (rare, *often)] + [w for i, w in enumerate(h) if i not in (rare, *often)]
+    y, x = ([others(rare)[k], *(others(i)[0] for i in often), *h[3:]] for k in (0, 1))
+    rows = [(0, " ".join(h)), (1, " ".join(y)), (2, " ".join(x)), (3, "\n".join([*h[5:] * 20, *y[1:3] * 60]))]
+    got = {r.doc_id: (r.n_lines, r.n_removed, brute.sha(r.text or "")) for r in lines.dedup_lines(docs(rows)).collect()}
+    assert got == brute.lines(rows) and [got[i][1] for i in range(3)] == [0, 0, 1]
+
+
 def test_lines_of_one_group(docs):
     """Many near copies of one line, some near to the first, some only to each other."""
     import random
