@@ -86,7 +86,7 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     # with fewer words only equal sets match
     small = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
     lines = _rows(docs).select("doc_id", "row", F.expr(f"posexplode(split({PLAIN}, '\\n')) as (number, line)")).where("trim(line) <> ''")
-    lines = scratch.stored(lines.select("doc_id", "row", "number", F.monotonically_increasing_id().alias("at"), F.expr("unhex(md5(line))").alias("key"), "line"), "lines")
+    lines = scratch.stored(lines.select("doc_id", "row", "number", F.monotonically_increasing_id().alias("at"), F.expr("unhex(md5(line))").alias("key"), "line"), "lines", "zstd")
     first = lines.groupBy("key").agg(F.min(F.struct("doc_id", "row", "number", "at")).alias("f")).select("key", "f.*")
     # ids follow the order of the lines
     classes = scratch.stored(first.orderBy("doc_id", "row", "number").withColumn("id", F.monotonically_increasing_id()), "classes")
@@ -111,11 +111,9 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     smaller = lambda a, b: f"if({a}.n < {b}.n or {a}.n = {b}.n and {a}.id < {b}.id, {few(a)}, {few(b)})"
     heads = Window.partitionBy("token").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     listed = index.withColumn("head", F.first(F.struct("id", "n", "place", "p", "q")).over(heads))
-    # near to the first one: a pair with it below
-    near = re.sub(r"\bx[.]", "", f"{fits('x', 'head')} and {smaller('x', 'head')}")
-    far = listed.where(f"head.id = id or not ({near})").drop("head")
-    # pairs with a class that isn't near to the first of the list; both orders, as the other one may be near
-    met = far.alias("a").join(index.alias("b"), F.expr(f"a.token = b.token and a.id <> b.id and {fits('a', 'b')} and {smaller('a', 'b')}"))
+    far = listed.withColumn("top", F.expr("head.id = id")).where(f"top or not ({re.sub(r'\bx[.]', '', fits('x', 'head'))})").drop("head")
+    # pairs with a class that isn't near to the first of the list; both orders, as the other one may be near. All that are near have a pair with the first
+    met = far.alias("a").join(index.alias("b"), F.expr(f"a.token = b.token and a.id <> b.id and {fits('a', 'b')} and (a.top or {smaller('a', 'b')})"))
     met = met.selectExpr("greatest(a.id, b.id) as a", "least(a.id, b.id) as b")
     pairs = scratch.stored(met.distinct(), "pairs")
     held = _held(pairs, classes, lines)

@@ -31,13 +31,13 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+def stored(df: DataFrame, name: str = "stage", codec: str = "snappy") -> DataFrame:
     """Writes a frame to the shared scratch space and reads it again: lineage is cut, sizes are known, shuffle files go."""
     spark = df.sparkSession
     path, before = folder(spark, name), spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
