@@ -76,16 +76,16 @@ def builds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def build_commits(builds: DataFrame, wanted: DataFrame) -> DataFrame:
-    """target, commit, oss_fuzz_commit, matched: for each wanted commit of a project the first build whose commit holds it or is held
-    by it, else the project's last row with matched = false (SRC-13); none for an unknown project.
+    """target, commit, oss_fuzz_commit, matched: for each row of wanted, repeated ones too, the first build of its project whose commit
+    holds the wanted one or is held by it, else the project's last row with matched = false (SRC-13); none for an unknown project.
 
     builds: line, target, commit_id, oss_fuzz_commit; wanted: target, commit. Ids meet by lookup.containing(). Commits and builds
     are as many as the tables' rows, so they are merged; only each project's last row is small.
     """
     from crashlens.operators import lookup
 
-    wanted = wanted.select("target", "commit").distinct()
-    met = wanted.hint("merge").join(lookup.containing(wanted, builds, "commit", "commit_id"), "commit")
+    wanted = wanted.select("target", "commit")
+    met = wanted.distinct().hint("merge").join(lookup.containing(wanted, builds, "commit", "commit_id"), "commit")
     met = met.hint("merge").join(builds.select("target", "commit_id", "line", "oss_fuzz_commit"), ["target", "commit_id"])
     first = met.groupBy("target", "commit").agg(F.min(F.struct("line", "oss_fuzz_commit"))["oss_fuzz_commit"].alias("_hit"), F.lit(True).alias("_matched"))
     last = builds.groupBy("target").agg(F.max(F.struct("line", "oss_fuzz_commit"))["oss_fuzz_commit"].alias("_last"))

@@ -4,11 +4,13 @@ import gzip
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from crashlens.functions import bits
 from crashlens.operators import graphs, lookup, matching
+from crashlens.plans import catalogue
 from crashlens.sources import numbered, readers, sinks
 
 
@@ -215,3 +217,24 @@ def test_watcher_goes_on(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, found.collect())) == want and watch._finished(spark, store, "base") == [1]
     assert [tuple(r) for r in watch.top_states(found, 2).collect()] == [("a|0", 8), ("b|1", 8)]
     assert watch.state(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_build_commits_as_its_sql(spark, tmp_path):
+    # the piece of 390915's id is in 350325's too; 262676 and 779498 look for the same commit that there isn't
+    keys = {350325: "2-HIGH", 390915: "2-HIGH", 390920: "2-HIGH", 262676: "3-MEDIUM", 779498: "3-MEDIUM"}
+    orders = spark.createDataFrame([(k, "F", p) for k, p in keys.items()], "o_orderkey bigint, o_orderstatus string, o_orderpriority string")
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    found = con.execute(catalogue.ORACLES["build_commits"])
+    names = [x[0] for x in found.description]
+    theirs = sorted(found.fetchall())
+    assert sorted(tuple(r[c] for c in names) for r in catalogue.QUERIES["build_commits"](spark, str(tmp_path)).collect()) == theirs
+    assert len(theirs) == 5 and ("2-HIGH", "b3cdc81a", "oss390915", True) in theirs
+
+
+def test_build_commits_first_build_and_each_row(spark):
+    builds = spark.createDataFrame([(1, "p", "ab12ff", "x"), (2, "p", "12ff99", "y"), (3, "p", "77", "z"), (1, "q", "12ff", "w")], "line int, target string, commit_id string, oss_fuzz_commit string")
+    wanted = spark.createDataFrame([("p", "12ff"), ("p", "12ff"), ("p", "none"), ("p", "none"), ("q", "0012ff")], "target string, commit string")
+    out = sorted(map(tuple, readers.build_commits(builds, wanted).collect()))
+    assert out == [("p", "12ff", "x", True)] * 2 + [("p", "none", "z", False)] * 2 + [("q", "0012ff", "w", True)]
