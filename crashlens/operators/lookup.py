@@ -152,15 +152,18 @@ def containing(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     """Distinct (a, b) of which either holds the other anywhere; nulls and empty ids meet nothing (SRC-13).
 
     A q-gram index: q is the least length of all ids. An id is looked for by that of its grams that fewest longer ids hold, then verified.
-    Spark takes the grams for no larger than the ids, so they are merged and never broadcast.
+    Ids are numbered and stored, so that the index has a number and a gram's hash for each gram; grams of the same hash only give more to
+    verify. Spark takes the grams for no larger than the ids, so they are merged and never broadcast.
     """
-    x, y = (df.select(F.col(c).alias("id")).where("id <> ''").distinct() for df, c in ((left, a), (right, b)))
+    x, y = (shared.stored(df.select(F.col(c).alias("id")).where("id <> ''").distinct().withColumn("n", F.monotonically_increasing_id()), "ids") for df, c in ((left, a), (right, b)))
     least = x.unionByName(y).agg(F.min(F.char_length("id"))).first()[0] or 1
-    grams = lambda df: df.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("id") - least + 1), lambda i: F.substr("id", i, F.lit(least))))).alias("gram"))
+    grams = lambda df: df.select("n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("id") - least + 1), lambda i: F.xxhash64(F.substr("id", i, F.lit(least)))))).alias("gram"))
 
     def held(short: DataFrame, long: DataFrame, one: str, other: str) -> DataFrame:
         index = grams(long)
-        rare = grams(short).hint("merge").join(index.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram").groupBy("id").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
-        return rare.withColumnRenamed("id", one).hint("merge").join(index.withColumnRenamed("id", other), "gram").where(F.contains(F.col(other), F.col(one))).select(a, b)
+        rare = grams(short).hint("merge").join(index.groupBy("gram").agg(F.count(F.lit(1)).alias("many")), "gram").groupBy("n").agg(F.min(F.struct("many", "gram"))["gram"].alias("gram"))
+        met = rare.hint("merge").join(index.withColumnRenamed("n", "m"), "gram").drop("gram")
+        met = met.hint("merge").join(short.withColumnRenamed("id", one), "n").hint("merge").join(long.select(F.col("n").alias("m"), F.col("id").alias(other)), "m")
+        return met.where(F.contains(F.col(other), F.col(one))).select(a, b)
 
     return held(x, y, a, b).unionByName(held(y, x, b, a).where(F.col(a) != F.col(b)))
